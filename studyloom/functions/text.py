@@ -8,3 +8,11 @@ def token_estimate(c):
     """Rough token count: CJK characters / 1.5 + all others / 4, plus one."""
     cjk = F.length(F.regexp_replace(c, f"[^{CJK}]", ""))
     return (F.floor(cjk / 1.5 + (F.length(c) - cjk) / 4.0) + 1).cast("bigint")
+
+
+def squeeze(c):
+    return F.regexp_replace(c, r"(?U)\s+", "")
+
+
+def chars_per_minute(c, seconds):
+    return F.bround(F.length(squeeze(c)) / (seconds / 60.0)).cast("bigint")

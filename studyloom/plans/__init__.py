@@ -1,7 +1,7 @@
 """Registered queries: each binds an operator to tables and names its SQL oracle."""
 from importlib import import_module
 
-MODULES = ("analytics",)
+MODULES = ("analytics", "selection")
 
 
 def load_all():
