@@ -129,8 +129,8 @@ def _(v):
 
 
 @query("two_level_group", """WITH f AS (SELECT fid, list_extract(string_split(rel,'/'),-1) AS t, rel AS p FROM v_files),
-    m AS (SELECT *, list_filter([CASE WHEN regexp_matches(t,'1') THEN 'one' END, CASE WHEN regexp_matches(t,'22') THEN 'two' END], x->x IS NOT NULL) AS a,
-      list_filter([CASE WHEN regexp_matches(p,'/en/|src1') THEN 'one' END, CASE WHEN regexp_matches(p,'/fr/|src2') THEN 'two' END], x->x IS NOT NULL) AS b,
+    m AS (SELECT *, list_filter([CASE WHEN regexp_matches(t,'1') THEN 'one' END, CASE WHEN regexp_matches(t,'22') THEN 'two' END], lambda x: x IS NOT NULL) AS a,
+      list_filter([CASE WHEN regexp_matches(p,'/en/|src1') THEN 'one' END, CASE WHEN regexp_matches(p,'/fr/|src2') THEN 'two' END], lambda x: x IS NOT NULL) AS b,
       CASE WHEN regexp_matches(t,'5') AND NOT regexp_matches(p,'http') THEN 'five' ELSE '' END AS o FROM f)
     SELECT fid, CASE WHEN len(a)>0 THEN 'subject' WHEN o<>'' THEN 'other' WHEN len(b)>0 THEN 'subject' ELSE 'rest' END AS grp,
       CASE WHEN len(a)=1 THEN a[1] WHEN len(a)>1 THEN 'mixed' WHEN o<>'' THEN o WHEN len(b)=1 THEN b[1] WHEN len(b)>1 THEN 'mixed' ELSE '' END AS sub FROM m""")
@@ -152,7 +152,7 @@ def _(v):
 
 @query("date_parts_from_name", """WITH p AS (SELECT page_id, string_split(url,'/') AS a FROM pages), q AS (SELECT page_id, a[-1] AS n, list_reverse(a[:-2]) AS f FROM p),
     r AS (SELECT page_id, n, nullif(regexp_extract(n,'^(\\d{2,3})',1),'')::INT AS y1, nullif(regexp_extract(n,'page=(\\d+)',1),'')::INT AS m1,
-      list_filter(list_transform(f, x->nullif(regexp_extract(x,'^(\\d{2,3})',1),'')::INT), x->x IS NOT NULL)[1] AS y2 FROM q),
+      list_filter(list_transform(f, lambda x: nullif(regexp_extract(x,'^(\\d{2,3})',1),'')::INT), lambda x: x IS NOT NULL)[1] AS y2 FROM q),
     s AS (SELECT page_id, n, coalesce(y1,y2,0) AS y, coalesce(m1,0) AS m FROM r)
     SELECT page_id, CASE WHEN y>0 AND y<100 THEN y+2000 ELSE y END AS year, CASE WHEN m BETWEEN 1 AND 12 THEN m ELSE 0 END AS month,
       CASE WHEN regexp_matches(n,'ref=x') THEN 'x' WHEN regexp_matches(n,'#top') THEN 'top' ELSE '' END AS half FROM s""")
