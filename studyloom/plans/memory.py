@@ -70,12 +70,11 @@ def _elapsed():
     return F.datediff(F.lit(TODAY).cast("date"), "last_review")
 
 
-S, D = F.col("stability"), F.col("difficulty")
 
 
 @query("retrievability", f"SELECT user_id, qid, round_even({q_ret(_el, 'stability')},4) AS r FROM v_cards")
 def _(v):
-    return v.cards.select("user_id", "qid", F.bround(M.retrievability(_elapsed(), S), 4).alias("r"))
+    return v.cards.select("user_id", "qid", F.bround(M.retrievability(_elapsed(), F.col("stability")), 4).alias("r"))
 
 
 @query("init_state", f"SELECT id, grade, round_even({q_s('true', '1', '1', '0', 'grade')},4) AS s, round_even({q_d('true', '1', 'grade')},4) AS d FROM v_reviews")
@@ -89,22 +88,22 @@ _g = "(1+(user_id+qid)%4)"
 
 @query("next_difficulty", f"SELECT user_id, qid, round_even({q_next_d('difficulty', _g)},4) AS d FROM v_cards")
 def _(v):
-    return v.cards.select("user_id", "qid", F.bround(M.next_difficulty(D, 1 + (F.col("user_id") + F.col("qid")) % 4), 4).alias("d"))
+    return v.cards.select("user_id", "qid", F.bround(M.next_difficulty(F.col("difficulty"), 1 + (F.col("user_id") + F.col("qid")) % 4), 4).alias("d"))
 
 
 @query("stability_update", f"SELECT user_id, qid, round_even({q_next_s('stability', 'difficulty', _el, _g)},4) AS s FROM v_cards")
 def _(v):
-    return v.cards.select("user_id", "qid", F.bround(M.stability_update(S, D, _elapsed(), 1 + (F.col("user_id") + F.col("qid")) % 4), 4).alias("s"))
+    return v.cards.select("user_id", "qid", F.bround(M.stability_update(F.col("stability"), F.col("difficulty"), _elapsed(), 1 + (F.col("user_id") + F.col("qid")) % 4), 4).alias("s"))
 
 
 @query("interval_days", f"SELECT user_id, qid, {q_interval('stability')} AS d90, {q_interval('stability', 0.8)} AS d80 FROM v_cards")
 def _(v):
-    return v.cards.select("user_id", "qid", M.interval(S).alias("d90"), M.interval(S, 0.8).alias("d80"))
+    return v.cards.select("user_id", "qid", M.interval(F.col("stability")).alias("d90"), M.interval(F.col("stability"), 0.8).alias("d80"))
 
 
 @query("fuzz_days", f"SELECT user_id, qid, {q_fuzz(q_interval('stability'), 'concat(qid,last_review)')} AS days FROM v_cards")
 def _(v):
-    return v.cards.select("user_id", "qid", M.fuzz(M.interval(S), F.concat(F.col("qid"), F.col("last_review").cast("string"))).alias("days"))
+    return v.cards.select("user_id", "qid", M.fuzz(M.interval(F.col("stability")), F.concat(F.col("qid"), F.col("last_review").cast("string"))).alias("days"))
 
 
 _p = q_days("false", "stability", "difficulty", _el, "qid", f"'{TODAY}'")
@@ -112,7 +111,7 @@ _p = q_days("false", "stability", "difficulty", _el, "qid", f"'{TODAY}'")
 
 @query("preview_days", f"SELECT user_id, qid, 0 AS again, {_p[2]} AS hard, {_p[3]} AS good, {_p[4]} AS easy FROM v_cards")
 def _(v):
-    p = M.preview(S, D, _elapsed(), F.lit(False), F.col("qid"), F.lit(TODAY))
+    p = M.preview(F.col("stability"), F.col("difficulty"), _elapsed(), F.lit(False), F.col("qid"), F.lit(TODAY))
     return v.cards.select("user_id", "qid", p.alias("p")).select("user_id", "qid", "p.*")
 
 
