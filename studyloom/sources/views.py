@@ -182,7 +182,7 @@ class Views:
         num = (n % 20).cast("bigint")
         return d.select("doc", F.col("seq").cast("bigint").alias("seq"), "text",
                         F.floor(F.col("seq") / 50).cast("bigint").alias("page"), num.alias("num"),
-                        F.when(n % 5 == 0, "a").when(n % 11 == 0, "h").otherwise("q").alias("kind"),
+                        F.when(n % 7 == 0, "a").when(n % 11 == 0, "h").otherwise("q").alias("kind"),
                         F.element_at(F.array(*[F.lit(x) for x in "ABCD"]), (n % 4 + 1).cast("int")).alias("ans"))
 
     @cached_property
@@ -255,7 +255,7 @@ VIEW_SQL = {
         (1+length(text)%3)::BIGINT AS level FROM (SELECT doc_id AS doc, unnest(range(len(string_split(text,chr(10))))) AS seq,
         unnest(string_split(text,chr(10))) AS text FROM documents)""",
     "v_qblocks": """SELECT doc, seq, text, seq//50 AS page, (length(text)%20)::BIGINT AS num,
-        CASE WHEN length(text)%5=0 THEN 'a' WHEN length(text)%11=0 THEN 'h' ELSE 'q' END AS kind,
+        CASE WHEN length(text)%7=0 THEN 'a' WHEN length(text)%11=0 THEN 'h' ELSE 'q' END AS kind,
         ['A','B','C','D'][length(text)%4+1] AS ans FROM (SELECT doc_id AS doc, unnest(range(len(string_split(text,'.')))) AS seq,
         unnest(string_split(text,'.')) AS text FROM documents)""",
     "v_pages_txt": "SELECT doc, page, string_agg(text, chr(10) ORDER BY seq) AS text FROM v_blocks GROUP BY doc, page",
