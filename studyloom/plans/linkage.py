@@ -219,10 +219,10 @@ def _(v):
     return D.best_version(v.files, k, order)
 
 
-@query("superseded_formats", """WITH f AS (SELECT *, split_part(rel,'/',1) AS course, (fid//4)%12 AS month FROM v_files) SELECT fid FROM f WHERE rel LIKE '%.docx'
+@query("superseded_formats", """WITH f AS (SELECT *, substr(rel,1,3) AS course, (fid//4)%300 AS month FROM v_files) SELECT fid FROM f WHERE rel LIKE '%.docx'
     AND (course, month) IN (SELECT (course, month) FROM f WHERE rel LIKE '%.pdf')""")
 def _(v):
-    f = v.files.withColumn("course", F.substring_index("rel", "/", 1)).withColumn("month", F.floor(F.col("fid") / 4) % 12)
+    f = v.files.withColumn("course", F.substring("rel", 1, 3)).withColumn("month", F.floor(F.col("fid") / 4) % 300)
     return D.superseded(f, F.col("rel").endswith(".docx"), F.col("rel").endswith(".pdf"), ["course", "month"]).select("fid")
 
 
