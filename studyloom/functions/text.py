@@ -118,8 +118,10 @@ def same_option(options, text, keep=CJK + "A-Za-z0-9①-⑳"):
     """
     want = only(text, keep)
     keys = F.filter(F.transform(options, lambda o: F.struct(o["letter"].alias("letter"), only(o["text"], keep).alias("k"))), lambda o: o["k"] != "")
-    stages = [F.filter(keys, lambda o: o["k"] == want)]
-    stages += [F.filter(keys, lambda o, n=n: F.substring(o["k"], 1, n) == F.substring(want, 1, n)) for n in (16, 8)]
+
+    def alike(n):
+        return F.filter(keys, lambda o: F.substring(o["k"], 1, n) == F.substring(want, 1, n))
+    stages = [F.filter(keys, lambda o: o["k"] == want), alike(16), alike(8)]
     last = F.filter(keys, lambda o: o["k"].startswith(want) | F.startswith(want, o["k"]))
     res = F.when(F.size(last) == 1, F.get(last, 0)["letter"]).otherwise("")
     for s in reversed(stages):

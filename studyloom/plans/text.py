@@ -74,7 +74,7 @@ def _(v):
     return v.table("lineitem").select("l_orderkey", "l_linenumber", "l_partkey", T.percent_to_fraction(F.col("l_quantity") * 1.7).alias("frac"))
 
 
-@query("same_option", """WITH o AS (SELECT p_partkey AS id, p_name AS want, [p_name||'!', p_brand, p_type, CASE WHEN p_size%3=0 THEN p_name ELSE split_part(p_name,' ',1) END] AS t FROM part),
+@query("same_option", """WITH o AS (SELECT p_partkey AS id, p_name AS want, [p_name||CASE WHEN p_size%4=0 THEN ' longer than it was' ELSE '!' END, p_brand, p_type, CASE WHEN p_size%3=0 THEN p_name ELSE split_part(p_name,' ',1) END] AS t FROM part),
     k AS (SELECT id, regexp_replace(want,'[^A-Za-z0-9]','','g') AS w, list_transform(t, lambda x: regexp_replace(x,'[^A-Za-z0-9]','','g')) AS t FROM o),
     h AS (SELECT id, w, i, t[i] AS x FROM k, range(1,5) r(i)),
     a AS (SELECT id, count(CASE WHEN x=w THEN 1 END) AS n1, max(CASE WHEN x=w THEN i END) AS i1, count(CASE WHEN substr(x,1,16)=substr(w,1,16) THEN 1 END) AS n2,
@@ -84,7 +84,7 @@ def _(v):
       WHEN n3>0 THEN CASE WHEN n3=1 THEN substr('ABCD',i3::INT,1) ELSE '' END WHEN n4=1 THEN substr('ABCD',i4::INT,1) ELSE '' END AS letter FROM a""")
 def _(v):
     n = F.col("p_name")
-    texts = [F.concat(n, F.lit("!")), F.col("p_brand"), F.col("p_type"), F.when(F.col("p_size") % 3 == 0, n).otherwise(F.substring_index(n, " ", 1))]
+    texts = [F.concat(n, F.when(F.col("p_size") % 4 == 0, " longer than it was").otherwise("!")), F.col("p_brand"), F.col("p_type"), F.when(F.col("p_size") % 3 == 0, n).otherwise(F.substring_index(n, " ", 1))]
     opts = F.array(*[F.struct(F.lit(a).alias("letter"), t.alias("text")) for a, t in zip("ABCD", texts)])
     return v.table("part").select(F.col("p_partkey").alias("id"), T.same_option(opts, n, "A-Za-z0-9").alias("letter"))
 
