@@ -173,7 +173,7 @@ def _(v):
     s AS (SELECT grp, u.col AS col, count(*)::DOUBLE AS n, sum(length(u.v)) AS len, count(*) FILTER (regexp_full_match(u.v,'[0-9]{1,4}'))/count(*)::DOUBLE AS num, count(*) FILTER (regexp_full_match(u.v,'[A-D]'))/count(*)::DOUBLE AS ans,
       count(*) FILTER (contains(u.v,'排除'))/count(*)::DOUBLE AS exp, count(*) FILTER (regexp_matches(u.v,'^(19|20)[0-9][0-9]'))/count(*)::DOUBLE AS src FROM c GROUP BY 1,2),
     r AS (SELECT grp, arg_max(col,(num,col)) FILTER (num>=0.5) AS num, arg_max(col,(ans,col)) FILTER (ans>=0.5) AS ans, arg_max(col,(exp,col)) FILTER (exp>=0.3) AS exp, arg_max(col,(src,col)) FILTER (src>=0.5) AS src FROM s GROUP BY grp)
-    SELECT r.grp, num, ans, exp, src, arg_max(s.col, (s.len, s.col)) FILTER (s.col NOT IN (coalesce(num,''),coalesce(ans,''),coalesce(exp,''),coalesce(src,''))) AS q FROM r JOIN s ON s.grp=r.grp GROUP BY 1,2,3,4,5""")
+    SELECT r.grp, r.num, r.ans, r.exp, r.src, arg_max(s.col, (s.len, s.col)) FILTER (s.col NOT IN (coalesce(r.num,''),coalesce(r.ans,''),coalesce(r.exp,''),coalesce(r.src,''))) AS q FROM r JOIN s ON s.grp=r.grp GROUP BY 1,2,3,4,5""")
 def _(v):
     c = lambda name, e: F.struct(F.lit(name).alias("col"), e.alias("value"))
     note = F.concat(F.lit("note "), "l_linestatus", F.when(F.col("l_linenumber") > 3, " 排除").otherwise(""))
