@@ -4,7 +4,7 @@ from functools import reduce
 
 import pandas as pd
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
+from pyspark.sql.types import ArrayType, StringType
 
 CJK = "一-鿿"
 LATIN = "A-Za-zÀ-ÿ"
@@ -189,3 +189,44 @@ MASKED_WORDS = (("国\\s*[Ww]\\s*院", "国务院"), ("[Zz]\\s*央", "中央"),
 
 def has_all(c, words):
     return reduce(lambda a, b: a & b, [c.contains(w) for w in words], F.lit(True))
+
+
+def _best_cuts(word, parts, fixed, lengths, explain, longest=5):
+    """Split ``word`` into ``parts`` pieces: pieces quoted in the explanation score 3, mentioned 1, of usual length 1 more."""
+    best = {(0, len(word)): (0, ())}
+    for k in range(1, parts + 1):
+        usual = lengths[parts - k]
+        for at in range(len(word)):
+            for end in range(at + 1, min(at + longest, len(word)) + 1):
+                tail = best.get((k - 1, end))
+                if tail is None or any(at < f < end for f in fixed):
+                    continue
+                piece = word[at:end]
+                quoted = any(o + piece + c in explain for o in "\"“”「" for c in "\"“”「")
+                score = tail[0] + (3 if quoted else 1 if piece in explain else 0) + (len(piece) == usual)
+                if (k, at) not in best or score > best[k, at][0]:
+                    best[k, at] = score, (piece, *tail[1])
+    return best.get((parts, 0))
+
+
+def _resplit(options, n, explain, letters):
+    words = [(o or "").split() for o in options]
+    if n < 2 or all(len(w) == n for w in words):
+        return list(options)
+    whole = [w for w in words if len(w) == n]
+    usual = [pd.Series([len(w[i]) for w in whole]).mode().iloc[0] if whole else 2 for i in range(n)]
+    out = []
+    for option, w in zip(options, words):
+        glued = "".join(w)
+        fits = len(w) < n <= len(glued) <= 6 * n and all(ch in letters or "一" <= ch <= "鿿" for ch in glued)
+        marks = [sum(map(len, w[:i])) for i in range(1, len(w))]
+        cut = _best_cuts(glued, n, marks, usual, explain or "") if fits else None
+        out.append(" ".join(cut[1]) if cut else option)
+    return out
+
+
+def option_resplit(letters=""):
+    """Pandas UDF (options, blanks, explanation) -> options: glued option words cut into one word per blank."""
+    def run(options: pd.Series, n: pd.Series, explain: pd.Series) -> pd.Series:
+        return pd.Series([_resplit(o, int(k), e, letters) for o, k, e in zip(options, n, explain)])
+    return F.pandas_udf(run, ArrayType(StringType()))

@@ -235,3 +235,23 @@ def _(v):
     SELECT doc, seq FROM k WHERE NOT (length(k)>=80 AND NOT regexp_matches(text,'[?]')) UNION ALL SELECT doc, min(seq) FROM k WHERE length(k)>=80 AND NOT regexp_matches(text,'[?]') GROUP BY doc, k""")
 def _(v):
     return D.repeat_paragraphs(v.blocks, L, exempt="[?]")
+
+
+RS = f"""q AS (SELECT doc, seq, text, lead(text,2) OVER (PARTITION BY doc ORDER BY seq) AS nx FROM v_qblocks WHERE kind='q' AND length(text)>=60), e AS (SELECT doc, seq, text, CASE WHEN doc%2=0 THEN nx ELSE text END AS ex FROM q),
+    n AS (SELECT doc, count(*) AS nq FROM e GROUP BY doc), t0 AS (SELECT DISTINCT doc, seq, unnest(regexp_extract_all(lower(text),'[{L}]{{3,}}')) AS tok FROM e),
+    cm AS (SELECT t0.doc, tok FROM t0 JOIN n ON n.doc=t0.doc GROUP BY t0.doc, tok, nq HAVING count(*)>greatest(3, nq*0.08)), t AS (SELECT * FROM t0 WHERE (doc,tok) NOT IN (SELECT (doc,tok) FROM cm)),
+    z AS (SELECT doc, seq, count(*) AS size FROM t GROUP BY 1,2 HAVING count(*)>=6), x AS (SELECT DISTINCT e.doc, e.seq, unnest(regexp_extract_all(lower(ex),'[{L}]{{3,}}')) AS tok FROM e JOIN z ON z.doc=e.doc AND z.seq=e.seq WHERE ex IS NOT NULL AND length(ex)>=40),
+    k AS (SELECT x.doc, x.seq AS e, t.seq, count(*)/least(max(size),15)::DOUBLE AS sc FROM x JOIN t ON t.doc=x.doc AND t.tok=x.tok JOIN z ON z.doc=t.doc AND z.seq=t.seq GROUP BY 1,2,3),
+    o AS (SELECT w.doc, w.seq, coalesce(max(k.sc),0) AS own FROM (SELECT DISTINCT doc, seq FROM x) w LEFT JOIN k ON k.doc=w.doc AND k.e=w.seq AND k.seq=w.seq GROUP BY 1,2),
+    b AS (SELECT k.doc, k.e, own, max((sc,k.seq)) AS m FROM k JOIN o ON o.doc=k.doc AND o.seq=k.e AND own<0.15 WHERE k.e<>k.seq GROUP BY 1,2,3)"""
+
+
+@query("realign_by_signature", "WITH " + RS + """, v AS (SELECT b.doc, b.e, m[2] AS j, m[1] AS sc FROM b WHERE m[1]>=0.4 AND m[1]>=own*3+0.2), w AS (SELECT v.* FROM v LEFT JOIN o ON o.doc=v.doc AND o.seq=v.j WHERE NOT coalesce(own>=sc/2 AND own>=0.15,false))
+    SELECT doc, arg_max(e,(sc,e)) AS seq, j AS "to", round_even(max(sc),4) AS score FROM w GROUP BY doc, j""")
+def _(v):
+    from pyspark.sql import Window as W
+    words = lambda c: F.array_distinct(F.regexp_extract_all(F.lower(c), F.lit(f"([{L}]{{3,}})")))
+    q = v.qblocks.where("kind = 'q' AND length(text) >= 60").withColumn("nx", F.lead("text", 2).over(W.partitionBy("doc").orderBy("seq")))
+    q = q.withColumn("ex", F.when(F.col("doc") % 2 == 0, F.col("nx")).otherwise(F.col("text")))
+    return J.realign_by_signature(q.select("doc", "seq", words(F.col("text")).alias("sig"), words(F.coalesce("ex", F.lit(""))).alias("exp_sig"),
+                                           F.coalesce(F.length("ex"), F.lit(0)).alias("exp_len")))

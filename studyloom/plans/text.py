@@ -196,3 +196,15 @@ def _(v):
     UNION ALL SELECT 'source', source, count(*) FROM documents WHERE lang='fr' AND contains(text,'en') GROUP BY source""")
 def _(v):
     return S.facet_counts(v.documents, ["lang", "source"], {"lang": "fr", "source": "src1"}, F.col("text").contains("en"))
+
+
+@query("option_resplit", """SELECT p_partkey AS id, concat_ws('|', substr(split_part(p_name,' ',1),1,5)||' '||substr(split_part(p_name,' ',2),1,5), 'big cog', 'old cog') AS options FROM part""")
+def _(v):
+    import string
+    n = F.col("p_name")
+    first, last = F.substring(F.substring_index(n, " ", 1), 1, 5), F.substring(F.substring_index(n, " ", -1), 1, 5)
+    glued = F.when(F.col("p_partkey") % 3 == 0, F.concat(first, last)).otherwise(F.concat_ws(" ", first, last))
+    explain = F.concat(F.lit("item A “"), first, F.lit("” and “"), last, F.lit("” fit, “big” and “cog” do not"))
+    opts = F.array(glued, F.when(F.col("p_partkey") % 2 == 0, "bigcog").otherwise("big cog"), F.lit("old cog"))
+    u = T.option_resplit(string.ascii_lowercase)
+    return v.table("part").select(F.col("p_partkey").alias("id"), F.array_join(u(opts, F.lit(2), explain), "|").alias("options"))

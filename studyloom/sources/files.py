@@ -106,7 +106,8 @@ def harmonize(rows, aliases=COLUMN_ALIASES, head_rows=10, least=4):
     val = [F.trim(F.coalesce(F.get(F.col("cells"), F.try_element_at("at", F.lit(k))), F.lit(""))).alias(f) for k, f in enumerate(fields)]
     d = d.select("file", "i", *val, F.map_from_entries(F.filter(
         F.transform(F.arrays_zip("names", "cells"), lambda x: F.struct(x["names"].alias("k"), x["cells"].alias("v"))),
-        lambda x: (F.coalesce(x["k"], F.lit("")) != "") & (F.coalesce(x["v"], F.lit("")) != ""))).alias("raw"))
+        lambda x, i: (F.coalesce(x["k"], F.lit("")) != "") & (F.coalesce(x["v"], F.lit("")) != "")
+        & ~F.array_contains(F.slice("names", i + 2, F.size("names") + 1), x["k"]))).alias("raw"))
     d = d.where(((F.col("title") != "") | (F.col("dept") != "")) & ((F.col("code") != "") | (F.col("count") != "")))
     n = F.coalesce(F.nullif(F.regexp_extract("count", r"(\d+)", 1), F.lit("")).try_cast("bigint"), F.lit(0))
     return d.withColumn("count", F.when(n > 0, n).otherwise(1))
