@@ -8,6 +8,7 @@ from pyspark.sql import SparkSession
 def local_session(cores="*", app="studyloom", shuffle_partitions=8, extra=None):
     b = (SparkSession.builder.master(f"local[{cores}]").appName(app)
          .config("spark.ui.enabled", "false")
+         .config("spark.ui.showConsoleProgress", "false")
          .config("spark.driver.memory", "12g")
          .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
          .config("spark.sql.adaptive.enabled", "true")

@@ -32,6 +32,16 @@ def _pick_sql(name):
     return "[" + ", ".join(f"'{v}'" for v in vals) + f"][p_size % {len(vals)} + 1]"
 
 
+def spread(df, key):
+    """Give an input that has fewer splits than the cluster has cores (a small file, few row groups) one task per core.
+
+    Rows are placed by their own key, so later windows and joins on that key need no further exchange. Inputs with enough
+    splits are left as they are.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, key) if df.rdd.getNumPartitions() < 2 * cores else df
+
+
 class Views:
     def __init__(self, spark, sf_dir):
         self.spark, self.dir = spark, sf_dir
@@ -165,11 +175,11 @@ class Views:
     # ---- corpus
     @cached_property
     def documents(self):
-        return self.table("documents")
+        return spread(self.table("documents"), "doc_id")
 
     @cached_property
     def blocks(self):
-        d = self.table("documents").select(F.col("doc_id").alias("doc"), F.posexplode(F.split("text", "\n")).alias("seq", "text"))
+        d = self.documents.select(F.col("doc_id").alias("doc"), F.posexplode(F.split("text", "\n")).alias("seq", "text"))
         n = F.length("text")
         return d.select("doc", F.col("seq").cast("bigint").alias("seq"), "text",
                         F.floor(F.col("seq") / 10).cast("bigint").alias("page"),
@@ -177,7 +187,7 @@ class Views:
 
     @cached_property
     def qblocks(self):
-        d = self.table("documents").select(F.col("doc_id").alias("doc"), F.posexplode(F.split("text", r"\.")).alias("seq", "text"))
+        d = self.documents.select(F.col("doc_id").alias("doc"), F.posexplode(F.split("text", r"\.")).alias("seq", "text"))
         n = F.length("text")
         num = (n % 20).cast("bigint")
         return d.select("doc", F.col("seq").cast("bigint").alias("seq"), "text",
@@ -187,7 +197,7 @@ class Views:
 
     @cached_property
     def pages_txt(self):
-        d = self.table("documents").select(F.col("doc_id").alias("doc"), F.split("text", "\n").alias("lines"))
+        d = self.documents.select(F.col("doc_id").alias("doc"), F.split("text", "\n").alias("lines"))
         page = F.posexplode(F.transform(
             F.sequence(F.lit(0), F.floor((F.size("lines") - 1) / 10).cast("int")),
             lambda p: F.concat_ws("\n", F.slice("lines", p * 10 + 1, 10)))).alias("page", "text")
