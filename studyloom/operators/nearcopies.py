@@ -8,7 +8,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from studyloom.functions.text import CJK, only, shingles
-from studyloom.session import checkpoint_dir
+from studyloom.session import materialize
 
 
 def crc_hash(x):
@@ -19,12 +19,17 @@ def md5_hash(x):
     return F.conv(F.substring(F.md5(x), 1, 8), 16, 10).cast("bigint")
 
 
+def _sampled(x, hash_of, mod):
+    """True for one run in ``mod``. For md5 and 16 the last hex digit says it without converting every hash to a number."""
+    return F.substring(F.md5(x), 8, 1) == "0" if hash_of is md5_hash and mod == 16 else hash_of(x) % mod == 0
+
+
 def signatures(docs, letters=CJK, n=8, mod=16, hash_of=crc_hash):
     """``docs(doc, text, ..)`` plus ``n_letters`` and ``sig``: sampled hashes of all n-character runs but the last."""
     d = docs.withColumn("_t", only(F.col("text"), letters)).withColumn("n_letters", F.length("_t"))
     runs = shingles(F.col("_t"), n)
     runs = F.slice(runs, 1, F.greatest(F.lit(0), F.size(runs) - 1))
-    sig = F.array_distinct(F.filter(F.transform(runs, hash_of), lambda h: h % mod == 0))
+    sig = F.array_distinct(F.transform(F.filter(runs, lambda x: _sampled(x, hash_of, mod)), hash_of))
     return d.withColumn("sig", F.array_sort(sig)).drop("_t", "text")
 
 
@@ -53,11 +58,9 @@ def best_partner(sets, share, ratio, least, first=4):
     ``sets(id, rk, len, size, items)``: ``rk`` is a totally ordered struct. Partners have lengths within ``ratio``, overlap at
     least ``share`` of the smaller set, and the shorter one has ``least`` items.
     """
-    spark = sets.sparkSession
-    checkpoint_dir(spark)
-    sets = sets.checkpoint()
+    sets = materialize(sets)
     need = F.ceil(F.col("size") * share)
-    entries = _entries(sets, need).checkpoint()
+    entries = materialize(_entries(sets, need))
     ranks = sets.select("id", "rk")
     side = lambda p: sets.select(F.col("id").alias(p), *[F.col(c).alias(f"{p}_{c}") for c in ("len", "size", "items")])
     open_ = sets.select("id", "rk", F.lit(None).cast(sets.schema["rk"].dataType).alias("best"), F.lit(None).cast(sets.schema["id"].dataType).alias("partner"))
@@ -68,7 +71,7 @@ def best_partner(sets, share, ratio, least, first=4):
         # the smaller set of a pair is found through its rare items: as the lower-ranked one, then as the higher-ranked one
         seen = (mine.where("pre").join(_top(entries, ranks, hi + 1, False), "item").where(better).select("id", "rk", "best", "k", "krk", "rn")
                 .unionByName(mine.join(_top(entries, ranks, hi + 1, True), "item").where(better).select("id", "rk", "best", "k", "krk", "rn")))
-        seen = seen.where(F.col("rn") > lo).groupBy("id", "k").agg(F.first("krk").alias("krk"), F.min("rn").alias("rn")).checkpoint()
+        seen = materialize(seen.where(F.col("rn") > lo).groupBy("id", "k").agg(F.first("krk").alias("krk"), F.min("rn").alias("rn")))
         p = seen.where(F.col("rn") <= hi).join(side("d"), F.col("id") == F.col("d")).join(side("k"), "k")
         short = F.when(F.col("d_len") <= F.col("k_len"), F.col("d_size")).otherwise(F.col("k_size"))
         near = F.greatest("d_len", "k_len") <= F.least("d_len", "k_len") * ratio
@@ -79,7 +82,7 @@ def best_partner(sets, share, ratio, least, first=4):
         state = open_.join(found, "id", "left").join(ahead, "id", "left").select(
             "id", "rk", F.greatest("best", F.col("m.krk")).alias("best"),
             F.when(F.col("m").isNotNull() & (F.col("best").isNull() | (F.col("m.krk") > F.col("best"))), F.col("m.k")).otherwise(F.col("partner")).alias("partner"), "next")
-        state = state.checkpoint()
+        state = materialize(state)
         more = F.col("next").isNotNull() & (F.col("best").isNull() | (F.col("next") > F.col("best")))
         settled = state.where(~more & F.col("partner").isNotNull()).select("id", "partner")
         done = settled if done is None else done.unionByName(settled)
@@ -91,10 +94,10 @@ def best_partner(sets, share, ratio, least, first=4):
 
 def follow(pointers):
     """Chains of (id, partner) to their ends by pointer doubling; every pointer goes up in rank, so there are no circles."""
-    p = pointers.checkpoint()
+    p = materialize(pointers)
     while True:
         nxt = p.select(F.col("id").alias("partner"), F.col("partner").alias("further"))
-        q = p.join(nxt, "partner", "left").select("id", F.coalesce("further", "partner").alias("partner"), F.col("further").isNotNull().alias("moved")).checkpoint()
+        q = materialize(p.join(nxt, "partner", "left").select("id", F.coalesce("further", "partner").alias("partner"), F.col("further").isNotNull().alias("moved")))
         if q.where("moved").isEmpty():
             return q.select("id", "partner")
         p = q.select("id", "partner")
@@ -104,12 +107,12 @@ def near_duplicates(sigs, score, share=0.9, ratio=1.12, least=20):
     """(doc, keep) for every document that has a better near-duplicate; ``keep`` is the last one of the chain.
 
     ``sigs`` comes from :func:`signatures`; ``score`` columns rank documents, then the shorter text and the smaller id win.
-    Documents with equal signature and length behave alike, so they follow the best of them.
+    Documents with equal signature and length behave alike, so they follow the best of them. Signatures are written once;
+    filtering them earlier would let the optimizer compute them twice.
     """
-    checkpoint_dir(sigs.sparkSession)
     rk = F.struct(*[c.alias(f"s{i}") for i, c in enumerate(score)], (-F.col("n_letters")).alias("a"), (-F.col("doc")).alias("b"))
-    d = sigs.where(F.size("sig") > 0).select("doc", rk.alias("rk"), F.col("n_letters").alias("len"), F.size("sig").alias("size"), F.col("sig").alias("items"))
-    d = d.withColumn("h", F.xxhash64("items", "len")).withColumn("h2", F.md5(F.array_join("items", ","))).checkpoint()
+    d = sigs.select("doc", rk.alias("rk"), F.col("n_letters").alias("len"), F.size("sig").alias("size"), F.col("sig").alias("items"))
+    d = materialize(d.withColumn("h", F.xxhash64("items", "len")).withColumn("h2", F.md5(F.array_join("items", ",")))).where("size > 0")
     heads = d.groupBy("h", "h2", "len").agg(F.max_by("doc", "rk").alias("id"))
     reps = d.join(heads.select(F.col("id").alias("doc")), "doc", "left_semi").select(F.col("doc").alias("id"), "rk", "len", "size", "items")
     copies = (d.where(F.col("size") >= least).join(heads, ["h", "h2", "len"]).where(F.col("doc") != F.col("id"))
@@ -124,14 +127,12 @@ def deck_overlap(decks, share=0.5, window=8):
     ``decks(id, item)``. Order: size descending, then id. Rounds work on the item lists: a deck is settled once every
     earlier deck on the lists of its rare items is settled; kept decks leave a list when the whole list has met them.
     """
-    spark = decks.sparkSession
-    checkpoint_dir(spark)
     sets = decks.distinct().groupBy("id").agg(F.array_sort(F.collect_set("item")).alias("items")).withColumn("size", F.size("items"))
-    sets = sets.withColumn("h", F.md5(F.to_json("items"))).checkpoint()
+    sets = materialize(sets.withColumn("h", F.md5(F.to_json("items"))))
     first = sets.groupBy("h").agg(F.min("id").alias("id"))
-    sets = sets.join(first.select("id"), "id", "left_semi").withColumn("rk", F.struct("size", (-F.col("id")).alias("i"))).checkpoint()
+    sets = materialize(sets.join(first.select("id"), "id", "left_semi").withColumn("rk", F.struct("size", (-F.col("id")).alias("i"))))
     # an overlap above share * size needs floor(share * size) + 1 common items; the later deck is the smaller one
-    entries = _entries(sets, F.floor(F.col("size") * share) + 1).checkpoint()
+    entries = materialize(_entries(sets, F.floor(F.col("size") * share) + 1))
     rare = entries.where("pre").select(F.col("id").alias("d"), "item")
     alive = entries.select("item", "id").join(sets.select("id", "rk"), "id")
     open_ = sets.select(F.col("id").alias("d"), F.col("rk").alias("drk"))
@@ -140,17 +141,17 @@ def deck_overlap(decks, share=0.5, window=8):
     status = sets.select("id", F.lit("open").alias("st"))
     while True:
         rn = F.row_number().over(W.partitionBy("item").orderBy(F.desc("rk")))
-        top = alive.withColumn("rn", rn).where(F.col("rn") <= window).checkpoint()
+        top = materialize(alive.withColumn("rn", rn).where(F.col("rn") <= window))
         cand = (rare.join(open_, "d").join(top, "item").where(F.col("rk") > F.col("drk")).select("d", F.col("id").alias("k")).distinct())
         hit = cand.join(side("d"), "d").join(side("k"), "k").where(
             F.size(F.array_intersect("d_items", "k_items")) > share * F.least("d_size", "k_size")).select("d", "k")
-        edges = (hit if edges is None else edges.unionByName(hit).distinct()).checkpoint()
+        edges = materialize(hit if edges is None else edges.unionByName(hit).distinct())
         waiting = cand.select("d").distinct().withColumn("wait", F.lit(1))
         hurt = edges.join(status.where("st = 'kept'").select(F.col("id").alias("k")), "k").select("d").distinct().withColumn("hurt", F.lit(1))
         held = edges.join(status.where("st = 'open'").select(F.col("id").alias("k")), "k").select("d").distinct().withColumn("held", F.lit(1))
-        new = open_.join(waiting, "d", "left").join(hurt, "d", "left").join(held, "d", "left").select(
-            "d", "drk", F.when(F.col("hurt").isNotNull(), "gone").when(F.col("wait").isNull() & F.col("held").isNull(), "kept").otherwise("open").alias("st")).checkpoint()
-        status = status.join(new.select(F.col("d").alias("id"), F.col("st").alias("n")), "id", "left").select("id", F.coalesce("n", "st").alias("st")).checkpoint()
+        new = materialize(open_.join(waiting, "d", "left").join(hurt, "d", "left").join(held, "d", "left").select(
+            "d", "drk", F.when(F.col("hurt").isNotNull(), "gone").when(F.col("wait").isNull() & F.col("held").isNull(), "kept").otherwise("open").alias("st")))
+        status = materialize(status.join(new.select(F.col("d").alias("id"), F.col("st").alias("n")), "id", "left").select("id", F.coalesce("n", "st").alias("st")))
         open_ = new.where("st = 'open'").select("d", "drk")
         if open_.isEmpty():
             return status.where("st = 'kept'").select("id")
@@ -158,5 +159,5 @@ def deck_overlap(decks, share=0.5, window=8):
         if kept is not None:
             # decks kept before this round have met their whole list where they were in the window
             alive = alive.join(top.join(kept, "id", "left_semi").select("item", "id"), ["item", "id"], "left_anti")
-        alive = alive.checkpoint()
+        alive = materialize(alive)
         kept = status.where("st = 'kept'").select("id")

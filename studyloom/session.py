@@ -1,6 +1,7 @@
 """Session defaults for local runs. On a cluster the caller's own session is used as it is."""
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import SparkSession
 
@@ -31,3 +32,13 @@ def checkpoint_dir(spark):
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(path)
     return path
+
+
+def materialize(df):
+    """Cut the lineage: write the rows once as a table in the shared checkpoint folder and go on from there.
+
+    Unlike an eager checkpoint this computes the rows once, and readers of the table read only the columns they need.
+    """
+    path = f"{checkpoint_dir(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
