@@ -115,7 +115,7 @@ def harmonize(rows, aliases=COLUMN_ALIASES, head_rows=10, least=4):
 
 def read_text_pages(spark, path, page_break="\f"):
     """Whole text files to one row per page."""
-    t = spark.read.option("wholetext", "true").text(path).select(F.col("_metadata.file_path").alias("file"), F.col("value").alias("text"))
+    t = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), F.col("value").alias("text"))
     return text_pages(t, "file", page_break)
 
 

@@ -1,7 +1,7 @@
 """Files, sinks and streams that need a folder."""
 import json
+import os
 
-import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
@@ -59,7 +59,9 @@ def _split_log(sf, out, parts):
     t = pq.read_table(f"{sf}/events.parquet").sort_by("event_id")
     n = -(-t.num_rows // parts)
     for i in range(parts):
-        pq.write_table(pa.table(t.slice(i * n, n)), f"{out}/events-{i}.parquet")
+        path = f"{out}/events-{i}.parquet"
+        pq.write_table(t.slice(i * n, n), path)
+        os.utime(path, (1700000000 + i, 1700000000 + i))  # the file source reads by time
 
 
 def test_streams_over_several_files_equal_batch(spark, sf, tmp_path):
