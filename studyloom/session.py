@@ -26,7 +26,7 @@ def local_session(cores="*", app="studyloom", shuffle_partitions=8, extra=None):
 def checkpoint_dir(spark):
     """Shared folder for checkpoints: the one the session names; a local one only where none is set (tests)."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
-    path = spark.sparkContext.getCheckpointDir() or named
+    path = named or spark.sparkContext.getCheckpointDir()
     if path is None:
         path = tempfile.mkdtemp(prefix="spark-ckpt-", dir="/tmp")
     if spark.sparkContext.getCheckpointDir() is None:
