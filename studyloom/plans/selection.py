@@ -321,24 +321,27 @@ def _cases(v):
                          words.alias("tags"), F.col("answer").isNotNull().alias("answered"))
 
 
-@query("tagged_set_year", """SELECT row_number() OVER (ORDER BY num, id)-1 AS pos, id FROM (SELECT id, num FROM v_bank WHERE src='real' AND year=2001 ORDER BY num, id LIMIT 5)""")
-def _(v):
-    return S.tagged_set(_cases(v), "red", ["ring", "bolt", "gear", "hot", "small"], 2001, "t")
-
-
 _TAGS = ["red", "ring", "bolt", "gear", "hot", "small"]
 
 
-def _tagged_sql():
-    ctes = ["c AS (SELECT id, unnest(string_split(stem,' ')) AS tag FROM v_bank WHERE answer IS NOT NULL)"]
+def _tagged_sql(year):
+    """The whole rule: the real cases of the year when there are five, else one case per tag, tag by tag."""
+    ctes = [f"real AS (SELECT id, num FROM v_bank WHERE src='real' AND year={year} ORDER BY num, id LIMIT 5)",
+            "c AS (SELECT id, unnest(string_split(stem,' ')) AS tag FROM v_bank WHERE answer IS NOT NULL)"]
     for i, t in enumerate(_TAGS):
         seen = " AND ".join([f"id NOT IN (SELECT id FROM p{j})" for j in range(i)]) or "true"
         ctes.append(f"p{i} AS (SELECT {i} AS t, id FROM c WHERE tag='{t}' AND {seen} ORDER BY md5(concat_ws('|','t',tag,id)) LIMIT 1)")
     u = " UNION ALL ".join(f"SELECT * FROM p{i}" for i in range(len(_TAGS)))
-    return "WITH " + ", ".join(ctes) + f" SELECT row_number() OVER (ORDER BY t)-1 AS pos, id FROM ({u}) ORDER BY pos LIMIT 5"
+    return ("WITH " + ", ".join(ctes) + f""" SELECT row_number() OVER (ORDER BY num, id)-1 AS pos, id FROM real WHERE (SELECT count(*) FROM real)=5
+        UNION ALL SELECT * FROM (SELECT row_number() OVER (ORDER BY t)-1 AS pos, id FROM ({u}) WHERE (SELECT count(*) FROM real)<5 ORDER BY pos LIMIT 5)""")
+
+
+@query("tagged_set_year", _tagged_sql(2001))
+def _(v):
+    return S.tagged_set(_cases(v), "red", _TAGS[1:], 2001, "t")
 
 
-@query("tagged_set", _tagged_sql())
+@query("tagged_set", _tagged_sql(1900))
 def _(v):
     return S.tagged_set(_cases(v), "red", _TAGS[1:], 1900, "t")
 
