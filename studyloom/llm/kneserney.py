@@ -9,6 +9,9 @@ Words are hashed to fixed numbers of buckets, so that a fitted model has a fixed
 features are length-normalised log-likelihood ratios (of the whole text, and of its most suspicious stretch of words); a
 logistic curve, fitted on labelled rows that the counts have not seen, turns them into a score.
 """
+import uuid
+import zlib
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
@@ -49,7 +52,7 @@ def _pair_slot(pair):
 def contexts_of(docs, text_col, parts):
     """(part, words, contexts): for ranges of word buckets, in how many contexts each occurs over all documents.
 
-    A context is the word before, hashed to 2**CONTEXT_BITS values; the count is corrected for the values that meet. A task
+    A context is the word before, hashed to 2**CONTEXT_BITS values (``assemble`` corrects for values that meet). A task
     sends the distinct (word, context) keys it has seen, at most 2**CONTEXT_BITS for a word, however common it is.
     """
     def seen(frames):
@@ -74,9 +77,7 @@ def contexts_of(docs, text_col, parts):
     def total(pdf):
         keys = np.unique(np.concatenate([np.unique(np.frombuffer(k, np.uint32)) for k in pdf["keys"]]))
         word, n = _counted(keys >> np.uint32(CONTEXT_BITS))
-        full = float(1 << CONTEXT_BITS)
-        n = -full * np.log1p(-np.minimum(n, full - 1) / full)
-        return pd.DataFrame([(word.astype(np.int32).tobytes(), n.astype(np.float32).tobytes())], columns=["words", "contexts"])
+        return pd.DataFrame([(word.astype(np.int32).tobytes(), n.astype(np.int32).tobytes())], columns=["words", "contexts"])
     return (docs.select(F.col(text_col).alias("text")).mapInPandas(seen, "part int, keys binary")
             .groupBy("part").applyInPandas(total, "words binary, contexts binary"))
 
@@ -123,36 +124,54 @@ def _pack(pdf):
 
 
 def fit_counts(rows, contexts):
-    """Arrays of counts by (kind, class) and of shared contexts. rows: (text, y) of a bounded sample; all sizes are fixed."""
+    """Counts by (kind, class) and shared contexts, packed. rows: (text, y) of a bounded sample; all sizes are fixed."""
     counts = [(r.kind, r.c, np.frombuffer(r.ks, np.int32), np.frombuffer(r.ns)) for r in _class_counts(rows).collect()]
-    seen = [(np.frombuffer(r.words, np.int32), np.frombuffer(r.contexts, np.float32)) for r in contexts.collect()]
-    return filled(counts, seen)
+    seen = [(np.frombuffer(r.words, np.int32), np.frombuffer(r.contexts, np.int32)) for r in contexts.collect()]
+    return pack(filled(counts, seen))
 
 
 def filled(counts, seen):
-    m = {(k, c): np.zeros(1 << (PAIR_BITS - SPARE_BITS if k == 1 else WORD_BITS), np.float32) for k in range(3 + len(DISCOUNTS)) for c in (0, 1)}
+    m = {(k, c): np.zeros(1 << (PAIR_BITS - SPARE_BITS if k == 1 else WORD_BITS), np.int32) for k in range(3 + len(DISCOUNTS)) for c in (0, 1)}
     m[1, 2] = np.full(1 << PAIR_BITS - SPARE_BITS, -1, np.int64)
     for kind, c, k, n in counts:
         m[kind, c][k] = n
-    m["shared"] = np.zeros(1 << WORD_BITS, np.float32)
+    m["shared"] = np.zeros(1 << WORD_BITS, np.int32)
     for k, n in seen:
         m["shared"][k] = n
     return m
 
 
+def pack(m):
+    """(token, compressed arrays): most counts are 0 or small, and every executor keeps a copy of what is broadcast."""
+    return uuid.uuid4().hex, {k: (str(v.dtype), zlib.compress(v.tobytes(), 1)) for k, v in m.items()}
+
+
+_LAST = {}
+
+
+def unpacked(packed, which):
+    """The model of packed counts and a discount; a worker keeps the last one it has made."""
+    token, arrays = packed
+    if (token, which) not in _LAST:
+        _LAST.clear()
+        _LAST[token, which] = assemble({k: np.frombuffer(zlib.decompress(z), t) for k, (t, z) in arrays.items()}, which)
+    return _LAST[token, which]
+
+
 def assemble(m, which):
     """The model that takes DISCOUNTS[which] off every count."""
     d = DISCOUNTS[which]
-    shared = m["shared"] + 0.5
-    shared /= shared.sum(dtype=np.float64)
+    full = 1 << CONTEXT_BITS
+    shared = -full * np.log1p(-np.minimum(m["shared"], full - 1) / full) + 0.5
+    shared /= shared.sum()
     model = {"held": m[1, 2]}
     for c in (0, 1):
         word, pair, before, off = m[0, c], m[1, c], m[2, c], m[3 + which, c]
         n = max(1.0, float(word.sum(dtype=np.float64)))
         spare = float(np.minimum(word, d).sum(dtype=np.float64)) / n if word.any() else 1.0
         model["uni", c] = (np.maximum(word - d, 0) / n + spare * shared).astype(np.float32)
-        model["pair", c] = np.maximum(pair - d, 0)
-        model["before", c] = np.maximum(before, 1)
+        model["pair", c] = np.maximum(pair - d, 0).astype(np.float32)
+        model["before", c] = np.maximum(before, 1).astype(np.float32)
         model["rest", c] = np.where(before > 0, np.minimum(1, off / np.maximum(before, 1)), 1).astype(np.float32)
     return model
 
@@ -236,7 +255,7 @@ def classify(spark, docs, labels, id_col, text_col, label_col, train, calibrate,
     def measure(frames):
         frames = list(frames)  # a share of the bounded sample
         for which in range(len(DISCOUNTS)):
-            model = assemble(counts.value, which)
+            model = unpacked(counts.value, which)
             for pdf in frames:
                 yield pd.DataFrame({"which": which, "y": pdf["y"], "f": list(features(model, pdf["text"]))})
     seen = picked.where("use = 1").mapInPandas(measure, "which int, y int, f array<double>").toPandas()  # at most 2 * most rows for a discount
@@ -247,12 +266,10 @@ def classify(spark, docs, labels, id_col, text_col, label_col, train, calibrate,
         # both classes are sampled apart: put their true shares back
         fits[-1][3][-1] += np.log(share / (1 - share)) - np.log(y.mean() / (1 - y.mean()))
     _, mean, dev, w, which = min(fits, key=lambda f: f[0])
-    model = spark.sparkContext.broadcast(assemble(counts.value, which))
-    counts.unpersist()
 
     def judge(frames):
         for pdf in frames:
-            z = (features(model.value, pdf["text"]) - mean) / dev
+            z = (features(unpacked(counts.value, which), pdf["text"]) - mean) / dev
             s = 1 / (1 + np.exp(-np.clip(z @ w[:-1] + w[-1], -50, 50)))
             yield pd.DataFrame({"doc_id": pdf["id"], "held_out": pdf["held_out"], "score": s, "predicted": (s >= 0.5).astype(np.int32)})
     return base.mapInPandas(judge, "doc_id bigint, held_out boolean, score double, predicted int")

@@ -1,7 +1,7 @@
 """Registered queries of this subpackage: name -> (function of a session and a table folder, DuckDB SQL or None)."""
 from pyspark.sql import functions as F
 
-from studyloom.llm import bitsliced, kneserney, quadratic
+from studyloom.llm import bitsliced, kneserney, orderminhash, quadratic
 
 
 def table(spark, sf_dir, name):
@@ -13,6 +13,10 @@ def bucket(column, n):
     return F.crc32(F.col(column).cast("string")) % n
 
 
+def op7_near_duplicates_order_minhash(spark, sf_dir):
+    return orderminhash.classes(spark, table(spark, sf_dir, "documents"))
+
+
 def toxicity(spark, docs, sf_dir):
     """Scores of whole texts; labels of four crc32 fifths are used, one of these fits the curve."""
     return kneserney.classify(spark, docs, table(spark, sf_dir, "labels"), "doc_id", "text", "toxic",
@@ -44,6 +48,7 @@ SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DE
 FROM s QUALIFY rank <= 5"""
 
 QUERIES = {
+    "op7_near_duplicates_order_minhash": (op7_near_duplicates_order_minhash, None),
     "op8_toxicity_kneser_ney": (op8_toxicity_kneser_ney, None),
     "op9_quality_quadratic": (op9_quality_quadratic, None),
     "op10_topk_bitsliced": (op10_topk_bitsliced, OP10_SQL),
