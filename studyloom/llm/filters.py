@@ -16,7 +16,8 @@ def bitmap(keys):
     def pack(frames):
         seen = np.zeros(1 << BITS, bool)
         for pdf in frames:
-            seen[pdf.iloc[:, 0].to_numpy(np.int64).view(np.uint64) >> np.uint64(64 - BITS)] = True
+            for at in _places(pdf.iloc[:, 0].to_numpy(np.int64).view(np.uint64)):
+                seen[at] = True
         blocks = seen.reshape(-1, 1 << _PART)
         rows = [(int(p), np.packbits(blocks[p]).tobytes()) for p in np.flatnonzero(blocks.any(axis=1))]
         yield pd.DataFrame(rows, columns=["part", "bits"])
@@ -32,10 +33,17 @@ def bitmap(keys):
     return spark.sparkContext.broadcast(full.ravel())
 
 
+def _places(h):
+    """The two bits of each hash."""
+    return [(h >> np.uint64(64 - BITS)).astype(np.int64), (h >> np.uint64(64 - 2 * BITS) & np.uint64((1 << BITS) - 1)).astype(np.int64)]
+
+
 def hits(bits, h):
     """Which 64-bit hashes (numpy, unsigned) may be members."""
-    at = h >> np.uint64(64 - BITS)
-    return (bits[(at >> np.uint64(3)).astype(np.int64)] >> (np.uint8(7) - (at & np.uint64(7)).astype(np.uint8)) & 1).astype(bool)
+    out = np.ones(len(h), bool)
+    for at in _places(h):
+        out &= (bits[at >> 3] >> (7 - (at & 7)).astype(np.uint8) & 1).astype(bool)
+    return out
 
 
 def maybe(shared, column):

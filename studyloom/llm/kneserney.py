@@ -246,9 +246,9 @@ def classify(spark, docs, labels, id_col, text_col, label_col, train, calibrate,
     share = truth.where(tuned).agg(F.avg("y")).first()[0]
     have = {(r.y, r.use) for r in picked.select("y", "use").distinct().collect()}
     fold = F.coalesce(train(key), F.lit(False))
-    base = docs.select(key.alias("id"), (~fold).alias("held_out"), F.col(text_col).alias("text"))
+    base = docs.select(key.cast("string").alias("id"), (~fold).alias("held_out"), F.col(text_col).alias("text"))
     if len(have) < 4:
-        return base.select(F.col("id").alias("doc_id"), "held_out", F.lit(0.49).alias("score"), F.lit(0).alias("predicted"))
+        return base.select(F.col("id").cast("bigint").alias("doc_id"), "held_out", F.lit(0.49).alias("score"), F.lit(0).alias("predicted"))
     parts = max(8, -(-docs.count() // rows_per_part))
     counts = spark.sparkContext.broadcast(fit_counts(picked.where("use = 0").repartition(max(8, most // 500)), contexts_of(docs, text_col, parts)))
 
@@ -272,4 +272,5 @@ def classify(spark, docs, labels, id_col, text_col, label_col, train, calibrate,
             z = (features(unpacked(counts.value, which), pdf["text"]) - mean) / dev
             s = 1 / (1 + np.exp(-np.clip(z @ w[:-1] + w[-1], -50, 50)))
             yield pd.DataFrame({"doc_id": pdf["id"], "held_out": pdf["held_out"], "score": s, "predicted": (s >= 0.5).astype(np.int32)})
-    return base.mapInPandas(judge, "doc_id bigint, held_out boolean, score double, predicted int")
+    return (base.mapInPandas(judge, "doc_id string, held_out boolean, score double, predicted int")
+            .withColumn("doc_id", F.col("doc_id").cast("bigint")))

@@ -109,8 +109,8 @@ def classify(spark, docs, labels, id_col, text_col, label_col, train, to_pool=0.
         for pdf in frames:
             yield pd.DataFrame({"id": pdf["id"], "train": pdf["train"], "f": list(statistics(pdf["text"]))})
     tables = Scratch(spark)
-    feats = tables.keep(docs.select(F.col(id_col).cast("bigint").alias("id"), F.coalesce(train, F.lit(False)).alias("train"), F.col(text_col).alias("text"))
-                        .mapInPandas(measure, "id bigint, train boolean, f array<double>"))
+    feats = tables.keep(docs.select(F.col(id_col).cast("string").alias("id"), F.coalesce(train, F.lit(False)).alias("train"), F.col(text_col).alias("text"))
+                        .mapInPandas(measure, "id string, train boolean, f array<double>").withColumn("id", F.col("id").cast("bigint")))
     truth = (labels.where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull()).groupBy(F.col(id_col).cast("bigint").alias("id"))
              .agg((F.avg(F.col(label_col)) >= 0.5).cast("int").alias("y")))
     n, total, square = _class_sums(feats.where("train").join(truth, "id").select("y", "f"), len(NAMES))
@@ -120,4 +120,5 @@ def classify(spark, docs, labels, id_col, text_col, label_col, train, to_pool=0.
         for pdf in frames:
             s = score(model, np.array(list(pdf["f"]), float).reshape(-1, len(NAMES)))
             yield pd.DataFrame({"doc_id": pdf["id"], "held_out": ~pdf["train"].astype(bool), "score": s, "predicted": (s >= 0.5).astype(np.int32)})
-    return feats.mapInPandas(judge, "doc_id bigint, held_out boolean, score double, predicted int")
+    return (feats.withColumn("id", F.col("id").cast("string")).mapInPandas(judge, "doc_id string, held_out boolean, score double, predicted int")
+            .withColumn("doc_id", F.col("doc_id").cast("bigint")))

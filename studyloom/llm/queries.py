@@ -1,7 +1,8 @@
 """Registered queries of this subpackage: name -> (function of a session and a table folder, DuckDB SQL or None)."""
 from pyspark.sql import functions as F
 
-from studyloom.llm import bitsliced, kneserney, orderminhash, quadratic
+from studyloom.llm import bitsliced, kneserney, orderminhash, quadratic, rans, tiling
+from studyloom.llm.tables import Scratch
 
 
 def table(spark, sf_dir, name):
@@ -13,6 +14,23 @@ def bucket(column, n):
     return F.crc32(F.col(column).cast("string")) % n
 
 
+def encoded(spark, docs):
+    """Files of token ids with the end id 2, and what is read back from them."""
+    import public_tokenizers
+
+    path = f"{Scratch(spark).base}/blocks"
+    freq, bits = rans.write(spark, docs, path, public_tokenizers.path("word_bpe_49k.json"), end=2)
+    return rans.read(spark, path, freq, bits)
+
+
+def op2_token_ids_rans(spark, sf_dir):
+    return encoded(spark, table(spark, sf_dir, "documents"))
+
+
+def op6_decontamination_tiling(spark, sf_dir):
+    return tiling.find(spark, table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op7_near_duplicates_order_minhash(spark, sf_dir):
     return orderminhash.classes(spark, table(spark, sf_dir, "documents"))
 
@@ -48,6 +66,8 @@ SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DE
 FROM s QUALIFY rank <= 5"""
 
 QUERIES = {
+    "op2_token_ids_rans": (op2_token_ids_rans, None),
+    "op6_decontamination_tiling": (op6_decontamination_tiling, None),
     "op7_near_duplicates_order_minhash": (op7_near_duplicates_order_minhash, None),
     "op8_toxicity_kneser_ney": (op8_toxicity_kneser_ney, None),
     "op9_quality_quadratic": (op9_quality_quadratic, None),
