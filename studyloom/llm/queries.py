@@ -1,7 +1,7 @@
 """Registered queries of this subpackage: name -> (function of a session and a table folder, DuckDB SQL or None)."""
 from pyspark.sql import functions as F
 
-from studyloom.llm import bitsliced, kneserney, orderminhash, quadratic, rans, tiling
+from studyloom.llm import bitsliced, kneserney, licences, mixing, orderminhash, quadratic, rans, redirects, tiling
 from studyloom.llm.tables import Scratch
 
 
@@ -27,6 +27,21 @@ def op2_token_ids_rans(spark, sf_dir):
     return encoded(spark, table(spark, sf_dir, "documents"))
 
 
+def op3_mixing_temperature(spark, sf_dir):
+    """At most four passes through a source for one through the source repeated least."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
+    got = mixing.copied(spark, docs, repeats=4.0)
+    return got.select("doc_id", "source", F.col("__epoch").alias("epoch"), F.col("__place").alias("place"))
+
+
+def op4_licence_sentence_rules(spark, sf_dir):
+    return licences.scan(table(spark, sf_dir, "documents"))
+
+
+def op5_url_redirect_classes(spark, sf_dir):
+    return redirects.judge(spark, table(spark, sf_dir, "pages"))
+
+
 def op6_decontamination_tiling(spark, sf_dir):
     return tiling.find(spark, table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -65,7 +80,52 @@ s AS (SELECT a.vec_id AS query_id, b.vec_id, CAST(sum(a.x * b.x) AS BIGINT) AS s
 SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score
 FROM s QUALIFY rank <= 5"""
 
+def _op4_sql():
+    known = ", ".join(f"('{s}', '{n}')" for n, many in licences.SENTENCES.items() for s in many)
+    steps, before = [], "s0"
+    for i, (name, need) in enumerate(licences.RULES, 1):
+        pattern = "(.*?)".join(f"<{n}>" for n in need)
+        kept = "".join(f"\\{j}" for j in range(1, len(need)))
+        steps.append(f"s{i} AS (SELECT * REPLACE (CASE WHEN regexp_matches(left_, '{pattern}', 's') AND NOT list_contains(found, '{name}') "
+                     f"THEN list_append(found, '{name}') ELSE found END AS found, regexp_replace(left_, '{pattern}', '{kept}', 's') AS left_) FROM {before})")
+        before = f"s{i}"
+    return rf"""
+WITH known(sentence, name) AS (VALUES {known}), m AS (SELECT map(list(sentence), list(name)) AS m FROM known),
+i AS (SELECT doc_id, list_transform(list_filter(list_transform(string_split_regex(coalesce(text, ''), '\n|[.!?;]+(\s|$)'),
+  lambda s: trim(regexp_replace(lower(s), '[^a-z0-9]+', ' ', 'g'))), lambda s: map_contains(m, s)), lambda s: m[s]) AS ids FROM documents, m),
+s0 AS (SELECT doc_id, ids, array_to_string(list_transform(ids, lambda x: '<' || x || '>'), '') AS left_, CAST([] AS VARCHAR[]) AS found FROM i),
+{', '.join(steps)}
+SELECT doc_id, array_to_string(found, ',') AS licences, array_to_string(ids, ',') AS sentences,
+  array_to_string(regexp_extract_all(left_, '<([a-z0-9]+)>', 1), ',') AS unknown,
+  CASE WHEN len(found) > 1 THEN 'several' WHEN len(found) = 1 THEN 'one' WHEN left_ <> '' THEN 'unknown' ELSE 'none' END AS verdict
+FROM {before}"""
+
+
+OP5_SQL = r"""
+WITH RECURSIVE rules(h, p, v) AS (VALUES ('com', '/', 'allow'), ('example.com', '/en/', 'block'), ('www.example.com', '/en/', 'allow'),
+  ('net', '/es/', 'block'), ('net', '/fr/', 'block')),
+found AS (SELECT row_number() OVER () AS rid, page_id, url, html FROM pages),
+tags AS (SELECT rid, unnest(regexp_extract_all(html, '(<(?:link|meta)[^>]*>)', 1, 'is')) AS t FROM found),
+named AS (SELECT rid, CASE WHEN regexp_matches(t, '^<link', 'is') AND lower(regexp_extract(t, 'rel\s*=\s*["'']?\s*([^"''\s>]+)', 1, 'is')) = 'canonical'
+    THEN regexp_extract(t, 'href\s*=\s*["'']?\s*([^"''\s>]+)', 1, 'is')
+  WHEN regexp_matches(t, '^<meta', 'is') AND lower(regexp_extract(t, 'http-equiv\s*=\s*["'']?\s*([^"''\s>]+)', 1, 'is')) = 'refresh'
+    THEN regexp_extract(t, 'url\s*=\s*["'']?\s*([^"''\s>]+)', 1, 'is') END AS url FROM tags),
+u AS (SELECT rid, page_id, url, true AS page FROM found UNION ALL SELECT rid, NULL, url, false FROM named WHERE contains(url, '://')),
+parts AS (SELECT *, coalesce(translate(regexp_extract(url, '^.*?://([^/?#]*)', 1, 's'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '') AS host,
+  coalesce(regexp_extract(url, '^.*?://[^/?#]*([^?#]*)', 1, 's'), '') AS path FROM u),
+n AS (SELECT *, CASE WHEN host <> '' THEN host || regexp_extract(url, '^.*?://[^/?#]*([^#]*)', 1, 's') WHEN page THEN '#' || page_id END AS place,
+  (SELECT max_by(struct_pack(rule := h || p, v := v), length(h || p)) FROM rules WHERE (host = h OR ends_with(host, '.' || h)) AND starts_with(path, p)) AS r FROM parts),
+link AS (SELECT DISTINCT a.place AS x, b.place AS y FROM n a JOIN n b USING (rid) WHERE a.page AND NOT b.page),
+edge AS (SELECT x, y FROM link UNION SELECT y, x FROM link),
+near(x, y) AS (SELECT x, y FROM edge UNION SELECT near.x, edge.y FROM near JOIN edge ON near.y = edge.x),
+said AS (SELECT near.x, bool_or(r.v = 'allow') AS ok, bool_or(r.v = 'block') AS bad FROM near JOIN n ON n.place = near.y WHERE r IS NOT NULL GROUP BY 1)
+SELECT page_id, host, path, r.rule AS rule, coalesce(r.v, CASE WHEN ok THEN 'allow' WHEN bad THEN 'block' END, 'allow') AS verdict
+FROM n LEFT JOIN said ON said.x = n.place WHERE page"""
+
 QUERIES = {
+    "op3_mixing_temperature": (op3_mixing_temperature, None),
+    "op4_licence_sentence_rules": (op4_licence_sentence_rules, _op4_sql()),
+    "op5_url_redirect_classes": (op5_url_redirect_classes, OP5_SQL),
     "op2_token_ids_rans": (op2_token_ids_rans, None),
     "op6_decontamination_tiling": (op6_decontamination_tiling, None),
     "op7_near_duplicates_order_minhash": (op7_near_duplicates_order_minhash, None),
