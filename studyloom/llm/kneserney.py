@@ -226,8 +226,8 @@ def _sample(labels, fold, most):
     return picks[0].unionByName(picks[1])
 
 
-def classify(spark, docs, labels, id_col, text_col, label_col, train, calibrate, most=6000, rows_per_part=4000):
-    """(id, held_out, score, predicted) of every document.
+def scorer(spark, docs, labels, id_col, text_col, label_col, train, calibrate, most=6000, rows_per_part=4000):
+    """A function from a text column to a column of scores (0 to 1, at least 0.5: toxic), fitted on ``docs`` and ``labels``.
 
     ``train`` and ``calibrate`` take the id column and give a boolean: rows whose labels may be used, and among them those
     that fit the curve rather than the counts. ``most`` bounds the labelled rows per class and use. Labels: 1 or 0 per id
@@ -245,10 +245,8 @@ def classify(spark, docs, labels, id_col, text_col, label_col, train, calibrate,
                          .groupBy("id", "y", "use").agg(F.min("text").alias("text")).select("text", "y", "use"))
     share = truth.where(tuned).agg(F.avg("y")).first()[0]
     have = {(r.y, r.use) for r in picked.select("y", "use").distinct().collect()}
-    fold = F.coalesce(train(key), F.lit(False))
-    base = docs.select(key.cast("string").alias("id"), (~fold).alias("held_out"), F.col(text_col).alias("text"))
     if len(have) < 4:
-        return base.select(F.col("id").cast("bigint").alias("doc_id"), "held_out", F.lit(0.49).alias("score"), F.lit(0).alias("predicted"))
+        return lambda column: F.lit(0.49)
     parts = max(8, -(-docs.count() // rows_per_part))
     counts = spark.sparkContext.broadcast(fit_counts(picked.where("use = 0").repartition(max(8, most // 500)), contexts_of(docs, text_col, parts)))
 
@@ -267,10 +265,16 @@ def classify(spark, docs, labels, id_col, text_col, label_col, train, calibrate,
         fits[-1][3][-1] += np.log(share / (1 - share)) - np.log(y.mean() / (1 - y.mean()))
     _, mean, dev, w, which = min(fits, key=lambda f: f[0])
 
-    def judge(frames):
-        for pdf in frames:
-            z = (features(unpacked(counts.value, which), pdf["text"]) - mean) / dev
-            s = 1 / (1 + np.exp(-np.clip(z @ w[:-1] + w[-1], -50, 50)))
-            yield pd.DataFrame({"doc_id": pdf["id"], "held_out": pdf["held_out"], "score": s, "predicted": (s >= 0.5).astype(np.int32)})
-    return (base.mapInPandas(judge, "doc_id string, held_out boolean, score double, predicted int")
-            .withColumn("doc_id", F.col("doc_id").cast("bigint")))
+    @F.pandas_udf("double")
+    def judge(text: pd.Series) -> pd.Series:
+        z = (features(unpacked(counts.value, which), text) - mean) / dev
+        return pd.Series(1 / (1 + np.exp(-np.clip(z @ w[:-1] + w[-1], -50, 50))))
+    return judge
+
+
+def classify(spark, docs, labels, id_col, text_col, label_col, train, calibrate, **bounds):
+    """(doc_id, held_out, score, predicted) of every row of ``docs``, as ``scorer`` has it; held_out: no row that ``train`` takes."""
+    score = scorer(spark, docs, labels, id_col, text_col, label_col, train, calibrate, **bounds)
+    key = F.col(id_col).cast("bigint")
+    scored = docs.select(key.alias("doc_id"), (~F.coalesce(train(key), F.lit(False))).alias("held_out"), score(F.col(text_col)).alias("score"))
+    return scored.select("*", (F.col("score") >= 0.5).cast("int").alias("predicted"))

@@ -1,7 +1,7 @@
 """Registered queries of this subpackage: name -> (function of a session and a table folder, DuckDB SQL or None)."""
 from pyspark.sql import functions as F
 
-from studyloom.llm import bitsliced, kneserney, licences, mixing, orderminhash, quadratic, rans, redirects, tiling
+from studyloom.llm import bitsliced, kneserney, licences, mixing, orderminhash, quadratic, rans, redirects, tiling, toolcalls
 from studyloom.llm.tables import Scratch
 
 
@@ -14,6 +14,35 @@ def bucket(column, n):
     return F.crc32(F.col(column).cast("string")) % n
 
 
+#: Tools that the turns of a conversation call: a user's turn asks for an answer, a system's turn sets up.
+TOOLS = {
+    "answer": {"type": "object", "required": ["text", "words", "after"], "additionalProperties": False,
+               "properties": {"text": {"type": "string", "minLength": 1}, "words": {"type": "integer", "minimum": 1, "maximum": 60},
+                              "after": {"type": "array", "items": {"type": "string"}}}},
+    "configure": {"type": "object", "required": ["text"], "properties": {"text": {"type": "string", "maxLength": 400}, "words": {"type": "number"}}},
+}
+
+
+def turns_as_calls(conversations):
+    """(calls, results) out of plain turns. A user's or system's turn is a call, the assistant's turn after it its result.
+
+    A call uses the result of the call four turns before it; about one in sixteen (by its text) also that of two turns later.
+    """
+    t = conversations.select(F.col("conv_id").cast("string").alias("conv_id"), F.col("turn").cast("bigint").alias("pos"), "role", "text")
+    name = lambda turn: F.concat(F.lit("c"), "conv_id", F.lit("-"), turn.cast("string"))
+    ref = lambda turn: F.struct(name(turn).alias("$ref"))
+    pos = F.col("pos")
+    after = F.array_compact(F.array(F.when(pos >= 4, ref(pos - 4)), F.when(F.crc32("text") % 16 == 0, ref(pos + 2))))
+    arguments = F.to_json(F.struct("text", F.size(F.split("text", r"\s+")).alias("words"), after.alias("after")))
+    calls = t.where("role in ('user', 'system')").select("conv_id", name(pos).alias("call_id"), "pos", F.when(F.col("role") == "user", "answer").otherwise("configure").alias("name"), arguments.alias("arguments"))
+    results = t.where("role = 'assistant'").select("conv_id", name(pos - 1).alias("call_id"), "pos", F.col("text").alias("content"))
+    return calls, results
+
+
+def op1_tool_call_linking(spark, sf_dir):
+    return toolcalls.link(spark, *turns_as_calls(table(spark, sf_dir, "conversations")), TOOLS)
+
+
 def encoded(spark, docs):
     """Files of token ids with the end id 2, and what is read back from them."""
     import public_tokenizers
@@ -47,17 +76,16 @@ def op6_decontamination_tiling(spark, sf_dir):
 
 
 def op7_near_duplicates_order_minhash(spark, sf_dir):
-    return orderminhash.classes(spark, table(spark, sf_dir, "documents"))
+    return orderminhash.classes(spark, table(spark, sf_dir, "documents")).drop("node")
 
 
-def toxicity(spark, docs, sf_dir):
-    """Scores of whole texts; labels of four crc32 fifths are used, one of these fits the curve."""
-    return kneserney.classify(spark, docs, table(spark, sf_dir, "labels"), "doc_id", "text", "toxic",
-                              lambda key: F.crc32(key.cast("string")) % 5 != 0, lambda key: F.crc32(key.cast("string")) % 5 == 4)
+#: Labels of four crc32 fifths are used; one of these fits the curve.
+TOXICITY = dict(id_col="doc_id", text_col="text", label_col="toxic", train=lambda key: F.crc32(key.cast("string")) % 5 != 0,
+                calibrate=lambda key: F.crc32(key.cast("string")) % 5 == 4)
 
 
 def op8_toxicity_kneser_ney(spark, sf_dir):
-    return toxicity(spark, table(spark, sf_dir, "documents"), sf_dir)
+    return kneserney.classify(spark, table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), **TOXICITY)
 
 
 def op9_quality_quadratic(spark, sf_dir):
@@ -123,6 +151,7 @@ SELECT page_id, host, path, r.rule AS rule, coalesce(r.v, CASE WHEN ok THEN 'all
 FROM n LEFT JOIN said ON said.x = n.place WHERE page"""
 
 QUERIES = {
+    "op1_tool_call_linking": (op1_tool_call_linking, None),
     "op3_mixing_temperature": (op3_mixing_temperature, None),
     "op4_licence_sentence_rules": (op4_licence_sentence_rules, _op4_sql()),
     "op5_url_redirect_classes": (op5_url_redirect_classes, OP5_SQL),
