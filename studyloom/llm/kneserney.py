@@ -207,7 +207,7 @@ def features(model, texts):
 
 def logistic(x, y, ridge=1e-2, rounds=50):
     """(log loss, mean, deviation, weights) of a ridge logistic regression on standardised columns; the intercept comes last."""
-    mean, dev = x.mean(axis=0), x.std(axis=0) + 1e-9
+    mean, dev = x.mean(axis=0), np.maximum(x.std(axis=0), (1e-3, 1e-3, 0.5))  # lengths alike in the sample must not decide
     z = np.column_stack([(x - mean) / dev, np.ones(len(x))])
     w = np.zeros(z.shape[1])
     for _ in range(rounds):
@@ -260,7 +260,10 @@ def scorer(spark, docs, labels, id_col, text_col, label_col, train, calibrate, m
     fits = []
     for which, part in seen.groupby("which"):
         x, y = np.array(list(part["f"])), part["y"].to_numpy(float)
-        fits.append((*logistic(x, y), which))
+        # a text without any evidence is ordinary, whatever its length: rows that say so, a twentieth of the sample
+        size = max(8, len(x) // 20)
+        blank = np.column_stack([np.zeros((size, 2)), np.linspace(0, 12, size)])
+        fits.append((*logistic(np.vstack([x, blank]), np.concatenate([y, np.zeros(len(blank))])), which))
         # both classes are sampled apart: put their true shares back
         fits[-1][3][-1] += np.log(share / (1 - share)) - np.log(y.mean() / (1 - y.mean()))
     _, mean, dev, w, which = min(fits, key=lambda f: f[0])

@@ -2,7 +2,7 @@
 
 A text is cut into sentences; each is normalised and looked up among known licence sentences, which gives the text a sequence of
 sentence identifiers. Licence rules are ordered: each names identifiers that must follow each other in that order (others may
-stand between), and a rule takes the identifiers it matches, so that a later, more general rule cannot use them again.
+stand between), and a rule takes all identifiers it matches, so that a later, more general rule cannot use them again.
 Known sentences that no rule takes make the text an unknown licence.
 
 All steps are column expressions inside one row: no shuffle, and only as much memory as the row itself.

@@ -115,7 +115,7 @@ def _op4_sql():
         pattern = "(.*?)".join(f"<{n}>" for n in need)
         kept = "".join(f"\\{j}" for j in range(1, len(need)))
         steps.append(f"s{i} AS (SELECT * REPLACE (CASE WHEN regexp_matches(left_, '{pattern}', 's') AND NOT list_contains(found, '{name}') "
-                     f"THEN list_append(found, '{name}') ELSE found END AS found, regexp_replace(left_, '{pattern}', '{kept}', 's') AS left_) FROM {before})")
+                     f"THEN list_append(found, '{name}') ELSE found END AS found, regexp_replace(left_, '{pattern}', '{kept}', 'gs') AS left_) FROM {before})")
         before = f"s{i}"
     return rf"""
 WITH known(sentence, name) AS (VALUES {known}), m AS (SELECT map(list(sentence), list(name)) AS m FROM known),

@@ -3,8 +3,9 @@
 Calls and results meet in a join on (conversation, identifier). A call may use another call's result by an object
 ``{"$ref": "<identifier>"}`` anywhere in its arguments; it must then come after that call. The order follows the positions of
 the calls; a call that refers to a later one is moved behind it, and calls that wait for a moved one behind that, round by
-round until nothing moves. Rounds follow the longest chain of moved calls, not the length of a conversation, and no
-conversation is gathered in one place. Calls that wait for each other in a circle keep their positions and are marked.
+round until nothing moves (wave by wave, as in Kahn's algorithm). Rounds follow the longest chain of moved calls, and no
+conversation is gathered in one place. Where calls wait for each other in a circle, the references of one or more of them are
+set aside and those calls are marked; the others come after what they use.
 """
 import json
 from decimal import Decimal
@@ -165,42 +166,38 @@ def link(spark, calls, results, schemas):
 
 
 def _order(tables, nodes, edges):
-    """((conv_id, call_id, pos, p, wave), cyclic calls): a call comes at (p, wave); p > pos or wave > 0 only for moved ones.
+    """((conv_id, call_id, pos, p, wave), calls whose references were set aside): a call comes at (p, wave).
 
-    Each round moves calls behind the calls they wait for. Within a position p the waves of moved calls number at most the
-    moved calls there, unless they wait in a circle: the references of calls beyond that are set aside.
+    First p: the latest position among a call's own and those of the calls it waits for, directly or not. Calls that are moved
+    to one position then get waves from 1 on: a call's wave comes after those of the calls it waits for there.
     """
-    ends = nodes.select("conv_id", "call_id", F.struct(F.col("pos").alias("p"), F.lit(0).alias("wave")).alias("k"), "pos")
-    cyclic = tables.keep(nodes.limit(0).select("conv_id", "call_id"))
-    # only references to calls at the same or a later position can start a move
+    key = ["conv_id", "call_id"]
     at = nodes.select("conv_id", F.col("call_id").alias("ref"), F.col("pos").alias("ref_pos"))
-    e = tables.keep(edges.join(nodes, ["conv_id", "call_id"]).join(at, ["conv_id", "ref"]))
-    moved = tables.keep(_behind(e.select("conv_id", "call_id", "pos", F.struct(F.col("ref_pos").alias("p"), F.lit(0).alias("wave")).alias("k"))))
+    e = tables.keep(edges.join(nodes, key).join(at, ["conv_id", "ref"]))
+    moved = tables.keep(e.where("ref_pos >= pos").groupBy(*key, "pos").agg(F.max("ref_pos").alias("p")))
     dirty = moved
     while not dirty.isEmpty():
-        flat = moved.select("conv_id", "call_id", "k.p", "k.wave")
-        size = flat.groupBy("conv_id", "p").agg(F.count("*").alias("size"))
-        circle = flat.join(size, ["conv_id", "p"]).where("wave > size").select("conv_id", "call_id")
-        circle = tables.keep(circle)
-        if not circle.isEmpty():
-            cyclic = tables.keep(cyclic.unionByName(circle).distinct())
-            e = tables.keep(e.join(circle, ["conv_id", "call_id"], "left_anti"))
-            moved = tables.keep(_behind(e.select("conv_id", "call_id", "pos", F.struct(F.col("ref_pos").alias("p"), F.lit(0).alias("wave")).alias("k"))))
-            dirty = moved
+        pull = (e.join(dirty.select("conv_id", F.col("call_id").alias("ref"), "p"), ["conv_id", "ref"]).where("p >= pos").groupBy(*key, "pos").agg(F.max("p").alias("p")))
+        dirty = tables.keep(pull.join(moved.select(*key, F.col("p").alias("was")), key, "left").where("was is null or p > was").drop("was"))
+        moved = tables.keep(moved.join(dirty.select(*key), key, "left_anti").unionByName(dirty))
+    cyclic = moved.limit(0).select(*key)
+    there = moved.select("conv_id", F.col("call_id").alias("ref"), F.col("p").alias("q"))
+    waits = tables.keep(e.select(*key, "ref").join(moved.select(*key, "pos", "p"), key).join(there, ["conv_id", "ref"]).where("p = q").drop("q"))
+    waves, open_, wave = nodes.limit(0).select(*key, F.lit(0).alias("wave")), moved.select(*key), 1
+    while not open_.isEmpty():
+        ready = tables.keep(open_.join(waits.select(*key), key, "left_anti").withColumn("wave", F.lit(wave)))
+        if ready.isEmpty():  # each place that is stuck lets go of one call
+            both = waits.join(waits.select("conv_id", F.col("ref").alias("call_id")).distinct(), key, "left_semi")
+            loose = tables.keep(both.groupBy("conv_id", "p").agg(F.min(F.struct("pos", "call_id")).alias("m")).select("conv_id", "m.call_id"))
+            cyclic = cyclic.unionByName(loose)
+            waits = tables.keep(waits.join(loose, key, "left_anti"))
             continue
-        pull = _behind(e.join(dirty.select("conv_id", F.col("call_id").alias("ref"), "k"), ["conv_id", "ref"]).select("conv_id", "call_id", "pos", "k"))
-        old = moved.select("conv_id", "call_id", F.col("k").alias("was"))
-        dirty = tables.keep(pull.join(old, ["conv_id", "call_id"], "left").where("was is null or k > was").drop("was"))
-        moved = tables.keep(moved.join(dirty.select("conv_id", "call_id"), ["conv_id", "call_id"], "left_anti").unionByName(dirty))
-    now = moved.select("conv_id", "call_id", F.col("k").alias("m"))
-    return (ends.join(now, ["conv_id", "call_id"], "left").select("conv_id", "call_id", "pos", F.coalesce("m", "k").alias("k"))
-            .select("conv_id", "call_id", "pos", "k.p", "k.wave")), cyclic
-
-
-def _behind(waits):
-    """Calls that must move: the latest (p, wave) just behind what they wait for, where that is not before their own position."""
-    after = F.struct(F.col("k.p").alias("p"), (F.col("k.wave") + 1).alias("wave"))
-    return waits.where(F.col("k.p") >= F.col("pos")).groupBy("conv_id", "call_id", "pos").agg(F.max(after).alias("k"))
+        waves, wave = waves.unionByName(ready), wave + 1
+        open_ = tables.keep(open_.join(ready, key, "left_anti"))
+        waits = tables.keep(waits.join(ready.select("conv_id", F.col("call_id").alias("ref")), ["conv_id", "ref"], "left_anti"))
+    now = moved.join(waves, key).select(*key, "p", "wave")
+    order = nodes.join(now, key, "left").select(*key, "pos", F.coalesce("p", "pos").alias("p"), F.coalesce("wave", F.lit(0)).alias("wave"))
+    return order, cyclic
 
 
 def _places(order, reach=4096):
