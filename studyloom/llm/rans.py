@@ -37,7 +37,7 @@ class Tokens:
     The file's splitting never joins text across white space, so a text is coded chunk by chunk, and the ids of chunks met
     before are kept (at most ``most`` of them). Texts with separators on which the two notions of white space differ go whole.
     """
-    def __init__(self, path, most=400_000):
+    def __init__(self, path, most=150_000):
         from tokenizers import Tokenizer
         self.coder, self.most, self.known = Tokenizer.from_file(path), most, {}
         self.coder.no_padding()
@@ -45,9 +45,19 @@ class Tokens:
     def _code(self, chunks):
         return [np.array(e.ids, "<u4").tobytes() for e in self.coder.encode_batch_fast(chunks, add_special_tokens=False)]
 
-    def batch(self, texts):
-        """Little-endian 32-bit ids of each text."""
-        split = [None if t and _SPACE_LIKE.search(t) else (t or "").split() for t in texts]
+    def batch(self, texts, size=1 << 18):
+        """Little-endian 32-bit ids of each text; about ``size`` characters are split at a time."""
+        group, got = [], 0
+        for t in texts:
+            group.append(t or "")
+            got += len(group[-1])
+            if got >= size:
+                yield from self._group(group)
+                group, got = [], 0
+        yield from self._group(group)
+
+    def _group(self, texts):
+        split = [None if _SPACE_LIKE.search(t) else t.split() for t in texts]
         if len(self.known) > self.most:
             self.known.clear()
         known = self.known
@@ -186,7 +196,7 @@ def write(spark, docs, path, vocabulary, end, id_col="doc_id", text_col="text",
     def code(frames):
         coder = _coder(vocabulary)
         for pdf in frames:
-            got = [_packed(np.append(np.frombuffer(b, "<u4"), np.uint32(end))) for b in coder.batch(pdf["text"].tolist())]
+            got = [_packed(np.append(np.frombuffer(b, "<u4"), np.uint32(end))) for b in coder.batch(pdf["text"])]
             yield pd.DataFrame({"doc_id": pdf["doc_id"], "ids": [g[0] for g in got], "wide": [g[1] for g in got]})
     source = docs.select(F.coalesce(F.col(id_col).cast("bigint"), F.lit(MISSING)).alias("doc_id"), F.col(text_col).alias("text"))
     coded = tables.keep(source.mapInPandas(code, "doc_id bigint, ids binary, wide boolean"))
