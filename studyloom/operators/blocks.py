@@ -46,13 +46,17 @@ def repeat_heading_drop(blocks):
             .where(~((F.col("kind") == "h") & (F.coalesce(F.col("_p.kind"), F.lit("")) == "h") & (F.col("_p.text") == F.col("text")))).drop("_p"))
 
 
+#: Depths of headings that documents can have (word processors have nine).
+LEVELS = tuple(range(1, 10))
+
+
 def _open_headings(levels, frame):
     """Per level the last heading in the frame, and whether a shallower one came after it (then it is closed)."""
     last = {k: F.last(F.when((F.col("kind") == "h") & (F.col("level") == k), F.struct("seq", "text")), ignorenulls=True).over(frame) for k in levels}
     return last
 
 
-def heading_path(blocks, levels=(1, 2, 3, 4), sep=" > "):
+def heading_path(blocks, levels=LEVELS, sep=" > "):
     """The stack of open headings of every block, itself included when it is one: a heading closes equal and deeper ones."""
     d = blocks
     for k, c in _open_headings(levels, so_far()).items():
@@ -67,7 +71,7 @@ def heading_path(blocks, levels=(1, 2, 3, 4), sep=" > "):
     return d.withColumn("path", F.concat_ws(sep, *parts)).drop(*[f"_h{k}" for k in levels])
 
 
-def level_renest(blocks, levels=(1, 2, 3, 4)):
+def level_renest(blocks, levels=LEVELS):
     """Heading levels rewritten so that none is more than one deeper than its parent: open ancestors + 1."""
     d = blocks
     for k, c in _open_headings(levels, by_doc().rowsBetween(W.unboundedPreceding, -1)).items():

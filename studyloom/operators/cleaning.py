@@ -44,7 +44,7 @@ def boilerplate_fragments(blocks, brand, strong, split=r"\n|　{2,}|\s{3,}", lo=
 def cut_fragments(blocks, fragments):
     """Cut a document's fragments (longest first, page numbers next to them included) out of its blocks; drop emptied ones."""
     junk = fragments.groupBy("doc").agg(F.array_sort(F.collect_set(F.struct((-F.length("fragment")).alias("n"), "fragment"))).alias("j"))
-    alt = F.array_join(F.transform("j", lambda x: F.concat(F.lit("\\Q"), x["fragment"], F.lit("\\E"))), "|")
+    alt = F.array_join(F.transform("j", lambda x: F.regexp_replace(x["fragment"], r"([\\^$.|?*+()\[\]{}&\-#~\s])", r"\\$1")), "|")
     rx = F.concat(F.lit(r"\s*\d{0,4}\s*(?:"), alt, F.lit(r")\s*\d{0,4}(?=\s|$)|(?:"), alt, F.lit(")"))
     d = blocks.join(junk.select("doc", rx.alias("_rx")), "doc", "left")
     cut = F.trim(F.regexp_replace(F.col("text"), F.col("_rx"), F.lit(" ")))

@@ -20,6 +20,8 @@ def snippet(text, word, before=50, after=90):
 def search_blocks(blocks, query, doc=None, hidden=None, limit=200):
     """Blocks holding all words, without the hidden documents (unless one document is asked for), first ``limit`` in order."""
     words = query.split()
+    if not words:
+        return blocks.limit(0).select("doc", "seq", F.lit("").alias("snippet"))
     hit = blocks.where(has_all(F.col("text"), words))
     if doc is not None:
         hit = hit.where(F.col("doc") == doc)
@@ -31,10 +33,12 @@ def search_blocks(blocks, query, doc=None, hidden=None, limit=200):
 def search_indexed(index, blocks, query, hidden=None, limit=200):
     """The same hits through the index: blocks that hold every gram of the longest word, then the exact check.
 
-    The gram list is short and known, so the index scan is an IN filter and one small aggregation.
+    The gram list is short and known, so the index scan is an IN filter and one small aggregation. Words of fewer than three
+    letters have no gram; a query of such words alone reads the blocks.
     """
-    words = query.split()
-    longest = max(words, key=len).lower()
+    longest = max(query.split(), key=len, default="").lower()
+    if len(longest) < 3:
+        return search_blocks(blocks, query, hidden=hidden, limit=limit)
     grams = sorted({longest[i:i + 3] for i in range(len(longest) - 2)})
     cand = (index.where(F.col("gram").isin(grams)).groupBy("doc", "seq").agg(F.count("*").alias("n"))
             .where(F.col("n") == len(grams)).select("doc", "seq"))

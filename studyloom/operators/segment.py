@@ -5,7 +5,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from studyloom.functions.text import CJK, normalize_key, only
-from studyloom.operators.blocks import by_doc, heading_path, so_far, whole
+from studyloom.operators.blocks import LEVELS, by_doc, heading_path, so_far, whole
 
 # Numbering patterns of headings in order of rank, and the ends and forms that no heading has.
 _N = "一二三四五六七八九十百零〇两"
@@ -226,7 +226,7 @@ def card_extract(docs, patterns, least=30, lead=1.15, id_col="doc"):
             .agg(F.min(F.struct("line", "at", "back")).alias("m")).select(id_col, "front", "m.back"))
 
 
-def snippet_extract(blocks, kinds, default, good, attrib=r"^(.*?[”」』。！？!?])\s*[—–-]{1,2}\s*(.{1,40})$", quote_types=(), levels=(1, 2, 3, 4)):
+def snippet_extract(blocks, kinds, default, good, attrib=r"^(.*?[”」』。！？!?])\s*[—–-]{1,2}\s*(.{1,40})$", quote_types=(), levels=LEVELS):
     """Typed snippets out of the paragraphs of titled sections.
 
     ``kinds`` maps heading patterns to types in order, ``default`` is the document's type; ``good`` the accept rule. A quote

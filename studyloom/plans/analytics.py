@@ -295,7 +295,7 @@ def _(v):
     return A.deck_state(v.bank.select(F.col("id").alias("card"), F.col("module").alias("deck")), states, TODAY)
 
 
-_T = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "pages", "benchmark",
+_T = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark",
       "labels", "conversations"]
 
 
@@ -344,14 +344,11 @@ def _(v):
     return A.period_counts(v.study, v.attempts.select(F.col("qid").alias("id")))
 
 
-@query("period_listing", """SELECT *, row_number() OVER (ORDER BY year DESC, month DESC, half, src, kind, title, id) AS pos FROM (
-    SELECT id, year(day)::INT AS year, month(day)::INT AS month, CASE WHEN day(day)<=10 THEN 0 WHEN day(day)<=20 THEN 1 ELSE 2 END AS half,
-    (id%4)::BIGINT AS src, CASE WHEN minutes>60 THEN 1 ELSE 0 END AS kind, module AS title FROM v_study) ORDER BY pos LIMIT 200""")
+@query("period_listing", """SELECT id, year(day)::INT AS year, month(day)::INT AS month, CASE WHEN day(day)<=10 THEN 0 WHEN day(day)<=20 THEN 1 ELSE 2 END AS half,
+    (id%4)::BIGINT AS src, CASE WHEN minutes>60 THEN 1 ELSE 0 END AS kind, module AS title FROM v_study""")
 def _(v):
     d = F.dayofmonth("day")
     items = v.study.select("id", F.year("day").alias("year"), F.month("day").alias("month"),
                            F.when(d <= 10, 0).when(d <= 20, 1).otherwise(2).alias("half"), (F.col("id") % 4).alias("src"),
                            F.when(F.col("minutes") > 60, 1).otherwise(0).alias("kind"), F.col("module").alias("title"))
-    from studyloom.operators.selection import numbered
-    return numbered(A.period_items(items, F.col("half"), F.col("src"), F.col("kind")).limit(200),
-                    [F.desc("year"), F.desc("month"), "half", "src", "kind", "title", "id"], "pos")
+    return A.period_items(items, F.col("half"), F.col("src"), F.col("kind"))

@@ -107,13 +107,13 @@ def _(v):
 
 
 @query("bank_match", f"""WITH k AS (SELECT doc, seq, {KEY} AS k FROM v_qblocks), b AS (SELECT item_id, {KEY} AS f FROM benchmark UNION ALL
-      SELECT 100000+item_id*1000+i, {KEY} FROM (SELECT item_id, unnest(range(len(string_split(text,'.')))) AS i, unnest(string_split(text,'.')) AS text FROM benchmark)),
+      SELECT 1125899906842624+item_id*1048576+i, {KEY} FROM (SELECT item_id, unnest(range(len(string_split(text,'.')))) AS i, unnest(string_split(text,'.')) AS text FROM benchmark)),
     bb AS (SELECT * FROM b WHERE length(f)>=6)
     SELECT doc, seq, min(item_id) AS item_id FROM k JOIN bb ON substr(k,1,22)=substr(f,1,22) AND (starts_with(f,substr(k,1,40)) OR starts_with(k,substr(f,1,40))) WHERE length(k)>=12 GROUP BY doc, seq""")
 def _(v):
     left = v.qblocks.select(F.struct("doc", "seq").alias("b"), key_of("text").alias("k")).where("length(k) >= 12")
     bm = v.table("benchmark")
-    parts = bm.select("item_id", F.posexplode(F.split("text", r"\.")).alias("i", "text")).select((100000 + F.col("item_id") * 1000 + F.col("i")).alias("item_id"), "text")
+    parts = bm.select("item_id", F.posexplode(F.split("text", r"\.")).alias("i", "text")).select((F.lit(1 << 50) + F.col("item_id") * 1048576 + F.col("i")).alias("item_id"), "text")
     right = bm.select("item_id", "text").unionByName(parts).select("item_id", key_of("text").alias("k")).where("length(k) >= 6")
     return J.prefix_match(left, right, "k", "b", "item_id").select("b.doc", "b.seq", "item_id")
 
@@ -194,9 +194,9 @@ def _(v):
     return D.keep_best(d, _dk(v), ["img", "n_chars"], "id")
 
 
-@query("dedup_first", f"SELECT min(doc*100000+seq) AS id, count(*) AS copies FROM (SELECT doc, seq, substr({KEY},1,80) AS k FROM v_qblocks) GROUP BY k")
+@query("dedup_first", f"SELECT min(doc*4294967296+seq) AS id, count(*) AS copies FROM (SELECT doc, seq, substr({KEY},1,80) AS k FROM v_qblocks) GROUP BY k")
 def _(v):
-    d = v.qblocks.select((F.col("doc") * 100000 + F.col("seq")).alias("id"), "text")
+    d = v.qblocks.select((F.col("doc") * 4294967296 + F.col("seq")).alias("id"), "text")
     return D.keep_first(d, F.substring(key_of("text"), 1, 80), "id")
 
 

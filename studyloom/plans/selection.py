@@ -266,11 +266,11 @@ def _(v):
 
 
 @query("case_listing_sort", """SELECT id, kind, year, half, no FROM (SELECT id, CASE WHEN src='real' THEN 'paper' ELSE 'mock' END AS kind, year,
-    CASE WHEN id%2=0 THEN 'first' ELSE 'second' END AS half, num AS no FROM v_bank) ORDER BY kind<>'paper', year DESC, half<>'second', no, id LIMIT 100""")
+    CASE WHEN id%2=0 THEN 'first' ELSE 'second' END AS half, num AS no FROM v_bank)""")
 def _(v):
     c = v.bank.select("id", F.when(F.col("src") == "real", "paper").otherwise("mock").alias("kind"), "year",
                       F.when(F.col("id") % 2 == 0, "first").otherwise("second").alias("half"), F.col("num").alias("no"))
-    return S.case_listing(c).limit(100)
+    return S.case_listing(c)
 
 
 @query("study_queue", f"""WITH c AS (SELECT b.id AS card, s.due FROM v_bank b LEFT JOIN (SELECT qid, min(due) AS due FROM v_cards GROUP BY qid) s ON s.qid=b.id),
@@ -300,11 +300,10 @@ def _(v):
     return S.per_group_cap(hits, ["doc"], ["page"], 8, 300)
 
 
-@query("priority_order", """SELECT fid FROM (SELECT fid, rel LIKE '%.pdf' AS has_text, pages%7 AS scanned, fid%30 AS day FROM v_files)
-    ORDER BY has_text DESC, scanned, day, fid LIMIT 200""")
+@query("priority_order", """SELECT fid FROM (SELECT fid, rel LIKE '%.pdf' AS has_text, pages%7 AS scanned, fid%30 AS day FROM v_files)""")
 def _(v):
     f = v.files.select("fid", F.col("rel").endswith(".pdf").alias("has_text"), (F.col("pages") % 7).alias("scanned"), (F.col("fid") % 30).alias("day"))
-    return S.priority_order(f).limit(200).select("fid")
+    return S.priority_order(f).select("fid")
 
 
 @query("group_keep_order", """SELECT id, coalesce(min(pos) FILTER (material IS NOT NULL) OVER (PARTITION BY material), pos) AS first FROM

@@ -16,13 +16,40 @@ def run(v, df, keys, mode="update"):
     return J.latest(v.spark, base + "/table", keys)
 
 
+#: User of the rows that close a log: later than every gap and watermark, each in a delivery of its own.
+NOBODY = -1
+
+
+def delivered(v, job, keys, mode, deliveries=4):
+    """What a job's table holds after the log has come in several deliveries, in order of time.
+
+    Each delivery is written to the log folder and the job runs on from its checkpoint, as it would on a schedule. In append mode closing rows
+    move the watermark past the last attempt, so that whatever waits for it is written; nothing is computed in batch.
+    """
+    base = f"{checkpoint_dir(v.spark)}/stream-{uuid.uuid4().hex}"
+    events = v.table("events").selectExpr(*[f"cast({c.split()[0]} as {c.split()[1]}) as {c.split()[0]}" for c in J.EVENTS.split(", ")])
+    cuts = events.selectExpr(f"percentile_approx(unix_micros(cast(ts as timestamp)), array({', '.join(str(i / deliveries) for i in range(1, deliveries))})) as c", "max(ts) as last").first()
+    at = F.expr("unix_micros(cast(ts as timestamp))")
+    bounds = [None, *sorted(set(cuts.c or [])), None]
+    for low, high in zip(bounds, bounds[1:]):
+        part = events.where(at > low) if low is not None else events
+        (part.where(at <= high) if high is not None else part).write.mode("append").parquet(base + "/log")
+        J.write_changes(job(J.read_log(v.spark, base + "/log", "*.parquet", 1_000_000)), base + "/table", base + "/state", mode)
+    for days in (10, 20) if mode == "append" else ():
+        row = v.spark.range(1).select(F.lit(NOBODY - days).cast("bigint").alias("event_id"), (F.lit(cuts.last) + F.expr(f"interval {days} days")).cast("timestamp_ntz").alias("ts"),
+                                      F.lit(NOBODY).cast("bigint").alias("user_id"), F.lit("").alias("event_type"), F.lit(0.0).alias("value"), F.lit("{}").alias("props"))
+        row.write.mode("append").parquet(base + "/log")
+        J.write_changes(job(J.read_log(v.spark, base + "/log", "*.parquet", 1_000_000)), base + "/table", base + "/state", mode)
+    return J.latest(v.spark, base + "/table", keys)
+
+
 def _attempts(v):
     return J.attempts_of(J.read_log(v.spark, v.dir))
 
 
 @query("stream_daily_activity", "SELECT day, count(*) AS questions, sum(correct)::BIGINT AS correct FROM v_attempts GROUP BY day")
 def _(v):
-    return run(v, J.daily_activity(_attempts(v)), ["day"])
+    return delivered(v, lambda log: J.daily_activity(J.attempts_of(log)), ["day"], "update")
 
 
 @query("stream_wrongbook", WRONG_SQL)
@@ -34,15 +61,8 @@ def _(v):
     s AS (SELECT *, sum(n) OVER (PARTITION BY user_id ORDER BY created_at) AS k FROM g), t AS (SELECT user_id, k, count(*) AS total, sum(correct)::BIGINT AS correct, sum(seconds)::BIGINT AS duration, min(created_at) AS b, max(created_at) AS e FROM s GROUP BY 1,2)
     SELECT user_id, strftime(b,'%Y-%m-%d %H:%M:%S') AS start, total, correct, duration FROM t""")
 def _(v):
-    out = run(v, J.sessions(_attempts(v)), ["user_id", "start", "end"], "append")
-    # the newest sessions are not closed by the watermark yet; both sides agree on the closed ones
-    both = out.unionByName(_still_open(v).select(*out.columns)).dropDuplicates(["user_id", "start"])
-    return both.select("user_id", F.date_format(J.as_wall(F.col("start")), "yyyy-MM-dd HH:mm:ss").alias("start"), "total", "correct", "duration")
-
-
-def _still_open(v):
-    """Sessions the watermark has not closed yet, from the same definition in batch."""
-    return J.sessions(J.attempts_of(v.table("events")))
+    out = delivered(v, lambda log: J.sessions(J.attempts_of(log)), ["user_id", "start", "end"], "append").where(F.col("user_id") != NOBODY)
+    return out.select("user_id", F.date_format(J.as_wall(F.col("start")), "yyyy-MM-dd HH:mm:ss").alias("start"), "total", "correct", "duration")
 
 
 @query("stream_last_write", "SELECT user_id, qid, max(id) AS id, arg_max(correct,id) AS correct, arg_max(module,id) AS module FROM v_attempts GROUP BY 1,2")

@@ -14,6 +14,7 @@ def local_session(cores="*", app="studyloom", shuffle_partitions=8, extra=None):
          .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
          .config("spark.sql.adaptive.enabled", "true")
          .config("spark.sql.session.timeZone", "UTC")
+         .config("studyloom.spread", "true")
          .config("spark.local.dir", tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
          .config("spark.sql.warehouse.dir", tempfile.mkdtemp(prefix="spark-wh-", dir="/tmp")))
     for k, v in (extra or {}).items():
@@ -24,10 +25,12 @@ def local_session(cores="*", app="studyloom", shuffle_partitions=8, extra=None):
 
 
 def checkpoint_dir(spark):
-    """Shared folder for checkpoints: the one the session names; a local one only where none is set (tests)."""
+    """Shared folder for checkpoints: the one the session names; a local one only where none is set and all runs in one JVM (tests)."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     path = named or spark.sparkContext.getCheckpointDir()
     if path is None:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         path = tempfile.mkdtemp(prefix="spark-ckpt-", dir="/tmp")
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(path)

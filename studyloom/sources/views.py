@@ -33,13 +33,12 @@ def _pick_sql(name):
 
 
 def spread(df, key):
-    """Give an input that has fewer splits than the cluster has cores (a small file, few row groups) one task per core.
+    """One task per core for the single small file of a local run, where the session asks for it (``local_session`` does).
 
-    Rows are placed by their own key, so later windows and joins on that key need no further exchange. Inputs with enough
-    splits are left as they are.
+    A cluster's session does not, so that its plans never depend on the number of splits of an input.
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores, key) if df.rdd.getNumPartitions() < 2 * cores else df
+    spark = df.sparkSession
+    return df.repartition(spark.sparkContext.defaultParallelism, key) if spark.conf.get("studyloom.spread", "false") == "true" else df
 
 
 class Views:
@@ -61,7 +60,7 @@ class Views:
             F.when((i * 7 + u * 3) % 10 < 5 + i % 3, 1).otherwise(0).cast("bigint").alias("correct"),
             F.floor("value").cast("bigint").alias("seconds"),
             F.element_at(F.array(F.lit("practice"), F.lit("exam"), F.lit("doc_example")), (i % 3 + 1).cast("int")).alias("mode"),
-            (u * 1000 + F.dayofyear("ts")).alias("session_id"),
+            (u * 100000 + F.datediff(F.to_date("ts"), F.lit("1970-01-01").cast("date"))).alias("session_id"),
             F.col("ts").alias("created_at"),
             F.to_date("ts").alias("day"),
         )
@@ -169,8 +168,7 @@ class Views:
 
     @cached_property
     def exam_dates(self):
-        return (self.table("orders").where(F.col("o_orderkey") % 50 == 0)
-                .select(F.col("o_orderpriority").alias("exam"), F.to_date("o_orderdate").alias("day")).distinct())
+        return (self.table("orders").select(F.col("o_orderpriority").alias("exam"), F.to_date("o_orderdate").alias("day")).distinct())
 
     # ---- corpus
     @cached_property
@@ -226,7 +224,7 @@ VIEW_SQL = {
     "v_attempts": """SELECT event_id AS id, user_id, json_extract_string(props, '$.k')::BIGINT AS qid, event_type AS module,
         CASE WHEN (event_id*7+user_id*3)%10 < 5+event_id%3 THEN 1 ELSE 0 END::BIGINT AS correct,
         floor(value)::BIGINT AS seconds, ['practice','exam','doc_example'][event_id%3+1] AS mode,
-        user_id*1000+dayofyear(ts) AS session_id, ts AS created_at, ts::DATE AS day FROM events""",
+        user_id*100000+date_diff('day',DATE '1970-01-01',ts::DATE) AS session_id, ts AS created_at, ts::DATE AS day FROM events""",
     "v_bank": """SELECT p_partkey AS id, p_type AS module, p_brand AS sub, p_brand AS source, p_name AS stem,
         CASE WHEN p_size%5=0 THEN 0 ELSE p_size+1990 END::BIGINT AS year,
         CASE WHEN p_partkey%7<>0 THEN p_partkey%4 END AS answer,
@@ -260,7 +258,7 @@ VIEW_SQL = {
     "v_docprog": """SELECT event_id AS id, user_id, json_extract_string(props,'$.k')::BIGINT%10 AS doc,
         CASE WHEN event_id%4=0 THEN floor(value)::BIGINT END AS seq, CASE WHEN event_id%4=1 THEN event_id%111 END AS pct,
         CASE WHEN event_id%4=2 THEN (event_id//4)%2 END AS done, CASE WHEN event_id%4=3 THEN (event_id//8)%2 END AS fav FROM events""",
-    "v_exam_dates": "SELECT DISTINCT o_orderpriority AS exam, o_orderdate::DATE AS day FROM orders WHERE o_orderkey%50=0",
+    "v_exam_dates": "SELECT DISTINCT o_orderpriority AS exam, o_orderdate::DATE AS day FROM orders",
     "v_blocks": """SELECT doc, seq, text, seq//10 AS page, CASE WHEN length(text)<=30 THEN 'h' ELSE 'p' END AS kind,
         (1+length(text)%3)::BIGINT AS level FROM (SELECT doc_id AS doc, unnest(range(len(string_split(text,chr(10))))) AS seq,
         unnest(string_split(text,chr(10))) AS text FROM documents)""",

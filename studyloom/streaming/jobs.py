@@ -38,7 +38,8 @@ def attempts_of(events):
 
 
 def write_changes(df, out, checkpoint, mode="update"):
-    """Run over all files there are now, one folder per micro-batch."""
+    """Run over all files there are now, one folder per micro-batch. State is kept by RocksDB, off the executors' heap."""
+    df.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
     def save(batch, n):
         batch.write.mode("overwrite").parquet(f"{out}/batch={n}")
     q = df.writeStream.outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(save).start()

@@ -77,3 +77,35 @@ def test_streams_over_several_files_equal_batch(spark, sf, tmp_path):
     J.write_changes(J.last_write(a), str(tmp_path / "lw"), str(tmp_path / "c3"))
     got = rows(J.latest(spark, str(tmp_path / "lw"), ["user_id", "qid"]), "user_id", "qid", "correct")
     assert got == rows(analytics.latest_by_key(v.attempts, ["user_id", "qid"], ["id"], ["correct"]))
+
+
+def test_short_words_and_empty_queries_by_index(spark):
+    from studyloom.operators import search as T
+    blocks = spark.createDataFrame([(1, 0, "the end of it"), (1, 1, "nothing"), (2, 0, "of")], "doc int, seq int, text string")
+    index = T.trigram_index(blocks)
+    assert [(r.doc, r.seq) for r in T.search_indexed(index, blocks, "of").collect()] == [(1, 0), (2, 0)]
+    assert [(r.doc, r.seq) for r in T.search_indexed(index, blocks, "noth").collect()] == [(1, 1)]
+    assert T.search_indexed(index, blocks, "  ").count() == 0
+
+
+def test_fragments_are_literal(spark):
+    from studyloom.operators import cleaning as C
+    blocks = spark.createDataFrame([(1, 0, "keep \\E(a|b) 12"), (1, 1, "\\E(a|b) 3"), (1, 2, "ab")], "doc int, seq int, text string")
+    cut = C.cut_fragments(blocks, spark.createDataFrame([(1, "\\E(a|b)")], "doc int, fragment string"))
+    assert [(r.seq, r.text) for r in cut.orderBy("seq").collect()] == [(0, "keep"), (2, "ab")]
+
+
+def test_headings_below_level_four(spark):
+    from studyloom.operators import blocks as B
+    rows = [(1, 0, "h", 1, "a"), (1, 1, "h", 5, "b"), (1, 2, "p", 0, "x"), (1, 3, "h", 7, "c"), (1, 4, "h", 5, "d")]
+    d = spark.createDataFrame(rows, "doc int, seq int, kind string, level bigint, text string")
+    assert [r.path for r in B.heading_path(d).orderBy("seq").collect()] == ["a", "a > b", "a > b", "a > b > c", "a > d"]
+    assert [r.level for r in B.level_renest(d).orderBy("seq").collect()] == [1, 2, 0, 3, 2]
+
+
+def test_a_cluster_needs_a_shared_folder(spark, monkeypatch):
+    from types import SimpleNamespace
+    from studyloom.session import checkpoint_dir
+    context = SimpleNamespace(master="spark://x:7077", getConf=lambda: SimpleNamespace(get=lambda *a: None), getCheckpointDir=lambda: None)
+    with pytest.raises(ValueError):
+        checkpoint_dir(SimpleNamespace(conf=SimpleNamespace(get=lambda *a: None), sparkContext=context))
