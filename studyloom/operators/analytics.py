@@ -19,29 +19,40 @@ def _counted(attempts):
     return attempts.where("mode <> 'doc_example'")
 
 
-def recent_accuracy(attempts, bank, n=20):
-    """Accuracy of each topic's newest ``n`` attempts.
+def recent_accuracy(attempts, bank, n=20, by=()):
+    """Accuracy of each topic's newest ``n`` attempts, apart for each value of the ``by`` columns (users).
 
     The newest n of a topic are among the newest n of its questions, so the log is cut per question first (the rank
     limit runs before the shuffle) and only those rows meet the bank.
     """
-    per_q = W.partitionBy("qid").orderBy(F.desc("id"))
-    newest = (_counted(attempts).select("qid", "id", "correct").withColumn("rq", F.row_number().over(per_q))
+    per_q = W.partitionBy(*by, "qid").orderBy(F.desc("id"))
+    newest = (_counted(attempts).select(*by, "qid", "id", "correct").withColumn("rq", F.row_number().over(per_q))
               .where(F.col("rq") <= n))
-    per_t = W.partitionBy("topic").orderBy(F.desc("id"))
+    per_t = W.partitionBy(*by, "topic").orderBy(F.desc("id"))
     return (newest.join(bank.select(F.col("id").alias("qid"), "topic"), "qid")
             .withColumn("rt", F.row_number().over(per_t)).where(F.col("rt") <= n)
-            .groupBy("topic").agg(F.count("*").alias("recent_n"), F.sum("correct").alias("recent_ok"))
-            .select("topic", "recent_n", pct("recent_ok", "recent_n").alias("recent_acc")))
+            .groupBy(*by, "topic").agg(F.count("*").alias("recent_n"), F.sum("correct").alias("recent_ok"))
+            .select(*by, "topic", "recent_n", pct("recent_ok", "recent_n").alias("recent_acc")))
 
 
-def topic_stats(attempts, bank, topics, recent=20):
-    """One row per topic of ``topics``; attempts are summed per question before they meet the bank."""
+def topic_stats(attempts, bank, topics, recent=20, by=()):
+    """One row per topic of ``topics``; attempts are summed per question before they meet the bank.
+
+    With ``by`` (users): one row per user and topic that the user has tried.
+    """
     known = bank.where("answer IS NOT NULL")
-    per_q = (_counted(attempts).groupBy("qid")
+    per_q = (_counted(attempts).groupBy(*by, "qid")
              .agg(F.count("*").alias("n"), F.sum("correct").alias("ok"), F.sum("seconds").alias("sec"),
                   count_if(F.col("seconds") > 0).alias("timed")))
-    per_t = (known.select(F.col("id").alias("qid"), "topic").join(per_q, "qid", "left").groupBy("topic")
+    asked = known.select(F.col("id").alias("qid"), "topic")
+    if by:
+        tried = (asked.join(per_q, "qid").groupBy(*by, "topic")
+                 .agg(F.sum("n").alias("n"), F.sum("ok").alias("ok"), F.sum("sec").alias("sec"), F.sum("timed").alias("timed")))
+        there = asked.groupBy("topic").agg(F.count("*").alias("available")).join(topics, "topic")
+        return (tried.join(there, "topic").join(recent_accuracy(attempts, known, recent, by), [*by, "topic"])
+                .select(*by, "topic", "n", F.col("ok").alias("correct"), pct("ok", "n").alias("acc"), "recent_acc",
+                        F.when(F.col("timed") > 0, half_even(F.col("sec") / F.col("timed"))).alias("avg_sec"), "available"))
+    per_t = (asked.join(per_q, "qid", "left").groupBy("topic")
              .agg(F.count("*").alias("available"), F.sum("n").alias("n"), F.sum("ok").alias("ok"),
                   F.sum("sec").alias("sec"), F.sum("timed").alias("timed")))
     return (topics.join(per_t, "topic", "left").join(recent_accuracy(attempts, known, recent), "topic", "left")
@@ -51,39 +62,42 @@ def topic_stats(attempts, bank, topics, recent=20):
                     F.coalesce("available", F.lit(0)).alias("available")))
 
 
-def weak_topics(stats, floor=5, below=70, top=8):
-    return (stats.where((F.col("n") >= floor) & (F.coalesce("recent_acc", F.lit(0)) < below) & (F.col("available") > 0))
-            .orderBy("recent_acc", F.desc("n"), "topic").limit(top))
+def weak_topics(stats, floor=5, below=70, top=8, by=()):
+    weak = stats.where((F.col("n") >= floor) & (F.coalesce("recent_acc", F.lit(0)) < below) & (F.col("available") > 0))
+    if by:
+        rank = F.row_number().over(W.partitionBy(*by).orderBy("recent_acc", F.desc("n"), "topic"))
+        return weak.withColumn("rank", rank).where(F.col("rank") <= top)
+    return (weak.orderBy("recent_acc", F.desc("n"), "topic").limit(top))
 
 
-def pace_by_subtype(attempts, bank, sub_targets, module_targets, default=60):
-    """Pace per (module, sub). Equal (question, seconds, correct) attempts are counted before the join."""
-    pre = (_counted(attempts).where("seconds > 0").groupBy("qid", F.col("module").alias("own"), "seconds", "correct")
+def pace_by_subtype(attempts, bank, sub_targets, module_targets, default=60, by=()):
+    """Pace per (module, sub), and per user with ``by``. Equal (question, seconds, correct) attempts are counted before the join."""
+    pre = (_counted(attempts).where("seconds > 0").groupBy(*by, "qid", F.col("module").alias("own"), "seconds", "correct")
            .agg(F.count("*").alias("k")))
     b = bank.select(F.col("id").alias("qid"), "module", "sub")
     mod, sub = F.coalesce("module", "own", F.lit("")), F.coalesce("sub", F.lit(""))
     target = F.coalesce(lookup(sub, sub_targets), lookup(mod, module_targets), F.lit(default)).cast("bigint")
     k, ok, slow = F.col("k"), F.col("correct") == 1, F.col("seconds") > F.col("target") * 1.5
     fast = (F.col("seconds") < F.col("target") * 0.4) & ~ok & ~slow
-    return (pre.join(b, "qid", "left").select(mod.alias("module"), sub.alias("sub"), "seconds", "correct", "k", target.alias("target"))
-            .groupBy("module", "sub", "target")
+    return (pre.join(b, "qid", "left").select(*by, mod.alias("module"), sub.alias("sub"), "seconds", "correct", "k", target.alias("target"))
+            .groupBy(*by, "module", "sub", "target")
             .agg(F.sum("k").alias("n"), F.sum(F.col("correct") * k).alias("ok"), F.sum(F.col("seconds") * k).alias("sec"),
                  F.sum(F.when(slow, k).otherwise(0)).alias("over"),
                  F.sum(F.when(slow & ok, k).otherwise(0)).alias("slow_right"),
                  F.sum(F.when(fast, k).otherwise(0)).alias("fast_wrong"))
-            .select("module", F.when(F.col("sub") == "", F.col("module")).otherwise(F.col("sub")).alias("sub"), "n",
+            .select(*by, "module", F.when(F.col("sub") == "", F.col("module")).otherwise(F.col("sub")).alias("sub"), "n",
                     pct("ok", "n").alias("acc"), half_even(F.col("sec") / F.col("n")).alias("avg_sec"), "target",
                     pct("over", "n").alias("over_pct"), "slow_right", "fast_wrong"))
 
 
-def module_order(attempts, weights, floor=10):
+def module_order(attempts, weights, floor=10, by=()):
     acc, avg = F.col("ok") / F.col("n"), F.col("sec") / F.col("n")
     return (_counted(attempts).where((F.col("seconds") > 0) & F.col("module").isin(list(weights)))
-            .groupBy("module").agg(F.count("*").alias("n"), F.sum("correct").alias("ok"), F.sum("seconds").alias("sec"))
+            .groupBy(*by, "module").agg(F.count("*").alias("n"), F.sum("correct").alias("ok"), F.sum("seconds").alias("sec"))
             .where(F.col("n") >= floor)
-            .select("module", "n", pct("ok", "n").alias("acc"), half_even(avg).alias("avg_sec"),
+            .select(*by, "module", "n", pct("ok", "n").alias("acc"), half_even(avg).alias("avg_sec"),
                     F.bround(acc * lookup(F.col("module"), weights) / avg * 60, 2).alias("per_min"))
-            .orderBy(F.desc("per_min"), "module"))
+            .orderBy(*by, F.desc("per_min"), "module"))
 
 
 def estimate(ok, n, module, weights):
@@ -103,28 +117,28 @@ def score_points(attempts, full=75, by=("user_id",)):
     return attempts.groupBy(*by).agg(F.bround(F.sum("correct") / F.count("*") * full, 1).alias("score"))
 
 
-def session_history(sessions, attempts, weights, last=60):
-    """Newest ``last`` sessions that have attempts, oldest first. At most ``last`` ids reach the log scan."""
-    top = sessions.orderBy(F.desc("session_id")).limit(last)
-    per = (attempts.join(F.broadcast(top.select("session_id")), "session_id", "left_semi")
-           .groupBy("session_id", "module").agg(F.count("*").alias("n"), F.sum("correct").alias("ok")))
+def session_history(sessions, attempts, weights, last=60, by=("user_id",)):
+    """Each user's newest ``last`` sessions (by their first attempt, then id), oldest first; the rank limit runs before the shuffle."""
+    newest = W.partitionBy(*by).orderBy(F.desc("started"), F.desc("session_id"))
+    top = sessions.withColumn("_rank", F.row_number().over(newest)).where(F.col("_rank") <= last).drop("_rank")
+    per = (attempts.groupBy("session_id", "module").agg(F.count("*").alias("n"), F.sum("correct").alias("ok")))
     agg = per.groupBy("session_id").agg(
         estimate(F.col("ok"), F.col("n"), F.col("module"), weights).alias("score"),
         pack_map(F.col("module"), F.concat(F.col("ok"), F.lit("/"), F.col("n"))).alias("modules"))
-    return top.join(agg, "session_id").select("session_id", "total", "correct", "duration", "score", "modules").orderBy("session_id")
+    return top.join(agg, "session_id").select(*by, "session_id", "started", "total", "correct", "duration", "score", "modules").orderBy(*by, "started", "session_id")
 
 
 def score_trend(history, target):
-    return history.select("session_id", "score", F.bround(F.col("score") - target, 1).alias("gap")).orderBy("session_id")
+    return history.select("user_id", "session_id", "score", F.bround(F.col("score") - target, 1).alias("gap"))
 
 
-def daily_activity(attempts, study, since):
+def daily_activity(attempts, study, since, by=()):
     """Full outer by day written as union + sum: both logs are reduced to one row per day first."""
-    a = (attempts.where(F.col("day") >= F.lit(since).cast("date")).groupBy("day")
+    a = (attempts.where(F.col("day") >= F.lit(since).cast("date")).groupBy(*by, "day")
          .agg(F.count("*").alias("questions"), F.sum("correct").alias("correct"), F.lit(0).cast("bigint").alias("minutes")))
-    s = (study.where(F.col("day") >= F.lit(since).cast("date")).groupBy("day")
+    s = (study.where(F.col("day") >= F.lit(since).cast("date")).groupBy(*by, "day")
          .agg(F.lit(0).cast("bigint").alias("questions"), F.lit(0).cast("bigint").alias("correct"), F.sum("minutes").alias("minutes")))
-    return a.unionByName(s).groupBy("day").agg(*[F.sum(c).alias(c) for c in ("questions", "correct", "minutes")])
+    return a.unionByName(s).groupBy(*by, "day").agg(*[F.sum(c).alias(c) for c in ("questions", "correct", "minutes")])
 
 
 def dense_calendar(spark, activity, end, days):
@@ -134,12 +148,12 @@ def dense_calendar(spark, activity, end, days):
     return cal.join(act, "day", "left").select("day", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("questions", "correct", "minutes")])
 
 
-def heatmap(study, end, days=182, bands=HEAT_BANDS):
+def heatmap(study, end, days=182, bands=HEAT_BANDS, by=()):
     level = F.lit(0)
     for least, lv in reversed(bands):
         level = F.when(F.col("minutes") >= least, lv).otherwise(level)
     return (study.where(F.col("day").between(F.date_sub(F.lit(end).cast("date"), days), F.lit(end).cast("date")))
-            .groupBy("day").agg(F.sum("minutes").alias("minutes")).withColumn("level", level))
+            .groupBy(*by, "day").agg(F.sum("minutes").alias("minutes")).withColumn("level", level))
 
 
 def minutes_by_module(study):

@@ -86,24 +86,86 @@ def _(v):
     return A.score_points(v.attempts)
 
 
-HISTORY_SQL = f"""WITH top AS (SELECT * FROM v_sessions ORDER BY session_id DESC LIMIT 60),
-    per AS (SELECT session_id, module, {WEIGHT_SQL} AS w, count(*) AS n, sum(correct)::BIGINT AS ok FROM v_attempts
-      WHERE session_id IN (SELECT session_id FROM top) GROUP BY session_id, module),
-    hist AS (SELECT top.session_id, total, correct, duration, round_even(sum(w*ok)/sum(w*n)*100,1) AS score,
+HISTORY_SQL = f"""WITH top AS (SELECT * FROM v_sessions QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY started DESC, session_id DESC) <= 60),
+    per AS (SELECT session_id, module, {WEIGHT_SQL} AS w, count(*) AS n, sum(correct)::BIGINT AS ok FROM v_attempts GROUP BY session_id, module),
+    hist AS (SELECT top.user_id, top.session_id, total, correct, duration, round_even(sum(w*ok)/sum(w*n)*100,1) AS score,
       string_agg(concat(module,':',ok,'/',n), ',' ORDER BY concat(module,':',ok,'/',n)) AS modules
       FROM top JOIN per USING (session_id) GROUP BY ALL) """
 
 
 @query("session_history", HISTORY_SQL + "SELECT * FROM hist")
 def _(v):
-    return A.session_history(v.sessions, v.attempts, WEIGHTS)
+    return A.session_history(v.sessions, v.attempts, WEIGHTS).drop("started")
 
 
-@query("score_trend", HISTORY_SQL + "SELECT session_id, score, round_even(score-70,1) AS gap FROM hist")
+@query("score_trend", HISTORY_SQL + "SELECT user_id, session_id, score, round_even(score-70,1) AS gap FROM hist")
 def _(v):
     return A.score_trend(A.session_history(v.sessions, v.attempts, WEIGHTS), 70)
 
 
+# The same answers for each user alone.
+USER = ("user_id",)
+USER_TOPIC_SQL = """WITH a AS (SELECT t.*, b.topic FROM v_attempts t JOIN v_bank b ON b.id=t.qid AND b.answer IS NOT NULL WHERE mode<>'doc_example'),
+    r AS (SELECT *, row_number() OVER (PARTITION BY user_id, topic ORDER BY id DESC) AS rn FROM a),
+    stats AS (SELECT user_id, topic, count(*) AS n, sum(correct)::BIGINT AS correct, round_even(sum(correct)/count(*)::DOUBLE*100,0)::BIGINT AS acc,
+      round_even(sum(CASE WHEN rn<=20 THEN correct END)/count(CASE WHEN rn<=20 THEN 1 END)::DOUBLE*100,0)::BIGINT AS recent_acc,
+      round_even(avg(CASE WHEN seconds>0 THEN seconds END),0)::BIGINT AS avg_sec, any_value(available) AS available
+      FROM r JOIN (SELECT topic, count(answer) AS available FROM v_bank GROUP BY topic) USING (topic) GROUP BY user_id, topic) """
+
+
+@query("topic_stats_by_user", USER_TOPIC_SQL + "SELECT * FROM stats")
+def _(v):
+    return A.topic_stats(v.attempts, v.bank, topics_of(v), by=USER)
+
+
+@query("recent_accuracy_by_user", USER_TOPIC_SQL + """SELECT user_id, topic, count(*) AS recent_n, round_even(sum(correct)/count(*)::DOUBLE*100,0)::BIGINT AS recent_acc
+    FROM r WHERE rn<=20 GROUP BY user_id, topic""")
+def _(v):
+    return A.recent_accuracy(v.attempts, v.bank.where("answer IS NOT NULL"), by=USER)
+
+
+@query("weak_topics_by_user", USER_TOPIC_SQL + """SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY recent_acc, n DESC, topic)::INT AS rank FROM stats
+    WHERE n>=5 AND coalesce(recent_acc,0)<70 AND available>0 QUALIFY rank<=8""")
+def _(v):
+    return A.weak_topics(A.topic_stats(v.attempts, v.bank, topics_of(v), by=USER), by=USER)
+
+
+@query("pace_by_user", f"""WITH a AS (SELECT t.user_id, coalesce(b.module,t.module,'') AS module, coalesce(b.sub,'') AS sub, t.seconds, t.correct
+      FROM v_attempts t LEFT JOIN v_bank b ON b.id=t.qid WHERE mode<>'doc_example' AND seconds>0),
+    g AS (SELECT *, coalesce({_case('sub', SUB_TARGETS)},{_case('module', MODULE_TARGETS)},60)::BIGINT AS target FROM a)
+    SELECT user_id, module, CASE WHEN sub='' THEN module ELSE sub END AS sub, count(*) AS n, round_even(avg(correct)*100,0)::BIGINT AS acc,
+      round_even(avg(seconds),0)::BIGINT AS avg_sec, target,
+      round_even(count(CASE WHEN seconds>target*1.5 THEN 1 END)/count(*)::DOUBLE*100,0)::BIGINT AS over_pct,
+      count(CASE WHEN seconds>target*1.5 AND correct=1 THEN 1 END) AS slow_right,
+      count(CASE WHEN seconds<=target*1.5 AND seconds<target*0.4 AND correct=0 THEN 1 END) AS fast_wrong
+    FROM g GROUP BY user_id, module, sub, target""")
+def _(v):
+    return A.pace_by_subtype(v.attempts, v.bank, SUB_TARGETS, MODULE_TARGETS, by=USER)
+
+
+@query("module_order_by_user", f"""SELECT user_id, module, count(*) AS n, round_even(avg(correct)*100,0)::BIGINT AS acc,
+    round_even(avg(seconds),0)::BIGINT AS avg_sec,
+    round_even(sum(correct)/count(*)::DOUBLE * {WEIGHT_SQL} / (sum(seconds)/count(*)::DOUBLE) * 60, 2) AS per_min
+    FROM v_attempts WHERE mode<>'doc_example' AND seconds>0 AND module IN ('click','view','purchase','signup')
+    GROUP BY user_id, module HAVING count(*)>=3""")
+def _(v):
+    return A.module_order(v.attempts, WEIGHTS, floor=3, by=USER)
+
+
+@query("daily_activity_by_user", """SELECT user_id, day, sum(q)::BIGINT AS questions, sum(c)::BIGINT AS correct, sum(m)::BIGINT AS minutes FROM (
+    SELECT user_id, day, 1 AS q, correct AS c, 0 AS m FROM v_attempts WHERE day >= DATE '1996-01-01'
+    UNION ALL SELECT user_id, day, 0, 0, minutes FROM v_study WHERE day >= DATE '1996-01-01') GROUP BY user_id, day""")
+def _(v):
+    return A.daily_activity(v.attempts, v.study, "1996-01-01", by=USER)
+
+
+@query("heatmap_by_user", f"""SELECT user_id, day, sum(minutes)::BIGINT AS minutes, CASE WHEN sum(minutes)>=120 THEN 4 WHEN sum(minutes)>=60 THEN 3
+    WHEN sum(minutes)>=30 THEN 2 WHEN sum(minutes)>=1 THEN 1 ELSE 0 END AS level FROM v_study
+    WHERE day BETWEEN DATE '{EXAM_TODAY}'-182 AND DATE '{EXAM_TODAY}' GROUP BY user_id, day""")
+def _(v):
+    return A.heatmap(v.study, EXAM_TODAY, by=USER)
+
+
 DAILY_SQL = """WITH act AS (SELECT coalesce(a.day,s.day) AS day, coalesce(questions,0) AS questions, coalesce(correct,0) AS correct,
     coalesce(minutes,0) AS minutes FROM (SELECT day, count(*) AS questions, sum(correct)::BIGINT AS correct FROM v_attempts GROUP BY day) a
     FULL JOIN (SELECT day, sum(minutes)::BIGINT AS minutes FROM v_study WHERE day >= DATE '1996-01-01' GROUP BY day) s ON a.day=s.day) """

@@ -84,7 +84,7 @@ class Views:
     def sessions(self):
         return (self.attempts.where("mode = 'exam'").groupBy("session_id", "user_id")
                 .agg(F.count("*").alias("total"), F.sum("correct").alias("correct"), F.sum("seconds").alias("duration"),
-                     F.min("day").alias("day")))
+                     F.min("day").alias("day"), F.min("created_at").alias("started")))
 
     @cached_property
     def study(self):
@@ -232,7 +232,7 @@ VIEW_SQL = {
         ['real','builtin','book'][p_partkey%3+1] AS src, p_size::BIGINT AS num,
         list_extract(string_split(p_name,' '),-1) AS topic FROM part""",
     "v_sessions": """SELECT session_id, user_id, count(*) AS total, sum(correct)::BIGINT AS correct,
-        sum(seconds)::BIGINT AS duration, min(day) AS day FROM v_attempts WHERE mode='exam' GROUP BY ALL""",
+        sum(seconds)::BIGINT AS duration, min(day) AS day, min(created_at) AS started FROM v_attempts WHERE mode='exam' GROUP BY session_id, user_id""",
     "v_study": """SELECT o_orderkey AS id, o_orderdate::DATE AS day, o_custkey AS user_id, o_orderpriority AS module,
         floor(o_totalprice/5000)::BIGINT AS minutes FROM orders""",
     "v_checkins": "SELECT DISTINCT user_id, ts::DATE AS day FROM events WHERE event_type='signup'",
