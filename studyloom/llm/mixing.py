@@ -29,16 +29,16 @@ def exponent(totals, entropy=None, repeats=None, grid=64, rounds=6):
     """
     lo, hi = 0.0, 1.0
     whole = totals.where("n > 0")
-    top = whole.agg(F.sum("n").alias("all"), F.max("n").alias("most"))
-    shares = whole.join(F.broadcast(top), F.lit(True)).select((F.col("n") / F.col("all")).alias("p"), (F.col("most") / F.col("all")).alias("m"))  # one row
+    top = whole.agg(F.sum("n").alias("all"), F.max("n").alias("most")).first()  # one row
+    if top["all"] is None:
+        return 1.0
+    shares = whole.select((F.col("n") / top["all"]).alias("p"), F.lit(top["most"] / top["all"]).alias("m"))
     for _ in range(rounds):
         step = (hi - lo) / grid
         tried = shares.select("p", "m", F.posexplode(F.array(*[F.lit(lo + i * step) for i in range(grid + 1)])).alias("i", "a"))
         raised = tried.groupBy("i", "a").agg(F.sum(F.pow("p", "a")).alias("z"), F.sum(F.pow("p", "a") * F.log("p") * F.col("a")).alias("l"),
                                              F.max(F.pow(F.col("p") / F.col("m"), F.col("a") - 1)).alias("most"), F.min(F.pow(F.col("p") / F.col("m"), F.col("a") - 1)).alias("least"))
         seen = raised.select("i", "a", (F.log("z") - F.col("l") / F.col("z")).alias("h"), (F.col("most") / F.col("least")).alias("r")).orderBy("i").collect()  # grid + 1 rows
-        if not seen:
-            return 1.0
         if repeats is not None:  # falls as the exponent rises
             good = [x.a for x in seen if x.r <= repeats]
             if not good:
@@ -63,11 +63,11 @@ def budgets(totals, power, budget=None):
     no weight and are taken once.
     """
     raised = totals.withColumn("r", F.when(F.col("n") > 0, F.pow(F.col("n").cast("double"), F.lit(power))).otherwise(0.0))
-    sums = raised.agg(F.sum("r").alias("z"), F.max(F.when(F.col("n") > 0, F.col("n") / F.col("r"))).alias("u"))
-    w = raised.join(F.broadcast(sums), F.lit(True))  # one row
+    sums = raised.agg(F.sum("r").alias("z"), F.max(F.when(F.col("n") > 0, F.col("n") / F.col("r"))).alias("u")).first()  # one row
+    z, u = sums.z or 1.0, sums.u or 0.0
     # r / z * budget, where the least budget is the largest n * z / r
-    quota = F.col("r") * F.col("u") if budget is None else F.col("r") / F.col("z") * F.lit(float(budget))
-    w = w.select("source", "n", (F.col("r") / F.col("z")).alias("weight"), F.round(quota).cast("bigint").alias("quota"))
+    quota = F.col("r") * u if budget is None else F.col("r") / z * float(budget)
+    w = raised.select("source", "n", (F.col("r") / z).alias("weight"), F.round(quota).cast("bigint").alias("quota"))
     return w.select("source", "n", "weight", F.when(F.col("n") > 0, F.floor(F.col("quota") / F.greatest("n", F.lit(1)))).otherwise(1).cast("int").alias("passes"),
                     F.when(F.col("n") > 0, F.col("quota") % F.greatest("n", F.lit(1))).otherwise(0).alias("rest"))
 
