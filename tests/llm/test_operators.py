@@ -153,7 +153,7 @@ def test_mixture(spark):
     assert got.select(*d.columns).columns == d.columns
     part = mixing.copied(spark, d, repeats=2.5, budget=1000, docs_per_block=4)  # tokens
     n = {s: sum(len(r.text.split()) for r in part.where(f"source = '{s}'").collect()) for s in ("big", "small")}
-    assert 600 <= n["big"] <= 800 and 100 <= n["small"] <= 160 and part.where("__epoch > 0").count() == 0
+    assert 840 <= n["big"] <= 885 and 80 <= n["small"] <= 116 and part.where("__epoch > 0").count() == 0
     assert mixing.copied(spark, d.limit(0), repeats=2.5).count() == 0
 
 
