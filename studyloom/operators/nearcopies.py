@@ -4,6 +4,8 @@ Both are set-overlap problems. Pairs are never enumerated within a group of copi
 and a set is compared with the best-ranked holders of its rarest items only, round by round, until the items left cannot
 change its outcome. The rounds look further down the lists when needed, so nothing is capped and results are exact.
 """
+import math
+
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -45,10 +47,10 @@ def _entries(sets, need):
 
 
 def _top(entries, ranks, upto, only_pre):
-    """Best ``upto`` holders of every item; the constant rank limit is applied before the shuffle."""
+    """Best ``upto`` holders of every item and length class; the constant rank limit is applied before the shuffle."""
     e = entries.where("pre") if only_pre else entries
-    rn = F.row_number().over(W.partitionBy("item").orderBy(F.desc("krk")))
-    return (e.join(ranks, "id").select("item", F.col("id").alias("k"), F.col("rk").alias("krk"))
+    rn = F.row_number().over(W.partitionBy("item", "c").orderBy(F.desc("krk")))
+    return (e.join(ranks, "id").select("item", "c", F.col("id").alias("k"), F.col("rk").alias("krk"), F.col("len").alias("klen"), F.col("size").alias("ksize"))
             .withColumn("rn", rn).where(F.col("rn") <= upto))
 
 
@@ -61,22 +63,26 @@ def best_partner(sets, share, ratio, least, first=4):
     sets = materialize(sets)
     need = F.ceil(F.col("size") * share)
     entries = materialize(_entries(sets, need))
-    ranks = sets.select("id", "rk")
-    side = lambda p: sets.select(F.col("id").alias(p), *[F.col(c).alias(f"{p}_{c}") for c in ("len", "size", "items")])
+    # comparable lengths lie in one class or in neighbours, so that sets of other lengths never meet
+    c = F.floor(F.log("len") / math.log(ratio * 1.0001)).cast("int")
+    ranks = sets.select("id", "rk", "len", "size", c.alias("c"))
+    near_by = sets.select("id", "len", "size", F.explode(F.array(c - 1, c, c + 1)).alias("c"))
+    side = lambda p: sets.select(F.col("id").alias(p), *[F.col(x).alias(f"{p}_{x}") for x in ("size", "items")])
     open_ = sets.select("id", "rk", F.lit(None).cast(sets.schema["rk"].dataType).alias("best"), F.lit(None).cast(sets.schema["id"].dataType).alias("partner"))
     done, lo, hi = None, 0, first
     while True:
-        mine = entries.join(open_, "id")
-        better = (F.col("krk") > F.col("rk")) & (F.col("best").isNull() | (F.col("krk") > F.col("best")))
+        mine = entries.join(open_, "id").join(near_by, "id")
+        near = F.greatest("len", "klen") <= F.least("len", "klen") * ratio
+        near = near & (F.when(F.col("len") <= F.col("klen"), F.col("size")).otherwise(F.col("ksize")) >= least)
+        # what stands just beyond the ranks looked at only tells that there is more
+        better = (near | (F.col("rn") == hi + 1)) & (F.col("krk") > F.col("rk")) & (F.col("best").isNull() | (F.col("krk") > F.col("best")))
         # the smaller set of a pair is found through its rare items: as the lower-ranked one, then as the higher-ranked one
-        seen = (mine.where("pre").join(_top(entries, ranks, hi + 1, False), "item").where(better).select("id", "rk", "best", "k", "krk", "rn")
-                .unionByName(mine.join(_top(entries, ranks, hi + 1, True), "item").where(better).select("id", "rk", "best", "k", "krk", "rn")))
+        seen = (mine.where("pre").join(_top(entries, ranks, hi + 1, False), ["item", "c"]).where(better).select("id", "rk", "best", "k", "krk", "rn")
+                .unionByName(mine.join(_top(entries, ranks, hi + 1, True), ["item", "c"]).where(better).select("id", "rk", "best", "k", "krk", "rn")))
         seen = materialize(seen.where(F.col("rn") > lo).groupBy("id", "k").agg(F.first("krk").alias("krk"), F.min("rn").alias("rn")))
         p = seen.where(F.col("rn") <= hi).join(side("d"), F.col("id") == F.col("d")).join(side("k"), "k")
-        short = F.when(F.col("d_len") <= F.col("k_len"), F.col("d_size")).otherwise(F.col("k_size"))
-        near = F.greatest("d_len", "k_len") <= F.least("d_len", "k_len") * ratio
         common = F.size(F.array_intersect("d_items", "k_items"))
-        ok = p.where(near & (short >= least)).where(common >= share * F.least("d_size", "k_size"))
+        ok = p.where(common >= share * F.least("d_size", "k_size"))
         found = ok.groupBy("id").agg(F.max(F.struct("krk", "k")).alias("m"))
         ahead = seen.where(F.col("rn") > hi).groupBy("id").agg(F.max("krk").alias("next"))
         state = open_.join(found, "id", "left").join(ahead, "id", "left").select(
