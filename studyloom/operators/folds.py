@@ -1,10 +1,12 @@
-"""Order-dependent steps per document, in Arrow batches.
+"""Order-dependent steps per document: over ordered arrays, or in Arrow batches.
 
 Rows are shuffled by document and sorted; a task streams its partition and hands one document at a time to a small
 function. A document comes out of one text cell, so what is held is one document and one batch, whatever the group sizes.
 """
 import numpy as np
 import pandas as pd
+from pyspark.sql import Window as W
+from pyspark.sql import functions as F
 
 
 def fold_documents(df, order, fn, schema, key="doc"):
@@ -82,36 +84,36 @@ def anchor_chain(rows, gap=0.2, jump=15, restart=0.8, back=400):
 
 
 def run_key_match(rows, share=0.5, valid=0.6):
-    """Runs of questions against the answer keys of one document: rows (seq, kind, num, page, letters, key).
+    """Runs of questions against the answer keys of their document: (doc, seq, k_seq, ans).
 
-    Questions form runs where numbers rise; a run takes the next key on its last page or the one after whose numbers cover
-    half of it and whose letters fit. Keys are used in order, each once. Returns (question seq, key seq, answer).
+    ``rows(doc, seq, kind, num, page, letters, key)``: questions (``q``) form runs in which numbers rise; a key (``k``) holds
+    ``num:answer`` pairs. A key on a run's last page or the one after suits it when it has ``share`` of its numbers and
+    ``valid`` of its questions offer the answer. Runs in order take the first suitable key behind the last one taken.
     """
-    runs, keys, last = [], [], None
-    for seq, kind, num, page, letters, key in rows:
-        if kind == "q":
-            if last is None or num <= last:
-                runs.append([])
-            runs[-1].append((seq, num, page, set(letters)))
-            last = num
-        elif kind == "k":
-            keys.append((seq, page, dict(p.split(":") for p in key.split(",") if p)))
-    out, at = [], 0
-    for run in runs:
-        page = run[-1][2]
-        for j in range(at, len(keys)):
-            kseq, kpage, key = keys[j]
-            if kpage > page + 1:
-                break
-            if kpage < page:
-                continue
-            have = [(seq, key[str(n)], ls) for seq, n, _p, ls in run if str(n) in key]
-            fit = [h for h in have if set(h[1]) <= h[2]]
-            if len({n for _s, n, _p, _l in run if str(n) in key}) >= max(1, int(len(run) * share)) and len(fit) >= len(run) * valid:
-                out += [(seq, kseq, a) for seq, a, _l in fit]
-                at = j + 1
-                break
-    return out
+    q = rows.where("kind = 'q'")
+    before = F.lag("num").over(W.partitionBy("doc").orderBy("seq"))
+    starts = q.withColumn("new", F.when(before.isNull() | (F.col("num") <= before), 1).otherwise(0))
+    q = starts.withColumn("run", F.sum("new").over(W.partitionBy("doc").orderBy("seq"))).select("doc", "run", "seq", "num", "page", "letters")
+    runs = q.groupBy("doc", "run").agg(F.count("*").alias("size"), F.max_by("page", "seq").alias("at"))
+    pair = F.split("pair", ":")
+    keys = (rows.where("kind = 'k'").select("doc", F.col("seq").alias("k_seq"), F.col("page").alias("k_page"), F.posexplode(F.split("key", ",")).alias("i", "pair"))
+            .where("pair <> ''").groupBy("doc", "k_seq", "k_page", F.element_at(pair, 1).cast("bigint").alias("num")).agg(F.max_by(F.element_at(pair, 2), "i").alias("ans")))
+    offered = F.forall(F.split("ans", ""), lambda c: F.contains("letters", c))
+    near = (q.select("doc", "run", "seq", "num", "letters").join(runs, ["doc", "run"]).join(keys, ["doc", "num"])
+            .where(F.col("k_page").between(F.col("at"), F.col("at") + 1)).withColumn("fits", offered))
+    suits = (near.groupBy("doc", "run", "size", "k_seq").agg(F.count("*").alias("have"), F.count_if("fits").alias("fit"))
+             .where((F.col("have") >= F.greatest(F.lit(1), F.floor(F.col("size") * share))) & (F.col("fit") >= F.col("size") * valid)))
+    # a document's runs are a short array: each takes the least suitable key that is behind what has been taken
+    listed = (suits.groupBy("doc", "run").agg(F.collect_set("k_seq").alias("ks"))
+              .groupBy("doc").agg(F.array_sort(F.collect_list(F.struct("run", "ks"))).alias("runs")))
+    start = F.struct(F.lit(-1).cast("bigint").alias("last"), F.array().cast("array<struct<run:bigint,k_seq:bigint>>").alias("got"))
+
+    def take(acc, x):
+        k = F.array_min(F.filter(x["ks"], lambda k: k > acc["last"]))
+        one = F.struct(x["run"].cast("bigint").alias("run"), k.alias("k_seq"))
+        return F.struct(F.coalesce(k, acc["last"]).alias("last"), F.when(k.isNull(), acc["got"]).otherwise(F.concat(acc["got"], F.array(one))).alias("got"))
+    taken = listed.select("doc", F.inline(F.aggregate("runs", start, take)["got"]))
+    return near.where("fits").join(taken, ["doc", "run", "k_seq"]).select("doc", "seq", "k_seq", "ans")
 
 
 def sequence_align(rows, skip=1.0):

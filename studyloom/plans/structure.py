@@ -232,9 +232,9 @@ def _(v):
 def _(v):
     keys = F.array_join(F.transform(F.sequence(F.lit(1), F.lit(19)), lambda i: F.concat(i.cast("string"), F.lit(":"), F.element_at(
         F.array(*[F.lit(x) for x in "ABCD"]), ((i + F.col("seq")) % 4 + 1).cast("int")))), ",")
-    d = v.qblocks.where("kind IN ('q', 'a') AND num > 0").select("doc", "seq", F.when(F.col("kind") == "a", "k").otherwise("q").alias("kind"), "num",
+    d = v.qblocks.where("kind IN ('q', 'a')").select("doc", "seq", F.when(F.col("kind") == "a", "k").otherwise("q").alias("kind"), "num",
         F.floor(F.col("seq") / 5).alias("page"), F.lit("ABCD").alias("letters"), F.when(F.col("kind") == "a", keys).otherwise("").alias("key"))
-    return P.fold_documents(d, ["seq"], P.run_key_match, "doc bigint, seq bigint, k_seq bigint, ans string")
+    return P.run_key_match(d)
 
 
 @query("sequence_align")

@@ -162,12 +162,14 @@ def test_sequence_align():
     assert folds.sequence_align(a) == []
 
 
-def test_run_key_match():
-    q = lambda s, n, p: (s, "q", n, p, "ABCD", "")
-    k = lambda s, p, key: (s, "k", 0, p, "", key)
+def test_run_key_match(spark):
+    q = lambda s, n, p: (1, s, "q", n, p, "ABCD", "")
+    k = lambda s, p, key: (1, s, "k", 0, p, "", key)
     rows_ = [q(0, 1, 0), q(1, 2, 0), k(2, 0, "1:A,2:B"), q(3, 1, 1), q(4, 2, 1), q(5, 3, 2), k(6, 2, "1:C,2:D,3:E")]
-    got = folds.run_key_match(rows_)
-    assert got == [(0, 2, "A"), (1, 2, "B"), (3, 6, "C"), (4, 6, "D")]
+    schema = "doc bigint, seq bigint, kind string, num bigint, page bigint, letters string, key string"
+    got = folds.run_key_match(spark.createDataFrame(rows_, schema))
+    assert rows(got, "seq", "k_seq", "ans") == [(0, 2, "A"), (1, 2, "B"), (3, 6, "C"), (4, 6, "D")]
+    assert folds.run_key_match(spark.createDataFrame([], schema)).count() == 0
 
 
 def test_near_duplicates_brute_force(spark):

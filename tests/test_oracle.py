@@ -14,7 +14,11 @@ def con(sf):
 
 @pytest.mark.parametrize("name", sorted(ORACLES))
 def test_matches_oracle(spark, sf, con, name):
-    assert compare(QUERIES[name](spark, sf), con, ORACLES[name]) in ("", "EMPTY")
+    got = compare(QUERIES[name](spark, sf), con, ORACLES[name])
+    if got == "EMPTY":  # too few rows for a hit here: then the oracle must have some on the next size
+        assert duck("/root/testdata/sf0.01").execute(ORACLES[name]).fetchone() is not None
+    else:
+        assert got == ""
 
 
 @pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLES)))
