@@ -1,10 +1,11 @@
 """Text column functions. Character classes are parameters, so the same rules serve CJK and Latin text."""
+import re
 import unicodedata
 from functools import reduce
 
 import pandas as pd
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, StringType
+from pyspark.sql.types import StringType
 
 CJK = "一-鿿"
 LATIN = "A-Za-zÀ-ÿ"
@@ -191,42 +192,55 @@ def has_all(c, words):
     return reduce(lambda a, b: a & b, [c.contains(w) for w in words], F.lit(True))
 
 
-def _best_cuts(word, parts, fixed, lengths, explain, longest=5):
-    """Split ``word`` into ``parts`` pieces: pieces quoted in the explanation score 3, mentioned 1, of usual length 1 more."""
-    best = {(0, len(word)): (0, ())}
-    for k in range(1, parts + 1):
-        usual = lengths[parts - k]
-        for at in range(len(word)):
-            for end in range(at + 1, min(at + longest, len(word)) + 1):
-                tail = best.get((k - 1, end))
-                if tail is None or any(at < f < end for f in fixed):
-                    continue
-                piece = word[at:end]
-                quoted = any(o + piece + c in explain for o in "\"“”「" for c in "\"“”「")
-                score = tail[0] + (3 if quoted else 1 if piece in explain else 0) + (len(piece) == usual)
-                if (k, at) not in best or score > best[k, at][0]:
-                    best[k, at] = score, (piece, *tail[1])
-    return best.get((parts, 0))
-
-
-def _resplit(options, n, explain, letters):
-    words = [(o or "").split() for o in options]
-    if n < 2 or all(len(w) == n for w in words):
-        return list(options)
-    whole = [w for w in words if len(w) == n]
-    usual = [pd.Series([len(w[i]) for w in whole]).mode().iloc[0] if whole else 2 for i in range(n)]
-    out = []
-    for option, w in zip(options, words):
-        glued = "".join(w)
-        fits = len(w) < n <= len(glued) <= 6 * n and all(ch in letters or "一" <= ch <= "鿿" for ch in glued)
-        marks = [sum(map(len, w[:i])) for i in range(1, len(w))]
-        cut = _best_cuts(glued, n, marks, usual, explain or "") if fits else None
-        out.append(" ".join(cut[1]) if cut else option)
-    return out
-
-
-def option_resplit(letters=""):
-    """Pandas UDF (options, blanks, explanation) -> options: glued option words cut into one word per blank."""
-    def run(options: pd.Series, n: pd.Series, explain: pd.Series) -> pd.Series:
-        return pd.Series([_resplit(o, int(k), e, letters) for o, k, e in zip(options, n, explain)])
-    return F.pandas_udf(run, ArrayType(StringType()))
+def _pieces(glued, n, marks, lengths, explain, longest):
+    """``glued`` in ``n`` pieces of at most ``longest`` letters, no mark inside a piece; NULL if there is no such cut.
+
+    A piece scores 3 when the explanation quotes it, 1 when it names it, and 1 more for the usual length. Piece by piece from
+    the end, the best cut of the rest from every place on is kept; of equal ones that with the shorter first piece.
+    """
+    size = F.length(glued)
+    quoted = lambda x: F.exists(F.array(*[F.lit(o) for o in "\"“”「"]), lambda o: F.exists(F.array(*[F.lit(c) for c in "\"“”「"]), lambda c: F.contains(explain, F.concat(o, x, c))))
+    nothing = F.struct(F.lit(0).alias("score"), F.array().cast("array<string>").alias("pieces"))
+    ends = F.transform(F.sequence(F.lit(0), size), lambda at: F.when(at == size, nothing))
+
+    def longer(rest, k):
+        usual = F.element_at(lengths, n - k + 1)
+
+        def cut(at, end):
+            x, tail = F.substring(glued, at + 1, end - at), F.element_at(rest, end + 1)
+            score = tail["score"] + F.when(quoted(x), 3).when(F.contains(explain, x), 1).otherwise(0) + F.when(F.length(x) == usual, 1).otherwise(0)
+            inside = F.exists(marks, lambda m: (m > at) & (m < end))
+            return F.when(tail.isNotNull() & ~inside, F.struct(score.alias("score"), (-end).alias("first"), F.concat(F.array(x), tail["pieces"]).alias("pieces")))
+
+        def best(at):
+            top = F.array_max(F.transform(F.sequence(at + 1, F.least(at + longest, size)), lambda end: cut(at, end)))
+            return F.when((at < size) & top.isNotNull(), F.struct(top["score"].alias("score"), top["pieces"].alias("pieces")))
+        return F.transform(F.sequence(F.lit(0), size), best)
+    return F.element_at(F.aggregate(F.sequence(F.lit(1), n), ends, longer), 1)["pieces"]
+
+
+def option_resplit(options, n, explain, letters="", longest=5, per_blank=6):
+    """Column of options: glued option words cut into one word for each of ``n`` blanks.
+
+    The usual length of a blank's word is the commonest among the options that have all their words (the shorter of equally
+    common ones), else 2. Options with enough words, with other characters or with over ``per_blank`` letters a blank stay.
+    """
+    n = n.cast("int")
+    explain = F.coalesce(explain, F.lit(""))
+    words = F.transform(options, lambda o: F.filter(F.split(F.coalesce(o, F.lit("")), r"\s+"), lambda w: w != ""))
+    whole = F.filter(words, lambda w: F.size(w) == n)
+
+    def usual(i):
+        lens = F.transform(whole, lambda w: F.length(F.element_at(w, i)))
+        votes = F.transform(F.array_distinct(lens), lambda x: F.struct(F.size(F.filter(lens, lambda y: y == x)).alias("n"), (-x).alias("x")))
+        return F.when(F.size(whole) > 0, -F.array_max(votes)["x"]).otherwise(F.lit(2))
+    lengths = F.transform(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), usual)
+    plain = "^[" + re.escape(letters) + "一-鿿]*$"
+
+    def one(option, w):
+        glued = F.array_join(w, "")
+        fits = (F.size(w) < n) & F.length(glued).between(n, per_blank * n) & glued.rlike(plain)
+        marks = F.when(F.size(w) > 1, F.transform(F.sequence(F.lit(1), F.size(w) - 1), lambda j: F.length(F.array_join(F.slice(w, 1, j), "")))).otherwise(F.array().cast("array<int>"))
+        return F.when(fits, F.coalesce(F.array_join(_pieces(glued, n, marks, lengths, explain, longest), " "), option)).otherwise(option)
+    done = (n < 2) | F.forall(words, lambda w: F.size(w) == n)
+    return F.when(done, options).otherwise(F.zip_with(options, words, one))

@@ -206,5 +206,5 @@ def _(v):
     glued = F.when(F.col("p_partkey") % 3 == 0, F.concat(first, last)).otherwise(F.concat_ws(" ", first, last))
     explain = F.concat(F.lit("item A “"), first, F.lit("” and “"), last, F.lit("” fit, “big” and “cog” do not"))
     opts = F.array(glued, F.when(F.col("p_partkey") % 2 == 0, "bigcog").otherwise("big cog"), F.lit("old cog"))
-    u = T.option_resplit(string.ascii_lowercase)
-    return v.table("part").select(F.col("p_partkey").alias("id"), F.array_join(u(opts, F.lit(2), explain), "|").alias("options"))
+    cut = T.option_resplit(opts, F.lit(2), explain, string.ascii_lowercase)
+    return v.table("part").select(F.col("p_partkey").alias("id"), F.array_join(cut, "|").alias("options"))
