@@ -13,12 +13,15 @@ a checksum of its ids. Blocks are rows of Parquet files (any store that Spark wr
 
 States are in [2**31, 2**63); a step moves at most one word of 32 bits. Coding runs backward, decoding forward.
 """
+import json
 import os
 import re
+import unicodedata
 import zlib
 
 import numpy as np
 import pandas as pd
+import regex
 import zstandard
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -31,40 +34,77 @@ LOW = 31
 _SPACE_LIKE = re.compile("[\x1c-\x1f]")
 
 
+class _Met(dict):
+    """What ``code`` gives for a key, kept for the first ``most`` keys."""
+    def __init__(self, code, most):
+        super().__init__()
+        self.code, self.most = code, most
+
+    def __missing__(self, key):
+        got = self.code(key)
+        if len(self) < self.most:
+            self[key] = got
+        return got
+
+
+def _alphabet():
+    """Character that stands for each byte in byte-level vocabularies: printable bytes themselves, the others from 256 on."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in plain]
+    return {b: chr(c) for b, c in [*zip(plain, plain), *zip(rest, range(256, 512))]}
+
+
 class Tokens:
     """Ids of whole texts by a vocabulary file of the tokenizers library, encoded without special tokens.
 
-    The file's splitting never joins text across white space, so a text is coded chunk by chunk, and the ids of chunks met
-    before are kept (at most ``most`` of them). Texts with separators on which the two notions of white space differ go whole.
+    Where the file's splitting drops white space, texts are coded chunk by chunk and chunks piece by piece, by the library's
+    model; the ids of chunks and pieces met before are kept (a bounded number). What is not plain goes through the whole
+    library: chunks of other scripts or with special tokens, texts with separators on which notions of white space differ,
+    and all texts where the file's splitting is another one.
     """
-    def __init__(self, path, most=150_000):
+    def __init__(self, path, most=300_000):
         from tokenizers import Tokenizer
-        self.coder, self.most, self.known = Tokenizer.from_file(path), most, {}
+        self.coder = Tokenizer.from_file(path)
         self.coder.no_padding()
-
-    def _code(self, chunks):
-        return [np.array(e.ids, "<u4").tobytes() for e in self.coder.encode_batch_fast(chunks, add_special_tokens=False)]
-
-    def batch(self, texts, size=1 << 18):
-        """Little-endian 32-bit ids of each text; about ``size`` characters are split at a time."""
-        group, got = [], 0
+        self.model = self.coder.model
+        with open(path, encoding="utf-8") as f:
+            file = json.load(f)
+        steps = lambda x, name: [y["type"] for y in (file.get(x) or {}).get(name, [])]
+        split = (file.get("pre_tokenizer") or {}).get("pretokenizers", [{}])[0]
+        self.chunked = steps("normalizer", "normalizers") == ["NFC", "Replace", "Lowercase"] and steps("pre_tokenizer", "pretokenizers") == ["Split", "ByteLevel"] and split.get("behavior") == "Removed"
+        if self.chunked:
+            self.cut = regex.compile(split["pattern"]["Regex"]).findall
+            self.special = re.compile("|".join(re.escape(t["content"]) for t in file["added_tokens"]) or "(?!)").search
+            self.byte = _alphabet()
+            self.four = [i.to_bytes(4, "little") for i in range(self.coder.get_vocab_size())]
+            self.pieces, self.chunks = _Met(self._piece, most), _Met(self._chunk, most)
+
+    def _whole(self, text):
+        return np.array(self.coder.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
+    def _piece(self, piece):
+        if not piece.isascii():
+            piece = "".join(map(self.byte.__getitem__, piece.encode()))
+        four = self.four
+        return b"".join([four[t.id] for t in self.model.tokenize(piece)])
+
+    def _chunk(self, chunk):
+        if chunk.isascii():
+            if chunk.isalpha():  # one piece
+                return self.pieces[chunk.lower()]
+            if chunk.isprintable() and not self.special(chunk):
+                return b"".join(map(self.pieces.__getitem__, self.cut(chunk.lower())))
+        elif max(chunk) <= "\u024f" and not self.special(chunk):
+            return b"".join(map(self.pieces.__getitem__, self.cut(unicodedata.normalize("NFC", chunk).lower())))
+        return self._whole(chunk)
+
+    def batch(self, texts):
+        """Little-endian 32-bit ids of each text."""
         for t in texts:
-            group.append(t or "")
-            got += len(group[-1])
-            if got >= size:
-                yield from self._group(group)
-                group, got = [], 0
-        yield from self._group(group)
-
-    def _group(self, texts):
-        split = [None if _SPACE_LIKE.search(t) else t.split() for t in texts]
-        if len(self.known) > self.most:
-            self.known.clear()
-        known = self.known
-        new = list({c for s in split if s for c in s if c not in known})
-        known.update(zip(new, self._code(new)))
-        get = known.__getitem__
-        return [self._code([t])[0] if s is None else b"".join(map(get, s)) for t, s in zip(texts, split)]
+            if not self.chunked or t and _SPACE_LIKE.search(t):
+                yield self._whole(t or "")
+            else:
+                yield b"".join(map(self.chunks.__getitem__, (t or "").split()))
 
 
 def table(counts, bits=None):

@@ -151,8 +151,8 @@ def test_tokens_are_those_of_the_library():
     from tokenizers import Tokenizer
     path = P.path("word_bpe_49k.json")
     whole = Tokenizer.from_file(path)
-    texts = [t or "" for t in TEXTS] + ["It's 42 <|endoftext|> a<|startoftext|>b", "Ünïcodé a ́b", "ΣΑΣ İstanbul ǅ", "a\x1cb\x1fc d", " x y　z\x85w", "don't we'll!? 1234"]
-    got = [*rans.Tokens(path, most=5).batch(texts, size=4), *rans.Tokens(path).batch(texts)]
+    texts = [t or "" for t in TEXTS] + ["It's 42 <|endoftext|> a<|startoftext|>b", "Ünïcodé a ́b", "ΣΑΣ İstanbul ǅ", "a\x1cb\x1fc d", " x y　z\x85w", "don't we'll!? 1234", "e\u0301 A\u030a \u0130I \u0149 \u017f \u00df-\u1e9e \u00b2\u00bd \u00aa_\u00ba ~`^ \x7f\x01a \u0080", "<|x|> <| a|>"]
+    got = [*rans.Tokens(path, most=5).batch(texts), *rans.Tokens(path).batch(texts)]
     want = [e.ids for e in whole.encode_batch(texts, add_special_tokens=False)] * 2
     assert [np.frombuffer(b, "<u4").tolist() for b in got] == want
 
@@ -230,3 +230,11 @@ def test_schema_errors():
 def test_checksum_is_that_of_zlib():
     ids = np.array([1, 2, 70_000], "<u4")
     assert zlib.crc32(ids.tobytes()) == zlib.crc32(b"".join(int(i).to_bytes(4, "little") for i in ids))
+
+
+def test_tokens_of_other_splittings_go_whole():
+    P = pytest.importorskip("public_tokenizers")
+    from tokenizers import Tokenizer
+    path = P.path("byte_bpe_50k.json")
+    texts = ["a  b c\n d", "", "It's  42"]
+    assert [np.frombuffer(b, "<u4").tolist() for b in rans.Tokens(path).batch(texts)] == [e.ids for e in Tokenizer.from_file(path).encode_batch(texts, add_special_tokens=False)]
