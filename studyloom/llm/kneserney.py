@@ -164,15 +164,16 @@ def assemble(m, which):
     full = 1 << CONTEXT_BITS
     shared = -full * np.log1p(-np.minimum(m["shared"], full - 1) / full) + 0.5
     shared /= shared.sum()
-    model = {"held": m[1, 2]}
+    # what the discount takes off goes to the shared counts, with one weight for both classes: what neither class knows says nothing
+    words = [m[0, c] for c in (0, 1)]
+    whole = [max(1.0, float(w.sum(dtype=np.float64))) for w in words]
+    spare = sum(float(np.minimum(w, d).sum(dtype=np.float64)) for w in words) / sum(whole) if any(w.any() for w in words) else 1.0
+    after = m[2, 0] + m[2, 1]
+    model = {"held": m[1, 2], "rest": np.where(after > 0, (m[3 + which, 0] + m[3 + which, 1]) / np.maximum(after, 1), 1).astype(np.float32)}
     for c in (0, 1):
-        word, pair, before, off = m[0, c], m[1, c], m[2, c], m[3 + which, c]
-        n = max(1.0, float(word.sum(dtype=np.float64)))
-        spare = float(np.minimum(word, d).sum(dtype=np.float64)) / n if word.any() else 1.0
-        model["uni", c] = (np.maximum(word - d, 0) / n + spare * shared).astype(np.float32)
-        model["pair", c] = np.maximum(pair - d, 0).astype(np.float32)
-        model["before", c] = np.maximum(before, 1).astype(np.float32)
-        model["rest", c] = np.where(before > 0, np.minimum(1, off / np.maximum(before, 1)), 1).astype(np.float32)
+        model["uni", c] = (np.maximum(words[c] - d, 0) / whole[c] + spare * shared).astype(np.float32)
+        model["pair", c] = np.maximum(m[1, c] - d, 0).astype(np.float32)
+        model["before", c] = np.maximum(m[2, c], 1).astype(np.float32)
     return model
 
 
@@ -181,7 +182,7 @@ def ratios(model, word, before, pair):
     slot = _pair_slot(pair)
     place = slot >> SPARE_BITS
     held = model["held"][place] == (before << PAIR_BITS | slot)
-    p = [held * model["pair", c][place] / model["before", c][before] + model["rest", c][before] * model["uni", c][word] for c in (0, 1)]
+    p = [held * model["pair", c][place] / model["before", c][before] + model["rest"][before] * model["uni", c][word] for c in (0, 1)]
     return np.log(p[1]) - np.log(p[0])
 
 
