@@ -33,27 +33,31 @@ def fold_documents(df, order, fn, schema, key="doc"):
 
 
 def attach_exact(rows, near=12, reach=120):
-    """Exact answer attachment over rows (seq, kind, num, ans, letters, table) of one document.
+    """Exact answer attachment: (doc, seq, q_seq, ans) for ``rows(doc, seq, kind, num, ans, letters, table)``.
 
-    An answer goes to the nearest preceding question of its number that has none, which is then used up. A table key may
-    overwrite an answered question within ``near`` blocks and reaches ``reach`` back; letters must be among the options.
+    An answer (``a``) looks for the nearest question (``q``) before it with its number that has no answer yet; an answer from a
+    table may also take one that has, at most ``near`` rows back. It is attached if all its letters are among the question's,
+    if it says something new, and, from a table, if the question is at most ``reach`` rows back. A document's rows of one number
+    are a short array, gone through in order.
     """
-    open_, out = {}, []
-    for pos, (seq, kind, num, ans, letters, table) in enumerate(rows):
-        if kind == "q":
-            open_.setdefault(num, []).append([pos, seq, ans, letters])
-        elif kind == "a":
-            for q in reversed(open_.get(num, [])):
-                if q[2] is not None:
-                    if not (table and pos - q[0] <= near):
-                        continue
-                    if q[2] == ans:
-                        break
-                if set(ans) <= set(q[3]) and not (table and pos - q[0] > reach):
-                    q[2] = ans
-                    out.append((seq, q[1], ans))
-                break
-    return out
+    at = F.row_number().over(W.partitionBy("doc").orderBy("seq"))
+    row = F.struct(at.alias("pos"), F.col("seq").cast("bigint").alias("seq"), "kind", "ans", "letters", "table")
+    lists = rows.select("doc", "num", row.alias("x")).groupBy("doc", "num").agg(F.array_sort(F.collect_list("x")).alias("xs"))
+    start = F.struct(F.array().cast("array<struct<pos:int,seq:bigint,ans:string,letters:string>>").alias("asked"),
+                     F.array().cast("array<struct<seq:bigint,q_seq:bigint,ans:string>>").alias("got"))
+
+    def step(acc, x):
+        back = lambda q: x["pos"] - q["pos"]
+        free = F.filter(acc["asked"], lambda q: q["ans"].isNull() | (x["table"] & (back(q) <= near)))
+        q = F.get(free, F.size(free) - 1)
+        fits = F.forall(F.split(x["ans"], ""), lambda c: F.contains(q["letters"], c)) & ~q["ans"].eqNullSafe(x["ans"]) & ~(x["table"] & (back(q) > reach))
+        take = (x["kind"] == "a") & q.isNotNull() & F.coalesce(fits, F.lit(False))
+        fresh = F.struct(x["pos"].alias("pos"), x["seq"].alias("seq"), x["ans"].alias("ans"), x["letters"].alias("letters"))
+        known = F.transform(acc["asked"], lambda o: F.when(o["pos"] == q["pos"], o.withField("ans", x["ans"])).otherwise(o))
+        pair = F.struct(x["seq"].alias("seq"), q["seq"].alias("q_seq"), x["ans"].alias("ans"))
+        return F.struct(F.when(x["kind"] == "q", F.concat(acc["asked"], F.array(fresh))).when(take, known).otherwise(acc["asked"]).alias("asked"),
+                        F.when(take, F.concat(acc["got"], F.array(pair))).otherwise(acc["got"]).alias("got"))
+    return lists.select("doc", F.inline(F.aggregate("xs", start, step)["got"]))
 
 
 def anchor_chain(rows, gap=0.2, jump=15, restart=0.8, back=400):

@@ -218,7 +218,7 @@ def _(v):
 def _(v):
     d = v.qblocks.where("kind IN ('q', 'a')").select("doc", "seq", "kind", "num", F.when(F.col("kind") == "a", F.col("ans")).alias("ans"),
                                                      F.lit("ABCD").alias("letters"), F.lit(False).alias("table"))
-    return P.fold_documents(d, ["seq"], P.attach_exact, "doc bigint, seq bigint, q_seq bigint, ans string")
+    return P.attach_exact(d)
 
 
 @query("anchor_chain")

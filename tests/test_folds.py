@@ -103,18 +103,18 @@ def test_scans_cross_buckets(spark):
     assert {(a, b): c for a, b, c in rows(scan.asof_backward(left, right, ["k"], "o", "v", width=4).na.fill(-1), "k", "o", "matched")} == {(1, 5): 50, (1, 9): 80, (3, 1): -1}
 
 
-def test_attach_exact():
+def test_attach_exact(spark):
     q = lambda s, n, a=None: (s, "q", n, a, "ABCD", False)
     a = lambda s, n, x, t=False: (s, "a", n, x, "", t)
-    # two answers with one number go to two questions, nearest first
-    assert folds.attach_exact([q(0, 1), q(1, 1), a(2, 1, "A"), a(3, 1, "B"), a(4, 1, "C")]) == [(2, 1, "A"), (3, 0, "B")]
-    # a letter that is no option is refused and uses nothing up
-    assert folds.attach_exact([q(0, 1), a(1, 1, "E"), a(2, 1, "D")]) == [(2, 0, "D")]
-    # a table key right below may correct an answered question, a plain line may not
-    assert folds.attach_exact([q(0, 1, "B"), a(1, 1, "A", True)]) == [(1, 0, "A")]
-    assert folds.attach_exact([q(0, 1, "B"), a(1, 1, "A")]) == []
     far = [q(0, 1)] + [(i, "x", 0, None, "", False) for i in range(1, 130)] + [a(130, 1, "A", True)]
-    assert folds.attach_exact(far) == []
+    docs = [[q(0, 1), q(1, 1), a(2, 1, "A"), a(3, 1, "B"), a(4, 1, "C")],  # two answers with one number go to two questions, nearest first
+            [q(0, 1), a(1, 1, "E"), a(2, 1, "D")],  # a letter that is no option is refused and uses nothing up
+            [q(0, 1, "B"), a(1, 1, "A", True)],  # a table key right below may correct an answered question,
+            [q(0, 1, "B"), a(1, 1, "A")],  # a plain line may not
+            far, [q(0, 1), a(1, 1, None), a(2, 2, "A")]]
+    d = spark.createDataFrame([(i, *r) for i, rs in enumerate(docs) for r in rs], "doc bigint, seq bigint, kind string, num bigint, ans string, letters string, table boolean")
+    got = rows(folds.attach_exact(d), "doc", "seq", "q_seq", "ans")
+    assert got == [(0, 2, 1, "A"), (0, 3, 0, "B"), (1, 2, 0, "D"), (2, 1, 0, "A")]
 
 
 def _best_chain(c):
