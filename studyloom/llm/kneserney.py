@@ -61,7 +61,7 @@ def contexts_of(docs, text_col, parts):
             for _, word, _, pair, _, _ in _words(pdf["text"]):
                 got.append(np.unique((word.astype(np.uint64) << np.uint64(CONTEXT_BITS) | (pair & np.uint64((1 << CONTEXT_BITS) - 1))).astype(np.uint32)))
                 size += len(got[-1])
-                if size > 4_000_000:
+                if size > 1_000_000:
                     yield from cut(got)
                     got, size = [], 0
         yield from cut(got)

@@ -1,6 +1,9 @@
 """Intermediate tables in the folder that the session names in ``spark.checkpoint.dir``."""
 import uuid
 
+#: Rows in an Arrow batch at most: texts and shingle lists are long, and a Python worker holds a batch several times.
+BATCH_ROWS = 1000
+
 from studyloom.session import checkpoint_dir
 
 
@@ -11,6 +14,10 @@ class Scratch:
         self.spark = spark
         self.base = f"{checkpoint_dir(spark)}/llm-{uuid.uuid4().hex}"
         self.n = 0
+        rows = "spark.sql.execution.arrow.maxRecordsPerBatch"
+        now = int(spark.conf.get(rows))
+        if now <= 0 or now > BATCH_ROWS:
+            spark.conf.set(rows, str(BATCH_ROWS))
 
     def keep(self, df):
         """Write ``df`` and return it as read back: the lineage ends here, and a lost executor costs nothing before it."""

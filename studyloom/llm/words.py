@@ -26,7 +26,7 @@ def _powers(n):
     return np.multiply.accumulate(p)
 
 
-def groups(texts, size=1 << 21):
+def groups(texts, size=1 << 19):
     """(first, list of folded UTF-8 texts) in groups of about ``size`` bytes; NULL counts as empty."""
     first, out, got = 0, [], 0
     for i, t in enumerate(texts):
