@@ -5,7 +5,8 @@ contexts, not occurrences: a hundred copies of one document are no more evidence
 continuation counts: in how many contexts a word follows anything, gathered over all documents. A word or expression that a
 class has hardly seen is thus judged by counts that both classes share, and says nothing either way.
 
-Words are hashed to fixed numbers of buckets, so that a fitted model has a fixed size whatever the corpus. A document's
+Words and pairs are 64-bit hashes, each counted for itself. Only words of the labelled rows can tell the classes apart: any other
+word has the same chance in both, so a model holds the words of the labelled rows and their exact counts over all documents. A document's
 features are length-normalised log-likelihood ratios (of the whole text, and of its most suspicious stretch of words); a
 logistic curve, fitted on labelled rows that the counts have not seen, turns them into a score.
 """
@@ -19,25 +20,28 @@ from pyspark.sql import functions as F
 from studyloom.llm.tables import Scratch
 from studyloom.llm.words import groups, mix, owners, word_hashes
 
-WORD_BITS, PAIR_BITS, CONTEXT_BITS = 20, 22, 12
-#: Pairs have 2**(PAIR_BITS - SPARE_BITS) places; each place knows which pair it holds.
-SPARE_BITS = 2
+#: Buckets of ``context_keys`` and of a model that is filled without a list of words.
+WORD_BITS, PAIR_BITS = 20, 22
 #: What may be taken off every count (all of it, if it is less); the value that fits unseen labelled rows best is used.
 DISCOUNTS = (2, 3, 6, 10)
 #: Words in a stretch.
 STRETCH = 2
 
 
+def _pair(before, word):
+    return mix((before * np.uint64(0x9E3779B97F4A7C15) + word) * np.uint64(0x9E3779B97F4A7C15))
+
+
 def _words(texts):
-    """Per group of texts: (first, word buckets, 64-bit pair hashes with the word before, text of each word, number of texts)."""
+    """Per group of texts: (first, words, words before (0 at the start), pairs of both, text of each word, number of texts), as 64-bit hashes."""
     for first, folded in groups(texts):
         h, offs = word_hashes(folded)
         own = owners(offs)
         before = np.concatenate([h[:1], h[:-1]])
         starts = np.concatenate([[True], own[1:] != own[:-1]])[:len(h)]
         before = np.where(starts, np.uint64(0), before)
-        pair = mix((before * np.uint64(0x9E3779B97F4A7C15) + h) * np.uint64(0x9E3779B97F4A7C15))
-        yield first, (h >> np.uint64(64 - WORD_BITS)).astype(np.int64), (before >> np.uint64(64 - WORD_BITS)).astype(np.int64), pair, own, len(folded)
+        pair = _pair(before, h)
+        yield first, h, before, pair, own, len(folded)
 
 
 def _counted(keys):
@@ -45,21 +49,46 @@ def _counted(keys):
     return k.astype(np.int64), n.astype(np.int64)
 
 
-def _pair_slot(pair):
-    return (pair >> np.uint64(64 - PAIR_BITS)).astype(np.int64)
+def _bucket(h, bits=WORD_BITS):
+    return (h >> np.uint64(64 - bits)).astype(np.int64)
+
+
+def index(known):
+    """(sorted hashes, first place of each range of hashes, bits of a range): what ``find`` looks in."""
+    bits = max(1, len(known)).bit_length() + 2
+    return known, np.searchsorted(known >> np.uint64(64 - bits), np.arange((1 << bits) + 1, dtype=np.uint64)).astype(np.int32), bits
+
+
+def find(table, h):
+    """Place of each hash among the known ones; their number if it is none of them."""
+    known, first, bits = table
+    out = np.full(len(h), len(known), np.int64)
+    span = _bucket(h, bits)
+    at, end, open_ = first[span], first[span + 1], np.arange(len(h))
+    while len(open_):
+        inside = at < end
+        at, end, open_ = at[inside], end[inside], open_[inside]
+        same = known[at] == h[open_]
+        out[open_[same]] = at[same]
+        at, end, open_ = at[~same] + 1, end[~same], open_[~same]
+    return out
 
 
-def contexts_of(docs, text_col, parts):
-    """(part, words, contexts): for ranges of word buckets, in how many contexts each occurs over all documents.
+def contexts_of(docs, text_col, parts, words):
+    """(word, contexts): in how many contexts each of the sorted hashes ``words`` occurs over all documents.
 
-    A context is the word before, hashed to 2**CONTEXT_BITS values (``assemble`` corrects for values that meet). A task
-    sends the distinct (word, context) keys it has seen, at most 2**CONTEXT_BITS for a word, however common it is.
+    ``word`` is the place in ``words``; the last place, their number, counts the pairs of all other words. A key is the place
+    and the rest of 64 bits (over 40) of the pair's hash. Keys are dealt by the pair, so a common word is spread over all parts.
     """
+    width = np.uint64(64 - len(words).bit_length())
+    low = np.uint64(1) << width
+    shared = docs.sparkSession.sparkContext.broadcast(words)
+
     def seen(frames):
-        got, size = [], 0
+        got, size, table = [], 0, index(shared.value)
         for pdf in frames:
-            for _, word, _, pair, _, _ in _words(pdf["text"]):
-                got.append(np.unique((word.astype(np.uint64) << np.uint64(CONTEXT_BITS) | (pair & np.uint64((1 << CONTEXT_BITS) - 1))).astype(np.uint32)))
+            for _, h, _, pair, _, _ in _words(pdf["text"]):
+                got.append(np.unique(find(table, h).astype(np.uint64) << width | pair & (low - np.uint64(1))))
                 size += len(got[-1])
                 if size > 1_000_000:
                     yield from cut(got)
@@ -67,75 +96,118 @@ def contexts_of(docs, text_col, parts):
         yield from cut(got)
 
     def cut(got):
-        keys = np.unique(np.concatenate(got)) if got else np.zeros(0, np.uint32)
-        part = keys.astype(np.uint64) * np.uint64(parts) >> np.uint64(32)
-        edges = np.searchsorted(part, np.arange(parts + 1))
-        rows = [(p, keys[a:b].tobytes()) for p, (a, b) in enumerate(zip(edges, edges[1:])) if b > a]
+        keys = np.unique(np.concatenate(got)) if got else np.zeros(0, np.uint64)
+        part = ((keys & (low - np.uint64(1))) >> (width - np.uint64(24))) * np.uint64(parts) >> np.uint64(24)
+        order = np.argsort(part, kind="stable")
+        edges = np.searchsorted(part[order], np.arange(parts + 1, dtype=np.uint64))
+        # bytes of one rank stand together: those of the word and of the part are alike, and compress
+        rows = [(p, np.ascontiguousarray(keys[order[a:b]].view(np.uint8).reshape(-1, 8).T).tobytes()) for p, (a, b) in enumerate(zip(edges, edges[1:])) if b > a]
         if rows:
             yield pd.DataFrame(rows, columns=["part", "keys"])
 
     def total(pdf):
-        keys = np.unique(np.concatenate([np.unique(np.frombuffer(k, np.uint32)) for k in pdf["keys"]]))
-        word, n = _counted(keys >> np.uint32(CONTEXT_BITS))
-        return pd.DataFrame([(word.astype(np.int32).tobytes(), n.astype(np.int32).tobytes())], columns=["words", "contexts"])
+        keys = np.unique(np.concatenate([np.ascontiguousarray(np.frombuffer(k, np.uint8).reshape(8, -1).T).view(np.uint64).ravel() for k in pdf["keys"]]))
+        word, n = _counted(keys >> width)
+        return pd.DataFrame({"word": word, "contexts": n})
     return (docs.select(F.col(text_col).alias("text")).mapInPandas(seen, "part int, keys binary")
-            .groupBy("part").applyInPandas(total, "words binary, contexts binary"))
+            .groupBy("part").applyInPandas(total, "word bigint, contexts bigint").groupBy("word").agg(F.sum("contexts").alias("contexts")))
+
+
+def _before_that(before, own):
+    """The word before the word before; 0 if the text has none."""
+    return np.where(np.concatenate([[True], own[1:] != own[:-1]])[:len(own)], before.dtype.type(0), np.concatenate([before[:1], before[:-1]]))
 
 
 def context_keys(texts, y):
-    """[(kind, class, distinct keys)]: words with the word before (kind 0), pairs with the word before them (kind 1)."""
+    """[(kind, class, distinct keys in buckets)]: words with the word before (kind 0), pairs with the word before them (kind 1)."""
     out = []
     for first, word, before, pair, own, n in _words(texts):
         cls = np.asarray(y)[first:first + n][own]
-        second = np.where(np.concatenate([[True], own[1:] != own[:-1]])[:len(own)], 0, np.concatenate([before[:1], before[:-1]]))
-        for kind, keys in ((0, word << WORD_BITS | before), (1, before << PAIR_BITS + WORD_BITS | _pair_slot(pair) << WORD_BITS | second)):
+        word, before = _bucket(word), _bucket(before)
+        for kind, keys in ((0, word << WORD_BITS | before), (1, before << PAIR_BITS + WORD_BITS | _bucket(pair, PAIR_BITS) << WORD_BITS | _before_that(before, own))):
             out += [(kind, c, np.unique(keys[cls == c])) for c in (0, 1)]
     return out
 
 
-def _class_counts(rows):
-    """Context counts by class over the labelled rows: (kind, c, keys, counts) in ranges of a fixed size at most."""
+def _vocabulary(rows):
+    """The words of the labelled rows as sorted hashes; 0, the start of a text, is one of them."""
     def part(frames):
         for pdf in frames:
-            for kind, c, k in context_keys(pdf["text"], pdf["y"]):
-                yield pd.DataFrame({"kind": kind, "c": c, "k": k})
-    got = (rows.mapInPandas(part, "kind int, c int, k bigint").distinct()
-           .groupBy("kind", "c", F.shiftright("k", WORD_BITS).alias("k")).agg(F.count("*").alias("n")))
-    pairs = got.where("kind = 1").withColumn("before", F.shiftright("k", PAIR_BITS))
-    # kind 2: all contexts of what follows a word; kinds 3, 4, ...: what each discount takes off them
-    totals = [F.sum("n")] + [F.sum(F.least(F.col("n"), F.lit(d))) for d in DISCOUNTS]
-    sides = (pairs.groupBy("c", F.col("before").alias("k")).agg(F.array(*[t.cast("double") for t in totals]).alias("v"))
-             .select("c", "k", F.posexplode("v").alias("kind", "n")).select((F.col("kind") + 2).alias("kind"), "c", "k", "n"))
-    # a pair that every discount takes off whole needs no place; of pairs that meet in one, the most frequent has it
-    n = [F.coalesce(F.sum(F.when(F.col("c") == c, F.col("n"))), F.lit(0)).alias(f"n{c}") for c in (0, 1)]
-    place = F.shiftright(F.col("k").bitwiseAND((1 << PAIR_BITS) - 1), SPARE_BITS)
-    slots = (pairs.where(F.col("n") > min(DISCOUNTS)).groupBy("k").agg(*n).groupBy(place.alias("p")).agg(F.max(F.struct(F.expr("n0 + n1"), "k", "n0", "n1")).alias("x"))
-             .select(F.col("p").alias("k"), F.explode(F.array(*[F.struct(F.lit(c).alias("c"), F.col(f"x.n{c}").alias("n")) for c in (0, 1)],
-                                                              F.struct(F.lit(2).alias("c"), F.col("x.k").alias("n")))).alias("y"))
-             .select(F.lit(1).alias("kind"), "y.c", "k", F.col("y.n").cast("double").alias("n")))
-    word = got.where("kind = 0").select("kind", "c", "k", F.col("n").cast("double").alias("n"))
-    return (word.unionByName(sides).unionByName(slots).groupBy("kind", "c", F.shiftright("k", 16).alias("part"))
-            .applyInPandas(_pack, "kind int, c int, ks binary, ns binary"))
+            for _, word, *_ in _words(pdf["text"]):
+                yield pd.DataFrame({"k": np.unique(word).view(np.int64)})
 
+    def pack_words(pdf):
+        return pd.DataFrame([(pdf["k"].to_numpy(np.int64).tobytes(),)], columns=["ks"])
+    got = rows.mapInPandas(part, "k bigint").distinct().groupBy(F.pmod("k", F.lit(64))).applyInPandas(pack_words, "ks binary").collect()
+    return np.unique(np.concatenate([np.zeros(1, np.uint64), *[np.frombuffer(r.ks, np.uint64) for r in got]]))
 
-def _pack(pdf):
-    return pd.DataFrame([(int(pdf["kind"].iloc[0]), int(pdf["c"].iloc[0]), pdf["k"].to_numpy(np.int32).tobytes(), pdf["n"].to_numpy(float).tobytes())],
-                        columns=["kind", "c", "ks", "ns"])
 
+def _class_counts(rows, words):
+    """Context counts over the labelled rows: (kind, ks, ns) with the counts of both classes per key; of all totals for kind 2.
+
+    Keys are places in ``words``: a word (kinds 0 and 2), or the word before and the word (kind 1).
+    """
+    shared = rows.sparkSession.sparkContext.broadcast(words)
+
+    def part(frames):
+        table = index(shared.value)
+        for pdf in frames:
+            for first, word, before, _, own, n in _words(pdf["text"]):
+                word, before = find(table, word), find(table, before)
+                yield pd.DataFrame({"c": pdf["y"].to_numpy()[first:first + n][own], "k": before << 32 | word,
+                                    "x": _before_that(before, own)}).drop_duplicates()
+    got = rows.mapInPandas(part, "c int, k bigint, x int").distinct().groupBy("c", "k").agg(F.count("*").cast("double").alias("n"))
+    by_class = lambda e: [F.coalesce(F.sum(F.when(F.col("c") == c, e)), F.lit(0.0)) for c in (0, 1)]
+    # kind 2: all contexts of what follows a word, and what each discount takes off them
+    totals = [F.col("n")] + [F.least(F.col("n"), F.lit(float(d))) for d in DISCOUNTS]
+    word = got.groupBy(F.lit(0).alias("kind"), F.col("k").bitwiseAND((1 << 32) - 1).alias("k")).agg(F.array(*by_class(F.lit(1.0))).alias("v"))
+    # a pair that every discount takes off whole needs no place
+    slots = got.where(F.col("n") > min(DISCOUNTS)).groupBy(F.lit(1).alias("kind"), "k").agg(F.array(*by_class(F.col("n"))).alias("v"))
+    sides = got.groupBy(F.lit(2).alias("kind"), F.shiftright("k", 32).alias("k")).agg(F.array(*[x for t in totals for x in by_class(t)]).alias("v"))
+    return (word.unionByName(slots).unionByName(sides).groupBy("kind", F.pmod("k", F.lit(64)).alias("part"))
+            .applyInPandas(_pack, "kind int, ks binary, ns binary"))
 
-def fit_counts(rows, contexts):
-    """Counts by (kind, class) and shared contexts, packed. rows: (text, y) of a bounded sample; all sizes are fixed."""
-    counts = [(r.kind, r.c, np.frombuffer(r.ks, np.int32), np.frombuffer(r.ns)) for r in _class_counts(rows).collect()]
-    seen = [(np.frombuffer(r.words, np.int32), np.frombuffer(r.contexts, np.int32)) for r in contexts.collect()]
-    return pack(filled(counts, seen))
 
+def _pack(pdf):
+    return pd.DataFrame([(int(pdf["kind"].iloc[0]), pdf["k"].to_numpy(np.int64).tobytes(), np.concatenate(pdf["v"].to_list()).astype(float).tobytes())],
+                        columns=["kind", "ks", "ns"])
 
-def filled(counts, seen):
-    m = {(k, c): np.zeros(1 << (PAIR_BITS - SPARE_BITS if k == 1 else WORD_BITS), np.int32) for k in range(3 + len(DISCOUNTS)) for c in (0, 1)}
-    m[1, 2] = np.full(1 << PAIR_BITS - SPARE_BITS, -1, np.int64)
+
+def fit_counts(rows, contexts):
+    """Counts by (kind, class) and shared contexts, packed. rows: (text, y) of the labelled rows; contexts: of a list of words, as ``contexts_of``."""
+    words = _vocabulary(rows)
+    got = {}
+    for r in _class_counts(rows, words).collect():
+        k = np.frombuffer(r.ks, np.int64)
+        got.setdefault(r.kind, []).append((k, np.frombuffer(r.ns).reshape(len(k), -1)))
+    got = {kind: [np.concatenate(x) for x in zip(*many)] for kind, many in got.items()}
+    pairs = np.zeros(0, np.uint64)
+    if 1 in got:
+        k, n = got[1]
+        h = _pair(words[k >> 32], words[k & 0xFFFFFFFF])
+        order = np.argsort(h)
+        pairs, got[1] = h[order], (np.arange(len(h)), n[order])
+    counts = [(kind + i // 2, i % 2, k, n[:, i]) for kind, (k, n) in got.items() for i in range(n.shape[1])]
+    seen = (contexts(words).groupBy(F.pmod("word", F.lit(64)).alias("part"))  # no more than the words of the labelled rows, and one
+            .applyInPandas(_pack_contexts, "ks binary, ns binary").collect())
+    return pack(filled(counts, [(np.frombuffer(r.ks, np.int64), np.frombuffer(r.ns, np.int64)) for r in seen], words, pairs))
+
+
+def _pack_contexts(pdf):
+    return pd.DataFrame([(pdf["word"].to_numpy(np.int64).tobytes(), pdf["contexts"].to_numpy(np.int64).tobytes())], columns=["ks", "ns"])
+
+
+def filled(counts, seen, words=None, pairs=None):
+    """Arrays by (kind, class): of places among ``words`` and ``pairs`` and one for all others, or of word buckets and no pairs."""
+    size = 1 << WORD_BITS if words is None else len(words) + 1
+    pairs = np.zeros(0, np.uint64) if pairs is None else pairs
+    m = {(k, c): np.zeros(len(pairs) + 1 if k == 1 else size, np.int32) for k in range(3 + len(DISCOUNTS)) for c in (0, 1)}
     for kind, c, k, n in counts:
         m[kind, c][k] = n
-    m["shared"] = np.zeros(1 << WORD_BITS, np.int32)
+    m["pairs"] = pairs
+    if words is not None:
+        m["words"] = words
+    m["shared"] = np.zeros(size, np.int64)
     for k, n in seen:
         m["shared"][k] = n
     return m
@@ -161,15 +233,14 @@ def unpacked(packed, which):
 def assemble(m, which):
     """The model that takes DISCOUNTS[which] off every count."""
     d = DISCOUNTS[which]
-    full = 1 << CONTEXT_BITS
-    shared = -full * np.log1p(-np.minimum(m["shared"], full - 1) / full) + 0.5
+    shared = m["shared"] + 0.5
     shared /= shared.sum()
     # what the discount takes off goes to the shared counts, with one weight for both classes: what neither class knows says nothing
     words = [m[0, c] for c in (0, 1)]
     whole = [max(1.0, float(w.sum(dtype=np.float64))) for w in words]
     spare = sum(float(np.minimum(w, d).sum(dtype=np.float64)) for w in words) / sum(whole) if any(w.any() for w in words) else 1.0
     after = m[2, 0] + m[2, 1]
-    model = {"held": m[1, 2], "rest": np.where(after > 0, (m[3 + which, 0] + m[3 + which, 1]) / np.maximum(after, 1), 1).astype(np.float32)}
+    model = {"pairs": index(m["pairs"]), "words": index(m["words"]) if "words" in m else None, "rest": np.where(after > 0, (m[3 + which, 0] + m[3 + which, 1]) / np.maximum(after, 1), 1).astype(np.float32)}
     for c in (0, 1):
         model["uni", c] = (np.maximum(words[c] - d, 0) / whole[c] + spare * shared).astype(np.float32)
         model["pair", c] = np.maximum(m[1, c] - d, 0).astype(np.float32)
@@ -179,10 +250,9 @@ def assemble(m, which):
 
 def ratios(model, word, before, pair):
     """Per word: log of its chance after the word before it in the toxic class, less that in the ordinary class."""
-    slot = _pair_slot(pair)
-    place = slot >> SPARE_BITS
-    held = model["held"][place] == (before << PAIR_BITS | slot)
-    p = [held * model["pair", c][place] / model["before", c][before] + model["rest"][before] * model["uni", c][word] for c in (0, 1)]
+    word, before = (_bucket(h) if model["words"] is None else find(model["words"], h) for h in (word, before))
+    place = find(model["pairs"], pair)
+    p = [model["pair", c][place] / model["before", c][before] + model["rest"][before] * model["uni", c][word] for c in (0, 1)]
     return np.log(p[1]) - np.log(p[0])
 
 
@@ -249,7 +319,8 @@ def scorer(spark, docs, labels, id_col, text_col, label_col, train, calibrate, m
     if len(have) < 4:
         return lambda column: F.lit(0.49)
     parts = max(8, -(-docs.count() // rows_per_part))
-    counts = spark.sparkContext.broadcast(fit_counts(picked.where("use = 0").repartition(max(8, most // 500)), contexts_of(docs, text_col, parts)))
+    counts = spark.sparkContext.broadcast(fit_counts(picked.where("use = 0").repartition(max(8, most // 500)),
+                                                    lambda words: contexts_of(docs, text_col, parts, words)))
 
     def measure(frames):
         frames = list(frames)  # a share of the bounded sample

@@ -270,6 +270,36 @@ def test_toxicity_on_held_out_rows(spark):
     assert kneserney.classify(spark, docs(spark, []), labels, **queries.TOXICITY).count() == 0
 
 
+def test_toxicity_counts_are_exact(spark):
+    """More than 4,096 contexts of a word, words that share the first 20 bits of their hash, and several pairs in each such range."""
+    from studyloom.llm.words import word_hashes
+    many = " ".join(f"c{i} hot" for i in range(20_000))
+    name = [f"v{i}" for i in range(6000)]
+    hashed = word_hashes([" ".join(name).encode()])[0]
+    bucket, n = np.unique(kneserney._bucket(hashed), return_counts=True)
+    twins = [name[i] for i in np.flatnonzero(np.isin(kneserney._bucket(hashed), bucket[n > 1]))]
+    assert len(twins) > 10
+    text = [" ".join(f"{a}{j} {w} {w}x" for w in twins for j in range(4)) for a in "pq"]
+    rows = [(0, many), (1, many), (2, text[0]), (3, text[1])]
+    want = {}
+    for _, t in rows:
+        w = [""] + t.split()
+        for a, b in zip(w, w[1:]):
+            want.setdefault(b, set()).add(a)
+    known = ["hot", *twins]
+    at = word_hashes([" ".join(known).encode()])[0]
+    order = np.argsort(at)
+    got = {r.word: r.contexts for r in kneserney.contexts_of(docs(spark, rows), "text", 5, at[order]).collect()}
+    assert [got[i] for i in range(len(known))] == [len(want[known[j]]) for j in order] and got[0] != got[len(known)]
+    assert got[len(known)] == sum(len(v) for k, v in want.items() if k not in known)
+    labelled = spark.createDataFrame([(text[0], 1), (text[1], 0)], "text string, y int")
+    packed = kneserney.fit_counts(labelled, lambda words: kneserney.contexts_of(docs(spark, rows), "text", 5, words))
+    m = {k: np.frombuffer(kneserney.zlib.decompress(z), t) for k, (t, z) in packed[1].items()}
+    at = {w: i for w, i in zip(twins, np.searchsorted(m["words"], word_hashes([" ".join(twins).encode()])[0]))}
+    assert len(m["pairs"]) == len(twins)  # "w wx" after four words each; no place is taken by another pair
+    assert all(m[0, 0][i] == m[0, 1][i] == 4 and m["shared"][i] == 8 for i in at.values()) and sorted(m[1, 1][:-1]) == [4] * len(twins)
+
+
 def test_quality_on_held_out_rows(spark):
     rows, labels = _labelled(spark)
     run = lambda d, lab: quadratic.classify(spark, d, lab, "doc_id", "text", "quality", queries.bucket("doc_id", 3) != 1).collect()

@@ -238,3 +238,12 @@ def test_tokens_of_other_splittings_go_whole():
     path = P.path("byte_bpe_50k.json")
     texts = ["a  b c\n d", "", "It's  42"]
     assert [np.frombuffer(b, "<u4").tolist() for b in rans.Tokens(path).batch(texts)] == [e.ids for e in Tokenizer.from_file(path).encode_batch(texts, add_special_tokens=False)]
+
+
+def test_hashes_are_found_at_their_own_places():
+    rnd = np.random.default_rng(4)
+    known = np.unique(np.concatenate([rnd.integers(0, 2**63, 5000).astype(np.uint64) * np.uint64(2), np.arange(40, dtype=np.uint64)]))  # 40 in one range
+    table = kneserney.index(known)
+    assert (kneserney.find(table, known) == np.arange(len(known))).all()
+    assert (kneserney.find(table, known + np.uint64(1))[~np.isin(known + np.uint64(1), known)] == len(known)).all()
+    assert kneserney.find(kneserney.index(known[:0]), known[:3]).tolist() == [0, 0, 0]
