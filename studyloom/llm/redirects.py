@@ -42,14 +42,37 @@ def key_of(url):
     return F.when(host_of(url) != "", F.concat(host_of(url), rest))
 
 
-def aliases(html):
+def _without_dots(path):
+    """A path with its ``.`` and ``..`` segments carried out."""
+    parts = F.aggregate(F.split(path, "/"), F.array().cast("array<string>"), lambda done, x: (
+        F.when(x == ".", done).when(x == "..", F.slice(done, 1, F.greatest(F.size(done) - 1, F.lit(1)))).otherwise(F.concat(done, F.array(x)))))
+    ends = F.when(path.rlike(r"(^|/)\.\.?$"), "/").otherwise("")
+    return F.when(path.rlike(r"(^|/)\.\.?(/|$)"), F.concat(F.array_join(parts, "/"), ends)).otherwise(path)
+
+
+def resolve(url, target):
+    """A link's target as an absolute url, as seen from the page ``url``; NULL for other schemes, the page itself, or a page without a host."""
+    scheme = F.regexp_extract(url, r"(?s)^(.*?)://", 1)
+    site = F.when(host_of(url) != "", F.concat(scheme, F.lit("://"), F.regexp_extract(url, r"(?s)^.*?://([^/?#]*)", 1)))
+    folder = F.coalesce(F.nullif(F.regexp_extract(path_of(url), r"(?s)^(.*/)", 1), F.lit("")), F.lit("/"))
+    path, rest = F.regexp_extract(target, r"(?s)^([^?#]*)", 1), F.regexp_extract(target, r"(?s)^[^?#]*(.*)$", 1)
+    return (F.when(target.rlike("^[A-Za-z][A-Za-z0-9+.-]*://"), target)
+            .when(target.rlike("^([A-Za-z][A-Za-z0-9+.-]*:|#|$)"), None)
+            .when(target.startswith("//"), F.when(site.isNotNull(), F.concat(scheme, F.lit(":"), target)))
+            .when(target.startswith("/"), F.concat(site, _without_dots(path), rest))
+            .when(target.startswith("?"), F.concat(site, path_of(url), target))
+            .otherwise(F.concat(site, _without_dots(F.concat(folder, path)), rest)))
+
+
+def aliases(url, html):
     """Array of the absolute urls that a page names as itself: canonical links and refresh redirects."""
     tag = lambda name: F.regexp_extract_all(html, F.lit(rf"(?is)(<{name}\b[^>]*>)"), 1)
     attr = lambda t, a: F.regexp_extract(t, rf"""(?is)\b{a}\s*=\s*["']?\s*([^"'\s>]+)""", 1)
-    links = F.transform(F.filter(tag("link"), lambda t: F.lower(attr(t, "rel")) == "canonical"), lambda t: attr(t, "href"))
+    rel = lambda t: F.regexp_extract(t, r"""(?is)\brel\s*=\s*("[^"]*"|'[^']*'|[^\s>]+)""", 1)
+    links = F.transform(F.filter(tag("link"), lambda t: F.array_contains(F.split(F.lower(rel(t)), r"""[\s"']+"""), "canonical")), lambda t: attr(t, "href"))
     moved = F.transform(F.filter(tag("meta"), lambda t: F.lower(attr(t, "http-equiv")) == "refresh"),
                         lambda t: F.regexp_extract(t, r"""(?is)url\s*=\s*["']?\s*([^"'\s>]+)""", 1))
-    found = F.filter(F.concat(links, moved), lambda u: u.contains("://"))
+    found = F.array_compact(F.transform(F.concat(links, moved), lambda u: resolve(url, u)))
     return F.when(F.lower(html).rlike("canonical|refresh"), found)
 
 
@@ -65,7 +88,7 @@ def judge(spark, pages, id_col="page_id", url_col="url", html_col="html", rules=
     rule, verdict = decide(F.col("host"), F.col("path"), rules)
     base = (pages.select(F.col(id_col).alias("page_id"), url.alias("url"), F.col(html_col).alias("html"))
             .select("page_id", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"), F.coalesce(key_of(F.col("url")), F.concat(F.lit("#"), F.col("page_id").cast("string"))).alias("place"),
-                    aliases(F.col("html")).alias("also"))
+                    aliases(F.col("url"), F.col("html")).alias("also"))
             .select("*", rule.alias("rule"), verdict.alias("own")))
     base = tables.keep(base.select("page_id", "host", "path", "place", "rule", "own", F.when(F.size("also") > 0, F.col("also")).alias("also")))
     edges = base.where("also is not null").select("place", F.explode("also").alias("other")).select("place", "other", key_of(F.col("other")).alias("to"))

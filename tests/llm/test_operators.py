@@ -194,6 +194,21 @@ def test_redirects(spark):
     assert redirects.judge(spark, p.limit(0)).count() == 0
 
 
+def test_relative_aliases(spark):
+    link = "<link rel='alternate canonical' href='%s'>"
+    at = "http://a.org/x/y?q"
+    want = {"//b.net/fr/1": "http://b.net/fr/1", "/z": "http://a.org/z", "z": "http://a.org/x/z", "../z?u=http://c.org/": "http://a.org/z?u=http://c.org/", "./": "http://a.org/x/",
+            "/../k/./z": "http://a.org/k/z", "..": "http://a.org/", "?p": "http://a.org/x/y?p", "/go?u=http://c.org/": "http://a.org/go?u=http://c.org/", "#f": None, "": None, "mailto:x": None, "https://C.org/": "https://C.org/"}
+    t = spark.createDataFrame([(at, k) for k in want], "url string, target string")
+    assert {r.target: r.to for r in t.select("target", redirects.resolve(t.url, t.target).alias("to")).collect()} == want
+    # a chain of relative links ends at a blocked page, and many pages move to one target
+    rows = [(i, f"http://e.org/c/{i}", link % f"{i + 1}") for i in range(120)] + [(120, "http://e.org/c/120", link % "//q.net/fr/")]
+    rows += [(1000 + i, f"http://f.org/{i}", "<meta http-equiv=refresh content='0; url=//example.com/en/hot'>") for i in range(200)]
+    rows += [(5000, "http://g.org/", "<p>canonical"), (5001, None, link % "/x"), (5002, "nothing", link % "/x")]
+    got = {r.page_id: r.verdict for r in redirects.judge(spark, spark.createDataFrame(rows, "page_id bigint, url string, html string")).collect()}
+    assert len(got) == len(rows) and all((got[r[0]] == "block") == (r[0] < 5000) for r in rows)
+
+
 # --- op6 --------------------------------------------------------------------
 
 def test_decontamination(spark):
