@@ -1,7 +1,7 @@
 """Registered queries of this subpackage: name -> (function of a session and a table folder, DuckDB SQL or None)."""
 from pyspark.sql import functions as F
 
-from studyloom.llm import bitsliced, kneserney, licences, mixing, orderminhash, quadratic, rans, redirects, tiling, toolcalls
+from studyloom.llm import bitsliced, kneserney, licences, mixing, orderminhash, quadratic, rans, redirects, relz, tiling, toolcalls
 from studyloom.llm.tables import Scratch
 
 
@@ -98,6 +98,22 @@ def op10_topk_bitsliced(spark, sf_dir):
     return bitsliced.top_k(spark, v, v.where("id % 50 = 0"), 5)
 
 
+def op11_substring_dedup_relative_lz(spark, sf_dir):
+    found = relz.factors(spark, table(spark, sf_dir, "documents"), spans=False)
+    return found.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+OP11_SQL = r"""
+WITH d AS (SELECT row_number() OVER (ORDER BY doc_id) AS r, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT r, unnest(range(1, len(w) - 18)) AS i, w FROM d WHERE len(w) >= 20),
+h AS (SELECT r, i, row_number() OVER (PARTITION BY array_to_string(w[i:i + 19], ' ') ORDER BY r, i) AS k FROM s),
+c AS (SELECT DISTINCT r, unnest(range(i, i + 20)) AS i FROM h WHERE k > 1),
+g AS (SELECT r, list(i) AS gone FROM c GROUP BY r)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(len(gone), 0) AS BIGINT) AS n_removed,
+  sha256(array_to_string(list_filter(w, lambda x, i: NOT list_contains(coalesce(gone, []), i)), ' ')) AS kept_sha256
+FROM d LEFT JOIN g USING (r)"""
+
+
 OP10_SQL = """
 WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS q FROM embeddings
   WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
@@ -161,4 +177,5 @@ QUERIES = {
     "op8_toxicity_kneser_ney": (op8_toxicity_kneser_ney, None),
     "op9_quality_quadratic": (op9_quality_quadratic, None),
     "op10_topk_bitsliced": (op10_topk_bitsliced, OP10_SQL),
+    "op11_substring_dedup_relative_lz": (op11_substring_dedup_relative_lz, OP11_SQL),
 }
