@@ -1,7 +1,7 @@
 """Registered queries of this subpackage: name -> (function of a session and a table folder, DuckDB SQL or None)."""
 from pyspark.sql import functions as F
 
-from studyloom.llm import bitsliced, kneserney, licences, mixing, orderminhash, quadratic, rans, redirects, relz, tiling, toolcalls
+from studyloom.llm import bitsliced, intervals, kneserney, licences, mixing, orderminhash, quadratic, rans, redirects, relz, tiling, toolcalls
 from studyloom.llm.tables import Scratch
 
 
@@ -114,6 +114,25 @@ SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(len(gone), 0) AS
 FROM d LEFT JOIN g USING (r)"""
 
 
+def op13_ranked_search_intervals(spark, sf_dir):
+    return intervals.search(spark, table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), 20)
+
+
+OP13_SQL = r"""
+WITH p AS (SELECT '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+' AS term),
+fold AS (SELECT 'ABCDEFGHIJKLMNOPQRSTUVWXYZ' AS big, 'abcdefghijklmnopqrstuvwxyz' AS small),
+d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), big, small), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS t FROM documents, fold),
+q AS (SELECT row_number() OVER () AS q, item_id, regexp_extract_all(translate(coalesce(text, ''), big, small), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS t FROM benchmark, fold),
+asked AS (SELECT q, t, count(*) AS times FROM (SELECT q, unnest(t) AS t FROM q) GROUP BY ALL),
+size AS (SELECT CAST(count(*) FILTER (len(t) > 0) AS BIGINT) AS n, CAST(sum(len(t)) AS BIGINT) AS l FROM d),
+tf AS (SELECT r, t, count(*) AS tf FROM (SELECT r, unnest(t) AS t FROM d) WHERE t IN (SELECT t FROM asked) GROUP BY ALL),
+w AS (SELECT t, CAST(floor(1000 * ln(CAST(2 * n + 2 AS DOUBLE) / CAST(2 * count(*) + 1 AS DOUBLE))) AS BIGINT) AS w FROM tf, size GROUP BY t, n),
+imp AS (SELECT r, doc_id, tf.t, w * ((1000000000 * tf) // (1000 * tf + 12 * (75 + (25 * len(d.t) * n) // l))) AS v FROM tf JOIN w ON w.t = tf.t JOIN d USING (r), size),
+s AS (SELECT q, r, doc_id, CAST(sum(times * v) AS BIGINT) AS score FROM asked JOIN imp ON imp.t = asked.t GROUP BY ALL HAVING score > 0)
+SELECT item_id, CAST(row_number() OVER (PARTITION BY q ORDER BY score DESC, doc_id) AS INTEGER) AS rank, doc_id, score
+FROM s JOIN q USING (q) QUALIFY rank <= 20"""
+
+
 OP10_SQL = """
 WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS q FROM embeddings
   WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
@@ -178,4 +197,5 @@ QUERIES = {
     "op9_quality_quadratic": (op9_quality_quadratic, None),
     "op10_topk_bitsliced": (op10_topk_bitsliced, OP10_SQL),
     "op11_substring_dedup_relative_lz": (op11_substring_dedup_relative_lz, OP11_SQL),
+    "op13_ranked_search_intervals": (op13_ranked_search_intervals, OP13_SQL),
 }
