@@ -1,7 +1,7 @@
 """Registered queries of this subpackage: name -> (function of a session and a table folder, DuckDB SQL or None)."""
 from pyspark.sql import functions as F
 
-from studyloom.llm import bitsliced, intervals, kneserney, licences, mixing, orderminhash, quadratic, rans, redirects, relz, tiling, toolcalls
+from studyloom.llm import bitsliced, intervals, kneserney, licences, mixing, orderminhash, phrases, quadratic, rans, redirects, relz, tiling, toolcalls
 from studyloom.llm.tables import Scratch
 
 
@@ -105,13 +105,38 @@ def op11_substring_dedup_relative_lz(spark, sf_dir):
 
 OP11_SQL = r"""
 WITH d AS (SELECT row_number() OVER (ORDER BY doc_id) AS r, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
-s AS (SELECT r, unnest(range(1, len(w) - 18)) AS i, w FROM d WHERE len(w) >= 20),
-h AS (SELECT r, i, row_number() OVER (PARTITION BY array_to_string(w[i:i + 19], ' ') ORDER BY r, i) AS k FROM s),
-c AS (SELECT DISTINCT r, unnest(range(i, i + 20)) AS i FROM h WHERE k > 1),
-g AS (SELECT r, list(i) AS gone FROM c GROUP BY r)
-SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(len(gone), 0) AS BIGINT) AS n_removed,
-  sha256(array_to_string(list_filter(w, lambda x, i: NOT list_contains(coalesce(gone, []), i)), ' ')) AS kept_sha256
-FROM d LEFT JOIN g USING (r)"""
+t AS (SELECT r, unnest(w) AS w, unnest(range(len(w))) AS i FROM d),
+v AS (SELECT r, i, w, string_agg(w, ' ') OVER o AS text, count(*) OVER o AS n FROM t WINDOW o AS (PARTITION BY r ORDER BY i ROWS BETWEEN CURRENT ROW AND 19 FOLLOWING)),
+h AS (SELECT r, i, row_number() OVER (PARTITION BY text ORDER BY r, i) AS k FROM v WHERE n = 20),
+c AS (SELECT t.r, t.i, w, coalesce(max(h.i) FILTER (k > 1) OVER (PARTITION BY t.r ORDER BY t.i ROWS BETWEEN 19 PRECEDING AND CURRENT ROW), -1) >= 0 AS gone
+  FROM t LEFT JOIN h ON h.r = t.r AND h.i = t.i),
+g AS (SELECT r, count(*) AS n_words, count(*) FILTER (gone) AS n_removed, string_agg(w, ' ' ORDER BY i) FILTER (NOT gone) AS kept FROM c GROUP BY r)
+SELECT doc_id, coalesce(n_words, 0) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM d LEFT JOIN g USING (r)"""
+
+
+def op12_phrases_direct_tiling(spark, sf_dir):
+    return phrases.mine(spark, table(spark, sf_dir, "documents"))
+
+
+OP12_SQL = r"""
+WITH p AS (SELECT row_number() OVER () AS r, coalesce(lang, 'und') AS lang, unnest(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+  'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+w AS (SELECT row_number() OVER () AS piece, lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM p),
+t AS (SELECT piece, lang, unnest(w) AS w, unnest(range(len(w))) AS i FROM w),
+s AS (SELECT lang, w AS x, lead(w, 1) OVER o AS y, lead(w, 2) OVER o AS z FROM t WINDOW o AS (PARTITION BY piece ORDER BY i)),
+g AS (SELECT lang, 1 AS k, x AS phrase FROM s UNION ALL SELECT lang, 2, x || ' ' || y FROM s WHERE y IS NOT NULL UNION ALL SELECT lang, 3, x || ' ' || y || ' ' || z FROM s WHERE z IS NOT NULL),
+f AS (SELECT lang, k, phrase, count(*) AS f FROM g GROUP BY ALL),
+n AS (SELECT lang, CAST(sum(f) AS BIGINT) AS n FROM f WHERE k = 1 GROUP BY lang),
+c AS (SELECT lang, k, phrase, f AS a, string_split(phrase, ' ') AS w FROM f WHERE k > 1 AND f >= 10),
+parted AS (SELECT lang, k, phrase, a, 1 AS i, w[1] AS lp, array_to_string(w[2:], ' ') AS rp FROM c
+  UNION ALL SELECT lang, k, phrase, a, 2, array_to_string(w[1:2], ' '), w[3] FROM c WHERE k = 3),
+cut AS (SELECT parted.*, x.f AS l, y.f AS r, (1000000::HUGEINT * a * a) // (x.f::HUGEINT * y.f) AS s FROM parted
+  JOIN f x ON x.lang = parted.lang AND x.phrase = lp JOIN f y ON y.lang = parted.lang AND y.phrase = rp),
+best AS (SELECT * FROM cut QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY s, i) = 1),
+inner_ AS (SELECT lang, unnest([array_to_string(w[1:2], ' '), array_to_string(w[2:3], ' ')]) AS phrase, a FROM c WHERE k = 3),
+longer AS (SELECT lang, phrase, max(a) AS m FROM inner_ GROUP BY ALL)
+SELECT lang, CAST(row_number() OVER (PARTITION BY lang ORDER BY s DESC, a DESC, phrase) AS INTEGER) AS rank, phrase, a, l, r, n, CAST(s AS BIGINT) AS score
+FROM best LEFT JOIN longer USING (lang, phrase) JOIN n USING (lang) WHERE k = 3 OR m IS NULL OR 100 * m < 50 * a QUALIFY rank <= 2000"""
 
 
 def op13_ranked_search_intervals(spark, sf_dir):
@@ -197,5 +222,6 @@ QUERIES = {
     "op9_quality_quadratic": (op9_quality_quadratic, None),
     "op10_topk_bitsliced": (op10_topk_bitsliced, OP10_SQL),
     "op11_substring_dedup_relative_lz": (op11_substring_dedup_relative_lz, OP11_SQL),
+    "op12_phrases_direct_tiling": (op12_phrases_direct_tiling, OP12_SQL),
     "op13_ranked_search_intervals": (op13_ranked_search_intervals, OP13_SQL),
 }
