@@ -8,7 +8,7 @@ import pyarrow as pa
 
 #: Bytes of text in a block (a longer document is a block of its own).
 BLOCK = 1 << 21
-SCHEMA = "block bigint, tag string, n_words bigint, doc_ids binary, nulls binary, offs binary, words binary, ids binary"
+SCHEMA = "block bigint, tag string, n_words bigint, n_chars bigint, n_distinct bigint, doc_ids binary, nulls binary, offs binary, words binary, ids binary"
 
 
 class _Numbers(dict):
@@ -19,14 +19,32 @@ class _Numbers(dict):
         return n
 
 
+def packed(data):
+    return pa.compress(data, "zstd", asbytes=True) if data else b""
+
+
+def unpacked(data, size):
+    return pa.decompress(data, size, "zstd", asbytes=True) if size else b""
+
+
+def _kind(n_distinct):
+    return np.uint16 if n_distinct <= 1 << 16 else np.uint32
+
+
+def unpacked_ids(data, n_words, n_distinct):
+    kind = _kind(n_distinct)
+    return np.frombuffer(unpacked(data, n_words * np.dtype(kind).itemsize), kind)
+
+
 class Block:
     """One row of the table: ``words`` (list of bytes), ``ids`` (an index into it per word), ``offs`` (first word of each document)."""
 
     def __init__(self, row):
         get = lambda name: row.column(name)[0].as_py()
-        self.block, self.tag, words = get("block"), get("tag"), get("words")
+        self.block, self.tag = get("block"), get("tag")
+        words = unpacked(get("words"), get("n_chars"))
         self.words = words.split(b" ") if words else []
-        self.ids = np.frombuffer(get("ids"), np.uint16 if len(self.words) <= 1 << 16 else np.uint32)
+        self.ids = unpacked_ids(get("ids"), get("n_words"), len(self.words))
         self.offs = np.frombuffer(get("offs"), np.int64)
         self.doc_ids = np.frombuffer(get("doc_ids"), np.int64)
         self.nulls = np.frombuffer(get("nulls"), bool)
@@ -40,9 +58,10 @@ def _row(tag, docs, split):
         ids.extend(map(number, split(text)))
         offs.append(len(ids))
     block = int.from_bytes(np.random.default_rng().bytes(8), "little") >> 1
-    return {"block": block, "tag": tag, "n_words": len(ids), "doc_ids": np.array([d[0] or 0 for d in docs], np.int64).tobytes(),
-            "nulls": np.array([d[0] is None for d in docs], bool).tobytes(), "offs": np.array(offs, np.int64).tobytes(), "words": b" ".join(numbers),
-            "ids": np.array(ids, np.uint16 if len(numbers) <= 1 << 16 else np.uint32).tobytes()}
+    words = b" ".join(numbers)
+    return {"block": block, "tag": tag, "n_words": len(ids), "n_chars": len(words), "n_distinct": len(numbers), "doc_ids": np.array([d[0] or 0 for d in docs], np.int64).tobytes(),
+            "nulls": np.array([d[0] is None for d in docs], bool).tobytes(), "offs": np.array(offs, np.int64).tobytes(), "words": packed(words),
+            "ids": packed(np.array(ids, _kind(len(numbers))).tobytes())}
 
 
 def pack(docs, id_col, text_col, split, tag_col=None):
@@ -51,7 +70,7 @@ def pack(docs, id_col, text_col, split, tag_col=None):
     Documents of one block share the value of ``tag_col``, if given, and stand in ascending order of their ids, NULL ids last.
     """
     rows = docs.selectExpr(f"cast({id_col} as bigint) id", f"cast({text_col} as binary) text", f"{tag_col or 'cast(null as string)'} tag")
-    kinds = pa.schema([("block", pa.int64()), ("tag", pa.string()), ("n_words", pa.int64()), ("doc_ids", pa.binary()), ("nulls", pa.binary()),
+    kinds = pa.schema([("block", pa.int64()), ("tag", pa.string()), ("n_words", pa.int64()), ("n_chars", pa.int64()), ("n_distinct", pa.int64()), ("doc_ids", pa.binary()), ("nulls", pa.binary()),
                        ("offs", pa.binary()), ("words", pa.binary()), ("ids", pa.binary())])
 
     def run(batches):

@@ -92,7 +92,7 @@ class _Ranked:
         get = lambda name: row.column(name)[0].as_py()
         self.block, self.tag, self.n = get("block"), get("tag"), n
         ranks = np.frombuffer(get("ranks"), np.int32).astype(np.int64)
-        self.word = ranks[np.frombuffer(get("ids"), np.uint16 if len(ranks) <= 1 << 16 else np.uint32)]
+        self.word = ranks[packed.unpacked_ids(get("ids"), get("n_words"), len(ranks))]
 
     def pairs(self):
         """(entries, for each place the index of its pair among them or -1)."""
@@ -208,9 +208,9 @@ def mine(spark, docs, least=10, share=50, top=2000, text_col="text", lang_col="l
         b = packed.Block(block)
         rank = np.full(len(b.words), -1, np.int32)
         rank[known.column("at").to_numpy()] = known.column("rank").to_numpy()
-        return pa.table({"block": [b.block], "tag": pa.array([b.tag], pa.string()), "ids": pa.array([b.ids.tobytes()], pa.binary()), "ranks": pa.array([rank.tobytes()], pa.binary())})
+        return pa.table({"block": block.column("block"), "tag": block.column("tag"), "n_words": block.column("n_words"), "ids": block.column("ids"), "ranks": pa.array([rank.tobytes()], pa.binary())})
     known = words.select("tag", "word", "block", "at").join(ranks.select("tag", "word", "rank"), ["tag", "word"]).select("block", "at", "rank")
-    ranked = tables.keep(blocks.groupBy("block").cogroup(known.groupBy("block")).applyInArrow(numbered, "block bigint, tag string, ids binary, ranks binary"))
+    ranked = tables.keep(blocks.groupBy("block").cogroup(known.groupBy("block")).applyInArrow(numbered, "block bigint, tag string, n_words bigint, ids binary, ranks binary"))
     tables.drop(blocks)
 
     def pairs(batches):

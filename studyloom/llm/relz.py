@@ -130,28 +130,37 @@ def factors(spark, docs, id_col="doc_id", text_col="text", spans=True):
         bits = np.split(flag[which], np.cumsum([len(k) for k in keys])[:-1])
         return pa.table({"block": table.column("block"), "part": table.column("part"), "bits": pa.array([np.packbits(x).tobytes() for x in bits], pa.binary())})
 
-    place = pa.schema([("block", pa.int64()), ("part", pa.int64()), ("one", pa.binary()), ("two", pa.binary()), ("doc", pa.binary()), ("start", pa.binary())])
+    place = pa.schema([("block", pa.int64()), ("part", pa.int64()), ("size", pa.int64()), ("one", pa.binary()), ("two", pa.binary()), ("doc", pa.binary()), ("start", pa.binary())])
+
+    def candidates(h, flags):
+        cut = [s for _, s in packed.sliced(_part(h.distinct, n))]
+        bits = [np.unpackbits(np.frombuffer(x.as_py(), np.uint8), count=s.stop - s.start).astype(bool) for s, x in zip(cut, _by_part(flags).column("bits"))]
+        return np.flatnonzero(h.candidates(np.concatenate(bits) if bits else np.zeros(0, bool)))
 
     def windows(block, flags):
-        """The first place of each candidate window of a block, by part; and the candidates themselves as part -1."""
+        """The first place of each candidate window of a block, by part."""
         b = packed.Block(block)
         h = _Hashed(b)
-        cut = [s for _, s in packed.sliced(_part(h.distinct, n))]
-        bits = [np.unpackbits(np.frombuffer(x.as_py(), np.uint8), count=s.stop - s.start).astype(bool) for s, x in zip(cut, _by_part(flags).column("bits"))]
-        may = h.candidates(np.concatenate(bits) if bits else np.zeros(0, bool))
-        _, at, one, two = h.first(np.flatnonzero(may))
+        _, at, one, two = h.first(candidates(h, flags))
         part = _part(one, n)
         order = np.lexsort((at, part))
         doc, start = _starts(b, at[order])
         doc = np.where(b.nulls, _LAST, b.doc_ids)[doc]
-        rows = [{"block": b.block, "part": p, "one": one[order[s]].tobytes(), "two": two[order[s]].tobytes(), "doc": doc[s].tobytes(),
-                 "start": start[s].astype(np.int32).tobytes()} for p, s in packed.sliced(part[order])]
-        return pa.Table.from_pylist([*rows, {"block": b.block, "part": -1, "one": np.packbits(may).tobytes()}], place)
+        rows = [{"block": b.block, "part": p, "size": s.stop - s.start, "one": one[order[s]].tobytes(), "two": two[order[s]].tobytes(),
+                 "doc": packed.packed(doc[s].tobytes()), "start": packed.packed(start[s].astype(np.int32).tobytes())} for p, s in packed.sliced(part[order])]
+        return pa.Table.from_pylist(rows, place)
+
+    def read(table, name, kind):
+        """Arrays of the rows of a table: hashes as they are, places unpacked."""
+        if name in ("one", "two"):
+            return [np.frombuffer(x.as_py(), kind) for x in table.column(name)]
+        item = np.dtype(kind).itemsize
+        return [np.frombuffer(packed.unpacked(x.as_py(), k * item), kind) for x, k in zip(table.column(name), table.column("size").to_pylist())]
 
     def earliest(table):
         """For each window of a part the first place of all, and nothing (start -1) for the window that stands there."""
-        read = lambda name, kind: [np.frombuffer(x.as_py(), kind) for x in table.column(name)]
-        one, two, doc, start = read("one", np.uint64), np.concatenate(read("two", np.uint32)), np.concatenate(read("doc", np.int64)), np.concatenate(read("start", np.int32))
+        one = read(table, "one", np.uint64)
+        two, doc, start = (np.concatenate(read(table, *x)) for x in (("two", np.uint32), ("doc", np.int64), ("start", np.int32)))
         size = np.cumsum([len(x) for x in one])[:-1]
         one = np.concatenate(one)
         order = np.lexsort((start, doc, two, one))
@@ -160,9 +169,9 @@ def factors(spark, docs, id_col="doc_id", text_col="text", spans=True):
         where, from_ = np.zeros(len(one), np.int64), np.full(len(one), -1, np.int32)
         later = head != order
         where[order[later]], from_[order[later]] = doc[head[later]], start[head[later]]
-        cut = lambda x: pa.array([y.tobytes() for y in np.split(x, size)], pa.binary())
-        none = pa.nulls(table.num_rows, pa.binary())
-        return pa.table([table.column("block"), table.column("part"), none, none, cut(where), cut(from_)], place.names)
+        cut = lambda x: pa.array([packed.packed(y.tobytes()) for y in np.split(x, size)], pa.binary())
+        return pa.table({"block": table.column("block"), "part": table.column("part"), "size": table.column("size"), "bits": pa.nulls(table.num_rows, pa.binary()),
+                         "doc": cut(where), "start": cut(from_)})
 
     result = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept", pa.string()),
                         ("spans", pa.list_(pa.struct([("start", pa.int64()), ("length", pa.int64()), ("ref_doc_id", pa.int64()), ("ref_start", pa.int64())])))])
@@ -170,14 +179,14 @@ def factors(spark, docs, id_col="doc_id", text_col="text", spans=True):
     def parsed(block, found):
         b = packed.Block(block)
         h = _Hashed(b)
-        found = _by_part(found)
-        may = np.unpackbits(np.frombuffer(found.column("one")[0].as_py(), np.uint8), count=len(h.valid)).astype(bool)
-        places = np.flatnonzero(may)
+        is_flags = pa.compute.is_valid(found.column("bits"))
+        places = candidates(h, found.filter(is_flags))
+        found = _by_part(found.filter(pa.compute.invert(is_flags)))
         which, at, one, _ = h.first(places)
         order = np.lexsort((at, _part(one, n)))
-        read = lambda name, kind: np.concatenate([np.zeros(0, kind), *(np.frombuffer(x.as_py(), kind) for x in found.column(name)[1:])])
         ref_doc, ref_start = np.zeros(len(at), np.int64), np.zeros(len(at), np.int64)
-        ref_doc[order], ref_start[order] = read("doc", np.int64), read("start", np.int32)
+        ref_doc[order] = np.concatenate([np.zeros(0, np.int64), *read(found, "doc", np.int64)])
+        ref_start[order] = np.concatenate([np.zeros(0, np.int32), *read(found, "start", np.int32)])
         # a window that the block itself holds earlier and no other block has before
         own, start = _starts(b, at)
         own = np.where(b.nulls, _LAST, b.doc_ids)[own]
@@ -202,10 +211,10 @@ def factors(spark, docs, id_col="doc_id", text_col="text", spans=True):
         return pa.Table.from_pylist(rows, result)
 
     flags = tables.keep(blocks.mapInArrow(anchors, "part bigint, block bigint, keys binary, bits binary").groupBy("part").applyInArrow(shared, "block bigint, part bigint, bits binary"))
-    kinds = "block bigint, part bigint, one binary, two binary, doc binary, start binary"
-    sent = tables.keep(blocks.groupBy("block").cogroup(flags.groupBy("block")).applyInArrow(windows, kinds))
-    back = sent.where("part >= 0").groupBy("part").applyInArrow(earliest, kinds)
-    return (blocks.groupBy("block").cogroup(back.unionByName(sent.where("part < 0")).groupBy("block"))
+    sent = (blocks.groupBy("block").cogroup(flags.groupBy("block"))
+            .applyInArrow(windows, "block bigint, part bigint, size bigint, one binary, two binary, doc binary, start binary"))
+    back = sent.groupBy("part").applyInArrow(earliest, "block bigint, part bigint, size bigint, bits binary, doc binary, start binary")
+    return (blocks.groupBy("block").cogroup(back.unionByName(flags, allowMissingColumns=True).groupBy("block"))
             .applyInArrow(parsed, "doc_id bigint, n_words bigint, n_removed bigint, kept string, "
                           "spans array<struct<start: bigint, length: bigint, ref_doc_id: bigint, ref_start: bigint>>"))
 
