@@ -1,16 +1,19 @@
 """Structured Streaming over the attempt log: what the batch operators compute, kept up to date.
 
-Every job reads new files of the log, and writes its changes to a table folder through ``foreachBatch`` as (.., batch) rows;
-:func:`latest` reads the table's current rows. Reruns of a batch rewrite the same folder, so restarts are harmless.
+Every job reads new files of the log and merges its changes through ``foreachBatch`` into a keyed table (``sources/keyed.py``);
+:func:`latest` reads the table's current rows. A batch that runs again merges the same rows again, so restarts are harmless. State
+leaves every job in time: by the watermark, or by a timer of the key.
 """
 import math
 from datetime import date, timedelta
 
 import pandas as pd
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor
 
 from studyloom.functions import fsrs as M
+from studyloom.sources.keyed import KeyedTable
+
 
 def as_instant(wall):
     """Wall-clock time (no zone) as the instant it names in UTC, whatever the session's zone: event time must be an instant."""
@@ -37,20 +40,31 @@ def attempts_of(events):
         F.floor("value").cast("bigint").alias("seconds"), as_instant(F.col("ts")).alias("created_at"), F.to_date("ts").alias("day"))
 
 
-def write_changes(df, out, checkpoint, mode="update"):
-    """Run over all files there are now, one folder per micro-batch. State is kept by RocksDB, off the executors' heap."""
-    df.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
-    def save(batch, n):
-        batch.write.mode("overwrite").parquet(f"{out}/batch={n}")
-    q = df.writeStream.outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(save).start()
+STORE = "spark.sql.streaming.stateStore.providerClass"
+
+
+def write_changes(df, out, checkpoint, keys, mode="update", order=None, ranges=8):
+    """Run over all files there are now and merge every micro-batch into the keyed table at ``out``; returns the ended query.
+
+    State is kept by RocksDB, off the executors' heap. A query takes its settings when it starts; the session's own are put back.
+    """
+    spark = df.sparkSession
+    table = KeyedTable(spark, out, keys, ranges)
+    table.create(df.schema)
+    before = spark.conf.get(STORE, None)
+    spark.conf.set(STORE, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        q = (df.writeStream.outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True)
+             .foreachBatch(lambda batch, n: KeyedTable(batch.sparkSession, out, keys, ranges).merge(batch, order)).start())
+    finally:
+        spark.conf.set(STORE, before) if before is not None else spark.conf.unset(STORE)
     q.awaitTermination()
+    return q
 
 
 def latest(spark, out, keys):
-    """Last written row per key."""
-    d = spark.read.parquet(out)
-    cols = [c for c in d.columns if c not in keys and c != "batch"]
-    return d.groupBy(*keys).agg(F.max_by(F.struct(*cols), "batch").alias("r")).select(*keys, "r.*")
+    """Current row per key."""
+    return KeyedTable(spark, out, keys).read()
 
 
 def daily_activity(attempts, late="1 day"):
@@ -68,16 +82,26 @@ def sessions(attempts, gap="30 minutes", late="1 day"):
             .select("user_id", F.col("session_window.start").alias("start"), F.col("session_window.end").alias("end"), "total", "correct", "duration"))
 
 
-def last_write(attempts, keys=("user_id", "qid")):
-    """Newest answer per key as a running aggregate; repeated deliveries of a row change nothing."""
-    return attempts.groupBy(*keys).agg(F.max_by(F.struct("correct", "module"), "id").alias("r"), F.max("id").alias("id")).select(*keys, "id", "r.correct", "r.module")
+def last_write(attempts, late="1 day"):
+    """Answers as they come, each once: a row delivered again within ``late`` of its time is dropped, and its trace with the watermark.
+
+    Merged into a table keyed by user and question in the order of ``id``, this is the newest answer per key: the merge keeps the
+    row of the largest id, whenever it comes, so the table needs no state of its own.
+    """
+    return (attempts.withWatermark("created_at", late).dropDuplicatesWithinWatermark(["id"]).select("user_id", "qid", "id", "correct", "module"))
 
 
-def usage_cap(usage, limit):
-    """Month-to-date tokens per user and the over-limit flag."""
+def usage_cap(usage, limit, late="32 days"):
+    """Month-to-date tokens per user and the over-limit flag.
+
+    The event time is the end of the month, so a month leaves the state as a whole, once a row has come whose month ends more than
+    ``late`` after it (the default keeps the month before the newest one open); rows of a closed month are dropped.
+    """
     tokens = F.sum(F.col("input_tokens") + F.col("output_tokens"))
-    return (usage.groupBy("user_id", F.trunc("day", "month").alias("month")).agg(tokens.alias("tokens"))
-            .withColumn("over_limit", F.when((F.lit(limit) > 0) & (F.col("tokens") >= limit), 1).otherwise(0)))
+    ends = as_instant(F.date_add(F.last_day("day"), 1).cast("timestamp_ntz"))
+    return (usage.withColumn("month_end", ends).withWatermark("month_end", late).groupBy("user_id", "month_end").agg(tokens.alias("tokens"))
+            .select("user_id", F.trunc(F.date_sub(F.to_date(as_wall(F.col("month_end"))), 1), "month").alias("month"), "tokens",
+                    F.when((F.lit(limit) > 0) & (F.col("tokens") >= limit), 1).otherwise(0).alias("over_limit")))
 
 
 # ---- the wrong-question book as keyed state
@@ -138,30 +162,62 @@ BOOK = ("user_id bigint, qid bigint, wrong_count bigint, stage bigint, next_revi
         "difficulty double, last_review date, reps bigint")
 
 
-def _update_book(key, frames, state):
-    """New rows of one (user, question): reduced to day summaries while they stream by, then folded into the state."""
-    user_id, qid = key
-    days = {}
-    for pdf in frames:
-        for i, day, ok in zip(pdf["id"].tolist(), pdf["dayno"].tolist(), pdf["correct"].tolist()):
-            first_right, first_wrong, wrong = days.get(day, (None, None, 0))
-            if ok:
-                first_right = i if first_right is None else min(first_right, i)
-            else:
-                first_wrong, wrong = i if first_wrong is None else min(first_wrong, i), wrong + 1
-            days[day] = first_right, first_wrong, wrong
-    st = tuple(state.get) if state.exists else (0, 0, 0, 0, 0.0, 0.0, 0, 0)
-    for day in sorted(days):
-        first_right, first_wrong, wrong = days[day]
-        st = fold_day(st, qid, day, first_right is not None and (first_wrong is None or first_right < first_wrong), wrong)
-    state.update(st)
-    if st[0]:
+_NAMES = [c.split()[0] for c in BOOK.split(", ")]
+
+
+class Book(StatefulProcessor):
+    """State of one (user, question): only questions that were wrong once have any, and mastered ones leave it after ``idle`` days of event time.
+
+    The table keeps the last row of a question that left; if it is answered wrong again later, it starts as a new one.
+    """
+
+    def __init__(self, idle):
+        self.idle = idle
+
+    def init(self, handle):
+        self.handle = handle
+        self.state = handle.getValueState("book", STATE)
+
+    def handleInputRows(self, key, rows, timerValues):
+        user_id, qid = key
+        days = {}  # summaries of the batch's days, made while the rows stream by
+        for pdf in rows:
+            for i, day, ok in zip(pdf["id"].tolist(), pdf["dayno"].tolist(), pdf["correct"].tolist()):
+                first_right, first_wrong, wrong = days.get(day, (None, None, 0))
+                if ok:
+                    first_right = i if first_right is None else min(first_right, i)
+                else:
+                    first_wrong, wrong = i if first_wrong is None else min(first_wrong, i), wrong + 1
+                days[day] = first_right, first_wrong, wrong
+        st = tuple(self.state.get()) if self.state.exists() else (0, 0, 0, 0, 0.0, 0.0, 0, 0)
+        for day in sorted(days):
+            first_right, first_wrong, wrong = days[day]
+            st = fold_day(st, qid, day, first_right is not None and (first_wrong is None or first_right < first_wrong), wrong)
+        if not st[0]:
+            return
+        self.state.update(st)
         n, stage, nxt, mastered, s, d, last, reps = st
-        yield pd.DataFrame([(user_id, qid, n, stage, EPOCH + timedelta(days=nxt), mastered, round(s, 4), round(d, 4), EPOCH + timedelta(days=last), reps)],
-                           columns=[c.split()[0] for c in BOOK.split(", ")])
+        if mastered:
+            self.handle.registerTimer(self._ends(last))
+        yield pd.DataFrame([(user_id, qid, n, stage, EPOCH + timedelta(days=nxt), mastered, round(s, 4), round(d, 4), EPOCH + timedelta(days=last), reps)], columns=_NAMES)
+
+    def _ends(self, last):
+        return (last + 1 + self.idle) * 86_400_000
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+        """The timer of an earlier mastery finds a state that is due again, or one that ends later."""
+        if self.state.exists():
+            _, _, _, mastered, _, _, last, _ = self.state.get()
+            if mastered and self._ends(last) <= expiredTimerInfo.getExpiryTimeInMs():
+                self.state.clear()
+        return iter(())
+
+    def close(self):
+        pass
 
 
-def wrongbook(attempts):
+def wrongbook(attempts, idle=180, late="1 day"):
     """The wrong-question book kept live. Files arrive in id order; rows inside a batch may come in any order."""
-    d = attempts.select("user_id", "qid", "id", "correct", F.datediff("day", F.lit("1970-01-01").cast("date")).cast("bigint").alias("dayno"))
-    return d.groupBy("user_id", "qid").applyInPandasWithState(_update_book, BOOK, STATE, "update", GroupStateTimeout.NoTimeout)
+    d = attempts.withWatermark("created_at", late).select(
+        "user_id", "qid", "id", "correct", F.datediff("day", F.lit("1970-01-01").cast("date")).cast("bigint").alias("dayno"), "created_at")
+    return d.groupBy("user_id", "qid").transformWithStateInPandas(Book(idle), BOOK, "update", "EventTime")

@@ -1,6 +1,7 @@
 """Files, sinks and streams that need a folder."""
 import json
 import os
+from datetime import date, datetime, timedelta
 
 import pyarrow.parquet as pq
 import pytest
@@ -8,6 +9,7 @@ from pyspark.sql import functions as F
 
 from studyloom.operators import analytics, memory
 from studyloom.sources import files, sinks
+from studyloom.sources.keyed import KeyedTable
 from studyloom.sources.views import Views
 from studyloom.streaming import jobs as J
 from tests.conftest import rows
@@ -69,14 +71,102 @@ def test_streams_over_several_files_equal_batch(spark, sf, tmp_path):
     log.mkdir()
     _split_log(sf, log, 4)
     a = J.attempts_of(J.read_log(spark, str(log)))
-    J.write_changes(J.wrongbook(a), str(tmp_path / "wb"), str(tmp_path / "c1"))
-    assert rows(J.latest(spark, str(tmp_path / "wb"), ["user_id", "qid"])) == rows(memory.wrongbook_fold(v.attempts))
-    J.write_changes(J.daily_activity(a), str(tmp_path / "day"), str(tmp_path / "c2"))
+    J.write_changes(J.daily_activity(a), str(tmp_path / "day"), str(tmp_path / "c2"), ["day"], ranges=1)
     got = rows(J.latest(spark, str(tmp_path / "day"), ["day"]), "day", "questions", "correct")
     assert got == rows(analytics.daily_activity(v.attempts, v.study.where("false"), "2000-01-01"), "day", "questions", "correct")
-    J.write_changes(J.last_write(a), str(tmp_path / "lw"), str(tmp_path / "c3"))
-    got = rows(J.latest(spark, str(tmp_path / "lw"), ["user_id", "qid"]), "user_id", "qid", "correct")
-    assert got == rows(analytics.latest_by_key(v.attempts, ["user_id", "qid"], ["id"], ["correct"]))
+    # files of one batch may be split anywhere: nothing here depends on rows of a batch being in order
+    J.write_changes(J.wrongbook(a), str(tmp_path / "wb"), str(tmp_path / "c1"), ["user_id", "qid"])
+    assert rows(J.latest(spark, str(tmp_path / "wb"), ["user_id", "qid"])) == rows(memory.wrongbook_fold(v.attempts))
+
+
+def _held(q):
+    return sum(op["numRowsTotal"] for op in q.lastProgress["stateOperators"])
+
+
+def _log(spark, tmp_path, name, rows_):
+    """Attempt rows (id, user, question, correct, day) as the next file of a log, and the log as a stream."""
+    at = [(i, u, k, c, datetime(2024, 1, 1) + timedelta(days=d)) for i, u, k, c, d in rows_]
+    df = spark.createDataFrame(at, "id bigint, user_id bigint, qid bigint, correct bigint, created_at timestamp")
+    df = df.withColumn("module", F.lit("m")).withColumn("day", F.to_date("created_at"))
+    df.coalesce(1).write.mode("append").parquet(str(tmp_path / name))
+    return spark.readStream.schema(df.schema).parquet(str(tmp_path / name))
+
+
+def test_last_write_takes_repeated_and_late_rows_and_forgets_them(spark, tmp_path):
+    first = [(i, 1, i % 5, i % 2, i // 100) for i in range(400)]
+    late = [(1000, 1, 3, 1, 3), (390, 1, 0, 0, 3), (2, 1, 2, 0, 2.5)]  # newer; an older row of a key that has newer ones; delivered a second time under an old id
+    held, seen = [], []
+    for part in (first, first[300:] + late, [(1001, 1, 3, 0, 3.5)], [(1002, 2, 9, 1, 30)], [(1003, 2, 9, 0, 60)]):
+        d = _log(spark, tmp_path, "log", part)
+        held.append(_held(J.write_changes(J.last_write(d), str(tmp_path / "t"), str(tmp_path / "c"), ["user_id", "qid"], "append", order="id", ranges=4)))
+        seen += part
+        want = {}
+        for i, u, k, c, _ in seen:
+            want[u, k] = max(want.get((u, k), (-1, 0)), (i, c))
+        got = {(r.user_id, r.qid): (r.id, r.correct) for r in J.latest(spark, str(tmp_path / "t"), ["user_id", "qid"]).collect()}
+        assert got == want
+    assert held[0] > 90 and held[-1] <= 2  # what was delivered more than a day before the newest row is forgotten
+    ranges = [n for v in os.listdir(tmp_path / "t") if v.startswith("v") for n in os.listdir(tmp_path / "t" / v) if n.startswith("__range")]
+    assert len(ranges) <= 2 * 4  # at most two versions of a key range, however many merges there were
+
+
+def test_keyed_table(spark, tmp_path):
+    path = str(tmp_path / "t")
+    mk = lambda *r: spark.createDataFrame(r, "k int, x string, n bigint")
+    t = KeyedTable(spark, path, ["k"], 3)
+    t.merge(mk())
+    assert t.read().count() == 0
+    for i in range(6):
+        t.merge(mk((i % 2, f"a{i}", i), (None, "null key", i)))
+    assert {tuple(r) for r in t.read().collect()} == {(0, "a4", 4), (1, "a5", 5), (None, "null key", 5)}
+    o = KeyedTable(spark, str(tmp_path / "o"), ["k"], 1)
+    o.merge(mk((1, "new", 9), (1, "older", 3)), order="n")
+    o.merge(mk((1, "late", 4), (2, "x", 1)), order="n")
+    o.merge(mk((1, "late", 4), (2, "x", 1)), order="n")  # run again
+    assert rows(o.read()) == [(1, "new", 9), (2, "x", 1)]
+    (tmp_path / "t" / "v7").mkdir()  # a merge that died before its manifest
+    t.merge(mk((5, "on", 1)))
+    assert t.read().count() == 4
+
+
+def test_mastered_questions_leave_the_book(spark, tmp_path):
+    log, day, i = [], 0, 0
+    d = lambda rows_: spark.createDataFrame([(a, 1, 7, c, date(2024, 1, 1) + timedelta(days=b)) for a, c, b in rows_], "id bigint, user_id bigint, qid bigint, correct bigint, day date")
+    log.append((0, 0, 0))
+    while True:  # answer on the day it is due until it is mastered
+        r = memory.wrongbook_fold(d(log)).first()
+        if r.mastered:
+            break
+        i, day = i + 1, (r.next_review - date(2024, 1, 1)).days
+        log.append((i, 1, day))
+    keys, held = ["user_id", "qid"], []
+    right = [(500, 3, 3, 1, 0)]  # never wrong: no state at all
+    for part in (right + [(a, 1, 7, c, b) for a, c, b in log], [(900, 2, 8, 0, day + 10)], [(901, 2, 8, 0, day + 60)], [(902, 2, 8, 0, day + 70)]):
+        s = _log(spark, tmp_path, "log", part)
+        held.append(_held(J.write_changes(J.wrongbook(s, idle=30), str(tmp_path / "t"), str(tmp_path / "c"), keys)))
+    book = {(x.user_id, x.qid): x for x in J.latest(spark, str(tmp_path / "t"), keys).collect()}
+    assert set(book) == {(1, 7), (2, 8)} and book[1, 7].mastered == 1 and tuple(book[1, 7]) == tuple(r)
+    assert book[2, 8].wrong_count == 3 and held[1] > held[-1]
+
+
+def test_closed_months_leave_the_usage(spark, tmp_path):
+    held = []
+    for part in ([(u, date(2024, 1, 5), 10) for u in range(50)], [(1, date(2024, 2, 1), 5), (1, date(2024, 1, 31), 7)], [(1, date(2024, 4, 1), 1)], [(2, date(2024, 4, 2), 1)]):
+        df = spark.createDataFrame(part, "user_id bigint, day date, input_tokens bigint").withColumn("output_tokens", F.lit(1).cast("bigint"))
+        df.coalesce(1).write.mode("append").parquet(str(tmp_path / "log"))
+        u = spark.readStream.schema(df.schema).parquet(str(tmp_path / "log"))
+        held.append(_held(J.write_changes(J.usage_cap(u, 15), str(tmp_path / "t"), str(tmp_path / "c"), ["user_id", "month"])))
+    got = {(r.user_id, r.month): (r.tokens, r.over_limit) for r in J.latest(spark, str(tmp_path / "t"), ["user_id", "month"]).collect()}
+    assert got[1, date(2024, 1, 1)] == (19, 1) and got[1, date(2024, 2, 1)] == (6, 0) and got[2, date(2024, 4, 1)] == (2, 0) and len(got) == 53
+    assert held[0] == 50 and held[-1] <= 3
+
+
+def test_the_callers_state_store_stays(spark, tmp_path):
+    spark.conf.unset(J.STORE)
+    before = spark.conf.get(J.STORE)
+    d = _log(spark, tmp_path, "log", [(1, 1, 1, 1, 0)])
+    J.write_changes(J.last_write(d), str(tmp_path / "t"), str(tmp_path / "c"), ["user_id", "qid"], "append", order="id")
+    assert spark.conf.get(J.STORE) == before
 
 
 def test_short_words_and_empty_queries_by_index(spark):
