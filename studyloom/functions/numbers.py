@@ -11,6 +11,15 @@ def half_up(x):
     return F.floor(x + 0.5).cast("bigint")
 
 
+def ratio_half_even(num, den, digits):
+    """num / den of whole numbers (num >= 0, den > 0), rounded half to even; the remainder tells a tie, so nothing depends on floating point."""
+    n, d = num.cast("bigint") * 10 ** digits, den.cast("bigint")
+    q, r = (n - n % d) / d, n % d  # exact as doubles up to 2**53
+    q = q.cast("bigint")
+    up = (2 * r > d) | ((2 * r == d) & (q % 2 == 1))
+    return (q + F.when(up, 1).otherwise(0)) / 10 ** digits
+
+
 def half_even(x):
     return F.bround(x).cast("bigint")
 

@@ -2,7 +2,7 @@
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from studyloom.functions.numbers import count_if, half_even, half_up, lookup, pack_map, pct
+from studyloom.functions.numbers import count_if, half_even, half_up, lookup, pack_map, pct, ratio_half_even
 
 DEFAULT_WEIGHT = 0.8
 HEAT_BANDS = ((120, 4), (60, 3), (30, 2), (1, 1))
@@ -91,12 +91,13 @@ def pace_by_subtype(attempts, bank, sub_targets, module_targets, default=60, by=
 
 
 def module_order(attempts, weights, floor=10, by=()):
-    acc, avg = F.col("ok") / F.col("n"), F.col("sec") / F.col("n")
+    """Points a minute, 60 * weight * right / seconds, best first. Weights count in thousandths."""
+    w = lookup(F.col("module"), {k: round(1000 * x) for k, x in weights.items()})
     return (_counted(attempts).where((F.col("seconds") > 0) & F.col("module").isin(list(weights)))
             .groupBy(*by, "module").agg(F.count("*").alias("n"), F.sum("correct").alias("ok"), F.sum("seconds").alias("sec"))
             .where(F.col("n") >= floor)
-            .select(*by, "module", "n", pct("ok", "n").alias("acc"), half_even(avg).alias("avg_sec"),
-                    F.bround(acc * lookup(F.col("module"), weights) / avg * 60, 2).alias("per_min"))
+            .select(*by, "module", "n", pct("ok", "n").alias("acc"), half_even(F.col("sec") / F.col("n")).alias("avg_sec"),
+                    ratio_half_even(60 * w * F.col("ok"), 1000 * F.col("sec"), 2).alias("per_min"))
             .orderBy(*by, F.desc("per_min"), "module"))
 
 

@@ -127,43 +127,53 @@ def near_duplicates(sigs, score, share=0.9, ratio=1.12, least=20):
     return chain.select(F.col("id").alias("doc"), F.col("partner").alias("keep"))
 
 
-def deck_overlap(decks, share=0.5, window=8):
+def deck_overlap(decks, share=0.5, window=64):
     """Decks that stay: largest first, a deck is dropped when more than ``share`` of the smaller set is in one already kept.
 
-    ``decks(id, item)``. Order: size descending, then id. Rounds work on the item lists: a deck is settled once every
-    earlier deck on the lists of its rare items is settled; kept decks leave a list when the whole list has met them.
+    ``decks(id, item)``. Order: size descending, then id. A deck that overlaps an earlier one shares one of its rare items with it, so decks
+    meet on the lists of their rare items. A round looks at the first ``window`` open decks of every list; a deck that stands there on
+    all of its lists has met every earlier deck it may overlap with. Among these the order is settled on their overlaps alone: who
+    has no open earlier neighbour stays, its neighbours go, and so on. What stays then meets the rest of its lists once and leaves them,
+    so a family of look-alikes is settled by its first deck. The window grows fourfold a round: rounds grow with the logarithm of the longest list.
     """
     sets = decks.distinct().groupBy("id").agg(F.array_sort(F.collect_set("item")).alias("items")).withColumn("size", F.size("items"))
     sets = materialize(sets.withColumn("h", F.md5(F.to_json("items"))))
     first = sets.groupBy("h").agg(F.min("id").alias("id"))
     sets = materialize(sets.join(first.select("id"), "id", "left_semi").withColumn("rk", F.struct("size", (-F.col("id")).alias("i"))))
     # an overlap above share * size needs floor(share * size) + 1 common items; the later deck is the smaller one
-    entries = materialize(_entries(sets, F.floor(F.col("size") * share) + 1))
-    rare = entries.where("pre").select(F.col("id").alias("d"), "item")
-    alive = entries.select("item", "id").join(sets.select("id", "rk"), "id")
-    open_ = sets.select(F.col("id").alias("d"), F.col("rk").alias("drk"))
-    kept, edges = None, None
+    entries = materialize(_entries(sets, F.floor(F.col("size") * share) + 1).join(sets.select("id", "rk"), "id").select("item", "id", "pre", "rk"))
     side = lambda p: sets.select(F.col("id").alias(p), F.col("items").alias(p + "_items"), F.col("size").alias(p + "_size"))
-    status = sets.select("id", F.lit("open").alias("st"))
+
+    def overlaps(later, earlier):
+        """(d, k): true neighbours among decks of ``later`` and earlier ones of ``earlier`` on the lists of their rare items."""
+        near = (later.where("pre").select(F.col("id").alias("d"), "item", F.col("rk").alias("drk")).join(earlier.select("item", F.col("id").alias("k"), "rk"), "item")
+                .where(F.col("rk") > F.col("drk")).select("d", "k").distinct())
+        return (near.join(side("d"), "d").join(side("k"), "k")
+                .where(F.size(F.array_intersect("d_items", "k_items")) > share * F.least("d_size", "k_size")).select("d", "k"))
+    ids = lambda df, c: df.select(F.col(c).alias("id")).distinct()
+    open_, kept = entries, None
     while True:
         rn = F.row_number().over(W.partitionBy("item").orderBy(F.desc("rk")))
-        top = materialize(alive.withColumn("rn", rn).where(F.col("rn") <= window))
-        cand = (rare.join(open_, "d").join(top, "item").where(F.col("rk") > F.col("drk")).select("d", F.col("id").alias("k")).distinct())
-        hit = cand.join(side("d"), "d").join(side("k"), "k").where(
-            F.size(F.array_intersect("d_items", "k_items")) > share * F.least("d_size", "k_size")).select("d", "k")
-        edges = materialize(hit if edges is None else edges.unionByName(hit).distinct())
-        waiting = cand.select("d").distinct().withColumn("wait", F.lit(1))
-        hurt = edges.join(status.where("st = 'kept'").select(F.col("id").alias("k")), "k").select("d").distinct().withColumn("hurt", F.lit(1))
-        held = edges.join(status.where("st = 'open'").select(F.col("id").alias("k")), "k").select("d").distinct().withColumn("held", F.lit(1))
-        new = materialize(open_.join(waiting, "d", "left").join(hurt, "d", "left").join(held, "d", "left").select(
-            "d", "drk", F.when(F.col("hurt").isNotNull(), "gone").when(F.col("wait").isNull() & F.col("held").isNull(), "kept").otherwise("open").alias("st")))
-        status = materialize(status.join(new.select(F.col("d").alias("id"), F.col("st").alias("n")), "id", "left").select("id", F.coalesce("n", "st").alias("st")))
-        open_ = new.where("st = 'open'").select("d", "drk")
+        top = materialize(open_.withColumn("rn", rn).where(F.col("rn") <= window))
+        whole = (open_.where("pre").groupBy("id").agg(F.count("*").alias("n"))
+                 .join(top.where("pre").groupBy("id").agg(F.count("*").alias("seen")), "id").where("n = seen").select("id"))
+        nodes = materialize(whole)
+        edges = materialize(overlaps(top.join(nodes, "id", "left_semi"), top))
+        stay = None
+        while True:
+            now = materialize(nodes.join(ids(edges, "d"), "id", "left_anti"))
+            if now.isEmpty():
+                break
+            stay = now if stay is None else stay.unionByName(now)
+            gone = materialize(ids(edges.join(now.withColumnRenamed("id", "k"), "k"), "d"))
+            nodes = materialize(nodes.join(now, "id", "left_anti").join(gone, "id", "left_anti"))
+            edges = materialize(edges.join(ids(nodes, "id").withColumnRenamed("id", "d"), "d", "left_semi").join(gone.withColumnRenamed("id", "k"), "k", "left_anti"))
+        if stay is not None:
+            stay = materialize(stay)
+            rest = open_.join(stay, "id", "left_anti")
+            gone = ids(overlaps(rest, open_.join(stay, "id", "left_semi")), "d")
+            kept = stay if kept is None else kept.unionByName(stay)
+            open_ = materialize(rest.join(gone, "id", "left_anti"))
         if open_.isEmpty():
-            return status.where("st = 'kept'").select("id")
-        alive = alive.join(status.where("st = 'gone'").select("id"), "id", "left_anti")
-        if kept is not None:
-            # decks kept before this round have met their whole list where they were in the window
-            alive = alive.join(top.join(kept, "id", "left_semi").select("item", "id"), ["item", "id"], "left_anti")
-        alive = materialize(alive)
-        kept = status.where("st = 'kept'").select("id")
+            return kept if kept is not None else sets.select("id")
+        window *= 4

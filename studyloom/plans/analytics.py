@@ -66,9 +66,14 @@ def _(v):
     return A.pace_by_subtype(v.attempts, v.bank, SUB_TARGETS, MODULE_TARGETS)
 
 
+#: 60 * weight * right / seconds in hundredths, half to even, out of whole numbers
+_NUM, _DEN = f"(6000*CAST(round(1000*{WEIGHT_SQL}) AS BIGINT)*sum(correct)::BIGINT)", "(1000*sum(seconds)::BIGINT)"
+PER_MIN_SQL = f"({_NUM}//{_DEN} + CASE WHEN 2*({_NUM}%{_DEN})>{_DEN} OR (2*({_NUM}%{_DEN})={_DEN} AND ({_NUM}//{_DEN})%2=1) THEN 1 ELSE 0 END)/100"
+
+
 @query("module_order", f"""SELECT module, count(*) AS n, round_even(avg(correct)*100,0)::BIGINT AS acc,
     round_even(avg(seconds),0)::BIGINT AS avg_sec,
-    round_even(sum(correct)/count(*)::DOUBLE * {WEIGHT_SQL} / (sum(seconds)/count(*)::DOUBLE) * 60, 2) AS per_min
+    {PER_MIN_SQL} AS per_min
     FROM v_attempts WHERE mode<>'doc_example' AND seconds>0 AND module IN ('click','view','purchase','signup')
     GROUP BY module HAVING count(*)>=10""")
 def _(v):
@@ -145,7 +150,7 @@ def _(v):
 
 @query("module_order_by_user", f"""SELECT user_id, module, count(*) AS n, round_even(avg(correct)*100,0)::BIGINT AS acc,
     round_even(avg(seconds),0)::BIGINT AS avg_sec,
-    round_even(sum(correct)/count(*)::DOUBLE * {WEIGHT_SQL} / (sum(seconds)/count(*)::DOUBLE) * 60, 2) AS per_min
+    {PER_MIN_SQL} AS per_min
     FROM v_attempts WHERE mode<>'doc_example' AND seconds>0 AND module IN ('click','view','purchase','signup')
     GROUP BY user_id, module HAVING count(*)>=3""")
 def _(v):

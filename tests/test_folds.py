@@ -212,10 +212,26 @@ def test_deck_overlap_brute_force(spark):
         if not any(len(decks[i] & decks[k]) > 0.5 * min(len(decks[i]), len(decks[k])) for k in kept):
             kept.append(i)
     d = spark.createDataFrame([(i, x) for i, xs in decks.items() for x in xs], "id bigint, item bigint")
-    for window in (1, 8):
+    for window in (1, 64):
         assert rows(nearcopies.deck_overlap(d, window=window)) == sorted((k,) for k in kept)
 
 
+def test_deck_overlap_settles_families_in_few_rounds(spark, monkeypatch):
+    """Eighty look-alikes, a hot item that overlaps nothing, a chain where every second deck stays, equal decks, and no decks."""
+    decks = {i: set(range(40)) - {i % 40} | {1000 + i} for i in range(80)}
+    decks |= {100 + i: {-1} | set(range(5000 + 10 * i, 5004 + 10 * i)) for i in range(90)}
+    decks |= {300 + i: set(range(9000 + 6 * i, 9000 + 6 * i + 13 - i % 2)) for i in range(12)} | {400: {7, 8}, 401: {7, 8}}
+    kept = []
+    for i in sorted(decks, key=lambda i: (-len(decks[i]), i)):
+        if not any(len(decks[i] & decks[k]) > 0.5 * min(len(decks[i]), len(decks[k])) for k in kept):
+            kept.append(i)
+    d = spark.createDataFrame([(i, x) for i, xs in decks.items() for x in xs], "id bigint, item bigint")
+    written, real = [], nearcopies.materialize
+    monkeypatch.setattr(nearcopies, "materialize", lambda df: written.append(1) or real(df))
+    assert rows(nearcopies.deck_overlap(d)) == sorted((k,) for k in kept)
+    assert len(written) < 60 and nearcopies.deck_overlap(d.limit(0)).count() == 0
+
+
 def test_prefix_match_brute_force(spark):
     r = random.Random(7)
     words = ["".join(r.choice("ab") for _ in range(r.randint(2, 9))) for _ in range(60)]
