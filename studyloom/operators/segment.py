@@ -171,21 +171,55 @@ def answer_key_attach(questions, keys, back=600):
 
 # How explanations state the answer and judge options.
 PROSE_ANSWER = (r"(?:正确答案|参考答案|答案)\s*(?:是|为|应选|选|应为)?\s*[:：]?\s*[【\[（(]?\s*([A-H]{1,4})(?![A-Za-z])"
-                r"|(?:故|因此|所以|即|则|综上)\s*[，,]?\s*(?:本题)?(?:应|正确答案)?(?:选|为|算)(?:择)?\s*[【\[]?\s*([A-H]{1,4})(?![A-Za-z])")
+                r"|(?:故|因此|所以|即|则|综上)\s*[，,]?\s*(?:本题)?(?:应|正确答案)?(?:选|为|算)(?:择)?\s*[【\[]?\s*([A-H]{1,4})(?![A-Za-z])\s*(?:项|选项)?"
+                r"|秒\s*([A-H])(?![A-Za-z])"
+                r"|(?:相加|相减|解|求|公式|即可|可以)得\s*([A-H])(?![A-Za-z])\s*(?:项|选项)?\s*(?:[。．.，,；;]|$)"
+                r"|(?:^|[。；;，,\s])选\s*([A-H]{1,4})(?![A-Za-z])\s*[，,]"
+                r"|(?:本题|此题|该题)(?:应|的答案)?(?:选|为)(?:择)?\s*[【\[]?\s*([A-H]{1,4})(?![A-Za-z])"
+                r"|(?<![A-Za-z])([A-H])\s*(?:项|选项)?\s*(?:最为|最)(?:契合|恰当|合适|准确|符合|贴切|正确)"
+                r"|(?<![A-Za-z、，,和与])([A-H])\s*(?:项|选项)\s*当选"
+                r"|(?:选|答案)\s*[【\[]\s*([A-H]{1,4})\s*[】\]]"
+                r"|(?:只有|仅有|唯有)\s*([A-H])\s*(?:选项|项)\s*(?:符合|正确|满足|当选|是|为)?"
+                r"|(?<![A-Za-z、和与])([A-H])\s*(?:选项|项)(?:[^。；;A-H]{0,70})[，,]\s*当选"
+                r"|对应\s*([A-H])\s*(?:选项|项)\s*[，,。]"
+                r"|(?:最优|最佳|正确)选项(?:为|是)\s*([A-H]{1,4})(?![A-Za-z])"
+                r"|答案[^。，,；;A-H]{1,6}(?:为|是)\s*([A-H]{1,4})(?![A-Za-z])"
+                r"|(?<![误不可难])(?<!容易)选(?:择)?\s*([A-H]{1,4})(?![A-Za-z])\s*(?:项|选项)?\s*(?:更恰当|更好|最恰当|最好|为宜)?\s*(?:[。．.!！;；]|$)")
+CHOSEN = r"([A-D])\s*项[：:][^\n]*?当选"
+CLOSING = r"故(?:正确)?答案为\s*([A-D])"
+CLOSING_TAIL = r"(?:故|因此|所以)?\s*(?:正确)?答案(?:为|是|选)\s*([A-D])\s*(?:项)?[。.]?\s*$|本题选\s*([A-D])"
 JUDGED = (r"([A-H](?:\s*[、,，和与及/]\s*[A-H])*)\s*(?:两|三|四)?\s*(?:项|选项)\s*(?:的)?(?:说法|表述|内容|观点)?\s*(?:均|都|也)?\s*"
           r"(不正确|正确|错误|有误|不符合|符合|不属于|属于|不当选|当选|排除|无误)")
 RIGHT_WORDS = ["正确", "符合", "属于", "当选", "无误"]
 NEGATIVE_STEM = r"错误|不正确|不属于|不符合|不包括|不是|有误|不能|不应|不得|不对|不准确|不恰当|不可能|不涉及|没有体现|未体现|无关"
 
 
-def prose_answer(text, pattern=PROSE_ANSWER, groups=2, lead=r"^\s*([A-H]{1,4})\s*[。．](?!\d)"):
-    """Answer letters an explanation opens with, else those of its first conclusion; '' when there is none."""
-    first = F.regexp_extract(text, pattern, 0)
-    found = F.coalesce(*[F.nullif(F.regexp_extract(first, pattern, i + 1), F.lit("")) for i in range(groups)], F.lit(""))
+def prose_answer(text, pattern="(?U)" + PROSE_ANSWER, lead=r"(?U)^\s*([A-H]{1,4})\s*[。．](?!\d)"):
+    """Answer letters an explanation opens with, else those of its first conclusion; '' when there is none.
+
+    No form of a conclusion holds other capitals than the letters, so these are found in it once more without asking for its form.
+    """
+    first = F.get(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), 0)
+    found = F.coalesce(F.regexp_extract(first, r"(?<![A-Za-z])([A-H]{1,4})(?![A-Za-z])", 1), F.lit(""))
     head = F.regexp_extract(text, lead, 1)
     return F.when(head != "", head).otherwise(found)
 
 
+def chosen_answer(text):
+    """The one option that an option-by-option explanation calls the chosen one; '' when none or several are."""
+    said = F.array_distinct(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit("(?U)" + CHOSEN), F.lit(1)))
+    return F.when(F.size(said) == 1, F.get(said, 0)).otherwise("")
+
+
+def closing_answer(text, more="【拓展】"):
+    """The conclusion at the end of an explanation, before the part that goes further; '' when there is none."""
+    body = F.regexp_replace(F.get(F.split(F.coalesce(text, F.lit("")), more), 0), r"(?U)^\s+|\s+$", "")
+    last = lambda found: F.try_element_at(found, F.lit(-1))
+    full = last(F.regexp_extract_all(body, F.lit("(?U)" + CLOSING), F.lit(1)))
+    tail = last(F.regexp_extract_all(F.right(body, F.lit(40)), F.lit("(?U)" + CLOSING_TAIL), F.lit(0)))
+    return F.coalesce(full, F.regexp_extract(tail, "([A-D])", 1), F.lit(""))
+
+
 def judged_answer(stem, letters, text, judged=JUDGED, right=RIGHT_WORDS, negative=NEGATIVE_STEM):
     """Answer from per-option verdicts: the right ones, or the wrong ones when the stem asks for those; '' when unclear.
 

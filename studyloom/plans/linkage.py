@@ -1,9 +1,11 @@
 """Queries over joins, dedup and set operations."""
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from studyloom.functions import text as T
 from studyloom.operators import dedup as D
 from studyloom.operators import joins as J
+from studyloom.operators import matching as M
 from studyloom.operators import overlay as O
 from studyloom.plans.registry import query
 from studyloom.plans.text import HID, hidden_copies
@@ -128,6 +130,32 @@ def _(v):
     return J.borrow_from_copies(r, "k", ["opts"])
 
 
+def _options(words, turn):
+    """Words two to five of a text as options A to D, turned by ``turn`` places."""
+    at = lambda i: F.coalesce(F.get(words, (F.lit(i) + turn) % 4 + 1), F.lit(""))
+    return F.array(*[F.struct(F.lit(a).alias("letter"), at(i).alias("text")) for i, a in enumerate("ABCD")])
+
+
+@query("bank_answers")
+def _(v):
+    """Sentences of documents as questions, those of the benchmark as the bank: same words as options, in another order."""
+    words = lambda c: F.filter(F.split(c, r"\s+"), lambda x: x != "")
+    q = v.qblocks.select("doc", "seq", F.col("text").alias("stem"), _options(words("text"), F.col("seq") % 4).alias("options"), F.array_distinct(words("text")).alias("sig"), F.lit("").alias("exp"))
+    b = v.table("benchmark").select("item_id", F.col("text").alias("exp"), F.posexplode(F.split("text", r"\.")).alias("i", "stem"))
+    turned = F.transform(_options(words("stem"), F.col("item_id") % 4), lambda o: o["text"])
+    b = b.select((F.col("item_id") * 1048576 + F.col("i")).alias("id"), "stem", turned.alias("options"), (F.col("i") % 4).cast("int").alias("answer"), "exp",
+                 F.array_distinct(words("exp")).alias("exp_sig"), F.length("exp").alias("exp_len"))
+    return M.bank_answers(q, b, key=lambda c: T.only(c, L + "0-9"), keep=L + "0-9").drop("exp")
+
+
+@query("borrow_answers")
+def _(v):
+    """Sentences of even documents have an answer; the others take it from the first one that has the same sentence."""
+    words = F.filter(F.split("text", r"\s+"), lambda x: x != "")
+    q = v.qblocks.select("doc", "seq", F.col("text").alias("stem"), _options(words, F.col("doc") % 4).alias("options"), F.when(F.col("doc") % 2 == 0, F.col("ans")).alias("ans"), F.lit("").alias("exp"))
+    return M.borrow_answers(q, key=lambda c: T.only(c, L + "0-9"), keep=L + "0-9").drop("exp")
+
+
 @query("fill_missing_from_versions", """WITH q AS (SELECT module AS pid, source AS version, id AS ord, num, replace(stem,' ','') AS key, answer FROM v_bank),
     ver AS (SELECT *, row_number() OVER (PARTITION BY pid ORDER BY answered DESC, count DESC, version) AS rank FROM (SELECT pid, version, count(answer) AS answered, count(*) AS count FROM q GROUP BY 1,2)),
     b AS (SELECT q.*, v.count FROM q JOIN ver v USING (pid,version) WHERE rank=1),
@@ -237,7 +265,7 @@ def _(v):
     return D.repeat_paragraphs(v.blocks, L, exempt="[?]")
 
 
-RS = f"""q AS (SELECT doc, seq, text, lead(text,2) OVER (PARTITION BY doc ORDER BY seq) AS nx FROM v_qblocks WHERE kind='q' AND length(text)>=60), e AS (SELECT doc, seq, text, CASE WHEN doc%2=0 THEN nx ELSE text END AS ex FROM q),
+RS = f"""q AS (SELECT doc, seq, text, lead(text,2) OVER (PARTITION BY doc ORDER BY seq) AS nx FROM v_qblocks WHERE kind='q'), e AS (SELECT doc, seq, text, CASE WHEN doc%2=0 THEN nx ELSE text END AS ex FROM q),
     n AS (SELECT doc, count(*) AS nq FROM e GROUP BY doc), t0 AS (SELECT DISTINCT doc, seq, unnest(regexp_extract_all(lower(text),'[{L}]{{3,}}')) AS tok FROM e),
     cm AS (SELECT t0.doc, tok FROM t0 JOIN n ON n.doc=t0.doc GROUP BY t0.doc, tok, nq HAVING count(*)>greatest(3, nq*0.08)), t AS (SELECT * FROM t0 WHERE (doc,tok) NOT IN (SELECT (doc,tok) FROM cm)),
     z AS (SELECT doc, seq, count(*) AS size FROM t GROUP BY 1,2 HAVING count(*)>=6), x AS (SELECT DISTINCT e.doc, e.seq, unnest(regexp_extract_all(lower(ex),'[{L}]{{3,}}')) AS tok FROM e JOIN z ON z.doc=e.doc AND z.seq=e.seq WHERE ex IS NOT NULL AND length(ex)>=40),
@@ -249,9 +277,21 @@ RS = f"""q AS (SELECT doc, seq, text, lead(text,2) OVER (PARTITION BY doc ORDER
 @query("realign_by_signature", "WITH " + RS + """, v AS (SELECT b.doc, b.e, m[2] AS j, m[1] AS sc FROM b WHERE m[1]>=0.4 AND m[1]>=own*3+0.2), w AS (SELECT v.* FROM v LEFT JOIN o ON o.doc=v.doc AND o.seq=v.j WHERE NOT coalesce(own>=sc/2 AND own>=0.15,false))
     SELECT doc, arg_max(e,(sc,e)) AS seq, j AS "to", round_even(max(sc),4) AS score FROM w GROUP BY doc, j""")
 def _(v):
-    from pyspark.sql import Window as W
+    return J.realign_by_signature(_explained(v))
+
+
+@query("realign_actions", "WITH " + RS + """, v AS (SELECT b.doc, b.e, m[2] AS j, m[1] AS sc FROM b WHERE m[1]>=0.4 AND m[1]>=own*3+0.2), w AS (SELECT v.* FROM v LEFT JOIN o ON o.doc=v.doc AND o.seq=v.j WHERE NOT coalesce(own>=sc/2 AND own>=0.15,false)),
+    g AS (SELECT doc, arg_max(e,(sc,e)) AS seq, j FROM w GROUP BY doc, j)
+    SELECT doc, seq, 'moved' AS action, j AS "to" FROM g UNION ALL
+    SELECT e.doc, e.seq, 'removed', NULL FROM e JOIN z ON z.doc=e.doc AND z.seq=e.seq LEFT JOIN k ON k.doc=e.doc AND k.e=e.seq AND k.seq=e.seq WHERE k.doc IS NULL AND size>=8 AND length(ex)>=60 AND (e.doc, e.seq) NOT IN (SELECT (doc, seq) FROM g)""")
+def _(v):
+    return M.realign_actions(_explained(v))
+
+
+def _explained(v):
+    """Questions with their explanation: in even documents it is the text two questions further on."""
     words = lambda c: F.array_distinct(F.regexp_extract_all(F.lower(c), F.lit(f"([{L}]{{3,}})")))
-    q = v.qblocks.where("kind = 'q' AND length(text) >= 60").withColumn("nx", F.lead("text", 2).over(W.partitionBy("doc").orderBy("seq")))
+    q = v.qblocks.where("kind = 'q'").withColumn("nx", F.lead("text", 2).over(W.partitionBy("doc").orderBy("seq")))
     q = q.withColumn("ex", F.when(F.col("doc") % 2 == 0, F.col("nx")).otherwise(F.col("text")))
-    return J.realign_by_signature(q.select("doc", "seq", words(F.col("text")).alias("sig"), words(F.coalesce("ex", F.lit(""))).alias("exp_sig"),
-                                           F.coalesce(F.length("ex"), F.lit(0)).alias("exp_len")))
+    return q.select("doc", "seq", words(F.col("text")).alias("sig"), words(F.coalesce("ex", F.lit(""))).alias("exp_sig"),
+                                           F.coalesce(F.length("ex"), F.lit(0)).alias("exp_len"))

@@ -112,17 +112,39 @@ def _(v):
     return S.answer_key_attach(q, k)
 
 
-@query("answer_from_prose", """SELECT doc, seq, CASE num%4 WHEN 0 THEN ans WHEN 1 THEN ans WHEN 2 THEN 'AC' ELSE '' END AS prose, CASE num%3 WHEN 0 THEN ans WHEN 1 THEN CASE WHEN ans='D' THEN 'D' ELSE '' END ELSE '' END AS judged FROM v_qblocks""")
+#: One sentence per form of a conclusion around the answer's letter, and what is read out of it.
+CONCLUSIONS = [("解析……因此正确答案为{a}。下一题故选B", "{a}"), ("{a}。清明是节气", "{a}"), ("综上，本题选AC项", "AC"), ("没有结论", ""), ("故选择{a}项。", "{a}"), ("60/500秒{a}。", "{a}"),
+               ("两式相减得{a}选项。", "{a}"), ("计算后，选{a}，其余略", "{a}"), ("该题的答案为【{a}】", "{a}"), ("相比之下{a}项最为贴切", "{a}"), ("推理可知{a}项当选", "{a}"), ("判断后选【BD】", "BD"),
+               ("只有{a}项符合要求", "{a}"), ("{a}选项说的是另一回事，当选", "{a}"), ("对应{a}选项，其余不合", "{a}"), ("最优选项是{a}", "{a}"), ("答案看来应是{a}", "{a}"), ("容易选{a}。", ""), ("权衡之后选{a}更好！", "{a}"), ("A项、B项和C项都不能误选{a}。", "")]
+
+
+def _one_of(texts, by):
+    return F.element_at(F.array(*[F.replace(F.lit(t), F.lit("{a}"), F.col("ans")) for t in texts]), (by + 1).cast("int"))
+
+
+@query("answer_from_prose", f"""SELECT doc, seq, CASE num {' '.join(f"WHEN {i} THEN replace('{w}','{{a}}',ans)" for i, (_, w) in enumerate(CONCLUSIONS))} END AS prose,
+    CASE num%3 WHEN 0 THEN ans WHEN 1 THEN CASE WHEN ans='D' THEN 'D' ELSE '' END ELSE '' END AS judged FROM v_qblocks""")
 def _(v):
-    a, m = F.col("ans"), F.col("num") % 4
-    text = (F.when(m == 0, F.concat(F.lit("解析……因此正确答案为"), a, F.lit("。下一题故选B"))).when(m == 1, F.concat(a, F.lit("。清明是节气")))
-            .when(m == 2, F.lit("综上，本题选AC项")).otherwise(F.lit("没有结论")))
+    a = F.col("ans")
     j = F.col("num") % 3
     said = (F.when(j == 0, F.concat(a, F.lit("项正确，其余略"))).when(j == 1, F.when(a == "D", F.lit("A、B两项错误，C项排除")).otherwise(F.lit("A项错误"))).otherwise(F.lit("B项正确，B项错误")))
     letters = F.array(*[F.lit(x) for x in "ABCD"])
+    text = _one_of([t for t, _ in CONCLUSIONS], F.col("num"))
     return v.qblocks.select("doc", "seq", S.prose_answer(text).alias("prose"), S.judged_answer(F.col("text"), letters, said, negative="zzz").alias("judged"))
 
 
+#: The same for explanations option by option, and for the last sentence of an explanation.
+CHOSEN = [("A项：无关\n{a}项：与文意相符，当选", "{a}"), ("A项：当选。B项：当选", ""), ("{a}项：排除", ""), ("{a}项：同上，当选；{a}项：当选", "{a}")]
+CLOSINGS = [("B项错误。故正确答案为 {a}。【拓展】故正确答案为 C。", "{a}"), ("答案为C。细说如下，因此答案选{a}项。", "{a}"), ("……本题选{a}，略", "{a}"), ("答案是C，这一点要展开来说，" + "说" * 40, "")]
+
+
+@query("answer_from_closing", f"""SELECT doc, seq, CASE num%4 {' '.join(f"WHEN {i} THEN replace('{w}','{{a}}',ans)" for i, (_, w) in enumerate(CHOSEN))} END AS chosen,
+    CASE num%4 {' '.join(f"WHEN {i} THEN replace('{w}','{{a}}',ans)" for i, (_, w) in enumerate(CLOSINGS))} END AS closing FROM v_qblocks""")
+def _(v):
+    m = F.col("num") % 4
+    return v.qblocks.select("doc", "seq", S.chosen_answer(_one_of([t for t, _ in CHOSEN], m)).alias("chosen"), S.closing_answer(_one_of([t for t, _ in CLOSINGS], m)).alias("closing"))
+
+
 @query("card_extract", """WITH l AS (SELECT doc, seq, unnest(regexp_extract_all(text,'([A-Z][a-zà-ÿ]{3,})( [a-zà-ÿ]+)')) AS m FROM v_blocks), c AS (SELECT doc, split_part(m,' ',1) AS front, split_part(m,' ',2) AS back FROM l),
     n AS (SELECT doc FROM c GROUP BY doc HAVING count(*)>=30) SELECT DISTINCT doc, front, back FROM c WHERE doc IN (SELECT doc FROM n)""")
 def _(v):
