@@ -17,6 +17,11 @@ def paged(v, width):
     return v.blocks.withColumn("page", F.floor(F.col("seq") / width).cast("bigint"))
 
 
+def _pages(v):
+    """Twenty lines a page."""
+    return v.words.withColumn("page", F.floor(F.col("seq") / 20).cast("bigint"))
+
+
 @query("majority_smooth", """WITH b AS (SELECT doc, seq, chr((97+(length(text)//80)%5)::INT) AS l FROM v_qblocks),
     p1 AS (SELECT doc, seq, l, CASE WHEN len(list_filter(a, lambda x: x=m))>=4 THEN m ELSE l END AS l1 FROM (SELECT *, list(l) OVER w AS a, mode(l) OVER w AS m FROM b
       WINDOW w AS (PARTITION BY doc ORDER BY seq ROWS BETWEEN 3 PRECEDING AND 3 FOLLOWING))),
@@ -29,11 +34,10 @@ def _(v):
     return B.majority_smooth(v.qblocks.select("doc", "seq", lab.alias("label")), "label").select("doc", "seq", "label")
 
 
-@query("repeat_heading_drop", """SELECT doc, seq FROM (SELECT *, lag(k) OVER w AS pk, lag(t) OVER w AS pt FROM (SELECT doc, seq, CASE WHEN length(text)%3<2 THEN 'h' ELSE 'p' END AS k, substr(text,1,1) AS t FROM v_blocks)
+@query("repeat_heading_drop", """SELECT doc, seq FROM (SELECT *, lag(k) OVER w AS pk, lag(t) OVER w AS pt FROM (SELECT doc, seq, CASE WHEN length(text)%3<2 THEN 'h' ELSE 'p' END AS k, text AS t FROM v_words)
     WINDOW w AS (PARTITION BY doc ORDER BY seq)) WHERE NOT (k='h' AND coalesce(pk,'')='h' AND pt=t)""")
 def _(v):
-    b = v.blocks.select("doc", "seq", F.when(n_() % 3 < 2, "h").otherwise("p").alias("kind"), F.substring("text", 1, 1).alias("text"))
-    return B.repeat_heading_drop(b).select("doc", "seq")
+    return B.repeat_heading_drop(v.words.withColumn("kind", F.when(n_() % 3 < 2, "h").otherwise("p"))).select("doc", "seq")
 
 
 @query("heading_path", """SELECT b.doc, b.seq, coalesce(string_agg(h.text,' > ' ORDER BY h.seq),'') AS path FROM v_blocks b LEFT JOIN v_blocks h ON h.doc=b.doc AND h.kind='h' AND h.seq<=b.seq
@@ -135,13 +139,11 @@ def _(v):
     return C.noise_lines(v.qblocks, [r"^\s*$", "^[^a-z]*$", "^.{1,20}$"]).select("doc", "seq")
 
 
-@query("short_watermarks", f"""WITH b AS (SELECT doc, seq, seq AS page, regexp_replace(CASE WHEN seq%2=0 THEN substr(trim(text),1,2) ELSE substr(trim(text),1,1) END,'\\s','','g') AS t FROM v_qblocks),
-    bad AS (SELECT doc, t FROM b WHERE (length(t)=1 AND regexp_full_match(t,'[{L}]')) OR t IN ('Th','De') GROUP BY 1,2 HAVING count(DISTINCT page)>=3)
+@query("short_watermarks", f"""WITH b AS (SELECT doc, seq, seq//20 AS page, regexp_replace(text,'\\s','','g') AS t FROM v_words),
+    bad AS (SELECT doc, t FROM b WHERE length(t)<=3 AND ((length(t)=1 AND regexp_full_match(t,'[{L}]')) OR t IN ('de','the')) GROUP BY 1,2 HAVING count(DISTINCT page)>=3)
     SELECT doc, seq FROM b WHERE (doc,t) NOT IN (SELECT (doc,t) FROM bad)""")
 def _(v):
-    t = F.trim("text")
-    b = v.qblocks.select("doc", "seq", F.col("seq").alias("page"), F.when(F.col("seq") % 2 == 0, F.substring(t, 1, 2)).otherwise(F.substring(t, 1, 1)).alias("text"))
-    return C.short_watermarks(b, ["Th", "De"], L).select("doc", "seq")
+    return C.short_watermarks(_pages(v), ["de", "the"], L).select("doc", "seq")
 
 
 BP_SQL = """WITH f AS (SELECT doc, seq AS page, trim(unnest(string_split(text, ' '))) AS fragment FROM v_qblocks), np AS (SELECT doc, count(DISTINCT seq) AS np FROM v_qblocks GROUP BY doc HAVING count(DISTINCT seq)>=6),
@@ -166,29 +168,26 @@ def _(v):
     return C.cut_fragments(v.qblocks, _boiler(v)).select("doc", "seq", F.md5(F.regexp_replace("text", r"\s+", "")).alias("h"))
 
 
-@query("header_footer", """WITH b AS (SELECT doc, seq, seq//3 AS page, substr(text,1,2) AS t FROM v_qblocks), e AS (SELECT *, row_number() OVER (PARTITION BY doc,page ORDER BY seq)=1 OR row_number() OVER (PARTITION BY doc,page ORDER BY seq DESC)=1 AS e,
+@query("header_footer", """WITH b AS (SELECT doc, seq, seq//20 AS page, text AS t FROM v_words), e AS (SELECT *, row_number() OVER (PARTITION BY doc,page ORDER BY seq)=1 OR row_number() OVER (PARTITION BY doc,page ORDER BY seq DESC)=1 AS e,
       regexp_replace(regexp_replace(t,'\\s+','','g'),'[0-9]+','#','g') AS k FROM b), np AS (SELECT doc, count(DISTINCT page) AS np FROM b GROUP BY doc),
     o AS (SELECT e.doc, k FROM e JOIN np USING (doc) WHERE e AND np>2 GROUP BY e.doc, k, np HAVING count(DISTINCT page)>=greatest(2, floor(np*0.3::DOUBLE)))
     SELECT e.doc, seq, CASE WHEN e AND o.k IS NOT NULL THEN 1 ELSE 0 END AS hf FROM e LEFT JOIN o ON o.doc=e.doc AND o.k=e.k""")
 def _(v):
-    b = v.qblocks.select("doc", "seq", F.floor(F.col("seq") / 3).cast("bigint").alias("page"), F.substring("text", 1, 2).alias("text"))
-    return C.header_footer(b).select("doc", "seq", "hf")
+    return C.header_footer(_pages(v)).select("doc", "seq", "hf")
 
 
-@query("running_heads", """WITH b AS (SELECT doc, seq, CASE WHEN length(text)%2=0 THEN regexp_replace(substr(text,1,2),'\\s','','g') END AS k FROM v_qblocks), np AS (SELECT doc, count(*) AS np FROM b GROUP BY doc),
-    r AS (SELECT b.doc, k FROM b JOIN np USING (doc) WHERE k IS NOT NULL AND k<>'' GROUP BY b.doc, k, np HAVING count(*)>=greatest(4, np*0.12))
+@query("running_heads", """WITH b AS (SELECT doc, seq, seq//20 AS page, CASE WHEN length(text)%2=0 THEN regexp_replace(text,'\\s','','g') END AS k FROM v_words), np AS (SELECT doc, count(DISTINCT page) AS np FROM b GROUP BY doc),
+    r AS (SELECT b.doc, k FROM b JOIN np USING (doc) WHERE k IS NOT NULL AND k<>'' GROUP BY b.doc, k, np HAVING count(DISTINCT page)>=greatest(4, np*0.12))
     SELECT doc, seq FROM (SELECT b.*, r.k IS NOT NULL AS run, row_number() OVER (PARTITION BY b.doc, b.k ORDER BY seq) AS rn FROM b LEFT JOIN r ON r.doc=b.doc AND r.k=b.k) WHERE NOT (run AND rn>1)""")
 def _(v):
-    b = v.qblocks.select("doc", "seq", F.col("seq").alias("page"), F.when(n_() % 2 == 0, "h").otherwise("p").alias("kind"), F.substring("text", 1, 2).alias("text"))
-    return C.running_heads(b).select("doc", "seq")
+    return C.running_heads(_pages(v).withColumn("kind", F.when(n_() % 2 == 0, "h").otherwise("p"))).select("doc", "seq")
 
 
-@query("title_repeats", """WITH b AS (SELECT doc, seq, substr(trim(text),1,4) AS t FROM v_qblocks), ti AS (SELECT doc_id AS doc, substr(text,1,4) AS t FROM documents),
-    s AS (SELECT b.doc, seq, length(regexp_replace(ti.t,'[\\s()]','','g'))>=4 AND regexp_replace(b.t,'[\\s()]','','g')=regexp_replace(ti.t,'[\\s()]','','g') AS s FROM b JOIN ti USING (doc))
+@query("title_repeats", """WITH ti AS (SELECT doc, arg_min(text,seq) AS t FROM v_words GROUP BY doc),
+    s AS (SELECT b.doc, seq, length(regexp_replace(ti.t,'[\\s()]','','g'))>=4 AND regexp_replace(b.text,'[\\s()]','','g')=regexp_replace(ti.t,'[\\s()]','','g') AS s FROM v_words b JOIN ti USING (doc))
     SELECT doc, seq FROM (SELECT *, sum(s::INT) OVER (PARTITION BY doc ORDER BY seq) AS n FROM s) WHERE NOT (s AND (n>1 OR seq>2))""")
 def _(v):
-    b = v.qblocks.select("doc", "seq", F.substring(F.trim("text"), 1, 4).alias("text"))
-    return C.title_repeats(b, v.documents.select(F.col("doc_id").alias("doc"), F.substring("text", 1, 4).alias("title"))).select("doc", "seq")
+    return C.title_repeats(v.words, v.words.groupBy("doc").agg(F.min_by("text", "seq").alias("title"))).select("doc", "seq")
 
 
 _AD = ["tion", "the", "eau", "ing", "sch", "les"]
@@ -200,11 +199,10 @@ def _(v):
     return C.ad_pages(paged(v, 3), _AD, 4, 3, 600).select("doc", "seq")
 
 
-@query("ad_blocks", """WITH b AS (SELECT doc, seq, seq//20 AS pg, regexp_full_match(substr(trim(text),1,2),'(?:Th|De|La|Le|Ei).*') AS a FROM v_qblocks)
+@query("ad_blocks", """WITH b AS (SELECT doc, seq, seq//20 AS pg, regexp_full_match(text,'(?:the|de|la|les|und)') AS a FROM v_words)
     SELECT doc, seq FROM (SELECT *, sum(a::INT) OVER (PARTITION BY doc,pg) AS n FROM b) WHERE NOT (a AND n>=3)""")
 def _(v):
-    b = v.qblocks.select("doc", "seq", F.lit("p").alias("kind"), F.floor(F.col("seq") / 20).cast("bigint").alias("page"), F.substring(F.trim("text"), 1, 2).alias("text"))
-    return C.ad_blocks(b, "Th|De|La|Le|Ei").select("doc", "seq")
+    return C.ad_blocks(_pages(v).withColumn("kind", F.lit("p")), "the|de|la|les|und").select("doc", "seq")
 
 
 @query("print_ads", """WITH b AS (SELECT doc, seq, seq//5 AS pg, regexp_matches(text,'sch.*sch|tion.*tion') AS a, length(trim(text))<=40 AS s FROM v_qblocks)
@@ -289,12 +287,12 @@ def _(v):
     return C.part_title_merge(b, "^[A-D]", "^E", 2, 90).select("doc", "seq", F.md5("text").alias("h"))
 
 
-@query("outline_dump", """WITH b AS (SELECT doc, seq, CASE WHEN length(text)%5<4 THEN 'h' ELSE 'p' END AS kind, regexp_replace(substr(text,1,2),'\\s','','g') AS k FROM v_qblocks), f AS (SELECT doc, min(seq) FILTER (kind<>'h') AS f FROM b GROUP BY doc),
-    l AS (SELECT b.doc, seq, k, seq<coalesce(f,9000000000) AS lead, f FROM b JOIN f USING (doc)), a AS (SELECT l.doc, count(*) AS n, count(*) FILTER (EXISTS (SELECT 1 FROM l x WHERE x.doc=l.doc AND NOT x.lead AND x.k=l.k)) AS a FROM l WHERE lead GROUP BY l.doc)
+@query("outline_dump", """WITH b AS (SELECT doc, seq, CASE WHEN length(text)%8<7 THEN 'h' ELSE 'p' END AS kind, regexp_replace(text,'\\s','','g') AS k FROM v_words), f AS (SELECT doc, min(seq) FILTER (kind<>'h') AS f FROM b GROUP BY doc),
+    l AS (SELECT b.doc, seq, k, seq<coalesce(f,9000000000) AS lead FROM b JOIN f USING (doc)), x AS (SELECT DISTINCT doc, k FROM l WHERE NOT lead),
+    a AS (SELECT l.doc, count(*) AS n, count(x.k) AS a FROM l LEFT JOIN x ON x.doc=l.doc AND x.k=l.k WHERE lead GROUP BY l.doc)
     SELECT l.doc, seq FROM l LEFT JOIN a USING (doc) WHERE NOT (lead AND n>=3 AND a>=n*0.6)""")
 def _(v):
-    b = v.qblocks.select("doc", "seq", F.when(n_() % 5 < 4, "h").otherwise("p").alias("kind"), F.substring("text", 1, 2).alias("text"))
-    return C.outline_dump(b).select("doc", "seq")
+    return C.outline_dump(v.words.withColumn("kind", F.when(n_() % 8 < 7, "h").otherwise("p"))).select("doc", "seq")
 
 
 def _tables(v):

@@ -185,9 +185,9 @@ def _(v):
     return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 
-@query("minus_seen", f"WITH s AS (SELECT substr({KEY},1,60) AS k FROM benchmark) SELECT doc, seq FROM v_qblocks WHERE substr({KEY},1,60) NOT IN (SELECT k FROM s UNION SELECT substr({KEY},1,60) FROM v_qblocks WHERE doc%10=0) AND doc%10<>0")
+@query("minus_seen", f"WITH s AS (SELECT {KEY} AS k FROM benchmark) SELECT doc, seq FROM v_qblocks WHERE {KEY} NOT IN (SELECT k FROM s UNION SELECT {KEY} FROM v_qblocks WHERE doc%10=0) AND doc%10<>0")
 def _(v):
-    k = F.substring(key_of("text"), 1, 60)
+    k = key_of("text")
     seen = v.table("benchmark").select(k.alias("_k")).union(v.qblocks.where("doc % 10 = 0").select(k.alias("_k"))).distinct()
     return D.minus_seen(v.qblocks.where("doc % 10 <> 0").select("doc", "seq", "text"), seen, k).select("doc", "seq")
 
@@ -222,10 +222,10 @@ def _(v):
     return D.keep_best(d, _dk(v), ["img", "n_chars"], "id")
 
 
-@query("dedup_first", f"SELECT min(doc*4294967296+seq) AS id, count(*) AS copies FROM (SELECT doc, seq, substr({KEY},1,80) AS k FROM v_qblocks) GROUP BY k")
+@query("dedup_first", f"SELECT min(doc*4294967296+seq) AS id, count(*) AS copies FROM (SELECT doc, seq, {KEY} AS k FROM v_qblocks) GROUP BY k")
 def _(v):
     d = v.qblocks.select((F.col("doc") * 4294967296 + F.col("seq")).alias("id"), "text")
-    return D.keep_first(d, F.substring(key_of("text"), 1, 80), "id")
+    return D.keep_first(d, key_of("text"), "id")
 
 
 @query("dedup_replace_if_better", "WITH " + DK + """, g AS (SELECT coalesce(k,'#'||id) AS g, id, length(text)%3<>0 AS whole, lang='de' AS fig FROM dk)

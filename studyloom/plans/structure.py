@@ -20,12 +20,12 @@ def jl(c, sep=","):
 HEADS = ["^(De|The)", "^(La|Is)", "^En", "^Ei", "^(Th|Un)", "^[A-C]"]
 
 
-@query("heading_detect", """WITH t AS (SELECT doc, seq, trim(substr(text,1,44)) AS t FROM v_qblocks), p AS (SELECT *, length(t) AS n, length(t)%4=0 AS big, length(t)%3=0 AS bold,
+@query("heading_detect", """WITH t AS (SELECT doc, seq, trim(text) AS t FROM v_qblocks), p AS (SELECT *, length(t) AS n, length(t)%4=0 AS big, length(t)%3=0 AS bold,
     CASE WHEN regexp_matches(t,'^(De|The)') THEN 0 WHEN regexp_matches(t,'^(La|Is)') THEN 1 WHEN regexp_matches(t,'^En') THEN 2 WHEN regexp_matches(t,'^Ei') THEN 3 WHEN regexp_matches(t,'^(Th|Un)') THEN 4 WHEN regexp_matches(t,'^[A-C]') THEN 5 END AS pat FROM t)
     SELECT doc, seq, CASE WHEN n=0 OR n>40 OR regexp_matches(t,'sch') OR (regexp_matches(t,'[aeiou]$') AND NOT coalesce(pat<=1,false)) THEN NULL WHEN big AND n<=24 THEN coalesce(pat,9)
       WHEN pat<=4 AND n<=30 THEN pat WHEN pat=5 AND n<=18 AND bold THEN pat WHEN bold AND n<=24 THEN 6 END AS rank FROM p""")
 def _(v):
-    t = F.trim(F.substring("text", 1, 44))
+    t = F.trim("text")
     return v.qblocks.select("doc", "seq", S.head_rank(t, F.length(t) % 4 == 0, F.length(t) % 3 == 0, HEADS, "[aeiou]$", "sch").alias("rank"))
 
 
@@ -44,21 +44,15 @@ def _(v):
     return S.make_outline(v.blocks, num, short=80, long=120, small=10, sentence=r"\.")
 
 
-def _marks(v):
-    b = v.blocks.where((F.col("seq") % 3 == 0) & (n_() > 0))
-    return b.select("doc", F.col("seq").alias("mark"), F.greatest(F.lit(0), F.col("page") - F.col("seq") % 2).cast("bigint").alias("page"),
-                    F.when(F.col("seq") % 4 == 0, F.concat(F.lit("Zz "), F.substring("text", 1, 20))).otherwise(F.substring("text", 1, 20)).alias("title"))
-
-
-@query("outline_match", """WITH b AS (SELECT doc, seq, seq//3 AS page, text FROM v_blocks), m AS (SELECT doc, seq AS mark, greatest(0, page-seq%2) AS page, CASE WHEN seq%4=0 THEN concat('Zz ',substr(text,1,20)) ELSE substr(text,1,20) END AS title FROM b WHERE seq%3=0 AND length(text)>0),
+@query("outline_match", """WITH b AS (SELECT doc, seq, seq//3 AS page, text FROM v_blocks), m AS (SELECT doc, seq AS mark, greatest(0, page-seq%2) AS page, CASE WHEN seq%4=0 THEN concat('Zz ',text) ELSE text END AS title FROM b WHERE length(text)>0),
     k AS (SELECT *, substr(regexp_replace(title,'[^A-Za-z0-9À-ÖØ-öø-ÿ]','','g'),1,12) AS k FROM m), t AS (SELECT doc, page, seq, regexp_replace(text,'[^A-Za-z0-9À-ÖØ-öø-ÿ]','','g') AS t FROM b WHERE length(text)<=500),
     h AS (SELECT k.doc, k.mark, min(t.seq) AS seq FROM k JOIN t ON t.doc=k.doc AND t.page IN (k.page,k.page+1) AND (starts_with(t.t,k.k) OR (t.t<>'' AND starts_with(k.k,substr(t.t,1,12)))) WHERE k.k<>'' GROUP BY 1,2),
     s AS (SELECT doc, page, min(seq) AS s FROM b GROUP BY 1,2)
     SELECT m.doc, m.mark, coalesce(h.seq, s.s) AS seq, (h.seq IS NOT NULL)::INT AS hit FROM m LEFT JOIN h USING (doc,mark) LEFT JOIN s ON s.doc=m.doc AND s.page=m.page""")
 def _(v):
     b = v.blocks.withColumn("page", F.floor(F.col("seq") / 3).cast("bigint"))
-    m = b.where((F.col("seq") % 3 == 0) & (n_() > 0)).select("doc", F.col("seq").alias("mark"), F.greatest(F.lit(0), F.col("page") - F.col("seq") % 2).cast("bigint").alias("page"),
-        F.when(F.col("seq") % 4 == 0, F.concat(F.lit("Zz "), F.substring("text", 1, 20))).otherwise(F.substring("text", 1, 20)).alias("title"))
+    m = b.where(n_() > 0).select("doc", F.col("seq").alias("mark"), F.greatest(F.lit(0), F.col("page") - F.col("seq") % 2).cast("bigint").alias("page"),
+        F.when(F.col("seq") % 4 == 0, F.concat(F.lit("Zz "), "text")).otherwise(F.col("text")).alias("title"))
     return S.outline_match(b, m, longest=500)
 
 
@@ -69,14 +63,14 @@ def _(v):
 
 def _lines(v):
     """The question stream as printed lines: number and stem, three option lines, the last two options glued."""
-    q = v.qblocks.where("kind = 'q' AND num > 0")
-    stem = F.concat(F.col("num").cast("string"), F.lit(". stem "), F.length("text").cast("string"))
+    q = v.qblocks.where("kind = 'q'")
+    stem = F.concat((F.col("num") + 1).cast("string"), F.lit(". stem "), F.regexp_replace("text", "[ \n]+", " "))
     more = F.concat(F.lit("more of "), F.col("seq").cast("string"))
     ls = F.array(stem, more, F.concat(F.lit("A. "), "ans"), F.lit("B. beta"), F.lit("C. gamma  D. delta"))
     return q.select("doc", "seq", F.posexplode(ls).alias("i", "text")).select("doc", (F.col("seq") * 8 + F.col("i")).alias("seq"), "text")
 
 
-@query("question_segment", """SELECT doc, seq*8 AS seq, num::INT AS num, concat('stem ',length(text),chr(10),'more of ',seq) AS stem, concat('A=',ans,';B=beta;C=gamma;D=delta') AS options FROM v_qblocks WHERE kind='q' AND num>0""")
+@query("question_segment", """SELECT doc, seq*8 AS seq, (num+1)::INT AS num, concat(trim(concat('stem ',regexp_replace(text,'[ \n]+',' ','g'))),chr(10),'more of ',seq) AS stem, concat('A=',ans,';B=beta;C=gamma;D=delta') AS options FROM v_qblocks WHERE kind='q'""")
 def _(v):
     q = S.question_segment(_lines(v))
     return q.withColumn("options", jl(F.transform("options", lambda o: F.concat(o["letter"], F.lit("="), o["text"])), ";"))
@@ -246,7 +240,7 @@ def _(v):
 @query("anchor_chain")
 def _(v):
     w = F.when(n_() % 3 == 0, 0.4).otherwise(1.0)
-    d = v.qblocks.where("num > 0").select("doc", "seq", "num", w.alias("w"), (F.col("kind") == "h").alias("section"))
+    d = v.qblocks.select("doc", "seq", (F.col("num") + 1).alias("num"), w.alias("w"), (F.col("kind") == "h").alias("section"))
     return P.fold_documents(d, ["seq"], P.anchor_chain, "doc bigint, seq bigint, num bigint")
 
 

@@ -193,6 +193,12 @@ class Views:
                         F.when(n % 7 == 0, "a").when(n % 11 == 0, "h").otherwise("q").alias("kind"),
                         F.element_at(F.array(*[F.lit(x) for x in "ABCD"]), (n % 4 + 1).cast("int")).alias("ans"))
 
+    @cached_property
+    def words(self):
+        """Every word as a printed line: whole texts in which short lines recur."""
+        w = F.filter(F.split("text", "[ \n]+"), lambda x: x != "")
+        return self.documents.select(F.col("doc_id").alias("doc"), F.posexplode(w).alias("seq", "text")).withColumn("seq", F.col("seq").cast("bigint"))
+
     @cached_property
     def pages_txt(self):
         d = self.documents.select(F.col("doc_id").alias("doc"), F.split("text", "\n").alias("lines"))
@@ -266,6 +272,8 @@ VIEW_SQL = {
         CASE WHEN length(text)%7=0 THEN 'a' WHEN length(text)%11=0 THEN 'h' ELSE 'q' END AS kind,
         ['A','B','C','D'][length(text)%4+1] AS ans FROM (SELECT doc_id AS doc, unnest(range(len(string_split(text,'.')))) AS seq,
         unnest(string_split(text,'.')) AS text FROM documents)""",
+    "v_words": """SELECT doc_id AS doc, unnest(range(len(w)))::BIGINT AS seq, unnest(w) AS text
+        FROM (SELECT doc_id, list_filter(string_split_regex(text,'[ \n]+'), lambda x: x<>'') AS w FROM documents)""",
     "v_pages_txt": "SELECT doc, page, string_agg(text, chr(10) ORDER BY seq) AS text FROM v_blocks GROUP BY doc, page",
     "v_files": """SELECT fid, rel, size, fid AS mtime, ceil(size/2000)::BIGINT AS pages FROM (
         SELECT page_id AS fid, url AS rel, length(html) AS size FROM pages UNION ALL
