@@ -3,6 +3,7 @@ from pyspark.sql import functions as F
 
 from studyloom.functions import text as T
 from studyloom.operators import folds as P
+from studyloom.operators import cards as K
 from studyloom.operators import segment as S
 from studyloom.plans.registry import query
 
@@ -147,6 +148,37 @@ def _(v):
     return c.where("length(back) <= 20").select("doc", "front", "back").unionByName(c.where("length(back) > 20").select("doc", "front", "back"))
 
 
+@query("deck_cards", f"""WITH x AS (SELECT doc_id AS doc, unnest(w) AS x, unnest(range(len(w))) AS p FROM (SELECT doc_id, regexp_extract_all(text,'[{T.LATIN}]+') AS w FROM documents)),
+    g AS (SELECT doc, p//3 AS i, max(x) FILTER (p%3=0) AS a, max(x) FILTER (p%3=1) AS b, max(x) FILTER (p%3=2) AS c FROM x GROUP BY 1,2 HAVING count(*)=3),
+    k AS (SELECT doc, i, CASE doc%3 WHEN 0 THEN a||' '||b ELSE a END AS front, CASE doc%3 WHEN 0 THEN substr(c,1,60) ELSE b||' '||c END AS back FROM g
+      WHERE CASE doc%3 WHEN 0 THEN length(a||' '||b) BETWEEN 4 AND 160 WHEN 1 THEN length(a) BETWEEN 2 AND 14 ELSE length(a) BETWEEN 2 AND 4 AND length(b||' '||c) BETWEEN 2 AND 200 END),
+    n AS (SELECT *, (row_number() OVER (PARTITION BY doc ORDER BY i)-1)::INT AS pos FROM k), d AS (SELECT doc, front, min(pos) AS pos, arg_min(back,pos) AS back FROM n GROUP BY doc, front, substr(back,1,20))
+    SELECT * FROM d QUALIFY count(*) OVER (PARTITION BY doc)>=30""")
+def _(v):
+    """Three words of a text make a line of a deck, written in one of three ways."""
+    w = F.regexp_extract_all("text", F.lit(f"([{T.LATIN}]+)"), F.lit(1))
+    at = lambda i, k: F.get(F.col("w"), i * 3 + k)
+    n = lambda i: (i + 1).cast("string")
+    line = lambda i: (F.when(F.col("doc") % 3 == 0, F.concat(n(i), F.lit(". "), at(i, 0), F.lit(" "), at(i, 1), F.lit("->"), at(i, 2), F.lit(",")))
+                      .when(F.col("doc") % 3 == 1, F.concat(n(i % 9999), F.lit("、"), at(i, 0), F.lit("："), at(i, 1), F.lit(" "), at(i, 2)))
+                      .otherwise(F.concat(at(i, 0), F.lit("："), at(i, 1), F.lit(" "), at(i, 2))))
+    d = v.documents.select(F.col("doc_id").alias("doc"), w.alias("w")).where(F.size("w") >= 3)
+    return K.deck_cards(d.select("doc", F.array_join(F.transform(F.sequence(F.lit(0), F.floor(F.size("w") / 3).cast("int") - 1), line), "\n").alias("text")), T.LATIN)
+
+
+@query("passage_keys", """WITH b AS (SELECT doc, seq, kind, num, row_number() OVER (PARTITION BY doc ORDER BY seq) AS i, min(CASE WHEN kind='h' THEN seq END) OVER (PARTITION BY doc ORDER BY seq ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS k_seq FROM v_qblocks),
+    q AS (SELECT *, row_number() OVER (PARTITION BY doc, k_seq, num ORDER BY seq DESC) AS r FROM b WHERE kind='q' AND i>1 AND k_seq IS NOT NULL)
+    SELECT doc, seq, k_seq, substr('ABCD',((num+k_seq)%4+1)::INT,1) AS ans, concat('note ',num) AS note FROM q WHERE r=1 AND seq%5<>0""")
+def _(v):
+    """Every heading stands for an answer line that gives all twenty numbers; every fifth question is answered already."""
+    pair = F.transform(F.sequence(F.lit(0), F.lit(19)), lambda i: F.concat(i.cast("string"), F.lit("-"), F.substr(F.lit("ABCD"), ((i + F.col("seq")) % 4 + 1).cast("int"), F.lit(1)),
+                                                                           F.lit(" note "), i.cast("string")))
+    text = F.when(F.col("kind") == "h", F.concat(F.lit("第7篇 "), F.array_join(pair, "  "))).otherwise(F.col("text"))
+    b = v.qblocks.select("doc", "seq", F.when(F.col("kind") == "h", "box").otherwise(F.col("kind")).alias("kind"), text.alias("text"), F.col("num").cast("string").alias("num"),
+                         F.lit("ABCD").alias("letters"), F.when(F.col("seq") % 5 == 0, F.col("ans")).alias("ans"))
+    return K.passage_keys(b)
+
+
 @query("snippet_extract")
 def _(v):
     good = n_().between(30, 400) & F.col("text").rlike(r"\.$")
