@@ -142,11 +142,14 @@ def daily_activity(attempts, study, since, by=()):
     return a.unionByName(s).groupBy(*by, "day").agg(*[F.sum(c).alias(c) for c in ("questions", "correct", "minutes")])
 
 
-def dense_calendar(spark, activity, end, days):
+def dense_calendar(spark, activity, end, days, by=()):
+    """Every day of the calendar, zeros where nothing happened; with ``by``, for everybody who is active at any time."""
     cal = spark.range(days).select(F.date_sub(F.lit(end).cast("date"), F.col("id").cast("int")).alias("day"))
     lo = F.date_sub(F.lit(end).cast("date"), days - 1)
     act = activity.where(F.col("day").between(lo, F.lit(end).cast("date")))
-    return cal.join(act, "day", "left").select("day", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("questions", "correct", "minutes")])
+    if by:
+        cal = activity.select(*by).distinct().select(*by, F.explode(F.sequence(lo, F.lit(end).cast("date"))).alias("day"))
+    return cal.join(act, [*by, "day"], "left").select(*by, "day", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("questions", "correct", "minutes")])
 
 
 def heatmap(study, end, days=182, bands=HEAT_BANDS, by=()):
@@ -161,39 +164,40 @@ def minutes_by_module(study):
     return study.groupBy("module").agg(F.sum("minutes").alias("minutes")).orderBy(F.desc("minutes"), "module")
 
 
-def dashboard_totals(attempts, study, wrong, cards, today):
-    """One row; every log is folded to one row and the rows are added up, so nothing is paired."""
+def dashboard_totals(attempts, study, wrong, cards, today, by=()):
+    """One row (one per ``by``); every log is folded to one row and the rows are added up, so nothing is paired."""
     day = F.lit(today).cast("date")
     names = ["questions_total", "correct_total", "questions_today", "correct_today", "minutes_total", "minutes_today",
              "due_wrong", "due_cards"]
     parts = [
-        attempts.agg(F.count("*").alias("questions_total"), F.sum("correct").alias("correct_total"),
+        attempts.groupBy(*by).agg(F.count("*").alias("questions_total"), F.sum("correct").alias("correct_total"),
                      count_if(F.col("day") == day).alias("questions_today"),
                      count_if((F.col("day") == day) & (F.col("correct") == 1)).alias("correct_today")),
-        study.agg(F.sum("minutes").alias("minutes_total"),
+        study.groupBy(*by).agg(F.sum("minutes").alias("minutes_total"),
                   F.sum(F.when(F.col("day") == day, F.col("minutes")).otherwise(0)).alias("minutes_today")),
-        wrong.agg(count_if((F.col("mastered") == 0) & (F.col("next_review") <= day)).alias("due_wrong")),
-        cards.agg(count_if(F.col("due") <= day).alias("due_cards")),
+        wrong.groupBy(*by).agg(count_if((F.col("mastered") == 0) & (F.col("next_review") <= day)).alias("due_wrong")),
+        cards.groupBy(*by).agg(count_if(F.col("due") <= day).alias("due_cards")),
     ]
     u = parts[0]
     for p in parts[1:]:
         u = u.unionByName(p, allowMissingColumns=True)
-    t = u.agg(*[F.coalesce(F.sum(n), F.lit(0)).alias(n) for n in names])
-    return t.select(*[n for n in names if n != "correct_total"],
+    t = u.groupBy(*by).agg(*[F.coalesce(F.sum(n), F.lit(0)).alias(n) for n in names])
+    return t.select(*by, *[n for n in names if n != "correct_total"],
                     F.when(F.col("questions_total") > 0, pct("correct_total", "questions_total", 1)).otherwise(0.0).alias("accuracy_total"))
 
 
-def review_budget(cards, wrong, today, cap=300, new_per_day=30):
+def review_budget(cards, wrong, today, cap=300, new_per_day=30, by=()):
+    """What is left for today; the caps hold for each ``by``."""
     day = F.lit(today).cast("date")
-    c = cards.agg(count_if(F.col("due") <= day).alias("due_cards"),
+    c = cards.groupBy(*by).agg(count_if(F.col("due") <= day).alias("due_cards"),
                   count_if((F.col("last_review") == day) & (F.col("first_review") < day)).alias("cards_reviewed"),
                   count_if(F.col("first_review") == day).alias("new_today"))
-    w = wrong.agg(count_if((F.col("mastered") == 0) & (F.col("next_review") <= day)).alias("wrong"))
+    w = wrong.groupBy(*by).agg(count_if((F.col("mastered") == 0) & (F.col("next_review") <= day)).alias("wrong"))
     t = (c.unionByName(w, allowMissingColumns=True)
-         .agg(*[F.sum(x).alias(x) for x in ("due_cards", "cards_reviewed", "new_today", "wrong")])
+         .groupBy(*by).agg(*[F.coalesce(F.sum(x), F.lit(0)).alias(x) for x in ("due_cards", "cards_reviewed", "new_today", "wrong")])
          .withColumn("cards", F.greatest(F.lit(0), F.least(F.col("due_cards"), cap - F.col("cards_reviewed"))))
          .withColumn("new_left", F.greatest(F.lit(0), new_per_day - F.col("new_today"))))
-    return t.select("wrong", "cards", "cards_reviewed", "new_left", "new_today",
+    return t.select(*by, "wrong", "cards", "cards_reviewed", "new_left", "new_today",
                     half_even(F.col("wrong") * 1.5 + F.col("cards") * 0.2 + F.least("new_left", F.lit(20)) * 0.4).alias("minutes"))
 
 
@@ -221,6 +225,12 @@ def bank_summary(bank, attempts):
                                      pack_map(F.col("sub"), F.col("k")).alias("subs"))
 
 
+def bank_summary_by_user(bank, attempts, by=("user_id",)):
+    """Modules of the bank a user has answered questions of: how many there are and how many are done."""
+    done = attempts.select(*by, F.col("qid").alias("id")).distinct().join(bank.select("id", "module"), "id").groupBy(*by, "module").agg(F.count("*").alias("done"))
+    return done.join(bank.groupBy("module").agg(F.count("*").alias("total")), "module").select(*by, "module", "total", "done")
+
+
 def bank_matching(picked, attempts):
     return _mark_done(picked, attempts).agg(F.count("*").alias("matching"), F.coalesce(F.sum("done"), F.lit(0)).alias("matching_done"))
 

@@ -1,4 +1,5 @@
 """Study plans: phases by exam dates, the phase of a day, milestones, tasks of a day."""
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 # Phase shares before the first exam, between the exams, and weekday rotation (Monday first).
@@ -10,7 +11,7 @@ MILESTONES = [("first", -45, "国考公告、报名"), ("first", 0, "国考笔
               ("second", -55, "省考公告、报名"), ("second", 0, "省考笔试"), ("second", 50, "省考面试")]
 
 # Daily tasks (phases, weekdays 0-6, title, module, base volume or None, minutes).
-# {m} = the weekday's practice module, {r} = its rotation entry, {n} = scaled volume, {k} = second module.
+# {m} = the weekday's practice module, {r} = its rotation entry, {n} = scaled volume, {k} = second module, {i} = interview questions.
 TASKS = [
     ("base review", "01234", "学习教程：{r}", "{r}", None, 40),
     ("base review", "4", "政治理论练习 {n} 题", "政治理论", 10, 15),
@@ -51,12 +52,19 @@ TASKS = [
     ("sprint final", "0123456", "政治理论 / 时政闪卡", "政治理论", None, 15),
     ("sprint final", "0123456", "资料分析速算 10 分钟", "资料分析", None, 10),
     ("interview", "0123456", "学习教程：面试", "面试", None, 40),
-    ("interview", "0123456", "面试真题限时作答（每题 3 分钟）", "面试", None, 40),
+    ("interview", "0123456", "面试真题限时作答 {i} 道（每题 3 分钟）", "面试", None, 40),
     ("interview", "0123456", "读 1 篇评论文章，提炼观点用于综合分析题", "阅读积累", None, 25),
     ("interview", "0123456", "把今天的作答录音回听并改进", "面试", None, 20),
 ]
 
 
+# The course of a module, the words in front of a lesson, the task of the very first day and its minutes.
+COURSES = {"政治理论": "politics", "常识判断": "common", "政治理论+常识判断": "politics", "言语理解与表达": "verbal", "数量关系": "math", "判断推理": "reason",
+           "资料分析": "data", "申论": "essay", "面试": "interview", "复盘": "strategy"}
+LESSON = "学习教程："
+FIRST_DAY = ("备考第一天：学教程《公考全景》，了解考什么、怎么学", "综合", 15)
+
+
 def task_rows(tasks=TASKS):
     """The template as (phase, weekday, ord, title, module, base, minutes) rows."""
     out = []
@@ -145,9 +153,36 @@ def task_expand(spark, plans, first_day, days=7):
     factor = F.greatest(F.lit(0.5), F.least(F.lit(2.5), F.coalesce("hours", F.lit(4.0)) / 4))
     volume = F.when(F.col("base").isNotNull(), F.greatest(F.lit(5), F.bround(F.col("base") * factor / 5).cast("int") * 5))
     d = d.select("user", "day", "hours", key.alias("phase"), F.weekday("day").alias("weekday"))
+    title = F.replace("title", F.lit("{n}"), F.coalesce(volume.cast("string"), F.lit("")))
+    title = F.replace(title, F.lit("{i}"), F.when(factor < 1.5, "2").otherwise("3"))
     return (d.join(F.broadcast(tpl), ["phase", "weekday"])
-            .select("user", "day", "phase", "ord", F.replace("title", F.lit("{n}"), F.coalesce(volume.cast("string"), F.lit(""))).alias("title"),
-                    "module", volume.alias("volume"), "minutes"))
+            .select("user", "day", "phase", "ord", title.alias("title"), "module", volume.alias("volume"), "minutes"))
+
+
+def first_day_task(plans, first_day, days=7):
+    """The task of the day on which a plan starts, before all others of that day, where it falls in the days asked for. ``plans(user, start)``."""
+    title, module, minutes = FIRST_DAY
+    d = plans.where(F.col("start").between(F.lit(first_day).cast("date"), F.date_add(F.lit(first_day).cast("date"), days - 1)))
+    return d.select("user", F.col("start").alias("day"), F.lit(-1).alias("ord"), F.lit(title).alias("title"), F.lit(module).alias("module"), F.lit(minutes).alias("minutes"))
+
+
+def with_lessons(tasks, lessons, done):
+    """Lesson tasks name a lesson: the k-th task of a user's course takes the course's k-th lesson that the user has not done.
+
+    ``tasks(user, day, ord, title, module, minutes, ..)``; ``lessons(lesson, course, ord, title, minutes)``; ``done(user, lesson)``. Once the lessons are
+    used up, a task names its module as before. A course's lessons and those a user has done of it are short arrays, so no
+    user meets the whole list of lessons as rows.
+    """
+    course = F.when(F.col("title") == F.concat(F.lit(LESSON), F.col("module")), F.try_element_at(F.create_map(*[F.lit(x) for kv in COURSES.items() for x in kv]), F.col("module")))
+    t = tasks.withColumn("course", course)
+    listed = lessons.groupBy("course").agg(F.array_sort(F.collect_list(F.struct("ord", "lesson", F.col("title").alias("name"), F.col("minutes").alias("takes")))).alias("_all"))
+    had = done.distinct().join(lessons.select("lesson", "course"), "lesson").groupBy("user", "course").agg(F.collect_list("lesson").alias("_had"))
+    k = F.row_number().over(W.partitionBy("user", "course").orderBy("day", "ord"))
+    t2 = t.where("course IS NOT NULL").withColumn("_k", k).join(listed, "course", "left").join(had, ["user", "course"], "left")
+    left = F.filter("_all", lambda x: ~F.coalesce(F.array_contains("_had", x["lesson"]), F.lit(False)))
+    t2 = t2.withColumn("_l", F.get(left, F.col("_k") - 1))
+    named = t2.withColumn("title", F.coalesce(F.concat(F.lit(LESSON), F.col("_l.name")), "title")).withColumn("minutes", F.coalesce("_l.takes", "minutes")).withColumn("lesson", F.col("_l.lesson"))
+    return t.where("course IS NULL").withColumn("lesson", F.lit(None).cast(lessons.schema["lesson"].dataType)).unionByName(named.drop("_k", "_all", "_had", "_l")).drop("course")
 
 
 def replan(tasks, fresh, today):

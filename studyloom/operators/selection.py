@@ -3,6 +3,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from studyloom.functions.numbers import half_up, lookup
+from studyloom.operators.scan import row_numbers
 
 
 def numbered(df, order, name="rn"):
@@ -62,7 +63,21 @@ def pick(rows, done, order, count, seed, wrong=None, favorites=None):
     top = groups.orderBy("gk").limit(count)
     run = F.sum("size").over(W.partitionBy(F.lit(1)).orderBy("gk").rowsBetween(W.unboundedPreceding, -1))
     kept = top.withColumn("before", F.coalesce(run, F.lit(0))).where(F.col("before") < count)
-    return d.join(F.broadcast(kept.select("g", "gk")), "g").orderBy("gk", "id").select("id")
+    return d.join(kept.select("g", "gk"), "g").orderBy("gk", "id").select("id")
+
+
+def pick_by_user(rows, asked, count, seed, by=("user_id",)):
+    """As :func:`pick` for everybody's own list ``asked(user_id, id)``, such as wrong or favourite questions: (user_id, pos, id).
+
+    A user's groups are ranked by their best row; more than ``count`` of them are never needed.
+    """
+    g = F.when(F.col("material").isNotNull(), F.concat(F.lit("m"), "material")).otherwise(F.concat(F.lit("q"), "id"))
+    d = asked.select(*by, "id").distinct().join(rows.select("id", g.alias("g"), shuffle_key(seed, "id").alias("k")), "id")
+    first = W.partitionBy(*by).orderBy("gk", "g")
+    top = d.groupBy(*by, "g").agg(F.min("k").alias("gk"), F.count("*").alias("size")).withColumn("rn", F.row_number().over(first)).where(F.col("rn") <= count)
+    before = F.coalesce(F.sum("size").over(first.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    kept = top.withColumn("before", before).where(F.col("before") < count)
+    return (d.join(kept.select(*by, "g", "gk"), [*by, "g"]).withColumn("pos", F.row_number().over(W.partitionBy(*by).orderBy("gk", "g", "id")).cast("bigint")).select(*by, "pos", "id"))
 
 
 def mock_quotas(real, ratio, grouped, floor=2, step=5):
@@ -133,7 +148,42 @@ def study_queue(cards, today, cap, new_limit, session, seed):
     return numbered(due.unionByName(new).orderBy("part", "k", "card").limit(session), ["part", "k", "card"], "pos").select("pos", "card")
 
 
-def continue_reading(progress, n=4):
+def study_queue_by_user(listing, states, today, cap, new_limit, session, seed, by=("user_id",)):
+    """Everybody's queue of today: (user_id, pos, card).
+
+    ``listing(card)`` are all cards in the order of their number, ``states(user_id, card, due, first_review, last_review)`` what a user has met. Due cards come in hash
+    order, as many as the cap leaves after today's reviews, then new ones in listing order up to what is left of the quota; the session size cuts both. A
+    user with an empty queue gets cards in hash order, met or not. A user's new cards are among the first ``new_limit`` + (cards met) of the
+    listing, so only that many places are looked at.
+    """
+    day = F.lit(today).cast("date")
+    places = row_numbers(listing.select("card").distinct(), [], "card", name="place")
+    size = places.count()
+    met = states.groupBy(*by).agg(F.count("*").alias("met"), F.count_if((F.col("last_review") == day) & (F.col("first_review") < day)).alias("reviewed"), F.count_if(F.col("first_review") == day).alias("new_today"))
+    key = shuffle_key(seed, "card").alias("k")
+    due = states.where(F.col("due") <= day).select(*by, "card", key)
+    due = due.withColumn("rn", F.row_number().over(W.partitionBy(*by).orderBy("k", "card"))).where(F.col("rn") <= cap).join(met.select(*by, "reviewed"), list(by)).where(F.col("rn") <= cap - F.col("reviewed"))
+    ahead = met.where(F.col("new_today") < new_limit).select(*by, "new_today", F.explode(F.sequence(F.lit(1), F.least(F.lit(size), F.col("met") + new_limit).cast("int"))).alias("place")) if size else None
+    queue = due.select(*by, F.lit(0).alias("part"), "k", "card")
+    if ahead is not None:
+        seen = states.select(*by, "card").join(places, "card").select(*by, "place")
+        new = ahead.join(seen, [*by, "place"], "left_anti").withColumn("rn", F.row_number().over(W.partitionBy(*by).orderBy("place"))).where(F.col("rn") <= new_limit - F.col("new_today"))
+        queue = queue.unionByName(new.join(places, "place").select(*by, F.lit(1).alias("part"), F.lit("").alias("k"), "card"))
+    pos = F.row_number().over(W.partitionBy(*by).orderBy("part", "k", "card"))
+    queue = queue.withColumn("pos", pos).where(F.col("pos") <= session).select(*by, F.col("pos").cast("bigint").alias("pos"), "card")
+    spare = [r.card for r in listing.select("card").distinct().orderBy(shuffle_key(seed, "card"), "card").limit(session).collect()]  # at most ``session``
+    if not spare:
+        return queue
+    kind = listing.schema["card"].dataType
+    idle = met.select(*by).join(queue.select(*by).distinct(), list(by), "left_anti")
+    return queue.unionByName(idle.select(*by, F.posexplode(F.array(*[F.lit(c).cast(kind) for c in spare])).alias("pos", "card")).select(*by, (F.col("pos") + 1).cast("bigint").alias("pos"), "card"))
+
+
+def continue_reading(progress, n=4, by=()):
+    """Unfinished documents, the last read first; with ``by``, ``n`` for everybody."""
+    if by:
+        rn = F.row_number().over(W.partitionBy(*by).orderBy(F.desc("updated"), "doc"))
+        return progress.where("done = 0 AND pct > 0 AND pct < 100").withColumn("_rn", rn).where(F.col("_rn") <= n).drop("_rn")
     return progress.where("done = 0 AND pct > 0 AND pct < 100").orderBy(F.desc("updated"), "doc").limit(n)
 
 

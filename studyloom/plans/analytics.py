@@ -419,3 +419,38 @@ def _(v):
                            F.when(d <= 10, 0).when(d <= 20, 1).otherwise(2).alias("half"), (F.col("id") % 4).alias("src"),
                            F.when(F.col("minutes") > 60, 1).otherwise(0).alias("kind"), F.col("module").alias("title"))
     return A.period_items(items, F.col("half"), F.col("src"), F.col("kind"))
+
+
+@query("dense_calendar_by_user", """WITH act AS (SELECT user_id, day, sum(q)::BIGINT AS questions, sum(c)::BIGINT AS correct, sum(m)::BIGINT AS minutes FROM (
+    SELECT user_id, day, 1 AS q, correct AS c, 0 AS m FROM v_attempts UNION ALL SELECT user_id, day, 0, 0, minutes FROM v_study) GROUP BY user_id, day),
+    cal AS (SELECT user_id, DATE '2024-02-05' - i::INT AS day FROM (SELECT DISTINCT user_id FROM act), range(30) t(i))
+    SELECT user_id, day, coalesce(questions,0) AS questions, coalesce(correct,0) AS correct, coalesce(minutes,0) AS minutes FROM cal LEFT JOIN act USING (user_id, day)""")
+def _(v):
+    return A.dense_calendar(v.spark, A.daily_activity(v.attempts, v.study, "1900-01-01", by=USER), "2024-02-05", 30, by=USER)
+
+
+@query("dashboard_totals_by_user", f"""WITH u AS (SELECT user_id, count(*) AS questions_total, sum(correct)::BIGINT AS ok, count(CASE WHEN day='{TODAY}' THEN 1 END) AS questions_today,
+      count(CASE WHEN day='{TODAY}' AND correct=1 THEN 1 END) AS correct_today, 0 AS minutes_total, 0 AS minutes_today, 0 AS due_wrong, 0 AS due_cards FROM v_attempts GROUP BY 1
+    UNION ALL SELECT user_id, 0,0,0,0, sum(minutes)::BIGINT, sum(CASE WHEN day='{TODAY}' THEN minutes ELSE 0 END)::BIGINT, 0, 0 FROM v_study GROUP BY 1
+    UNION ALL SELECT user_id, 0,0,0,0,0,0, count(*), 0 FROM v_wrong WHERE mastered=0 AND next_review<='{TODAY}' GROUP BY 1
+    UNION ALL SELECT user_id, 0,0,0,0,0,0,0, count(*) FROM v_cards WHERE due<='{TODAY}' GROUP BY 1),
+    t AS (SELECT user_id, {', '.join(f'sum({c})::BIGINT AS {c}' for c in ('questions_total', 'ok', 'questions_today', 'correct_today', 'minutes_total', 'minutes_today', 'due_wrong', 'due_cards'))} FROM u GROUP BY 1)
+    SELECT * EXCLUDE (ok), CASE WHEN questions_total>0 THEN round_even(ok/questions_total::DOUBLE*100,1) ELSE 0.0::DOUBLE END AS accuracy_total FROM t""")
+def _(v):
+    return A.dashboard_totals(v.attempts, v.study, v.wrong, v.cards, TODAY, by=USER)
+
+
+@query("review_budget_by_user", f"""WITH u AS (SELECT user_id, count(CASE WHEN due<='{TODAY}' THEN 1 END) AS due, count(CASE WHEN last_review='{TODAY}' AND first_review<'{TODAY}' THEN 1 END) AS cards_reviewed,
+      count(CASE WHEN first_review='{TODAY}' THEN 1 END) AS new_today, 0 AS wrong FROM v_cards GROUP BY 1
+    UNION ALL SELECT user_id, 0, 0, 0, count(CASE WHEN mastered=0 AND next_review<='{TODAY}' THEN 1 END) FROM v_wrong GROUP BY 1),
+    t AS (SELECT user_id, sum(due)::BIGINT AS due, sum(cards_reviewed)::BIGINT AS cards_reviewed, sum(new_today)::BIGINT AS new_today, sum(wrong)::BIGINT AS wrong FROM u GROUP BY 1),
+    d AS (SELECT *, greatest(0, least(due, 300-cards_reviewed)) AS cards, greatest(0, 30-new_today) AS new_left FROM t)
+    SELECT user_id, wrong, cards, cards_reviewed, new_left, new_today, round_even(wrong*1.5::DOUBLE+cards*0.2::DOUBLE+least(new_left,20)*0.4::DOUBLE,0)::BIGINT AS minutes FROM d""")
+def _(v):
+    return A.review_budget(v.cards, v.wrong, TODAY, by=USER)
+
+
+@query("bank_summary_by_user", """SELECT user_id, module, total, count(DISTINCT qid) AS done FROM (SELECT user_id, qid FROM v_attempts) a JOIN v_bank b ON b.id=a.qid
+    JOIN (SELECT module, count(*) AS total FROM v_bank GROUP BY 1) t USING (module) GROUP BY ALL""")
+def _(v):
+    return A.bank_summary_by_user(v.bank, v.attempts)

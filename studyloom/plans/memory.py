@@ -250,7 +250,7 @@ def _tasks_sql():
     return PLAN_SQL + f""", tpl(phase, weekday, ord, title, module, base, minutes) AS (VALUES {vals}),
     d AS (SELECT u, hours, DATE '{PLAN_DAY}'+i::INT AS day FROM c, range(7) t(i)),
     k AS (SELECT d.*, coalesce(ph.key,'base') AS phase FROM d LEFT JOIN ph ON ph.user=d.u AND d.day BETWEEN ph.start AND ph."end"),
-    v AS (SELECT u AS user, day, k.phase, ord, title, module, minutes, CASE WHEN base IS NOT NULL THEN greatest(5, round_even(base*greatest(0.5::DOUBLE,least(2.5::DOUBLE,hours/4))/5,0)::INT*5) END AS volume
+    v AS (SELECT u AS user, day, k.phase, ord, replace(title,'{{i}}',CASE WHEN hours/4<1.5 THEN '2' ELSE '3' END) AS title, module, minutes, CASE WHEN base IS NOT NULL THEN greatest(5, round_even(base*greatest(0.5::DOUBLE,least(2.5::DOUBLE,hours/4))/5,0)::INT*5) END AS volume
       FROM k JOIN tpl ON tpl.phase=k.phase AND weekday=(isodow(day)-1))
     SELECT user, day, phase, ord, replace(title,'{{n}}',coalesce(volume::VARCHAR,'')) AS title, module, volume, minutes FROM v"""
 
@@ -260,6 +260,33 @@ def _(v):
     return P.task_expand(v.spark, plans_of(v), PLAN_DAY)
 
 
+_COURSES = sorted(set(P.COURSES.values()))
+
+
+def _lessons_sql():
+    head, select = _tasks_sql().rsplit("\n    SELECT ", 1)
+    title, module, minutes = P.FIRST_DAY
+    of = " ".join(f"WHEN '{m}' THEN '{c}'" for m, c in P.COURSES.items())
+    return head + f""", tk AS (SELECT {select} UNION ALL SELECT u, st, NULL, -1, '{title}', '{module}', NULL, {minutes} FROM c WHERE st BETWEEN DATE '{PLAN_DAY}' AND DATE '{PLAN_DAY}'+6),
+    lt AS (SELECT *, row_number() OVER (PARTITION BY user, course ORDER BY day, ord) AS k FROM (SELECT *, CASE WHEN title='{P.LESSON}'||module THEN CASE module {of} END END AS course FROM tk) WHERE course IS NOT NULL),
+    ls AS (SELECT p_partkey AS lesson, ['{"','".join(_COURSES)}'][(p_partkey%{len(_COURSES)}+1)::INT] AS course, p_name AS name, p_size AS takes FROM part),
+    dn AS (SELECT DISTINCT o_custkey AS user, l_partkey AS lesson FROM orders JOIN lineitem ON l_orderkey=o_orderkey),
+    lf AS (SELECT uc.user, ls.*, row_number() OVER (PARTITION BY uc.user, ls.course ORDER BY ls.lesson) AS k FROM (SELECT DISTINCT user, course FROM lt) uc JOIN ls ON ls.course=uc.course LEFT JOIN dn ON dn.user=uc.user AND dn.lesson=ls.lesson WHERE dn.lesson IS NULL)
+    SELECT tk.user, tk.day, tk.ord::INT AS ord, coalesce('{P.LESSON}'||lf.name, tk.title) AS title, tk.module, coalesce(lf.takes, tk.minutes)::INT AS minutes, lf.lesson
+    FROM tk LEFT JOIN lt ON lt.user=tk.user AND lt.day=tk.day AND lt.ord=tk.ord LEFT JOIN lf ON lf.user=lt.user AND lf.course=lt.course AND lf.k=lt.k"""
+
+
+@query("task_lessons", _lessons_sql())
+def _(v):
+    plans = plans_of(v)
+    tasks = P.task_expand(v.spark, plans, PLAN_DAY).select("user", "day", "ord", "title", "module", "minutes").unionByName(P.first_day_task(plans, PLAN_DAY))
+    k = F.col("p_partkey")
+    course = F.element_at(F.array(*[F.lit(c) for c in _COURSES]), (k % len(_COURSES) + 1).cast("int"))
+    lessons = v.table("part").select(k.alias("lesson"), course.alias("course"), k.alias("ord"), F.col("p_name").alias("title"), F.col("p_size").cast("int").alias("minutes"))
+    done = v.table("orders").join(v.table("lineitem"), F.col("l_orderkey") == F.col("o_orderkey")).select(F.col("o_custkey").alias("user"), F.col("l_partkey").alias("lesson"))
+    return P.with_lessons(tasks, lessons, done).select("user", "day", "ord", "title", "module", "minutes", "lesson")
+
+
 @query("replan", f"""WITH t AS (SELECT o_custkey AS user, o_orderdate::DATE AS day, o_orderpriority AS title, CASE WHEN o_orderkey%2=0 THEN 'plan' ELSE 'own' END AS source,
     (o_orderkey%3)::BIGINT AS done FROM orders) SELECT * FROM t WHERE NOT (day=DATE '{EXAM_TODAY}' AND source='plan' AND done=0)
     UNION ALL SELECT c_custkey, DATE '{EXAM_TODAY}', c_mktsegment, 'plan', 0 FROM customer""")

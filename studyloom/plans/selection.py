@@ -282,11 +282,36 @@ def _(v):
     return S.study_queue(v.bank.select(F.col("id").alias("card")).join(due, "card", "left"), TODAY, 60, 30, 80, "q")
 
 
+@query("study_queue_by_user", f"""WITH m AS (SELECT user_id, count(CASE WHEN last_review='{TODAY}' AND first_review<'{TODAY}' THEN 1 END) AS reviewed, count(CASE WHEN first_review='{TODAY}' THEN 1 END) AS nw FROM v_cards GROUP BY 1),
+    due AS (SELECT user_id, 0 AS part, md5(concat_ws('|','q',qid)) AS k, qid AS card FROM v_cards JOIN m USING (user_id) WHERE due<='{TODAY}' QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY k, qid)<=6-any_value(reviewed) OVER (PARTITION BY user_id)),
+    new AS (SELECT user_id, 1 AS part, '' AS k, b.id AS card FROM m, v_bank b WHERE NOT EXISTS (SELECT 1 FROM v_cards c WHERE c.user_id=m.user_id AND c.qid=b.id) QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY b.id)<=3-any_value(nw) OVER (PARTITION BY user_id)),
+    q AS (SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY part, k, card) AS pos, card FROM (SELECT * FROM due UNION ALL SELECT * FROM new)),
+    f AS (SELECT row_number() OVER (ORDER BY md5(concat_ws('|','q',id)), id) AS pos, id AS card FROM v_bank)
+    SELECT * FROM q WHERE pos<=8 UNION ALL SELECT user_id, pos, card FROM m, f WHERE pos<=8 AND user_id NOT IN (SELECT user_id FROM q)""")
+def _(v):
+    """Small caps, so that every rule shows on the given log."""
+    states = v.cards.select("user_id", F.col("qid").alias("card"), "due", "first_review", "last_review")
+    return S.study_queue_by_user(v.bank.select(F.col("id").alias("card")), states, TODAY, 6, 3, 8, "q")
+
+
+@query("pick_wrong_by_user", KNOWN + """, d AS (SELECT DISTINCT user_id, k.id, CASE WHEN material IS NOT NULL THEN concat('m',material) ELSE concat('q',k.id) END AS g, md5(concat_ws('|','s',k.id)) AS h FROM k JOIN v_wrong w ON w.qid=k.id WHERE mastered=0),
+    gr AS (SELECT user_id, g, count(*) AS size, min(h) AS gk FROM d GROUP BY 1,2), c AS (SELECT *, coalesce(sum(size) OVER (PARTITION BY user_id ORDER BY gk, g ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING),0) AS b FROM gr)
+    SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY gk, g, id) AS pos, id FROM d JOIN c USING (user_id, g) WHERE b<5""")
+def _(v):
+    return S.pick_by_user(v.bank.where("answer IS NOT NULL"), v.wrong.where("mastered = 0").select("user_id", F.col("qid").alias("id")), 5, "s")
+
+
 PROG_SQL = """WITH p AS (SELECT user_id, doc, coalesce(arg_max(seq,id) FILTER (seq IS NOT NULL),0) AS seq, coalesce(arg_max(pct,id) FILTER (pct IS NOT NULL),0) AS pct,
     coalesce(arg_max(done,id) FILTER (done IS NOT NULL),0) AS done, coalesce(arg_max(fav,id) FILTER (fav IS NOT NULL),0) AS fav, max(id) AS updated
     FROM v_docprog GROUP BY user_id, doc) """
 
 
+@query("continue_reading_by_user", PROG_SQL + "SELECT user_id, doc, pct, updated FROM p WHERE done=0 AND pct>0 AND pct<100 QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY updated DESC, doc)<=4")
+def _(v):
+    from studyloom.operators.memory import progress_upsert
+    return S.continue_reading(progress_upsert(v.docprog, ["user_id", "doc"]), by=["user_id"]).select("user_id", "doc", "pct", "updated")
+
+
 @query("continue_reading", PROG_SQL + "SELECT user_id, doc, pct, updated FROM p WHERE done=0 AND pct>0 AND pct<100 ORDER BY updated DESC LIMIT 4")
 def _(v):
     from studyloom.operators.memory import progress_upsert

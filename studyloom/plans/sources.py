@@ -28,6 +28,25 @@ def _(v):
     return rebuild.select("fid", F.lit("rebuild").alias("what")).unionByName(keep.select("fid", F.lit("keep").alias("what")))
 
 
+@query("incremental_rebuild", """SELECT doc, seq, CASE WHEN doc%10=1 THEN text||'!' ELSE text END AS text FROM v_blocks WHERE doc%10<>2""")
+def _(v):
+    """Blocks of documents after the next catalog: some documents are new, changed or gone, some rows hold a bad glyph."""
+    import uuid
+
+    from studyloom.session import checkpoint_dir
+    from studyloom.sources.keyed import KeyedTable
+    d, by = F.col("doc"), F.col("doc") % 10
+    blocks = v.blocks.select("doc", "seq", "text")
+    table = KeyedTable(v.spark, f"{checkpoint_dir(v.spark)}/blocks-{uuid.uuid4().hex}", ["doc"], 8)
+    before = blocks.where(by != 3).withColumn("text", F.when((by == 4) & (F.col("seq") == 0), F.concat("text", F.lit("\ufffd"))).otherwise(F.col("text")))
+    table.replace(before.select("doc").distinct(), before)
+    docs = v.documents.select(F.col("doc_id").alias("doc"), F.length("text").alias("size")).withColumn("mtime", F.lit(0))
+    new = docs.where(by != 2).withColumn("mtime", F.when(by == 1, 1).otherwise(0))
+    fresh = blocks.withColumn("text", F.when(by == 1, F.concat("text", F.lit("!"))).otherwise(F.col("text")))
+    S.rebuild(table, docs.where(by != 3), new, lambda files: fresh.join(files.select("doc"), "doc", "left_semi"), F.contains("text", F.lit("\ufffd")), "doc")
+    return table.read().select(d, "seq", "text")
+
+
 BANKS = """WITH u AS (SELECT id%1200 AS id, stem, 0 AS prio, id AS pos FROM v_bank WHERE src='real' UNION ALL SELECT id%900, stem, 1, id FROM v_bank WHERE src='builtin' UNION ALL SELECT id, stem, 2, id FROM v_bank WHERE src='book') """
 
 

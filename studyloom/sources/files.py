@@ -5,6 +5,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from studyloom.functions.text import one_space, squeeze, stable_id
+from studyloom.session import materialize
 
 # File types that are read, and names of ad pictures.
 KNOWN_EXT = ("pdf", "docx", "doc", "pptx", "ppt", "xlsx", "xls", "txt", "md", "jpg", "jpeg", "png")
@@ -41,6 +42,23 @@ def apply_diff(old, new, diff, key="rel"):
     return rebuild, keep
 
 
+def rebuild(table, old, new, build, bad=None, key="rel", same=("mtime", "size")):
+    """Bring a table of derived rows from one catalog to the next and return what was done with every key.
+
+    ``table``: a ``KeyedTable`` dealt by ``key``. Only keys that are new or changed, or whose rows hold what the column condition ``bad`` finds (``repaired``), go through
+    ``build(files)``; rows of deleted keys go. Ranges of keys without any of these are neither read nor written.
+    """
+    status = incremental_diff(old, new, key, same)
+    if bad is not None:
+        broken = table.read().where(bad).select(key).distinct().withColumn("_b", F.lit(1))
+        now = F.when((F.col("status") == "unchanged") & F.col("_b").isNotNull(), "repaired").otherwise(F.col("status"))
+        status = status.join(broken, key, "left").select(key, now.alias("status"))
+    status = materialize(status)
+    todo = new.join(status.where("status IN ('new', 'changed', 'repaired')").select(key), key, "left_semi")
+    table.replace(status.where("status IN ('changed', 'deleted', 'repaired')").select(key), build(todo))
+    return status
+
+
 def read_json_banks(spark, paths, schema):
     """Bank files in the given order; ``prio`` is the place of the file in the list."""
     parts = [spark.read.schema(schema).option("multiLine", "true").json(p).withColumn("prio", F.lit(i)) for i, p in enumerate(paths)]

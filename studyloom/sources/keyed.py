@@ -6,6 +6,7 @@ and a merge that died leaves nothing a reader looks at. What the last two manife
 with the number of merges. Running a merge again changes nothing.
 """
 import json
+from functools import reduce
 
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -62,22 +63,48 @@ class KeyedTable:
         self.create(rows.schema)
         last = self._versions()[-1]
         new = last + 1
-        dealt = F.pmod(F.xxhash64(*self.keys), F.lit(self.ranges)).cast("int")
         rows = rows.withColumn(_ORDER, F.col(order).cast("bigint") if order else F.lit(new).cast("bigint")).persist()
         try:
-            touched = {r[0] for r in rows.select(dealt).distinct().toLocalIterator()}  # at most ``ranges`` numbers
+            touched = self._touched(rows)
             if not touched:
                 return
-            both = rows.withColumn("__new", F.lit(1)).unionByName(self._rows(last, touched).withColumn("__new", F.lit(0))).withColumn(_RANGE, dealt)
+            both = rows.withColumn("__new", F.lit(1)).unionByName(self._rows(last, touched).withColumn("__new", F.lit(0))).withColumn(_RANGE, self._dealt())
             values = [c for c in rows.columns if c not in self.keys]
             best = F.max_by(F.struct(*values), F.struct(_ORDER, "__new")).alias("r")
             # a range is one task from here on: grouping by range and keys needs no further shuffle
-            (both.repartition(min(len(touched), self.ranges), _RANGE).groupBy(_RANGE, *self.keys).agg(best).select(_RANGE, *self.keys, "r.*")
-             .write.mode("overwrite").partitionBy(_RANGE).parquet(f"{self.path}/v{new}"))
+            both = both.repartition(min(len(touched), self.ranges), _RANGE).groupBy(_RANGE, *self.keys).agg(best).select(_RANGE, *self.keys, "r.*")
+            self._write(both, last, new, touched)
         finally:
             rows.unpersist()
+
+    def replace(self, gone, rows):
+        """Drop all rows of the keys in ``gone`` and put ``rows`` in, of which a key may have many. Files of other ranges stay as they are."""
+        self.create(rows.schema)
+        last = self._versions()[-1]
+        gone = gone.select(*self.keys).distinct().persist()
+        try:
+            touched = self._touched(gone) | self._touched(rows.select(*self.keys).distinct())
+            if not touched:
+                return
+            same = [F.col(f"__g.{k}").eqNullSafe(F.col(f"__o.{k}")) for k in self.keys]
+            kept = self._rows(last, touched).alias("__o").join(gone.alias("__g"), reduce(lambda a, b: a & b, same), "left_anti")
+            both = kept.unionByName(rows.withColumn(_ORDER, F.lit(last + 1).cast("bigint"))).withColumn(_RANGE, self._dealt())
+            self._write(both.repartition(min(len(touched), self.ranges), _RANGE), last, last + 1, touched)
+        finally:
+            gone.unpersist()
+
+    def _dealt(self):
+        return F.pmod(F.xxhash64(*self.keys), F.lit(self.ranges)).cast("int")
+
+    def _touched(self, rows):
+        return {r[0] for r in rows.select(self._dealt()).distinct().toLocalIterator()}  # at most ``ranges`` numbers
+
+    def _write(self, rows, last, new, touched):
+        rows.write.mode("overwrite").partitionBy(_RANGE).parquet(f"{self.path}/v{new}")
         now = self._manifest(last)
-        self._publish(new, now["schema"], now["ranges"] | {str(r): new for r in touched})
+        held = {r: v for r, v in now["ranges"].items() if int(r) not in touched}
+        held |= {str(r): new for r in touched if self._fs.exists(self._path(f"{self.path}/v{new}/{_RANGE}={r}"))}
+        self._publish(new, now["schema"], held)
         self._clean(new)
 
     def _clean(self, version):

@@ -1,4 +1,6 @@
 """Known facts on hand rows."""
+from datetime import date
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -147,3 +149,19 @@ def test_keys_and_questions(spark):
     q = G.question_segment(d).orderBy("seq").collect()
     assert [(r.num, r.stem, len(r.options)) for r in q] == [(1, "题干一\n续行", 4), (2, "题干二", 2)]
     assert [tuple(o) for o in q[0].options] == [("A", "甲"), ("B", "乙"), ("C", "丙"), ("D", "丁")]
+
+
+def test_lessons_go_on_in_order(spark):
+    day = lambda d: date(2024, 6, d)
+    name = P.LESSON
+    tasks = spark.createDataFrame([(u, day(d), o, name + m if o == 0 else "其他", m, 40) for u in (1, 2) for d in range(1, 6) for o, m in ((0, "申论"), (1, "申论"), (0, "面试"))],
+                                  "user int, day date, ord int, title string, module string, minutes int")
+    lessons = spark.createDataFrame([(i, "essay", 10 - i, f"L{i}", 5 + i) for i in range(4)] + [(9, "math", 1, "M", 1)], "lesson int, course string, ord int, title string, minutes int")
+    done = spark.createDataFrame([(1, 2), (1, 2), (1, 9), (3, 0)], "user int, lesson int")
+    got = P.with_lessons(tasks, lessons, done)
+    assert got.count() == tasks.count()
+    by = lambda u: [(r.title, r.minutes, r.lesson) for r in got.where((F.col("user") == u) & (F.col("module") == "申论") & (F.col("ord") == 0)).orderBy("day").collect()]
+    assert by(1) == [(name + "L3", 8, 3), (name + "L1", 6, 1), (name + "L0", 5, 0)] + [(name + "申论", 40, None)] * 2  # lesson 2 is done
+    assert by(2) == [(name + f"L{i}", 5 + i, i) for i in (3, 2, 1, 0)] + [(name + "申论", 40, None)]
+    assert got.where("module = '面试' AND title <> '学习教程：面试'").count() == 0
+    assert P.with_lessons(tasks, lessons.limit(0), done.limit(0)).where("lesson IS NOT NULL").count() == 0

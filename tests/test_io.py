@@ -129,6 +129,34 @@ def test_keyed_table(spark, tmp_path):
     assert t.read().count() == 4
 
 
+def test_rebuild_leaves_untouched_files_alone(spark, tmp_path):
+    path = tmp_path / "t"
+    t = KeyedTable(spark, str(path), ["rel"], 16)
+    cat = lambda rows_: spark.createDataFrame(rows_, "rel string, mtime int, size int")
+    built = []
+
+    def build(todo):
+        built.append(sorted(r.rel for r in todo.collect()))
+        return todo.select("rel", F.explode(F.sequence(F.lit(0), F.col("size"))).alias("seq"), F.concat("rel", F.lit("@"), "mtime").alias("text"))
+    old = cat([(f"f{i}", 1, 2) for i in range(40)])
+    assert {r.status for r in files.rebuild(t, cat([]), old, build).collect()} == {"new"} and t.read().count() == 120
+    bad = spark.createDataFrame([("f9", 0, "f9\ufffd")], "rel string, seq int, text string")
+    t.replace(bad.select("rel"), bad)
+    stamps = lambda: {(d, f): os.stat(os.path.join(d, f)).st_mtime_ns for d, _, fs in os.walk(path) for f in fs if f.endswith(".parquet")}
+    before = stamps()
+    new = cat([(f"f{i}", 2 if i == 3 else 1, 2) for i in range(40) if i != 5] + [("g", 1, 0)])
+    status = {r.rel: r.status for r in files.rebuild(t, old, new, build, F.contains("text", F.lit("\ufffd"))).collect()}
+    assert {k: s for k, s in status.items() if s != "unchanged"} == {"f3": "changed", "f5": "deleted", "f9": "repaired", "g": "new"} and built[-1] == ["f3", "f9", "g"]
+    got = {(r.rel, r.seq): r.text for r in t.read().collect()}
+    assert got == {(r, i): f"{r}@{m}" for r, m, n in [tuple(x) for x in new.collect()] for i in range(n + 1)}
+    touched = {r[0] for r in spark.createDataFrame([(x,) for x in ("f3", "f5", "f9", "g")], "rel string").select(t._dealt()).collect()}
+    same = {k: x for k, x in before.items() if int(k[0].rsplit("=", 1)[1]) not in touched}
+    after = stamps()
+    assert same and all(after[k] == x for k, x in same.items())
+    files.rebuild(t, new, cat([]), build)
+    assert t.read().count() == 0  # a range that is empty now has no folder
+
+
 def test_mastered_questions_leave_the_book(spark, tmp_path):
     log, day, i = [], 0, 0
     d = lambda rows_: spark.createDataFrame([(a, 1, 7, c, date(2024, 1, 1) + timedelta(days=b)) for a, c, b in rows_], "id bigint, user_id bigint, qid bigint, correct bigint, day date")
