@@ -237,7 +237,7 @@ def mine(spark, docs, least=10, share=50, top=2000, text_col="text", lang_col="l
     three = totals(ranked.groupBy("block").cogroup(two.where("block >= 0").groupBy("block")).applyInArrow(triples, _SENT_SQL))
     pair = _listed(two).select("tag", "id", F.col("left").alias("i"), F.col("right").alias("j"), "a")
     triple = _listed(three).select("tag", F.col("left").alias("id"), F.col("right").alias("k"), "a")
-    return _best(tables.keep(pair), triple, ranks, size, share, top)
+    return _best(tables, tables.keep(pair), triple, ranks, size, share, top)
 
 
 def _score(a, l, r):
@@ -246,20 +246,33 @@ def _score(a, l, r):
     return F.expr(f"(cast(1000000 as decimal(7,0)) * {d(a)} * {d(a)}) div ({d(l)} * {d(r)})")
 
 
-def _best(pair, triple, ranks, size, share, top):
-    word = lambda c: ranks.select("tag", F.col("rank").alias(c), F.col("f").alias(f"f_{c}"), F.col("word").cast("string").alias(f"w_{c}"))
+#: Slices of a language whose best phrases are taken before they meet.
+SLICES = 64
+
+
+def _best(tables, pair, triple, ranks, size, share, top):
+    times = lambda c: ranks.select("tag", F.col("rank").alias(c), F.col("f").alias(f"f_{c}"))
     whole = (triple.join(pair.select("tag", "id", "i", "j", F.col("a").alias("f_ij")), ["tag", "id"])
              .join(pair.select("tag", F.col("i").alias("j"), F.col("j").alias("k"), F.col("a").alias("f_jk")), ["tag", "j", "k"]))
     inside = (whole.select("tag", "i", "j", "a").unionByName(whole.select("tag", F.col("j").alias("i"), F.col("k").alias("j"), "a"))
               .groupBy("tag", "i", "j").agg(F.max("a").alias("longer")))
     two = (pair.join(inside, ["tag", "i", "j"], "left").where(F.col("longer").isNull() | (100 * F.col("longer") < share * F.col("a")))
-           .join(word("i"), ["tag", "i"]).join(word("j"), ["tag", "j"])
-           .select("tag", F.concat_ws(" ", "w_i", "w_j").alias("phrase"), "a", F.col("f_i").alias("l"), F.col("f_j").alias("r"), _score("a", "f_i", "f_j").alias("score")))
-    three = (whole.join(word("i"), ["tag", "i"]).join(word("j").drop("f_j"), ["tag", "j"]).join(word("k"), ["tag", "k"])
+           .join(times("i"), ["tag", "i"]).join(times("j"), ["tag", "j"])
+           .select("tag", "i", "j", F.lit(None).cast("bigint").alias("k"), "a", F.col("f_i").alias("l"), F.col("f_j").alias("r"), _score("a", "f_i", "f_j").alias("score")))
+    three = (whole.join(times("i"), ["tag", "i"]).join(times("k"), ["tag", "k"])
              .withColumn("one", _score("a", "f_i", "f_jk")).withColumn("two", _score("a", "f_ij", "f_k")))
     early = F.col("one") <= F.col("two")
-    three = three.select("tag", F.concat_ws(" ", "w_i", "w_j", "w_k").alias("phrase"), "a", F.when(early, F.col("f_i")).otherwise(F.col("f_ij")).alias("l"),
+    three = three.select("tag", "i", "j", "k", "a", F.when(early, F.col("f_i")).otherwise(F.col("f_ij")).alias("l"),
                          F.when(early, F.col("f_jk")).otherwise(F.col("f_k")).alias("r"), F.least("one", "two").alias("score"))
-    order = W.partitionBy("tag").orderBy(F.desc("score"), F.desc("a"), "phrase")
-    ranked = two.unionByName(three).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top)
+    found = tables.keep(two.unionByName(three))
+    # scores are whole numbers up to a million: the least one that can still be among the first comes from a histogram of bounded size
+    high = F.sum("n").over(W.partitionBy("tag").orderBy(F.desc("score"))) - F.col("n")
+    least = found.groupBy("tag", "score").agg(F.count("*").alias("n")).withColumn("high", high).where(F.col("high") < top).groupBy("tag").agg(F.min("score").alias("least"))
+    word = lambda c: ranks.select("tag", F.col("rank").alias(c), F.col("word").cast("string").alias(f"w_{c}"))
+    near = found.join(least, "tag").where(F.col("score") >= F.col("least"))
+    near = near.join(word("i"), ["tag", "i"]).join(word("j"), ["tag", "j"]).join(word("k"), ["tag", "k"], "left")
+    near = near.withColumn("slice", F.pmod(F.xxhash64("i", "j", "k"), F.lit(SLICES))).withColumn("phrase", F.concat_ws(" ", "w_i", "w_j", "w_k"))
+    order = [F.desc("score"), F.desc("a"), "phrase"]
+    near = near.withColumn("rank", F.row_number().over(W.partitionBy("tag", "slice").orderBy(*order))).where(F.col("rank") <= top)
+    ranked = near.withColumn("rank", F.row_number().over(W.partitionBy("tag").orderBy(*order))).where(F.col("rank") <= top)
     return ranked.join(size, "tag").select(F.col("tag").alias("lang"), "rank", "phrase", "a", "l", "r", "n", "score")
