@@ -17,6 +17,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
 
+from studyloom.llm.held import keep, release
 from studyloom.llm.tables import Scratch
 from studyloom.llm.words import groups, mix, owners, word_hashes
 
@@ -85,6 +86,7 @@ def contexts_of(docs, text_col, parts, words):
     shared = docs.sparkSession.sparkContext.broadcast(words)
 
     def seen(frames):
+        release()
         got, size, table = [], 0, index(shared.value)
         for pdf in frames:
             for _, h, _, pair, _, _ in _words(pdf["text"]):
@@ -218,16 +220,10 @@ def pack(m):
     return uuid.uuid4().hex, {k: (str(v.dtype), zlib.compress(v.tobytes(), 1)) for k, v in m.items()}
 
 
-_LAST = {}
-
-
 def unpacked(packed, which):
     """The model of packed counts and a discount; a worker keeps the last one it has made."""
     token, arrays = packed
-    if (token, which) not in _LAST:
-        _LAST.clear()
-        _LAST[token, which] = assemble({k: np.frombuffer(zlib.decompress(z), t) for k, (t, z) in arrays.items()}, which)
-    return _LAST[token, which]
+    return keep((token, which), lambda: assemble({k: np.frombuffer(zlib.decompress(z), t) for k, (t, z) in arrays.items()}, which))
 
 
 def assemble(m, which):

@@ -21,11 +21,10 @@ import zlib
 
 import numpy as np
 import pandas as pd
-import regex
-import zstandard
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from studyloom.llm.held import keep, release
 from studyloom.llm.tables import Scratch
 
 LANES, CHECK, TOKENS = 256, 256, 1 << 18
@@ -63,6 +62,7 @@ class Tokens:
     and all texts where the file's splitting is another one.
     """
     def __init__(self, path, most=300_000):
+        import regex
         from tokenizers import Tokenizer
         self.coder = Tokenizer.from_file(path)
         self.coder.no_padding()
@@ -198,22 +198,23 @@ def decode(payload, at, states, crc, n, freq, bits, lookup):
 
 
 BLOCK = "shard int, block int, docs binary, sizes binary, n bigint, payload binary, at binary, states binary, crc binary"
-_CODER = {}
 
 
 def _coder(vocabulary):
-    if vocabulary not in _CODER:
+    def make():
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # the task has its own core
-        _CODER[vocabulary] = Tokens(vocabulary)
-    return _CODER[vocabulary]
+        return Tokens(vocabulary)
+    return keep(vocabulary, make)
 
 
 def _ids(packed, wide):
+    import zstandard
     return np.frombuffer(zstandard.decompress(packed), "<u4" if wide else "<u2").astype(np.int64)
 
 
 def _packed(ids):
     """(compressed ids, whether they need 32 bits)"""
+    import zstandard
     wide = bool(ids.max() >= 65536)
     return zstandard.compress(ids.astype("<u4" if wide else "<u2").tobytes(), 1), wide
 
@@ -260,6 +261,7 @@ def write(spark, docs, path, vocabulary, end, id_col="doc_id", text_col="text",
     freq, bits = table(counts)
 
     def blocks(frames):
+        release()
         shard, number, held, docs_, size = 0, 0, [], [], 0
         for pdf in frames:
             for r in pdf.itertuples():
@@ -290,6 +292,7 @@ def read(spark, path, freq, bits):
     shared = spark.sparkContext.broadcast(freq.astype(np.int32))
 
     def decoded(frames):
+        release()
         freq = shared.value.astype(np.int64)
         lookup = slots(freq, bits)
         for pdf in frames:

@@ -11,6 +11,7 @@ import pandas as pd
 from pyspark.sql import functions as F
 
 from studyloom.llm.filters import bitmap, hits
+from studyloom.llm.held import release
 from studyloom.llm.orderminhash import node
 from studyloom.llm.tables import Scratch
 from studyloom.llm.words import groups, shingles, word_hashes
@@ -80,6 +81,7 @@ def find(spark, docs, items, id_col="doc_id", text_col="text", item_id="item_id"
     shared = bitmap(seeds.select("seed").distinct())
 
     def meet(frames):
+        release()
         for pdf in frames:
             rows = []
             for first, folded in groups(pdf["text"]):
@@ -106,6 +108,7 @@ def find(spark, docs, items, id_col="doc_id", text_col="text", item_id="item_id"
              .join(known.select("item", (F.length("words") / 8).alias("size")), "item").where(F.col("n") * SEED >= covered * F.col("size")))
 
     def tile(frames):
+        release()
         for pdf in frames:
             rows = []
             for r in pdf.itertuples():
