@@ -97,6 +97,8 @@ class KeyedTable:
         return F.pmod(F.xxhash64(*self.keys), F.lit(self.ranges)).cast("int")
 
     def _touched(self, rows):
+        if self.ranges == 1:
+            return set() if rows.isEmpty() else {0}
         return {r[0] for r in rows.select(self._dealt()).distinct().toLocalIterator()}  # at most ``ranges`` numbers
 
     def _write(self, rows, last, new, touched):
