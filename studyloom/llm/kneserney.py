@@ -15,6 +15,7 @@ import zlib
 
 import numpy as np
 import pandas as pd
+import zstandard
 from pyspark.sql import functions as F
 
 from studyloom.llm.held import keep, release
@@ -75,41 +76,70 @@ def find(table, h):
     return out
 
 
+def _rows_of_bytes(k):
+    """Sorted keys as differences, compressed. Bytes of one rank stand together: the upper ones are nearly all alike."""
+    steps = np.diff(k, prepend=np.uint64(0))
+    return zstandard.compress(np.ascontiguousarray(steps.view(np.uint8).reshape(-1, 8).T).tobytes(), 1)
+
+
+def _keys_of(rows):
+    planes = np.frombuffer(zstandard.decompress(rows), np.uint8).reshape(8, -1)
+    return np.cumsum(np.ascontiguousarray(planes.T).view(np.uint64).ravel(), dtype=np.uint64)
+
+
+def _dealt(keys, part, parts):
+    """(part, keys of it) for each part that has any; keys keep their order."""
+    order = np.argsort(part, kind="stable")
+    edges = np.searchsorted(part[order], np.arange(parts + 1, dtype=np.uint64))
+    return [(p, keys[order[a:b]]) for p, (a, b) in enumerate(zip(edges, edges[1:])) if b > a]
+
+
 def contexts_of(docs, text_col, parts, words):
     """(word, contexts): in how many contexts each of the sorted hashes ``words`` occurs over all documents.
 
-    ``word`` is the place in ``words``; the last place, their number, counts the pairs of all other words. A key is the place
-    and the rest of 64 bits (over 40) of the pair's hash. Keys are dealt by the pair, so a common word is spread over all parts.
+    ``word`` is the place in ``words``; the last place, their number, counts the pairs of all other words. Pairs of two listed
+    words are counted by their places, exactly; they are dealt to the cells of a grid over both places, so a common word is
+    spread over a row or column of cells, and within a cell the sorted keys differ by little. A pair with another word in it
+    has the place of its word and the rest of 64 bits (over 40) of its hash as its key, and is dealt by the hash.
     """
+    many = np.uint64(max(1, len(words)))
+    side = np.uint64(max(1, round(parts ** 0.5)))
+    cells, across = int(side * side), many // side + np.uint64(1)
     width = np.uint64(64 - len(words).bit_length())
-    low = np.uint64(1) << width
+    low = (np.uint64(1) << width) - np.uint64(1)
     shared = docs.sparkSession.sparkContext.broadcast(words)
 
     def seen(frames):
         release()
-        got, size, table = [], 0, index(shared.value)
+        both, other, size, table = [], [], 0, index(shared.value)
+        begin = find(table, np.zeros(1, np.uint64))[0]
         for pdf in frames:
-            for _, h, _, pair, _, _ in _words(pdf["text"]):
-                got.append(np.unique(find(table, h).astype(np.uint64) << width | pair & (low - np.uint64(1))))
-                size += len(got[-1])
+            for _, h, _, pair, own, _ in _words(pdf["text"]):
+                word = find(table, h).astype(np.uint64)
+                before = np.where(np.concatenate([[True], own[1:] != own[:-1]])[:len(own)], np.uint64(begin), np.concatenate([word[:1], word[:-1]]))
+                listed = (word < len(words)) & (before < len(words))
+                both.append(np.unique(word[listed] * many + before[listed]))
+                other.append(np.unique(word[~listed] << width | pair[~listed] & low))
+                size += len(both[-1]) + len(other[-1])
                 if size > 1_000_000:
-                    yield from cut(got)
-                    got, size = [], 0
-        yield from cut(got)
-
-    def cut(got):
-        keys = np.unique(np.concatenate(got)) if got else np.zeros(0, np.uint64)
-        part = ((keys & (low - np.uint64(1))) >> (width - np.uint64(24))) * np.uint64(parts) >> np.uint64(24)
-        order = np.argsort(part, kind="stable")
-        edges = np.searchsorted(part[order], np.arange(parts + 1, dtype=np.uint64))
-        # bytes of one rank stand together: those of the word and of the part are alike, and compress
-        rows = [(p, np.ascontiguousarray(keys[order[a:b]].view(np.uint8).reshape(-1, 8).T).tobytes()) for p, (a, b) in enumerate(zip(edges, edges[1:])) if b > a]
+                    yield from cut(both, other)
+                    both, other, size = [], [], 0
+        yield from cut(both, other)
+
+    def cut(both, other):
+        both, other = (np.unique(np.concatenate(k)) if k else np.zeros(0, np.uint64) for k in (both, other))
+        word, before = both // many, both % many
+        row, column = word * side // many, before * side // many
+        inside = word * across + before - (column * many + side - np.uint64(1)) // side
+        rows = [(p, _rows_of_bytes(k)) for p, k in _dealt(inside, row * side + column, cells)]
+        part = ((other & low) >> (width - np.uint64(24))) * np.uint64(parts) >> np.uint64(24)
+        rows += [(cells + p, _rows_of_bytes(k)) for p, k in _dealt(other, part, parts)]
         if rows:
             yield pd.DataFrame(rows, columns=["part", "keys"])
 
     def total(pdf):
-        keys = np.unique(np.concatenate([np.ascontiguousarray(np.frombuffer(k, np.uint8).reshape(8, -1).T).view(np.uint64).ravel() for k in pdf["keys"]]))
-        word, n = _counted(keys >> width)
+        keys = np.unique(np.concatenate([_keys_of(k) for k in pdf["keys"]]))
+        word, n = _counted(keys // across if pdf["part"].iloc[0] < cells else keys >> width)
         return pd.DataFrame({"word": word, "contexts": n})
     return (docs.select(F.col(text_col).alias("text")).mapInPandas(seen, "part int, keys binary")
             .groupBy("part").applyInPandas(total, "word bigint, contexts bigint").groupBy("word").agg(F.sum("contexts").alias("contexts")))
