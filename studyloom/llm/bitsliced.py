@@ -16,20 +16,19 @@ from pyspark.sql import functions as F
 
 from studyloom.llm.tables import Scratch
 
-#: |256 x| of an indexed component stays below this, so that a score fits 64 bits.
-LARGEST = 1 << 28
+#: A component of this size or more after scaling counts as this size; a score past 64 bits counts as the end of their range.
+LARGEST = 1 << 62
 
 
 def quantise(df, id_col, vec_col, scale=256):
-    """(id, q array<int>): floor(scale * x) of every usable vector; repeated ids count once (the smallest vector).
+    """(row, id, q array<bigint>): floor(scale * x) of every vector, written once, so that ``row`` tells rows of equal ids apart for good.
 
-    A vector that is NULL, has a NULL or non-finite component, or a component of LARGEST or more takes no part; nor do NULL ids.
+    A vector that is NULL or has a NULL or non-finite component takes no part, nor does a NULL id; every other row does.
     """
-    x = F.transform(vec_col, lambda v: F.floor(v.cast("double") * scale))
-    finite = F.forall(vec_col, lambda v: F.coalesce(F.abs(v.cast("double") * scale) < LARGEST, F.lit(False)))
-    return (df.where(F.col(id_col).isNotNull() & F.col(vec_col).isNotNull()).where(finite)
-            .select(F.col(id_col).cast("bigint").alias("id"), x.cast("array<int>").alias("q"))
-            .groupBy("id").agg(F.min("q").alias("q")))
+    x = F.transform(vec_col, lambda v: F.floor(F.least(F.greatest(v.cast("double") * scale, F.lit(-float(LARGEST))), F.lit(float(LARGEST)))))
+    finite = F.forall(vec_col, lambda v: F.coalesce(F.abs(v.cast("double")) < float("inf"), F.lit(False)))
+    usable = df.where(F.col(id_col).isNotNull() & F.col(vec_col).isNotNull()).where(finite)
+    return Scratch(df.sparkSession).keep(usable.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).cast("bigint").alias("id"), x.alias("q")))
 
 
 def _matrix(rows):
@@ -113,8 +112,19 @@ def choose(slices, allowed, k):
     return np.concatenate([got, _set_bits(open_)[:k - len(got)]])
 
 
-def search_segment(ids, lo, digits, maps, q_ids, qs, k):
-    """[(query id, row id, score)] of the k best rows of this segment for each query; a query's own id is left out."""
+def _scores(x, q):
+    """Inner products; those past 64 bits are set to the end of their range."""
+    if not len(x) or float(np.abs(x.astype(float)).max(axis=0, initial=0) @ np.abs(q.astype(float))) < 2.0 ** 62:
+        return [int(s) for s in x @ q]
+    return [max(-(1 << 63), min((1 << 63) - 1, sum(map(int.__mul__, row, q.tolist())))) for row in x.tolist()]
+
+
+def search_segment(ids, lo, digits, maps, q_ids, qs, k, rows=None):
+    """[(query, row id, score)] of the k best rows of this segment for each query; the row that is the query itself is left out.
+
+    ``rows`` are the rows' own numbers, by which ``q_ids`` name the queries; without them ids stand for rows.
+    """
+    rows_of = ids if rows is None else rows
     n, dims = len(ids), len(lo)
     full = np.zeros(maps.shape[1] if len(maps) else (n + 63) // 64, np.uint64)
     valid = np.packbits(np.ones(n, bool), bitorder="little")
@@ -126,46 +136,46 @@ def search_segment(ids, lo, digits, maps, q_ids, qs, k):
     for qi, q in zip(q_ids, qs):
         q = np.concatenate([q, np.zeros(max(0, dims - len(q)), np.int64)])[:dims]
         allowed = full.copy()
-        own = np.searchsorted(ids, qi)
-        if own < n and ids[own] == qi:
-            allowed[own >> 6] &= ~np.uint64(1 << (int(own) & 63))
+        for own in np.flatnonzero(rows_of == qi).tolist():
+            allowed[own >> 6] &= ~np.uint64(1 << (own & 63))
         rows = choose(add_slices(digits, maps, q), allowed, k)
         x = np.tile(lo, (len(rows), 1))
         for j in range(dims):
             for b in range(digits[j]):
                 x[:, j] += (maps[first[j] + b][rows >> 6] >> (rows & 63).astype(np.uint64) & np.uint64(1)).astype(np.int64) << b
-        out += [(qi, int(ids[r]), int(s)) for r, s in zip(rows, x @ q)]
+        out += [(qi, int(ids[r]), s) for r, s in zip(rows, _scores(x, q))]
     return out
 
 
 def build_index(vectors, segment_rows=32768):
-    """One row per segment of at most about ``segment_rows`` vectors: ids, lowest values, digits, bitmaps."""
+    """One row per segment of at most about ``segment_rows`` vectors: row numbers, ids, lowest values, digits, bitmaps."""
     n = vectors.count()
     parts = max(1, math.ceil(n / segment_rows))
 
     def build(pdf):
-        pdf = pdf.sort_values("id")
+        pdf = pdf.sort_values(["id", "row"])
         lo, digits, maps = build_segment(_matrix(list(pdf["q"])))
-        return pd.DataFrame([(int(pdf["seg"].iloc[0]), pdf["id"].to_numpy(np.int64).tobytes(), lo.tobytes(), digits.tobytes(), maps.tobytes())],
-                            columns=["seg", "ids", "lo", "digits", "maps"])
-    return (vectors.withColumn("seg", F.pmod(F.xxhash64("id"), F.lit(parts)).cast("int"))
-            .groupBy("seg").applyInPandas(build, "seg int, ids binary, lo binary, digits binary, maps binary"))
+        return pd.DataFrame([(int(pdf["seg"].iloc[0]), pdf["row"].to_numpy(np.int64).tobytes(), pdf["id"].to_numpy(np.int64).tobytes(), lo.tobytes(), digits.tobytes(), maps.tobytes())],
+                            columns=["seg", "own", "ids", "lo", "digits", "maps"])
+    return (vectors.withColumn("seg", F.pmod(F.xxhash64("row"), F.lit(parts)).cast("int"))
+            .groupBy("seg").applyInPandas(build, "seg int, own binary, ids binary, lo binary, digits binary, maps binary"))
 
 
 def top_k(spark, rows, queries, k, segment_rows=32768, query_rows=256):
-    """(query_id, rank, vec_id, score) of the k best of ``rows`` for each of ``queries`` (both: id, q from ``quantise``).
+    """(query_id, rank, vec_id, score) of the k best of ``rows`` for each of ``queries`` (both: row, id, q from one ``quantise``).
 
-    Ties go to the smaller id; fewer than k rows give all. Empty tables give an empty result.
+    Every row is a candidate but the query's own; rows that share an id are rows of their own, and as queries each gets its
+    ranks. Vectors of unequal length are multiplied as far as both go. Ties go to the smaller id; fewer than k rows give all. Empty tables give an empty result.
     """
     tables = Scratch(spark)
     index = tables.keep(build_index(rows, segment_rows))
     blocks = max(1, math.ceil(queries.count() / query_rows))
 
     def pack(pdf):
-        return pd.DataFrame([(int(pdf["block"].iloc[0]), pdf["id"].to_numpy(np.int64).tobytes(), [list(map(int, q)) for q in pdf["q"]])],
-                            columns=["block", "q_ids", "qs"])
-    packed = tables.keep(queries.withColumn("block", F.pmod(F.xxhash64("id", F.lit(1)), F.lit(blocks)).cast("int"))
-                         .groupBy("block").applyInPandas(pack, "block int, q_ids binary, qs array<array<int>>"))
+        return pd.DataFrame([(int(pdf["block"].iloc[0]), pdf["row"].to_numpy(np.int64).tobytes(), pdf["id"].to_numpy(np.int64).tobytes(), [list(map(int, q)) for q in pdf["q"]])],
+                            columns=["block", "q_rows", "q_ids", "qs"])
+    packed = tables.keep(queries.withColumn("block", F.pmod(F.xxhash64("row", F.lit(1)), F.lit(blocks)).cast("int"))
+                         .groupBy("block").applyInPandas(pack, "block int, q_rows binary, q_ids binary, qs array<array<bigint>>"))
     # each stored segment meets each block of the stated query set
     pairs = (index.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).join(packed, "block")
              .repartition(max(1, index.count()) * blocks, "seg", "block"))
@@ -176,9 +186,12 @@ def top_k(spark, rows, queries, k, segment_rows=32768, query_rows=256):
                 ids, lo = np.frombuffer(r.ids, np.int64), np.frombuffer(r.lo, np.int64)
                 digits = np.frombuffer(r.digits, np.int32)
                 maps = np.frombuffer(r.maps, np.uint64).reshape(int(digits.sum()), (len(ids) + 63) // 64)
-                got = search_segment(ids, lo, digits, maps, np.frombuffer(r.q_ids, np.int64), [np.array(q, np.int64) for q in r.qs], k)
-                yield pd.DataFrame(got, columns=["query_id", "vec_id", "score"])
-    best = pairs.select("ids", "lo", "digits", "maps", "q_ids", "qs").mapInPandas(search, "query_id bigint, vec_id bigint, score bigint")
-    w = W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+                q_rows, q_ids = np.frombuffer(r.q_rows, np.int64).tolist(), np.frombuffer(r.q_ids, np.int64).tolist()
+                got = search_segment(ids, lo, digits, maps, q_rows, [np.array(q, np.int64) for q in r.qs], k, np.frombuffer(r.own, np.int64))
+                name = dict(zip(q_rows, q_ids))
+                yield pd.DataFrame([(q, name[q], i, s) for q, i, s in got], columns=["query", "query_id", "vec_id", "score"])
+    best = (pairs.select("own", "ids", "lo", "digits", "maps", "q_rows", "q_ids", "qs")
+            .mapInPandas(search, "query bigint, query_id bigint, vec_id bigint, score bigint"))
+    w = W.partitionBy("query").orderBy(F.desc("score"), "vec_id")
     return (best.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
             .select("query_id", "rank", "vec_id", "score"))

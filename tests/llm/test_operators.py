@@ -331,13 +331,19 @@ def test_quality_on_held_out_rows(spark):
 def test_top_k(spark, segment):
     rnd = np.random.default_rng(10)
     rows = [(int(i), [float(x) for x in rnd.normal(0, 0.2, 6)]) for i in range(130)] + [(200 + i, [0.5] * 6) for i in range(60)]
-    odd = [(None, [0.1] * 6), (300, None), (350, [0.1, None, 0.0, 0.0, 0.0, 0.0]), (400, [float("nan")] * 6), (450, [float("inf")] * 6), (7, rows[7][1])]
+    odd = [(None, [0.1] * 6), (300, None), (350, [0.1, None, 0.0, 0.0, 0.0, 0.0]), (400, [float("nan")] * 6), (450, [float("inf")] * 6)]
+    rows += [(7, rows[7][1]), (100, rows[3][1]), (60, [2.0 ** 21, 0.0, 0.0, 0.0, 0.0, 0.25])]  # repeated ids are rows of their own; large components stay in
     d = spark.createDataFrame([(*r, 1, 2) for r in rows + odd], "vec_id bigint, embedding array<float>, id int, score int")
     v = bitsliced.quantise(d, "vec_id", "embedding")
     got = bitsliced.top_k(spark, v, v.where("id % 50 = 0"), 5, segment_rows=segment, query_rows=2).collect()
-    q = {i: np.floor(256 * np.array(x, np.float32).astype(float)).astype(int) for i, x in rows}
-    want = [(i, n, b, s) for i in q if i % 50 == 0 for n, (s, b) in enumerate(sorted(((int(q[i] @ q[j]), j) for j in q if j != i), key=lambda t: (-t[0], t[1]))[:5], 1)]
+    q = [(i, np.floor(256 * np.array(x, np.float32).astype(float)).astype(int)) for i, x in rows]
+    want = [(i, n, b, s) for at, (i, x) in enumerate(q) if i % 50 == 0
+            for n, (s, b) in enumerate(sorted(((int(x @ y), j) for to, (j, y) in enumerate(q) if to != at), key=lambda t: (-t[0], t[1]))[:5], 1)]
     assert sorted((r.query_id, r.rank, r.vec_id, r.score) for r in got) == sorted(want)
+    huge = spark.createDataFrame([(50, [1e300, 0.0]), (1, [2.0 ** 21, 0.0]), (2, [-1e300, 1.0]), (2, [3.0, 3.0]), (3, [0.0, 1.0])], "vec_id bigint, embedding array<double>")
+    h = bitsliced.quantise(huge, "vec_id", "embedding")
+    told = [(r.rank, r.vec_id, r.score) for r in bitsliced.top_k(spark, h, h.where("id = 50"), 5).orderBy("rank").collect()]
+    assert told == [(1, 1, 2 ** 63 - 1), (2, 2, 2 ** 63 - 1), (3, 3, 0), (4, 2, -2 ** 63)]
     few = bitsliced.quantise(d.where("vec_id in (50, 51, 52)"), "vec_id", "embedding")
     assert bitsliced.top_k(spark, few, few.where("id % 50 = 0"), 5).count() == 2
     none = v.limit(0)
