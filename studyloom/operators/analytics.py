@@ -1,4 +1,6 @@
 """Aggregations over the attempt log, study log, cards and bank."""
+from decimal import Decimal
+
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -101,11 +103,22 @@ def module_order(attempts, weights, floor=10, by=()):
             .orderBy(*by, F.desc("per_min"), "module"))
 
 
+def whole_weights(weights):
+    """(weights as whole numbers of one unit, the default under ``None``; units in 1)."""
+    exact = {k: Decimal(str(w)) for k, w in {**(weights or {}), None: DEFAULT_WEIGHT}.items()}
+    unit = 10 ** max(0, *(-w.as_tuple().exponent for w in exact.values()))
+    return {k: int(w * unit) for k, w in exact.items()}, unit
+
+
 def estimate(ok, n, module, weights):
-    """Aggregate column: weighted share of right answers in percent, 0 when nothing was answered."""
-    w = lookup(module, weights, DEFAULT_WEIGHT) if weights else F.lit(DEFAULT_WEIGHT)
-    full = F.sum(w * n)
-    return F.coalesce(F.when(full > 0, F.bround(F.sum(w * ok) / full * 100, 1)), F.lit(0.0))
+    """Aggregate column: weighted share of right answers in percent, 0 when nothing was answered.
+
+    Both sums are exact before they become doubles, so the order in which rows arrive does not decide how a tie is rounded.
+    """
+    table, unit = whole_weights(weights)
+    w = lookup(module, table, table.pop(None)).cast("decimal(18,0)")
+    total = lambda x: F.sum(w * x).cast("double") / unit
+    return F.coalesce(F.when(total(n) > 0, F.bround(total(ok) / total(n) * 100, 1)), F.lit(0.0))
 
 
 def score_estimate(attempts, weights, by=("user_id",)):

@@ -52,6 +52,17 @@ def test_score_estimate(spark):
     assert heavy > 50 > light
 
 
+def test_score_of_a_tie_is_the_same_in_every_order(spark):
+    """Shares at the end of a half: sums of doubles round them by the order of the modules, exact sums do not."""
+    w = {"a": 1.0, "b": 0.8, "c": 0.9, "d": 0.6}
+    cases = [([10, 5, 12, 12], [0, 4, 6, 5], 36.2), ([1, 1, 2, 10], [1, 1, 2, 3], 56.3), ([2, 8, 6, 9], [2, 2, 4, 6], 56.3),
+             ([7, 2, 4, 1], [0, 1, 0, 0], 6.2), ([3, 11, 2, 4], [1, 6, 0, 4], 51.2), ([6, 2, 2, 11], [4, 0, 0, 9], 58.8)]
+    for order in ("abcd", "dcba", "bdac"):
+        rows = [(u, m, int(i < oks["abcd".index(m)])) for u, (ns, oks, _) in enumerate(cases) for m in order for i in range(ns["abcd".index(m)])]
+        d = spark.createDataFrame(rows, "user_id int, module string, correct int")
+        assert {r.user_id: r.score for r in A.score_estimate(d, w).collect()} == {u: s for u, (_, _, s) in enumerate(cases)}
+
+
 def test_eligibility(spark):
     d = spark.createDataFrame([
         ("a", "本科及以上", "不限", "无限制", "无限制", "不限"), ("b", "仅限硕士研究生", "中共党员", "二年", "大学生村官", "法学类"),
