@@ -2,6 +2,7 @@
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from studyloom.operators.realign import explanation_actions
 from studyloom.operators.scan import asof_backward, row_numbers
 
 
@@ -145,23 +146,5 @@ def realign_by_signature(questions, low=0.15, high=0.4, least=6, cap=15, letters
     than max(3, 8%) of a document's questions count for nothing. An explanation moves when its own question shares little of
     it and another shares much; a question takes the best one, unless its own explanation fits it half as well.
     """
-    n = questions.groupBy("doc").agg(F.count("*").alias("nq"))
-    t = questions.select("doc", "seq", F.explode("sig").alias("tok")).distinct()
-    common = t.groupBy("doc", "tok").agg(F.count("*").alias("df")).join(n, "doc").where(F.col("df") > F.greatest(F.lit(3.0), F.col("nq") * 0.08)).select("doc", "tok")
-    t = t.join(common, ["doc", "tok"], "left_anti")
-    size = t.groupBy("doc", "seq").agg(F.count("*").alias("size")).where(F.col("size") >= least)
-    t = t.join(size, ["doc", "seq"])
-    exp = questions.where(F.col("exp_len") >= letters).join(size, ["doc", "seq"], "left_semi").select("doc", "seq", F.explode("exp_sig").alias("tok")).distinct()
-    owners = exp.select("doc", "seq").distinct()
-    # every token left is on few questions of its document, so the overlap join stays small
-    common_n = (exp.withColumnRenamed("seq", "e").join(t, ["doc", "tok"]).groupBy("doc", "e", "seq", "size").agg(F.count("*").alias("k"))
-                .select("doc", "e", "seq", (F.col("k") / F.least("size", F.lit(cap))).alias("score")))
-    own = owners.join(common_n.where("e = seq").select("doc", "seq", "score"), ["doc", "seq"], "left").select("doc", "seq", F.coalesce("score", F.lit(0.0)).alias("own"))
-    flagged = own.where(F.col("own") < low)
-    best = (common_n.where("e <> seq").join(flagged.select("doc", F.col("seq").alias("e"), "own"), ["doc", "e"]).groupBy("doc", "e", "own")
-            .agg(F.max(F.struct("score", "seq")).alias("b")).where((F.col("b.score") >= high) & (F.col("b.score") >= F.col("own") * 3 + 0.2)))
-    cur = own.select("doc", F.col("seq").alias("to"), F.col("own").alias("cur"))
-    moves = best.select("doc", F.col("e").alias("seq"), F.col("b.seq").alias("to"), F.col("b.score").alias("score")).join(cur, ["doc", "to"], "left")
-    fits = F.coalesce((F.col("cur") >= F.col("score") / 2) & (F.col("cur") >= low), F.lit(False))
-    return (moves.where(~fits).groupBy("doc", "to").agg(F.max(F.struct("score", "seq")).alias("m"))
-            .select("doc", "m.seq", "to", F.bround("m.score", 4).alias("score")))
+    moves = explanation_actions(questions, low, high, least, cap, letters).where("action = 'moved'")
+    return moves.select("doc", "seq", "to", F.bround("score", 4).alias("score"))

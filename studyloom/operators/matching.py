@@ -8,7 +8,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from studyloom.functions import text as T
-from studyloom.operators.joins import realign_by_signature
+from studyloom.operators.realign import explanation_actions
 from studyloom.operators.segment import prose_answer
 
 LETTERS = "ABCDEFGH"
@@ -116,17 +116,8 @@ def realign_actions(questions, low=0.15, least=6, letters=40, known=8, long=60,
     Moves are those of :func:`realign_by_signature`, one for each question and each explanation. What found no owner, shares nothing with its
     question (of at least ``known`` tokens of its own) and is ``long`` letters or longer is removed.
     """
-    moves = realign_by_signature(questions, low=low, least=least, letters=letters, **rules).select("doc", "seq", "to")
-    n = questions.groupBy("doc").agg(F.count("*").alias("nq"))
-    t = questions.select("doc", "seq", F.explode("sig").alias("tok")).distinct()
-    common = t.groupBy("doc", "tok").agg(F.count("*").alias("df")).join(n, "doc").where(F.col("df") > F.greatest(F.lit(3.0), F.col("nq") * 0.08)).select("doc", "tok")
-    own = t.join(common, ["doc", "tok"], "left_anti")
-    size = own.groupBy("doc", "seq").agg(F.count("*").alias("size")).where(F.col("size") >= max(least, known)).select("doc", "seq")
-    shared = own.join(questions.select("doc", "seq", F.explode("exp_sig").alias("tok")).distinct(), ["doc", "seq", "tok"], "left_semi").select("doc", "seq").distinct()
-    lost = (questions.where(F.col("exp_len") >= max(letters, long)).select("doc", "seq").join(size, ["doc", "seq"], "left_semi")
-            .join(shared, ["doc", "seq"], "left_anti").join(moves.select("doc", "seq"), ["doc", "seq"], "left_anti"))
-    return (moves.select("doc", "seq", F.lit("moved").alias("action"), "to")
-            .unionByName(lost.select("doc", "seq", F.lit("removed").alias("action"), F.lit(None).cast(moves.schema["to"].dataType).alias("to"))))
+    actions = explanation_actions(questions, low=low, least=least, letters=letters, known=known, long=long, **rules)
+    return actions.select("doc", "seq", "action", "to")
 
 
 def realign_apply(questions, actions):
