@@ -2,6 +2,8 @@
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from studyloom.session import materialize
+
 # Phase shares before the first exam, between the exams, and weekday rotation (Monday first).
 FIRST_PHASES = (("base", 0.35), ("special", 0.4), ("sprint", 0.25))
 SECOND_PHASES = (("review", 0.3), ("boost", 0.45), ("final", 0.25))
@@ -170,19 +172,25 @@ def with_lessons(tasks, lessons, done):
     """Lesson tasks name a lesson: the k-th task of a user's course takes the course's k-th lesson that the user has not done.
 
     ``tasks(user, day, ord, title, module, minutes, ..)``; ``lessons(lesson, course, ord, title, minutes)``; ``done(user, lesson)``. Once the lessons are
-    used up, a task names its module as before. A course's lessons and those a user has done of it are short arrays, so no
-    user meets the whole list of lessons as rows.
+    used up, a task names its module as before. Only the ranks of a user's own done lessons meet that user's tasks: the k-th open lesson has
+    the rank k plus the number of done ones before it. A course is ranked as far as any task can reach.
     """
     course = F.when(F.col("title") == F.concat(F.lit(LESSON), F.col("module")), F.try_element_at(F.create_map(*[F.lit(x) for kv in COURSES.items() for x in kv]), F.col("module")))
     t = tasks.withColumn("course", course)
-    listed = lessons.groupBy("course").agg(F.array_sort(F.collect_list(F.struct("ord", "lesson", F.col("title").alias("name"), F.col("minutes").alias("takes")))).alias("_all"))
-    had = done.distinct().join(lessons.select("lesson", "course"), "lesson").groupBy("user", "course").agg(F.collect_list("lesson").alias("_had"))
     k = F.row_number().over(W.partitionBy("user", "course").orderBy("day", "ord"))
-    t2 = t.where("course IS NOT NULL").withColumn("_k", k).join(listed, "course", "left").join(had, ["user", "course"], "left")
-    left = F.filter("_all", lambda x: ~F.coalesce(F.array_contains("_had", x["lesson"]), F.lit(False)))
-    t2 = t2.withColumn("_l", F.get(left, F.col("_k") - 1))
-    named = t2.withColumn("title", F.coalesce(F.concat(F.lit(LESSON), F.col("_l.name")), "title")).withColumn("minutes", F.coalesce("_l.takes", "minutes")).withColumn("lesson", F.col("_l.lesson"))
-    return t.where("course IS NULL").withColumn("lesson", F.lit(None).cast(lessons.schema["lesson"].dataType)).unionByName(named.drop("_k", "_all", "_had", "_l")).drop("course")
+    t2 = materialize(t.where("course IS NOT NULL").withColumn("_k", k))
+    had = materialize(done.distinct().join(lessons.select("lesson", "course"), "lesson").join(t2.select("user", "course").distinct(), ["user", "course"], "left_semi"))
+    many = had.groupBy("user", "course").agg(F.count("*").alias("_n"))
+    reach = t2.groupBy("user", "course").agg(F.max("_k").alias("_k")).join(many, ["user", "course"], "left").agg(F.max(F.col("_k") + F.coalesce("_n", F.lit(0)))).first()[0] or 0
+    rank = F.row_number().over(W.partitionBy("course").orderBy("ord", "lesson"))
+    listed = materialize(lessons.withColumn("_r", rank).where(F.col("_r") <= reach)
+                         .select("course", "lesson", F.col("title").alias("name"), F.col("minutes").alias("takes"), "_r"))
+    had = had.join(listed.select("lesson", "course", "_r"), ["lesson", "course"]).groupBy("user", "course").agg(F.array_sort(F.collect_set("_r")).alias("_had"))
+    skipped = F.when(F.col("_had").isNull(), 0).otherwise(F.size(F.filter("_had", lambda r, i: r - i <= F.col("_k"))))
+    t2 = t2.join(had, ["user", "course"], "left").withColumn("_r", F.col("_k") + skipped).join(listed, ["course", "_r"], "left")
+    named = (t2.withColumn("title", F.coalesce(F.concat(F.lit(LESSON), "name"), "title")).withColumn("minutes", F.coalesce("takes", "minutes"))
+             .select(*tasks.columns, "lesson"))
+    return t.where("course IS NULL").drop("course").withColumn("lesson", F.lit(None).cast(lessons.schema["lesson"].dataType)).unionByName(named)
 
 
 def replan(tasks, fresh, today):

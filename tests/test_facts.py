@@ -176,3 +176,23 @@ def test_lessons_go_on_in_order(spark):
     assert by(2) == [(name + f"L{i}", 5 + i, i) for i in (3, 2, 1, 0)] + [(name + "申论", 40, None)]
     assert got.where("module = '面试' AND title <> '学习教程：面试'").count() == 0
     assert P.with_lessons(tasks, lessons.limit(0), done.limit(0)).where("lesson IS NOT NULL").count() == 0
+
+
+def test_lessons_meet_tasks_one_by_one(spark):
+    """The k-th open lesson by ranks: no task row carries a course's list of lessons."""
+    import random
+    rng = random.Random(2)
+    name, users = P.LESSON, range(12)
+    lessons = [(i, "essay" if i % 2 else "math", rng.randrange(1000), f"L{i}", i) for i in range(60)]
+    tasks = [(u, date(2024, 6, d + 1), 0, name + m, m, 40) for u in users for d in range(9) for m in (("申论", "数量关系") if d % 2 else ("申论",))]
+    done = [(u, i) for u in users for i in rng.sample(range(60), u * 5)]
+    got = P.with_lessons(spark.createDataFrame(tasks, "user int, day date, ord int, title string, module string, minutes int"),
+                         spark.createDataFrame(lessons, "lesson int, course string, ord int, title string, minutes int"), spark.createDataFrame(done, "user int, lesson int"))
+    want = set()
+    for u in users:
+        for m, c in (("申论", "essay"), ("数量关系", "math")):
+            days = [t[1] for t in tasks if t[0] == u and t[4] == m]
+            left = [x for x in sorted(lessons, key=lambda x: (x[2], x[0])) if x[1] == c and (u, x[0]) not in done]
+            want |= {(u, day, m, left[k][0] if k < len(left) else None) for k, day in enumerate(days)}
+    assert {(r.user, r.day, r.module, r.lesson) for r in got.collect()} == want and any(w[3] is None for w in want)
+    assert "collect_list(struct" not in got._jdf.queryExecution().executedPlan().toString()
