@@ -196,3 +196,12 @@ def test_lessons_meet_tasks_one_by_one(spark):
             want |= {(u, day, m, left[k][0] if k < len(left) else None) for k, day in enumerate(days)}
     assert {(r.user, r.day, r.module, r.lesson) for r in got.collect()} == want and any(w[3] is None for w in want)
     assert "collect_list(struct" not in got._jdf.queryExecution().executedPlan().toString()
+
+
+def test_option_resplit_works_out_its_arguments_once(spark):
+    """A glued option is cut as before, and the plan names the option's words and the explanation a few times, not once per place."""
+    from studyloom.functions import text as T
+    d = spark.createDataFrame([(["largering", "bigcog", "old cog"], "item A “large” and “ring” fit")], "o array<string>, e string")
+    out = d.select(T.option_resplit(F.col("o"), F.lit(2), F.col("e"), "abcdefghijklmnopqrstuvwxyz").alias("r"))
+    assert out.first().r == ["large ring", "big cog", "old cog"]
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("split(") == 1
