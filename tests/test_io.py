@@ -177,6 +177,16 @@ def test_mastered_questions_leave_the_book(spark, tmp_path):
     assert book[2, 8].wrong_count == 3 and held[1] > held[-1]
 
 
+def test_questions_of_a_bucket_share_a_state_row(spark, tmp_path):
+    part = [(i, i % 50, i % 120, i // 7 % 2, i // 70) for i in range(600)] + [(700 + i, i, None, 0, 9) for i in range(3)]
+    held = [_held(J.write_changes(J.wrongbook(_log(spark, tmp_path, "log", some), buckets=4), str(tmp_path / "t"), str(tmp_path / "c"), ["user_id", "qid"]))
+            for some in (part[:300], part[300:])]
+    log = spark.createDataFrame([(a, u, q, c, date(2024, 1, 1) + timedelta(days=b)) for a, u, q, c, b in part], "id bigint, user_id bigint, qid bigint, correct bigint, day date")
+    got = {tuple(r)[:4] for r in J.latest(spark, str(tmp_path / "t"), ["user_id", "qid"]).collect()}
+    want = {tuple(r)[:4] for r in memory.wrongbook_fold(log.where("qid is not null")).collect()} | {(i, None, 1, 0) for i in range(3)}
+    assert len(want) > 100 and got == want and held[-1] <= 4
+
+
 def test_closed_months_leave_the_usage(spark, tmp_path):
     held = []
     for part in ([(u, date(2024, 1, 5), 10) for u in range(50)], [(1, date(2024, 2, 1), 5), (1, date(2024, 1, 31), 7)], [(1, date(2024, 4, 1), 1)], [(2, date(2024, 4, 2), 1)]):
