@@ -8,10 +8,10 @@ Similarity of two texts = L / (n + m - L) with n, m labelled shingles and L the
 0.8 or more at most (n + m) / 9 shingles are unmatched, so matches lie in a band of that width; as labelled shingles are unique,
 the alignment is the longest increasing run of matched positions inside the band.
 
-Equal word sequences are one node. Nodes with a common sketch meet the first of them in a hash order, not each other; those
-that verify are linked. In buckets that still hold members of several components of these links one member of each star, drawn
-anew for every bucket, meets again one of another component that shares a second sketch with it. The classes are the connected
-components of all links.
+Equal word sequences are one node. Nodes with a common sketch first meet the first of them in a hash order; those that verify are
+linked. In buckets that still hold several components of these links all members of different components meet, each pair in
+its first common bucket; only pairs with enough common shingles leave that join. The classes are the connected components of all
+links, so every two alike texts that share a sketch are in one class. Links inside a component are not looked for further.
 """
 from bisect import bisect_left
 
@@ -110,32 +110,46 @@ def _sketched(frames):
         yield pd.DataFrame({"doc_id": pdf["doc_id"], "node": [r[0] for r in rows], "n": [r[1] for r in rows], "keys": [r[2] for r in rows]})
 
 
-def _verify(pairs, seqs):
-    """Pairs (a, b) of nodes that are alike."""
+def _verify(pairs, seqs=None):
+    """Pairs (a, b) of nodes that are alike; without ``seqs`` the pairs hold the shingles as x and y."""
     def test(frames):
         release()
         for pdf in frames:
-            ok = [similarity(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)) >= ALIKE for x, y in zip(pdf["x"], pdf["y"])]
+            ok = [similarity(x, y) >= ALIKE for x, y in zip(pdf["x"], pdf["y"])]
             yield pdf.loc[ok, ["a", "b"]]
-    both = (pairs.join(seqs.select(F.col("node").alias("b"), F.col("seq").alias("y")), "b")
-            .join(seqs.select(F.col("node").alias("a"), F.col("seq").alias("x")), "a"))
-    return both.select("a", "b", "x", "y").mapInPandas(test, "a binary, b binary")
+    if seqs is not None:
+        pairs = (pairs.join(seqs.select(F.col("node").alias("b"), F.col("seq").alias("y")), "b")
+                 .join(seqs.select(F.col("node").alias("a"), F.col("seq").alias("x")), "a"))
+    return pairs.select("a", "b", "x", "y").mapInPandas(test, "a binary, b binary")
 
 
-def _stars(keyed, by, order, group="node"):
-    """Pairs of each bucket's members with its first member in ``order``, where they differ in ``group`` and the lengths allow similarity."""
-    first = F.min(F.struct(order.alias("o"), F.col("node").alias("b"), F.col("n").alias("m"), F.col(group).alias("g")))
-    centre = keyed.groupBy(*by).agg(first.alias("c"), F.min(group).alias("least"), F.max(group).alias("last"))
-    centre = centre.where("least <> last").select(*by, "c.b", "c.m", "c.g")
-    return (keyed.join(centre, list(by)).where(F.col(group) != F.col("g"))
-            .where(F.least("n", "m") >= ALIKE * F.greatest("n", "m")))
+def _stars(keyed):
+    """Pairs of each bucket's members with its first member in a hash order, where the lengths allow similarity."""
+    first = F.min(F.struct(F.xxhash64("node").alias("o"), F.col("node").alias("b"), F.col("n").alias("m")))
+    centre = keyed.groupBy("band", "key").agg(first.alias("c")).select("band", "key", "c.b", "c.m")
+    return keyed.join(centre, ["band", "key"]).where(F.col("node") != F.col("b")).where(F.least("n", "m") >= ALIKE * F.greatest("n", "m"))
+
+
+def _apart(at):
+    """Pairs of a bucket's members of different components, once each, with as many common shingles as similarity needs.
+
+    ``at(band, key, node, n, component, keys, seq)``. The order of the tests matters, cheap ones first.
+    """
+    x, y = at.alias("x"), at.alias("y")
+    n, m = F.col("x.n"), F.col("y.n")
+    may = (F.col("x.node") < F.col("y.node")) & (F.col("x.component") != F.col("y.component")) & (F.least(n, m) >= ALIKE * F.greatest(n, m))
+    here = F.array_position(F.zip_with("x.keys", "y.keys", lambda k, l: k == l), True) == F.col("x.band") + 1
+    common = F.size(F.array_intersect("x.seq", "y.seq")) * (1 + ALIKE) >= ALIKE * (n + m) - 1e-6
+    test = F.when(may, F.when(here, common).otherwise(False)).otherwise(False)
+    return (x.join(y, (F.col("x.band") == F.col("y.band")) & (F.col("x.key") == F.col("y.key")) & test)
+            .select(F.col("x.node").alias("a"), F.col("y.node").alias("b"), F.col("x.seq").alias("x"), F.col("y.seq").alias("y")))
 
 
 def classes(spark, docs, id_col="doc_id", text_col="text"):
     """(doc_id, node, class_id, links, kept) for every row of ``docs``; node stands for the row's word sequence.
 
-    class_id: the smallest id of the class (NULL if it has none but NULL); links: verified links of the row's text to other
-    texts; kept: true for the rows of the class's first text in (id, text) order. NULL and empty texts, and texts of equal
+    class_id: the smallest id of the class (NULL if it has none but NULL); links: those links of the row's text to other
+    texts that were verified to find the classes (within a component not all are); kept: true for the rows of the class's first text in (id, text) order. NULL and empty texts, and texts of equal
     words, are equal. Repeated rows are returned each. Texts under five words have one shingle, so only equal ones meet.
     """
     tables = Scratch(spark)
@@ -147,23 +161,16 @@ def classes(spark, docs, id_col="doc_id", text_col="text"):
     shared = keyed.groupBy("band", "key").agg(F.count("*").alias("size")).where("size > 1").drop("size")
     keyed = tables.keep(keyed.join(shared, ["band", "key"]))
     seqs = tables.keep(_sequences(source, keyed.select("node").distinct()))
-    first = tables.keep(_stars(keyed, ("band", "key"), F.xxhash64("node")).select(F.col("node").alias("a"), "b").distinct())
+    first = tables.keep(_stars(keyed).select(F.col("node").alias("a"), "b").distinct())
     links = tables.keep(_verify(first, seqs))
-    # buckets that hold members of several components: one of each star they belong to meets again, under a second common sketch
+    # buckets that hold members of several components: these meet each other
     found = components(tables, links)
-    star = links.select(F.col("a").alias("node"), F.struct(F.xxhash64("b").alias("o"), F.col("b").alias("label"))).toDF("node", "s").groupBy("node").agg(F.min("s").alias("s"))
-    known = found.join(star, "node", "left").select("node", "component", "s.label")
-    at = (keyed.join(known, "node", "left").withColumn("label", F.coalesce("label", "node"))
-          .withColumn("component", F.coalesce("component", "node")))
+    at = keyed.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
     mixed = at.groupBy("band", "key").agg(F.min("component").alias("l"), F.max("component").alias("h")).where("l <> h").select("band", "key")
-    open_ = tables.keep(at.join(mixed, ["band", "key"]).groupBy("band", "key", "label")
-                        .agg(F.min(F.struct(F.xxhash64("node", "band", "key").alias("o"), "node", "n", "component")).alias("m"))
-                        .select("band", "key", "label", "m.node", "m.n", "m.component"))
-    twice = open_.join(nodes.select("node", F.posexplode("keys").alias("band2", "key2")), "node").where("band <> band2")
-    again = _stars(twice, ("band", "key", "band2", "key2"), F.xxhash64("node"), "component").select(F.col("node").alias("a"), "b").distinct()
-    more = tables.keep(_verify(tables.keep(again.join(first, ["a", "b"], "left_anti")), seqs))
+    at = at.join(mixed, ["band", "key"]).join(nodes.select("node", "keys"), "node").join(seqs, "node")
+    more = tables.keep(_verify(_apart(at)))
     links = tables.keep(links.unionByName(more).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
-    # what the second meeting links are components of the first: contract once more between these
+    # what this meeting links are components of the first: contract once more between these
     named_by = lambda end: found.select(F.col("node").alias(end), F.col("component").alias(end + end))
     between = (more.join(named_by("a"), "a", "left").join(named_by("b"), "b", "left")
                .select(F.coalesce("aa", "a").alias("a"), F.coalesce("bb", "b").alias("b")))
@@ -177,7 +184,7 @@ def classes(spark, docs, id_col="doc_id", text_col="text"):
     named = (named.join(best, "component").select("node", F.col("m.first").alias("class_id"), "links", (F.col("m.node") == F.col("node")).alias("top")))
     out = rows.select("doc_id", "node").join(named, "node").select(
         "doc_id", "node", "class_id", "links", (F.col("top") & F.col("doc_id").eqNullSafe(F.col("class_id"))).alias("kept"))
-    tables.drop(keyed, seqs, first, open_)
+    tables.drop(keyed, seqs, first)
     return out
 
 
@@ -218,6 +225,6 @@ def _sequences(source, wanted):
                 k = node(w)
                 if k not in seen and hits(shared.value, np.array([int.from_bytes(k[:8], "big")], np.uint64))[0]:
                     seen.add(k)
-                    rows.append((k, labelled(w).tobytes()))
+                    rows.append((k, labelled(w).view(np.int64)))
             yield pd.DataFrame(rows, columns=["node", "seq"])
-    return source.select("text").mapInPandas(cut, "node binary, seq binary").join(wanted, "node", "left_semi").groupBy("node").agg(F.first("seq").alias("seq"))
+    return source.select("text").mapInPandas(cut, "node binary, seq array<bigint>").join(wanted, "node", "left_semi").groupBy("node").agg(F.first("seq").alias("seq"))

@@ -257,6 +257,18 @@ def test_near_duplicates(spark):
     assert orderminhash.classes(spark, docs(spark, [])).count() == 0 and orderminhash.first_of_each(spark, docs(spark, [])).count() == 0
 
 
+def test_near_duplicates_among_texts_just_below_the_threshold(spark):
+    base = words(120, 9)
+    swap = lambda w, i, *at: [f"q{i}" + "abcdefgh"[at.index(j)] if j in at else x for j, x in enumerate(w)]
+    strangers = [swap(base, i, 7 + i % 50, 62 + (i * 7 + i // 50 * 11) % 50) for i in range(240)]  # two edits each: four between two of them
+    rows = [(i, " ".join(w)) for i, w in enumerate(strangers)] + [(1000 + i, " ".join(swap(strangers[i], 1000 + i, 30 + i % 40))) for i in range(0, 240, 3)]
+    up, of = _near(rows), {}
+    for i, r in enumerate(rows):
+        of.setdefault(up.get(i, i), []).append(r[0])
+    want = {m: min(v) for v in of.values() for m in v}
+    assert len(set(want.values())) > 100 and {r.doc_id: r.class_id for r in orderminhash.classes(spark, docs(spark, rows)).collect()} == want
+
+
 # --- op8 and op9 ------------------------------------------------------------
 
 def _labelled(spark):
