@@ -205,3 +205,13 @@ def test_option_resplit_works_out_its_arguments_once(spark):
     out = d.select(T.option_resplit(F.col("o"), F.lit(2), F.col("e"), "abcdefghijklmnopqrstuvwxyz").alias("r"))
     assert out.first().r == ["large ring", "big cog", "old cog"]
     assert out._jdf.queryExecution().optimizedPlan().toString().count("split(") == 1
+
+
+def test_unicode_fix_of_every_character_without_python_workers(spark):
+    import unicodedata
+    odd = "".join(chr(i) for low, high in ((0x2E80, 0x2FFF), (0xF900, 0xFAFF), (0x1D400, 0x1D7FF)) for i in range(low, high + 1))
+    texts = spark.createDataFrame([(1, "é ①" + odd + "end"), (2, None), (3, "")], "id int, t string")
+    fixed = texts.select("id", T.unicode_fix(F.col("t")).alias("t"))
+    want = "é ①" + "".join(unicodedata.normalize("NFKC", c) for c in odd) + "end"
+    assert {r.id: r.t for r in fixed.collect()} == {1: want, 2: None, 3: ""}
+    assert "Python" not in fixed._jdf.queryExecution().executedPlan().toString()
