@@ -199,6 +199,20 @@ class Views:
         w = F.filter(F.split("text", "[ \n]+"), lambda x: x != "")
         return self.documents.select(F.col("doc_id").alias("doc"), F.posexplode(w).alias("seq", "text")).withColumn("seq", F.col("seq").cast("bigint"))
 
+    # ---- the same blocks in their document's own row: (doc, b), ``b`` an array of structs in reading order
+    @cached_property
+    def word_rows(self):
+        w = F.filter(F.split("text", "[ \n]+"), lambda x: x != "")
+        return self.documents.select(F.col("doc_id").alias("doc"), F.transform(w, lambda x, i: F.struct(
+            i.cast("bigint").alias("seq"), x.alias("text"))).alias("b"))
+
+    @cached_property
+    def qblock_rows(self):
+        def block(x, i):
+            n = F.length(x)
+            return F.struct(i.cast("bigint").alias("seq"), x.alias("text"), F.when(n % 7 == 0, "a").when(n % 11 == 0, "h").otherwise("q").alias("kind"))
+        return self.documents.select(F.col("doc_id").alias("doc"), F.transform(F.split("text", r"\."), block).alias("b"))
+
     @cached_property
     def pages_txt(self):
         d = self.documents.select(F.col("doc_id").alias("doc"), F.split("text", "\n").alias("lines"))
