@@ -171,30 +171,32 @@ def neighbor_fragment(blocks, fragment, weak):
     return d.withColumn("_d", F.col("_f") & near).where("NOT _d").drop("_f", "_w", "_d")
 
 
-def outline_levels(blocks, pat, size, body, margin=1.5, share=0.22, floor=12, deepest=4):
-    """Heading levels from size and numbering pattern. ``blocks`` holds candidates (kind 'h?') and paragraphs ('p').
+def outline_levels(docs, pat, size, body, margin=1.5, share=0.22, floor=12, deepest=4):
+    """Heading levels from size and numbering pattern. ``docs(doc, b)``: blocks (seq, kind, ..) in their document's own row, candidates (kind 'h?') and
+    paragraphs ('p'); ``pat`` and ``size`` make a column of a block. One row per block, with its kind and level.
 
     While candidates exceed max(floor, share of the lines), the weakest pattern class (6, 5, 4) of body size is demoted.
-    Larger sizes rank first, then patterns; levels are dense and capped.
+    Larger sizes rank first, then patterns; levels are dense and capped, so no more than ``deepest`` ranks are looked up.
     """
-    d = blocks.withColumn("_c", F.col("kind") == "h?").withColumn("_pat", pat).withColumn("_size", F.bround(size * 2) / 2).withColumn("_small", size < body + margin)
-    count = lambda cond: F.sum(F.when(cond, 1).otherwise(0)).over(whole())
-    lines = F.count("*").over(whole())
-    d = d.withColumn("_all", count(F.col("_c"))).withColumn("_lim", F.greatest(F.lit(float(floor)), lines * share))
-    d = d.withColumn("_w6", count(F.col("_c") & F.col("_small") & (F.col("_pat") == 6))).withColumn("_w5", count(F.col("_c") & F.col("_small") & (F.col("_pat") == 5)))
-    x6 = F.col("_all") > F.col("_lim")
-    x5 = x6 & (F.col("_all") - F.col("_w6") > F.col("_lim"))
-    x4 = x5 & (F.col("_all") - F.col("_w6") - F.col("_w5") > F.col("_lim"))
-    weak = F.col("_small") & (((F.col("_pat") == 6) & x6) | ((F.col("_pat") == 5) & x5) | ((F.col("_pat") == 4) & x4))
-    d = d.withColumn("_h", F.col("_c") & ~weak)
-    big = F.col("_h") & ~F.col("_small")
-    d = d.withColumn("_bs", F.when(big, F.col("_size"))).withColumn("_sp", F.when(F.col("_h") & F.col("_small"), F.col("_pat")))
-    nbig = F.size(F.collect_set("_bs").over(whole()))
-    rb = F.dense_rank().over(whole().orderBy(F.desc_nulls_last("_bs")))
-    rs = F.dense_rank().over(whole().orderBy(F.asc_nulls_last("_sp")))
-    lv = F.when(big, rb).when(F.col("_h"), nbig + rs)
-    d = d.withColumn("level", F.when(lv.isNotNull(), F.least(F.lit(deepest), lv)).cast("bigint")).withColumn("kind", F.when(F.col("_h"), "h").otherwise("p"))
-    return d.drop(*[c for c in d.columns if c.startswith("_")])
+    def marked(x):
+        z = F.bround(size(x) * 2) / 2
+        return F.struct(x.alias("x"), (x["kind"] == "h?").alias("c"), pat(x).alias("pat"), z.alias("size"), (size(x) < body + margin).alias("small"))
+    count = lambda of: F.size(F.filter("_m", of))
+    body_of = lambda p: count(lambda m: m["c"] & m["small"] & (m["pat"] == p))
+    d = docs.withColumn("_m", F.transform("b", marked)).drop("b")
+    d = d.withColumn("_all", count(lambda m: m["c"])).withColumn("_lim", F.greatest(F.lit(float(floor)), F.size("_m") * F.lit(share)))
+    d = d.withColumn("_w6", body_of(6)).withColumn("_w5", body_of(5))
+    d = d.withColumn("_x6", F.col("_all") > F.col("_lim"))
+    d = d.withColumn("_x5", F.col("_x6") & (F.col("_all") - F.col("_w6") > F.col("_lim")))
+    d = d.withColumn("_x4", F.col("_x5") & (F.col("_all") - F.col("_w6") - F.col("_w5") > F.col("_lim")))
+    weak = lambda m: F.coalesce(m["small"] & (((m["pat"] == 6) & F.col("_x6")) | ((m["pat"] == 5) & F.col("_x5")) | ((m["pat"] == 4) & F.col("_x4"))), F.lit(False))
+    d = d.withColumn("_m", F.transform("_m", lambda m: m.withField("h", m["c"] & ~weak(m))))
+    kinds = lambda of, c: F.array_distinct(F.transform(F.filter("_m", lambda m: m["h"] & of(m)), lambda m: m[c]))
+    d = d.withColumn("_bs", F.sort_array(kinds(lambda m: ~m["small"], "size"), asc=False)).withColumn("_sp", F.array_sort(kinds(lambda m: m["small"], "pat")))
+    # sorting puts a missing size last and a missing pattern last, as the ranks have it
+    rank = lambda among, x: F.coalesce(F.nullif(F.array_position(F.slice(among, 1, deepest), x), F.lit(0)), F.lit(deepest))
+    level = lambda m: F.when(m["h"], F.least(F.lit(deepest), F.when(m["small"], F.size("_bs") + rank("_sp", m["pat"])).otherwise(rank("_bs", m["size"]))))
+    return d.select("doc", F.inline(F.transform("_m", lambda m: m["x"].withField("kind", F.when(m["h"], "h").otherwise("p")).withField("level", level(m).cast("bigint")))))
 
 
 def list_continuation(blocks, num):

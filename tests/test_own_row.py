@@ -69,3 +69,24 @@ def test_outline_dump_in_its_row(spark):
     got = C.outline_dump(d)
     assert rows(got, "doc", "seq") == sorted(want) and 0 < cut < 80
     assert shuffles(got) == 0
+
+
+def test_outline_levels_in_its_row(spark):
+    rng = random.Random(14)
+    docs = {i: [(s, rng.choice(["h?", "p"]), rng.randint(0, 6), rng.choice([9.0, 10.0, 12.0, 14.0, 15.0, 18.0, 20.0])) for s in range(rng.randint(0, 60))] for i in range(40)}
+    d = spark.createDataFrame(list(docs.items()), "doc bigint, b array<struct<seq:bigint,kind:string,pat:int,size:double>>")
+    want = []
+    for doc, b in docs.items():
+        heads, limit = {s: (p, z) for s, k, p, z in b if k == "h?"}, max(12, len(b) * 0.22)
+        for weak in (6, 5, 4):
+            if len(heads) > limit:
+                heads = {s: (p, z) for s, (p, z) in heads.items() if not (p == weak and z < 11.5)}
+            else:
+                break
+        big, small = sorted({z for _, z in heads.values() if z >= 11.5}, reverse=True), sorted({p for p, z in heads.values() if z < 11.5})
+        for s, *_ in b:
+            p, z = heads.get(s, (0, 0))
+            want.append((doc, s, "h", min(4, big.index(z) + 1 if z >= 11.5 else len(big) + small.index(p) + 1)) if s in heads else (doc, s, "p", None))
+    got = B.outline_levels(d, lambda x: x["pat"], lambda x: x["size"], F.lit(10))
+    assert sorted(map(tuple, got.select("doc", "seq", "kind", "level").collect()), key=str) == sorted(want, key=str)
+    assert shuffles(got) == 0
