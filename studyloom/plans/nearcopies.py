@@ -21,7 +21,8 @@ def _sigs(v):
 
 @query("shingle_signatures", "WITH " + SIG + " SELECT doc, n::INT AS n_letters, size::INT AS size FROM m")
 def _(v):
-    return _sigs(v).where(F.size("sig") > 0).select("doc", "n_letters", F.size("sig").alias("size"))
+    # a filter on the size would be put ahead of the signatures, which would be computed for it once more
+    return _sigs(v).select("doc", "n_letters", F.explode(F.filter(F.array(F.size("sig")), lambda n: n > 0)).alias("size"))
 
 
 @query("near_duplicates", "WITH RECURSIVE " + SIG + """, e AS (SELECT a AS x, b AS y FROM pr UNION ALL SELECT b, a FROM pr),

@@ -254,3 +254,13 @@ def test_deck_overlap_keeps_texts_out_of_its_tables(spark, monkeypatch):
     monkeypatch.setattr(nearcopies, "materialize", lambda df: (tables.append(real(df)), tables[-1])[1])
     assert rows(nearcopies.deck_overlap(d)) == [(1,), (3,), (5,), (6,)]
     assert not [c for t in tables for c in t.dtypes if "string" in c[1]] and max(t.count() for t in tables[1:]) == 10
+
+
+def test_shingle_signatures_are_made_once(spark, sf):
+    from studyloom.plans import load_all
+    from studyloom.plans.registry import REGISTRY
+    from studyloom.sources.views import Views
+    load_all()
+    plan = REGISTRY["shingle_signatures"].plan(Views(spark, sf))._jdf.queryExecution().optimizedPlan().toString()
+    made = [line for line in plan.splitlines() if "md5" in line]
+    assert len(made) == 1 and "Filter" not in made[0]
