@@ -37,7 +37,8 @@ def _(v):
     from studyloom.sources.keyed import KeyedTable
     d, by = F.col("doc"), F.col("doc") % 10
     blocks = v.blocks.select("doc", "seq", "text")
-    table = KeyedTable(v.spark, f"{checkpoint_dir(v.spark)}/blocks-{uuid.uuid4().hex}", ["doc"], 8)
+    size = v.table("documents").agg(F.sum(F.octet_length("text"))).first()[0]
+    table = KeyedTable(v.spark, f"{checkpoint_dir(v.spark)}/blocks-{uuid.uuid4().hex}", ["doc"], KeyedTable.ranges_for(size))
     before = blocks.where(by != 3).withColumn("text", F.when((by == 4) & (F.col("seq") == 0), F.concat("text", F.lit("\ufffd"))).otherwise(F.col("text")))
     table.replace(before.select("doc").distinct(), before)
     docs = v.documents.select(F.col("doc_id").alias("doc"), F.length("text").alias("size")).withColumn("mtime", F.lit(0))

@@ -237,3 +237,13 @@ def test_a_cluster_needs_a_shared_folder(spark, monkeypatch):
     context = SimpleNamespace(master="spark://x:7077", getConf=lambda: SimpleNamespace(get=lambda *a: None), getCheckpointDir=lambda: None)
     with pytest.raises(ValueError):
         checkpoint_dir(SimpleNamespace(conf=SimpleNamespace(get=lambda *a: None), sparkContext=context))
+
+
+def test_replace_writes_one_range_a_task(spark, tmp_path):
+    from studyloom.sources.keyed import KeyedTable
+    rows_ = spark.range(400).selectExpr("id AS doc", "'x' AS text")
+    table = KeyedTable(spark, f"{tmp_path}/t", ["doc"], 8)
+    table.replace(rows_.select("doc"), rows_)
+    files = [(f.parent.name, f.name.split("-")[1]) for f in (tmp_path / "t" / "v1").glob("*/*.parquet")]
+    assert len(files) == 8 == len({task for _, task in files}) and table.read().count() == 400
+    assert [KeyedTable.ranges_for(n) for n in (None, 0, 25_000_000, 1_000_000_000, 6_000_000_000)] == [8, 8, 8, 63, 375]
