@@ -98,3 +98,11 @@ def test_garbled_counts_once(spark):
     got = d.select("id", C.garbled(F.col("t"), "a-z", "xyzqj", "etao", "w").alias("bad"))
     assert rows(got) == [(0, None), (1, False), (2, True), (3, False), (4, True), (5, False), (6, True), (7, True)]
     assert got._jdf.queryExecution().optimizedPlan().toString().count("regexp_replace") == 6
+
+
+def test_trigram_counts_of_own_rows(spark):
+    from studyloom.operators import search as S
+    docs = [(1, ["abcabc", "ABC", None]), (2, ["bcd", "ab", ""]), (3, None), (4, ["xabc", "abc"])]
+    got = S.trigram_counts(spark.createDataFrame(docs, "doc int, blocks array<string>"))
+    assert rows(got, "gram", "blocks", "docs") == [("abc", 4, 2), ("bca", 1, 1), ("bcd", 1, 1), ("cab", 1, 1), ("xab", 1, 1)]
+    assert shuffles(got) <= 2 and "hashpartitioning(gram#" in got._jdf.queryExecution().executedPlan().toString()
