@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from studyloom.functions import text as T
 from studyloom.operators.realign import explanation_actions
 from studyloom.operators.segment import prose_answer
+from studyloom.session import materialize
 
 LETTERS = "ABCDEFGH"
 
@@ -87,8 +88,14 @@ def borrow_answers(rows, key=T.normalize_key, keep=T.CJK + "A-Za-z0-9①-⑳", b
     equal givers are enough, because a taker leaves out only its own.
     """
     k = F.substring(key(F.col("stem")), 1, check)
-    d = rows.withColumn("k", k).where(F.length("k") >= least).withColumn("told", F.array_distinct(_told(F.col("options"), keep))).where(F.size("told") > 0)
+    # the texts are read once; a filter on what is worked out would work it out again, so it follows the table
+    d = materialize(rows.select("doc", "seq", k.alias("k"), "options", F.array_distinct(_told(F.col("options"), keep)).alias("told"), "ans", "exp"))
+    d = d.where((F.length("k") >= least) & (F.size("told") > 0))
     has = F.coalesce(F.col("ans"), F.lit("")) != ""
+    # beginnings that both givers and takers have; equal hashes of unequal ones only let a few more rows through
+    begins = F.xxhash64(F.substring("k", 1, block)).alias("_b")
+    both = d.groupBy(begins).agg(F.max(has).alias("g"), F.min(has).alias("n")).where("g AND NOT n").select("_b")
+    d = materialize(d.withColumn("_b", begins).join(both, "_b", "left_semi").drop("_b"))
     first = W.partitionBy("k", "options", "ans").orderBy("doc")
     give = (d.where(has).groupBy("k", "options", "ans", "doc").agg(F.min(F.struct("seq", "exp")).alias("r")).withColumn("_n", F.row_number().over(first)).where("_n <= 2")
             .select(F.col("k").alias("f"), F.col("options").alias("o"), F.col("ans").alias("a"), F.col("doc").alias("src"), F.col("r.seq").alias("s"), F.col("r.exp").alias("e"),

@@ -130,8 +130,9 @@ def _(v):
     return J.borrow_from_copies(r, "k", ["opts"])
 
 
-def _options(words, turn):
-    """Words two to five of a text as options A to D, turned by ``turn`` places."""
+def _options(text, turn):
+    """Words two to five of a text as options A to D, turned by ``turn`` places. The words behind them stay one piece, as nothing asks for them."""
+    words = F.filter(F.split(text, r"\s+", 7), lambda x: x != "")
     at = lambda i: F.coalesce(F.get(words, (F.lit(i) + turn) % 4 + 1), F.lit(""))
     return F.array(*[F.struct(F.lit(a).alias("letter"), at(i).alias("text")) for i, a in enumerate("ABCD")])
 
@@ -140,9 +141,9 @@ def _options(words, turn):
 def _(v):
     """Sentences of documents as questions, those of the benchmark as the bank: same words as options, in another order."""
     words = lambda c: F.filter(F.split(c, r"\s+"), lambda x: x != "")
-    q = v.qblocks.select("doc", "seq", F.col("text").alias("stem"), _options(words("text"), F.col("seq") % 4).alias("options"), F.array_distinct(words("text")).alias("sig"), F.lit("").alias("exp"))
+    q = v.qblocks.select("doc", "seq", F.col("text").alias("stem"), _options("text", F.col("seq") % 4).alias("options"), F.array_distinct(words("text")).alias("sig"), F.lit("").alias("exp"))
     b = v.table("benchmark").select("item_id", F.col("text").alias("exp"), F.posexplode(F.split("text", r"\.")).alias("i", "stem"))
-    turned = F.transform(_options(words("stem"), F.col("item_id") % 4), lambda o: o["text"])
+    turned = F.transform(_options("stem", F.col("item_id") % 4), lambda o: o["text"])
     b = b.select((F.col("item_id") * 1048576 + F.col("i")).alias("id"), "stem", turned.alias("options"), (F.col("i") % 4).cast("int").alias("answer"), "exp",
                  F.array_distinct(words("exp")).alias("exp_sig"), F.length("exp").alias("exp_len"))
     return M.bank_answers(q, b, key=lambda c: T.only(c, L + "0-9"), keep=L + "0-9").drop("exp")
@@ -151,8 +152,7 @@ def _(v):
 @query("borrow_answers")
 def _(v):
     """Sentences of even documents have an answer; the others take it from the first one that has the same sentence."""
-    words = F.filter(F.split("text", r"\s+"), lambda x: x != "")
-    q = v.qblocks.select("doc", "seq", F.col("text").alias("stem"), _options(words, F.col("doc") % 4).alias("options"), F.when(F.col("doc") % 2 == 0, F.col("ans")).alias("ans"), F.lit("").alias("exp"))
+    q = v.qblocks.select("doc", "seq", F.col("text").alias("stem"), _options("text", F.col("doc") % 4).alias("options"), F.when(F.col("doc") % 2 == 0, F.col("ans")).alias("ans"), F.lit("").alias("exp"))
     return M.borrow_answers(q, key=lambda c: T.only(c, L + "0-9"), keep=L + "0-9").drop("exp")
 
 
