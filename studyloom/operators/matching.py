@@ -55,18 +55,23 @@ def bank_answers(questions, bank, key=T.normalize_key, keep=T.CJK + "A-Za-z0-9
     """
     lines = F.filter(F.split("stem", "\n"), lambda x: F.trim(x) != "")
     tail = lambda n: F.when(F.size(lines) > n, F.array_join(F.slice(lines, -n, n), ""))
-    q = questions.withColumn("_keys", F.array(*[F.struct(F.lit(i).alias("ord"), key(c).alias("k")) for i, c in enumerate((F.col("stem"), tail(1), tail(2)))]))
+    keys = F.array(F.struct(F.lit(0).alias("ord"), key(F.col("stem")).alias("k")),
+                   *[F.when(F.contains("stem", F.lit("\n")), F.struct(F.lit(i).alias("ord"), key(tail(i)).alias("k"))) for i in (1, 2)])
+    b = bank.withColumn("f", key(F.col("stem"))).where((F.length("f") >= least_bank) & F.col("answer").between(0, len(LETTERS) - 1)).withColumn("h", F.substring("f", 1, block))
+    # questions that begin like one of the bank, by their stems alone; only these are kept with their options and go on
+    asked = (questions.select("doc", "seq", F.explode(keys).alias("x")).where(F.length("x.k") >= least)
+             .select("doc", "seq", "x.ord", F.substring("x.k", 1, max(block, check)).alias("k")).withColumn("h", F.substring("k", 1, block)))
+    asked = materialize(asked.join(b.select("h").distinct(), "h", "left_semi"))
+    q = questions.drop("stem").join(asked.select("doc", "seq").distinct(), ["doc", "seq"], "left_semi")
     told = F.array_distinct(_told(F.col("options"), keep))
     some = F.exists("options", lambda o: F.coalesce(o["text"], F.lit("")) != "")
-    q = q.withColumn("_some", F.coalesce(some, F.lit(False))).withColumn("_told", F.slice(told, 1, 2))
-    asked = q.select("doc", "seq", "_some", "_told", F.explode("_keys").alias("x")).where(F.length("x.k") >= least).select("doc", "seq", "_some", "_told", "x.ord", "x.k")
-    asked = asked.withColumn("h", F.substring("k", 1, block))
-    b = bank.withColumn("f", key(F.col("stem"))).where((F.length("f") >= least_bank) & F.col("answer").between(0, len(LETTERS) - 1)).withColumn("h", F.substring("f", 1, block))
+    q = materialize(q.withColumn("_some", F.coalesce(some, F.lit(False))).withColumn("_told", F.slice(told, 1, 2)))
+    asked = asked.join(q.select("doc", "seq", "_some", "_told"), ["doc", "seq"])
     opts = b.select("h", "id", F.explode(F.array_distinct(F.transform("options", lambda o: option_key(o, keep)))).alias("j"))
     met = (asked.where("_some").select("doc", "seq", "ord", "k", "h", F.explode("_told").alias("j")).join(opts, ["h", "j"]).select("doc", "seq", "ord", "k", "id")
            .unionByName(asked.where("NOT _some").join(b.select("h", "id"), "h").select("doc", "seq", "ord", "k", "id")).distinct())
     theirs = b.select("id", "f", F.col("options").alias("_theirs"), "answer", F.col("exp").alias("_exp"), "exp_sig", "exp_len")
-    pair = met.join(theirs, "id").where(_either_way(F.col("f"), F.col("k"), check)).join(q.drop("_keys", "_told", "stem"), ["doc", "seq"])
+    pair = met.join(theirs, "id").where(_either_way(F.col("f"), F.col("k"), check)).join(q.drop("_told"), ["doc", "seq"])
     other = (F.coalesce(F.length("_exp"), F.lit(0)) > 0) & (F.col("exp_len") >= 60) & (F.size("sig") >= 8) & (F.size(F.array_intersect("sig", "exp_sig")) <= 1)
     n = F.size("_theirs")
     original = F.substring(F.lit(LETTERS), F.col("answer") + 1, F.lit(1))
