@@ -109,28 +109,32 @@ def passage_keys(blocks, key=PASSAGE_KEY, pair=PASSAGE_PAIR, inner=INNER_NUMBER)
     line is served first, each number once: by its own number, else by the one in front of its stem. A number also goes to a question that has
     an answer, or does not offer the letters; neither is changed. ``note``: what stands behind the pair.
     """
-    by = W.partitionBy("doc").orderBy("seq")
-    is_key = F.col("kind").isin("p", "box", "tbl") & F.col("text").rlike(_U + key)
-    ahead = by.rowsBetween(1, W.unboundedFollowing)
-    d = blocks.withColumn("_k", F.coalesce(is_key, F.lit(False)))
-    d = d.withColumn("k_seq", F.min(F.when(F.col("_k"), F.col("seq"))).over(ahead)).withColumn("_i", F.row_number().over(by))
+    back = W.partitionBy("doc").orderBy(F.desc("seq"))
+    is_key = F.coalesce(F.col("kind").isin("p", "box", "tbl") & F.col("text").rlike(_U + key), F.lit(False))
     marked = F.split(F.regexp_replace(F.regexp_replace("text", _U + key, ""), _U + pair, "\u0001$1\u0002$2\u0002"), "\u0001")
     parts = F.transform(F.slice(marked, 2, 1 << 30), lambda x: F.split(x, "\u0002", 3))
-    lines = d.where("_k").select("doc", F.col("seq").alias("k_seq"), parts.alias("_p")).where(F.size("_p") >= 2)
-    pairs = lines.select("doc", "k_seq", F.posexplode("_p").alias("i", "p")).select("doc", "k_seq", "i", F.get("p", 0).alias("num"), F.get("p", 1).alias("key"), _strip(F.get("p", 2)).alias("note"))
-    pairs = pairs.groupBy("doc", "k_seq", "num").agg(F.min(F.struct("i", "key", "note")).alias("r")).select("doc", "k_seq", "num", "r.key", "r.note")
     own = F.regexp_extract(F.substring("text", 1, 50), _U + inner, 1)
-    q = d.where("kind = 'q' AND _i > 1 AND k_seq IS NOT NULL")
-    asked = q.select("doc", "k_seq", "seq", F.posexplode(F.array(F.coalesce("num", F.lit("")), own)).alias("ord", "num")).where("num <> ''")
-    # only numbers that the line has; a stretch's questions are a short array then
-    wanted = (asked.join(pairs.select("doc", "k_seq", "num"), ["doc", "k_seq", "num"]).groupBy("doc", "k_seq", "seq").agg(F.array_sort(F.collect_list(F.struct("ord", "num"))).alias("nums"))
-              .groupBy("doc", "k_seq").agg(F.sort_array(F.collect_list(F.struct("seq", "nums")), asc=False).alias("qs")))
-    got = "array<struct<seq:bigint,num:string>>"
+    asks = F.col("kind") == "q"
+    # texts end here: a line is its pairs, a question its numbers
+    d = blocks.where("doc IS NOT NULL").select("doc", "seq", is_key.alias("_k"), F.coalesce(asks, F.lit(False)).alias("_q"), F.when(is_key, parts).alias("_p"),
+                                               F.when(asks, F.filter(F.array(F.col("num"), own), lambda x: x != "")).alias("nums"), "letters", "ans")
+    # from the end, the line behind a block is the last one met, and a block that nothing stands before is the title
+    k_seq = F.last(F.when(F.col("_k"), F.col("seq")), ignorenulls=True).over(back.rowsBetween(W.unboundedPreceding, -1))
+    d = d.withColumn("k_seq", k_seq).withColumn("_title", F.lead(F.lit(False), 1, True).over(back))
+    asked = F.col("_q") & ~F.col("_title") & F.col("k_seq").isNotNull() & F.col("seq").isNotNull() & (F.size("nums") > 0)
+    # a line and the questions that it serves are one row
+    stretch = (d.where((F.col("_k") & (F.size("_p") >= 2)) | asked).groupBy("doc", F.when(F.col("_k"), F.col("seq")).otherwise(F.col("k_seq")).alias("k_seq"))
+               .agg(F.first(F.when(F.col("_k"), F.col("_p")), ignorenulls=True).alias("_p"),
+                    F.sort_array(F.collect_list(F.when(asked, F.struct("seq", "nums", "letters", "ans"))), asc=False).alias("qs"))
+               .where(F.col("_p").isNotNull() & (F.size("qs") > 0)))
+    stretch = stretch.select("doc", "k_seq", "qs", "_p", F.transform("_p", lambda x: F.get(x, 0)).alias("_n"))
+    got = "array<struct<seq:bigint,num:string,letters:string,ans:string>>"
 
     def serve(acc, x):
-        n = F.get(F.filter(F.transform(x["nums"], lambda y: y["num"]), lambda y: ~F.array_contains(F.transform(acc, lambda z: z["num"]), y)), 0)
-        return F.when(n.isNull(), acc).otherwise(F.concat(acc, F.array(F.struct(x["seq"].cast("bigint").alias("seq"), n.alias("num")))))
-    served = wanted.select("doc", "k_seq", F.inline(F.aggregate("qs", F.array().cast(got), serve)))
-    open_ = q.where(F.coalesce(F.col("ans"), F.lit("")) == "").select("doc", "seq", "letters")
-    offered = F.forall(F.filter(F.split("key", ""), lambda c: c != ""), lambda c: F.contains("letters", c))
-    return served.join(open_, ["doc", "seq"]).join(pairs, ["doc", "k_seq", "num"]).where(offered).select("doc", "seq", "k_seq", F.col("key").alias("ans"), "note")
+        n = F.get(F.filter(x["nums"], lambda y: F.array_contains("_n", y) & ~F.array_contains(acc["num"], y)), 0)
+        more = F.transform(F.filter(F.array(n), lambda y: y.isNotNull()), lambda y: F.struct(x["seq"].cast("bigint").alias("seq"), y.alias("num"), x["letters"].alias("letters"), x["ans"].alias("ans")))
+        return F.concat(acc, more)
+    served = stretch.select("doc", "k_seq", "_p", "_n", F.inline(F.aggregate("qs", F.array().cast(got), serve))).where(F.coalesce(F.col("ans"), F.lit("")) == "")
+    served = served.select("doc", "seq", "k_seq", "letters", F.get("_p", (F.array_position("_n", F.col("num")) - 1).cast("int")).alias("r"))
+    offered = F.forall(F.filter(F.split(F.get("r", 1), ""), lambda c: c != ""), lambda c: F.contains("letters", c))
+    return served.where(offered).select("doc", "seq", "k_seq", F.get("r", 1).alias("ans"), _strip(F.get("r", 2)).alias("note"))
