@@ -162,8 +162,9 @@ def _(v):
     line = lambda i: (F.when(F.col("doc") % 3 == 0, F.concat(n(i), F.lit(". "), at(i, 0), F.lit(" "), at(i, 1), F.lit("->"), at(i, 2), F.lit(",")))
                       .when(F.col("doc") % 3 == 1, F.concat(n(i % 9999), F.lit("、"), at(i, 0), F.lit("："), at(i, 1), F.lit(" "), at(i, 2)))
                       .otherwise(F.concat(at(i, 0), F.lit("："), at(i, 1), F.lit(" "), at(i, 2))))
-    d = v.documents.select(F.col("doc_id").alias("doc"), w.alias("w")).where(F.size("w") >= 3)
-    return K.deck_cards(d.select("doc", F.array_join(F.transform(F.sequence(F.lit(0), F.floor(F.size("w") / 3).cast("int") - 1), line), "\n").alias("text")), T.LATIN)
+    d = v.documents.select(F.col("doc_id").alias("doc"), w.alias("w"))
+    text = F.array_join(F.transform(F.sequence(F.lit(0), F.floor(F.size("w") / 3).cast("int") - 1), line), "\n")
+    return K.deck_cards(d.select("doc", F.when(F.size("w") >= 3, text).alias("text")), T.LATIN)
 
 
 @query("passage_keys", """WITH b AS (SELECT doc, seq, kind, num, row_number() OVER (PARTITION BY doc ORDER BY seq) AS i, min(CASE WHEN kind='h' THEN seq END) OVER (PARTITION BY doc ORDER BY seq ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS k_seq FROM v_qblocks),
