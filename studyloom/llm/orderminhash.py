@@ -8,9 +8,10 @@ Similarity of two texts = L / (n + m - L) with n, m labelled shingles and L the
 0.8 or more at most (n + m) / 9 shingles are unmatched, so matches lie in a band of that width; as labelled shingles are unique,
 the alignment is the longest increasing run of matched positions inside the band.
 
-Equal word sequences are one node. Nodes with a common sketch first meet the first of them in a hash order; those that verify are
-linked. In buckets that still hold several components of these links all members of different components meet, each pair in
-its first common bucket; only pairs with enough common shingles leave that join. The classes are the connected components of all
+Equal word sequences are one node. Nodes with a common sketch first meet the first of them in a hash order, by the first FEW sketches;
+those that verify are linked, and by the other sketches only nodes of different components meet. In buckets that still hold several
+components all members of different components meet, each pair in its first common bucket; only pairs with enough common shingles
+leave that join. A large bucket is cut into parts, and each two parts meet on their own. The classes are the connected components of all
 links, so every two alike texts that share a sketch are in one class. Links inside a component are not looked for further.
 """
 from bisect import bisect_left
@@ -26,6 +27,8 @@ from studyloom.llm.tables import Scratch
 from studyloom.llm.words import groups, mix, shingles, word_hashes
 
 WIDTH, SKETCHES, SMALLEST, ALIKE = 5, 24, 4, 0.8
+#: Sketches whose stars are verified first, and members of a bucket that meet in one place.
+FEW, PART = 4, 512
 _ODD = mix(np.arange(1, SKETCHES + 1, dtype=np.uint64)) | np.uint64(1)
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
@@ -130,21 +133,40 @@ def _stars(keyed):
     return keyed.join(centre, ["band", "key"]).where(F.col("node") != F.col("b")).where(F.least("n", "m") >= ALIKE * F.greatest("n", "m"))
 
 
-def _apart(at):
+def _apart(at, part=PART):
     """Pairs of a bucket's members of different components, once each, with as many common shingles as similarity needs.
 
-    ``at(band, key, node, n, component, keys, seq)``. The order of the tests matters, cheap ones first.
+    ``at(band, key, size, node, n, component, keys, seq)``. The order of the tests matters, cheap ones first.
     """
-    x, y = at.alias("x"), at.alias("y")
+    parts = F.ceil(F.col("size") / part).cast("int")
+    own, other = F.pmod(F.xxhash64("node", F.lit(part)), parts).cast("int"), F.explode(F.sequence(F.lit(0), parts - 1))
+    x, y = at.withColumn("i", own).withColumn("j", other).alias("x"), at.withColumn("j", own).withColumn("i", other).alias("y")
     n, m = F.col("x.n"), F.col("y.n")
     may = (F.col("x.node") < F.col("y.node")) & (F.col("x.component") != F.col("y.component")) & (F.least(n, m) >= ALIKE * F.greatest(n, m))
     here = F.array_position(F.zip_with("x.keys", "y.keys", lambda k, l: k == l), True) == F.col("x.band") + 1
     common = F.size(F.array_intersect("x.seq", "y.seq")) * (1 + ALIKE) >= ALIKE * (n + m) - 1e-6
     test = F.when(may, F.when(here, common).otherwise(False)).otherwise(False)
-    return (x.join(y, (F.col("x.band") == F.col("y.band")) & (F.col("x.key") == F.col("y.key")) & test)
+    same = [F.col(f"x.{c}") == F.col(f"y.{c}") for c in ("band", "key", "i", "j")]
+    return (x.join(y, same[0] & same[1] & same[2] & same[3] & test)
             .select(F.col("x.node").alias("a"), F.col("y.node").alias("b"), F.col("x.seq").alias("x"), F.col("y.seq").alias("y")))
 
 
+def _ends(pairs, found):
+    """``pairs`` with the components of their ends as aa and bb; a node without a link is its own."""
+    named_by = lambda end: found.select(F.col("node").alias(end), F.col("component").alias(end + end))
+    return (pairs.join(named_by("a"), "a", "left").join(named_by("b"), "b", "left")
+            .withColumn("aa", F.coalesce("aa", "a")).withColumn("bb", F.coalesce("bb", "b")))
+
+
+def _merged(tables, found, links):
+    """(node, component) after further links: what these link are components, so these are contracted."""
+    merged = components(tables, _ends(links, found).select(F.col("aa").alias("a"), F.col("bb").alias("b")))
+    new = links.select(F.col("a").alias("node")).unionByName(links.select(F.col("b").alias("node"))).distinct().join(found, "node", "left_anti")
+    every = found.unionByName(new.withColumn("component", F.col("node")))
+    merged = merged.select(F.col("node").alias("component"), F.col("component").alias("whole"))
+    return tables.keep(every.join(merged, "component", "left").select("node", F.coalesce("whole", "component").alias("component")))
+
+
 def classes(spark, docs, id_col="doc_id", text_col="text"):
     """(doc_id, node, class_id, links, kept) for every row of ``docs``; node stands for the row's word sequence.
 
@@ -161,24 +183,22 @@ def classes(spark, docs, id_col="doc_id", text_col="text"):
     shared = keyed.groupBy("band", "key").agg(F.count("*").alias("size")).where("size > 1").drop("size")
     keyed = tables.keep(keyed.join(shared, ["band", "key"]))
     seqs = tables.keep(_sequences(source, keyed.select("node").distinct()))
-    first = tables.keep(_stars(keyed).select(F.col("node").alias("a"), "b").distinct())
-    links = tables.keep(_verify(first, seqs))
-    # buckets that hold members of several components: these meet each other
+    first = tables.keep(_stars(keyed).groupBy(F.col("node").alias("a"), "b").agg(F.min("band").alias("band")))
+    links = tables.keep(_verify(first.where(F.col("band") < FEW), seqs))
     found = components(tables, links)
+    rest = tables.keep(_verify(_ends(first.where(F.col("band") >= FEW), found).where("aa <> bb"), seqs))
+    found = _merged(tables, found, rest)
+    # buckets that hold members of several components: these meet each other
     at = keyed.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    mixed = at.groupBy("band", "key").agg(F.min("component").alias("l"), F.max("component").alias("h")).where("l <> h").select("band", "key")
+    mixed = (at.groupBy("band", "key").agg(F.min("component").alias("l"), F.max("component").alias("h"), F.count("*").alias("size"))
+             .where("l <> h").select("band", "key", "size"))
     at = at.join(mixed, ["band", "key"]).join(nodes.select("node", "keys"), "node").join(seqs, "node")
     more = tables.keep(_verify(_apart(at)))
-    links = tables.keep(links.unionByName(more).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
-    # what this meeting links are components of the first: contract once more between these
-    named_by = lambda end: found.select(F.col("node").alias(end), F.col("component").alias(end + end))
-    between = (more.join(named_by("a"), "a", "left").join(named_by("b"), "b", "left")
-               .select(F.coalesce("aa", "a").alias("a"), F.coalesce("bb", "b").alias("b")))
-    merged = components(tables, between).select(F.col("node").alias("part"), F.col("component").alias("whole"))
+    found = _merged(tables, found, more)
+    links = tables.keep(links.unionByName(rest).unionByName(more).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
     degree = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("links"))
     named = (nodes.select("node", "first").join(found, "node", "left").join(degree, "node", "left")
-             .withColumn("part", F.coalesce("component", "node")).join(merged, "part", "left")
-             .select("node", "first", F.coalesce("whole", "part").alias("component"), F.coalesce("links", F.lit(0)).alias("links")))
+             .select("node", "first", F.coalesce("component", "node").alias("component"), F.coalesce("links", F.lit(0)).alias("links")))
     named = tables.keep(named)
     best = named.groupBy("component").agg(F.min(F.struct(F.col("first").isNull(), "first", "node")).alias("m"))
     named = (named.join(best, "component").select("node", F.col("m.first").alias("class_id"), "links", (F.col("m.node") == F.col("node")).alias("top")))

@@ -382,3 +382,18 @@ def test_pipeline_stages(spark, tmp_path, vocabulary):
     assert {2, 3} <= near and not {502, 503} & near and toxic - near <= {502, 503, 2, 3, 4, 1, 6}
     assert near - clean == {500} and mixture == clean == coded and len(seen[3]) == len(seen[4]) and None in coded
     assert sorted(r.doc_id or 0 for r in corpus_pipeline.run(spark, str(tmp_path)).collect()) == sorted(i or 0 for i in seen[4])
+
+
+def test_a_family_of_near_copies_is_linked_by_few_links(spark):
+    base = words(120, 9)
+    rows = [(i, " ".join(f"q{i}" if j == i % 110 else w for j, w in enumerate(base))) for i in range(200)]
+    out = orderminhash.classes(spark, docs(spark, rows)).collect()
+    assert {r.class_id for r in out} == {0} and sum(r.links for r in out) <= 2 * (orderminhash.FEW + 1) * len(rows)
+
+
+def test_members_of_a_bucket_meet_once_in_whatever_parts(spark):
+    at = [(2, 7, 20, bytes([i]), 5, bytes([i // 2]), [-i - 1, i, 3], [1, 2, 3, 4, 5 + i % 2]) for i in range(20)]
+    d = spark.createDataFrame(at, "band int, key bigint, size bigint, node binary, n int, component binary, keys array<bigint>, seq array<bigint>")
+    want = [(bytes([i]), bytes([j])) for i in range(20) for j in range(i + 1, 20) if i // 2 != j // 2 and i % 2 == j % 2]
+    for part in (3, 19, 512):
+        assert sorted((bytes(r.a), bytes(r.b)) for r in orderminhash._apart(d, part).collect()) == want
