@@ -177,6 +177,20 @@ def test_mastered_questions_leave_the_book(spark, tmp_path):
     assert book[2, 8].wrong_count == 3 and held[1] > held[-1]
 
 
+def test_no_answer_is_left_out_of_the_book(spark, tmp_path):
+    """A mastered question that is wrong again after years goes on from its row, and an answer that comes late counts."""
+    log, day, keys = [(0, 1, 7, 0, 0)], 0, ["user_id", "qid"]
+    fold = lambda part: memory.wrongbook_fold(spark.createDataFrame([(i, u, q, c, date(2024, 1, 1) + timedelta(days=x)) for i, u, q, c, x in part], "id bigint, user_id bigint, qid bigint, correct bigint, day date"))
+    while not (r := fold(log).first()).mastered:
+        day = (r.next_review - date(2024, 1, 1)).days
+        log.append((len(log), 1, 7, 1, day))
+    parts = [log, [(500, 2, 8, 0, day + 400)], [(501, 3, 9, 0, day + 380), (502, 1, 7, 0, day + 900), (503, 1, 7, 1, day + 901)]]
+    for part in parts:
+        J.write_changes(J.wrongbook(_log(spark, tmp_path, "log", part), buckets=4), str(tmp_path / "t"), str(tmp_path / "c"), keys)
+    want = rows(fold(sum(parts, [])))
+    assert rows(J.latest(spark, str(tmp_path / "t"), keys)) == want and [x[:3] for x in want] == [(1, 7, 2), (2, 8, 1), (3, 9, 1)]
+
+
 def test_questions_of_a_bucket_share_a_state_row(spark, tmp_path):
     part = [(i, i % 50, i % 120, i // 7 % 2, i // 70) for i in range(600)] + [(700 + i, i, None, 0, 9) for i in range(3)]
     held = [_held(J.write_changes(J.wrongbook(_log(spark, tmp_path, "log", some), buckets=4), str(tmp_path / "t"), str(tmp_path / "c"), ["user_id", "qid"]))
