@@ -1,6 +1,7 @@
 """Blocks in their document's own row: facts on small rows, and plans without a shuffle."""
 import random
 
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from studyloom.operators import blocks as B
@@ -106,3 +107,29 @@ def test_trigram_counts_of_own_rows(spark):
     got = S.trigram_counts(spark.createDataFrame(docs, "doc int, blocks array<string>"))
     assert rows(got, "gram", "blocks", "docs") == [("abc", 4, 2), ("bca", 1, 1), ("bcd", 1, 1), ("cab", 1, 1), ("xab", 1, 1)]
     assert shuffles(got) <= 2 and "hashpartitioning(gram#" in got._jdf.queryExecution().executedPlan().toString()
+
+
+def test_trigram_index_holds_every_gram_of_a_block_once(spark, monkeypatch):
+    """Posting lists against a dictionary of sets: ids that come twice, rows without an id, other scripts, several segments."""
+    from studyloom.operators import search as S
+    rng = random.Random(14)
+    docs = [(rng.randrange(60) if rng.random() < 0.9 else None, [rng.choice([None, "", "ab", "x" * 9]) if rng.random() < 0.2 else
+             "".join(rng.choice("abcABC é中\U0001f600") for _ in range(rng.randint(0, 30))) for _ in range(rng.randint(0, 6))]) for _ in range(150)] + [(7, None)]
+    held = {(t.lower()[i:i + 3], d, s) for d, b in docs for s, t in enumerate(b or []) if t for i in range(len(t) - 2)}
+    d = spark.createDataFrame(docs, "doc bigint, blocks array<string>").repartition(3)
+    index = S.trigram_postings(d).collect()
+    got = []
+    for r in index:
+        assert len(r.docs) == len(r.held) and sum(r.held) == len(r.seqs) and (None in r.docs) != r.named
+        at = iter(r.seqs)
+        got += [(r.gram, x, next(at)) for x, n in zip(r.docs, r.held) for _ in range(n)]
+    assert {x for x in got} == held and len([x for x in got if x[1] is not None]) == len({x for x in held if x[1] is not None})
+    want = sorted((g, len({x[1:] for x in held if x[0] == g}), len({x[1] for x in held if x[0] == g} - {None})) for g in {x[0] for x in held})
+    assert rows(S.trigram_counts(d), "gram", "blocks", "docs") == want
+    monkeypatch.setattr(S, "SEGMENT", 40)
+    sorted_ = sorted(((d, s, t.lower()) for d, b in docs for s, t in enumerate(b or []) if t is not None), key=lambda x: (x[0] is not None, x[0] or 0, x[1]))
+    cut = [pa.RecordBatch.from_pylist([dict(zip(("doc", "seq", "text"), x)) for x in sorted_[i:i + 7]], schema=pa.schema([("doc", pa.int64()), ("seq", pa.int32()), ("text", pa.string())])) for i in range(0, len(sorted_), 7)]
+    lists = [r for b in S._segments(iter(cut)) for r in b.to_pylist()]
+    assert len(lists) > len(index) and {(r["gram"], x) for r in lists for x in r["docs"]} == {x[:2] for x in held}
+    named = [(r["gram"], x) for r in lists for x in r["docs"] if r["named"]]
+    assert len(named) == len(set(named))
